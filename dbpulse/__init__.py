@@ -1 +1,8 @@
 """dbpulse: diagnostics of database fleets from their telemetry, as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors travel whole, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
