@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, simhash, suffix_dedup
-from .common import table
+from . import chat, decontaminate, quality, simhash, suffix_dedup, toxicity
+from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,3 +79,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role").withColumn("text", F.lit(PROBE))
     return chat.digests(chat.format_turns(given.unionByName(probe)))
+
+
+def _scored(spark: SparkSession, sf_dir: str, method, label: str, folds: int, fold: int, limit: float) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).filter(~held_out("doc_id", folds, fold))
+    scored = method.score(docs, method.fit(docs, labels))
+    return scored.select(
+        "doc_id", held_out("doc_id", folds, fold).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted")
+    )
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, quality, "quality", folds=4, fold=2, limit=0.7)
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, toxicity, "toxic", folds=5, fold=0, limit=0.5)
