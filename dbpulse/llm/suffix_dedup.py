@@ -405,14 +405,14 @@ def repeated_passages(
     with one id are one document, so they never remove from each other. An empty table
     gives an empty table. ``docs`` must not have columns named like the added ones.
 
-    ``blocks`` and ``buckets`` (default: three times the shuffle partitions) bound what a
-    task holds; ``large`` is the number of contexts from which a group is dealt anew.
+    ``blocks`` (default: twice the shuffle partitions) and ``buckets`` (default: as many as
+    shuffle partitions) bound what a task holds and how many requests there are; ``large`` is the number of contexts from which a group is dealt anew.
     """
     if length < GRAM or length - GRAM > 31:
         raise ValueError(f"length must be {GRAM} to {GRAM + 31}")
     spark = docs.sparkSession
-    blocks = blocks or 3 * shuffle_partitions(spark)
-    buckets = buckets or 3 * shuffle_partitions(spark)
+    blocks = blocks or 2 * shuffle_partitions(spark)
+    buckets = buckets or shuffle_partitions(spark)
     key = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
     dealt = docs.withColumn("__block", key)
     own = list(docs.columns)
