@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, quality, simhash, suffix_dedup, toxicity
+from . import chat, decontaminate, quality, simhash, suffix_dedup, tokens, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, toxicity, "toxic", folds=5, fold=0, limit=0.5)
+
+
+def _public_tokenizer(name: str) -> str:
+    """The place of a public vocabulary file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    model = tokens.read_sentencepiece(model_file or _public_tokenizer("piece_bpe_32k.model"))
+    return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "n_tokens")
