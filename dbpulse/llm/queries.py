@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, quality, simhash, suffix_dedup, tokens, toxicity
+from . import chat, decontaminate, embedding_dedup, quality, simhash, suffix_dedup, tokens, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def _public_tokenizer(name: str) -> str:
 def op8_token_counts(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
     model = tokens.read_sentencepiece(model_file or _public_tokenizer("piece_bpe_32k.model"))
     return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "n_tokens")
+
+
+@query("op9_embedding_dedup")
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.vector_groups(table(spark, sf_dir, "embeddings"), cosine=0.98)
