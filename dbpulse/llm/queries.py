@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, quality, simhash, suffix_dedup, tokens, toxicity
+from . import chat, decontaminate, embedding_dedup, mixing, quality, simhash, suffix_dedup, tokens, toxicity, url_filter
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,107 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, model_file: str | None =
 @query("op9_embedding_dedup")
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.vector_groups(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+#: weights of a mixture for the query: four classes of sources, the rest together one part in 51
+WEIGHTS = {f"src{i}": 1 + i % 4 for i in range(20)}
+BLOCK_CHARS = 20_000
+
+
+def _op5_sql() -> str:
+    weights = {**WEIGHTS, mixing.OTHER: 1}
+    names = mixing.pattern(weights)
+    steps = ", ".join(f"('{s}', {i}, {k}, {weights[s]})" for s in weights for i, k in enumerate(k for k, n in enumerate(names) if n == s))
+    listed = ", ".join(f"'{s}'" for s in WEIGHTS)
+    order = "PARTITION BY mix_source ORDER BY o, doc_id, chars ROWS UNBOUNDED PRECEDING"
+    return f"""
+WITH pattern(s, nth, slot, weight) AS (VALUES {steps}),
+d AS (
+  SELECT doc_id, CASE WHEN source IN ({listed}) THEN source ELSE '{mixing.OTHER}' END AS mix_source,
+    coalesce(length(text), 0) AS chars, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents
+), r AS (
+  SELECT *, CAST(sum(chars) OVER ({order}) - chars AS BIGINT) AS run, row_number() OVER ({order}) AS mix_rank FROM d
+), b AS (SELECT *, run // {BLOCK_CHARS} AS block FROM r)
+SELECT doc_id, mix_source, block, (block // weight) * {len(names)} + slot AS slot, mix_rank
+FROM b JOIN pattern ON s = mix_source AND nth = block % weight
+"""
+
+
+@query("op5_mixing", _op5_sql())
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.schedule(docs, WEIGHTS, 1, BLOCK_CHARS).select("doc_id", "mix_source", "block", "slot", "mix_rank")
+
+
+def captures_of(pages: DataFrame) -> DataFrame:
+    """Pages with a fetch day drawn from their id, since the table has none."""
+    day = F.pmod(F.col("page_id") * 7919, F.lit(366)).cast("int")
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), day).alias("fetched_at"))
+
+
+def list_of(pages: DataFrame) -> DataFrame:
+    """A dated list drawn from the pages' own hosts, domains and first path parts."""
+    seen = pages.select(url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path")).filter("host is not null").distinct()
+
+    def number(text):
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+    def entries(kind, pattern, modulus, changes):
+        made = seen.select(F.lit(kind).alias("kind"), pattern.alias("pattern")).distinct().withColumn("h", number(F.col("pattern")))
+        dated = [F.struct(F.lit(a).alias("action"), F.date_add(F.lit("2024-01-01").cast("date"), (F.pmod("h", F.lit(300)) + after).cast("int")).alias("changed_at")) for a, after in changes]
+        return made.filter(F.pmod("h", F.lit(modulus)) == 0).select("kind", "pattern", F.inline(F.array(*dated)))
+
+    host = F.col("host")
+    return (
+        entries("host", host, 2, [("block", 0), ("remove", 60)])
+        .unionByName(entries("domain", F.substring_index(host, ".", -2), 1, [("block", 30), ("allow", 45), ("block", 90)]))
+        .unionByName(entries("prefix", F.concat(host, F.lit("/"), F.substring_index(F.substring_index("path", "/", 2), "/", -1), F.lit("/")), 3, [("allow", 10), ("remove", 200)]))
+    )
+
+
+OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, CAST(DATE '2024-01-01' + CAST((page_id * 7919) % 366 AS INTEGER) AS DATE) AS fetched_at,
+    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
+    coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages
+), pats AS (
+  SELECT DISTINCT 'host' AS kind, host AS pattern FROM p WHERE host IS NOT NULL
+  UNION SELECT 'domain', array_to_string(string_split(host, '.')[-2:], '.') FROM p WHERE host IS NOT NULL
+  UNION SELECT 'prefix', lower(host || '/' || split_part(path, '/', 2) || '/') FROM p WHERE host IS NOT NULL
+), raw AS (
+  SELECT DISTINCT 'prefix' AS kind, host || '/' || split_part(path, '/', 2) || '/' AS pattern FROM p WHERE host IS NOT NULL
+  UNION SELECT kind, pattern FROM pats WHERE kind <> 'prefix'
+), h AS (SELECT *, CAST('0x' || substr(md5(pattern), 1, 8) AS BIGINT) AS h FROM raw
+), changes(kind, modulus, action, after) AS (VALUES ('host', 2, 'block', 0), ('host', 2, 'remove', 60),
+  ('domain', 1, 'block', 30), ('domain', 1, 'allow', 45), ('domain', 1, 'block', 90), ('prefix', 3, 'allow', 10), ('prefix', 3, 'remove', 200)
+), e AS (
+  SELECT kind, lower(pattern) AS pattern, CAST(DATE '2024-01-01' + CAST(h % 300 + after AS INTEGER) AS DATE) AS changed_at, min(action) AS action
+  FROM h JOIN changes USING (kind) WHERE h % modulus = 0 GROUP BY ALL
+), v AS (
+  SELECT kind, pattern, action, changed_at AS valid_from, lead(changed_at) OVER (PARTITION BY kind, pattern ORDER BY changed_at) AS valid_to FROM e
+), held AS (
+  SELECT page_id, p.host, v.*, CASE kind WHEN 'prefix' THEN 2 WHEN 'host' THEN 1 ELSE 0 END AS k
+  FROM p JOIN v ON action <> 'remove' AND fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to)
+    AND ((kind = 'host' AND pattern = p.host) OR (kind = 'domain' AND ('.' || p.host) LIKE '%.' || pattern)
+      OR (kind = 'prefix' AND starts_with(lower(p.host || path), pattern)))
+), best AS (
+  SELECT page_id, kind, pattern, action, valid_from FROM held
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY k DESC, length(pattern) DESC, action) = 1
+)
+SELECT page_id, host, coalesce(action, 'keep') AS verdict, kind, pattern, valid_from FROM p LEFT JOIN best USING (page_id)
+"""
+
+
+@query("op2_url_filter", OP2_SQL)
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(captures_of(pages), list_of(pages))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline

@@ -394,13 +394,15 @@ def repeated_passages(
     blocks: int | None = None,
     buckets: int | None = None,
     large: int = 4096,
+    texts: bool = False,
 ) -> DataFrame:
     """Every row of ``docs`` with what to remove: each byte that lies in a ``length``-byte
     string which also starts in a document of smaller id.
 
     Columns of ``docs`` stay; added are ``n_bytes``, ``n_removed``, ``n_spans`` (maximal
-    removed runs), ``spans`` (their byte starts and ends), ``kept`` (the remaining bytes
-    joined) and ``kept_sha256``. Strings are judged on the input, matches never cross
+    removed runs), ``spans`` (their byte starts and ends), ``kept_sha256`` (of the remaining
+    bytes joined) and, with ``texts``, ``kept_text`` (those bytes as a string; a character
+    of which a cut leaves only some bytes is left out). Strings are judged on the input, matches never cross
     documents. A null text counts as empty; a null id as larger than all others; rows
     with one id are one document, so they never remove from each other. An empty table
     gives an empty table. ``docs`` must not have columns named like the added ones.
@@ -441,41 +443,42 @@ def repeated_passages(
         got = _replies(replies)
         state.after1(got)
         state.after2(got)
-        gone, texts = state.covered(got), state.block
+        gone, block = state.covered(got), state.block
         before = np.concatenate((gone[:0], [False], gone[:-1]))[: len(gone)]
-        before[texts.starts[texts.starts < len(gone)]] = False
+        before[block.starts[block.starts < len(gone)]] = False
         begin = np.flatnonzero(gone & ~before)
         after = np.concatenate((gone[1:], [False]))[: len(gone)]
-        after[texts.ends[texts.ends > 0] - 1] = False
+        after[block.ends[block.ends > 0] - 1] = False
         end = np.flatnonzero(gone & ~after) + 1
         total = np.concatenate(([0], np.cumsum(gone)))
-        first, stop = np.searchsorted(begin, texts.starts), np.searchsorted(begin, texts.ends)
-        n_bytes, removed = texts.ends - texts.starts, total[texts.ends] - total[texts.starts]
+        first, stop = np.searchsorted(begin, block.starts), np.searchsorted(begin, block.ends)
+        n_bytes, removed = block.ends - block.starts, total[block.ends] - total[block.starts]
         kept, spans, digest = [], [], []
-        for a, e, i, j in zip(texts.starts.tolist(), texts.ends.tolist(), first.tolist(), stop.tolist()):
-            part = texts.data[a:e]
+        for a, e, i, j in zip(block.starts.tolist(), block.ends.tolist(), first.tolist(), stop.tolist()):
+            part = block.data[a:e]
             part = (part[~gone[a:e]] if i < j else part).tobytes()
-            kept.append(part)
+            if texts:
+                kept.append(part.decode("utf-8", "ignore"))
             digest.append(hashlib.sha256(part).hexdigest())
             spans.append([{"start": int(begin[s]) - a, "end": int(end[s]) - a} for s in range(i, j)])
-        rows = table.take(pa.array(texts.order)).select(own)
+        rows = table.take(pa.array(block.order)).select(own)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for name, column in (
             ("n_bytes", pa.array(n_bytes, pa.int64())), ("n_removed", pa.array(removed, pa.int64())), ("n_spans", pa.array(stop - first, pa.int64())),
-            ("spans", pa.array(spans, kind)), ("kept", pa.array(kept, pa.binary())), ("kept_sha256", pa.array(digest, pa.string())),
-        ):
+            ("spans", pa.array(spans, kind)), ("kept_sha256", pa.array(digest, pa.string())), ("kept_text", pa.array(kept, pa.string())),
+        )[: 5 + texts]:
             rows = rows.append_column(name, column)
         return rows
 
     def ask(requests: DataFrame) -> DataFrame:
         return requests.groupBy("bucket").applyInArrow(lambda t: _answer(t, length, large), REQUEST)
 
-    texts = dealt.groupBy("__block")
-    one = ask(texts.applyInArrow(pass1, REQUEST))
-    two = ask(texts.cogroup(one.groupBy("__block")).applyInArrow(pass2, REQUEST))
+    grouped = dealt.groupBy("__block")
+    one = ask(grouped.applyInArrow(pass1, REQUEST))
+    two = ask(grouped.cogroup(one.groupBy("__block")).applyInArrow(pass2, REQUEST))
     both = one.unionByName(two)
-    three = ask(texts.cogroup(both.groupBy("__block")).applyInArrow(pass3, REQUEST))
+    three = ask(grouped.cogroup(both.groupBy("__block")).applyInArrow(pass3, REQUEST))
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(
-        "n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string"
+        "n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept_text string" * texts
     ).fields])
-    return texts.cogroup(both.unionByName(three).groupBy("__block")).applyInArrow(last, schema)
+    return grouped.cogroup(both.unionByName(three).groupBy("__block")).applyInArrow(last, schema)
