@@ -34,6 +34,7 @@ from .common import shuffle_partitions
 
 GRAM = 24
 CHUNK = 1 << 20
+BLOCK_BYTES = 8 << 20
 LARGEST = np.iinfo(np.int64).max
 BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 REQUEST = "__block int, bucket int, kind int, payload binary"
@@ -407,14 +408,18 @@ def repeated_passages(
     with one id are one document, so they never remove from each other. An empty table
     gives an empty table. ``docs`` must not have columns named like the added ones.
 
-    ``blocks`` (default: twice the shuffle partitions) and ``buckets`` (default: as many as
-    shuffle partitions) bound what a task holds and how many requests there are; ``large`` is the number of contexts from which a group is dealt anew.
+    ``blocks`` and ``buckets`` bound what a task holds and how many requests there are; by
+    default there is one of each for ``BLOCK_BYTES`` of text, but no more than twice the
+    shuffle partitions, and no more than these; ``large`` is the number of contexts from which a group is dealt anew.
     """
     if length < GRAM or length - GRAM > 31:
         raise ValueError(f"length must be {GRAM} to {GRAM + 31}")
     spark = docs.sparkSession
-    blocks = blocks or 2 * shuffle_partitions(spark)
-    buckets = buckets or shuffle_partitions(spark)
+    if not (blocks and buckets):
+        bytes_ = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+        least = -(-int(bytes_) // BLOCK_BYTES) or 1
+        blocks = blocks or min(least, 2 * shuffle_partitions(spark))
+        buckets = buckets or min(least, shuffle_partitions(spark))
     key = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
     dealt = docs.withColumn("__block", key)
     own = list(docs.columns)
