@@ -177,5 +177,5 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
             out = pa.array(sent.value.predict(x), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), out], [*(batch.schema.names[i] for i in keep), "score"])
 
-    schema = StructType(docs.schema.fields).add("score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add("score", DoubleType())
     return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, schema)

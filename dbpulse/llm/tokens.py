@@ -167,5 +167,5 @@ def count_tokens(docs: DataFrame, model: Unigram, text_col: str = "text", name:
             keep = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), found], [*(batch.schema.names[i] for i in keep), name])
 
-    schema = StructType(docs.schema.fields).add(name, LongType())
+    schema = StructType([*docs.schema.fields]).add(name, LongType())
     return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, schema)

@@ -96,7 +96,7 @@ class Model:
 
 
 def ftrl(
-    rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, passes: int = 5
+    rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, passes: int = 6
 ) -> Model:
     """Follow-the-regularised-leader with per-coordinate rates, in the given order of rows."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
@@ -170,5 +170,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType(docs.schema.fields).add("score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add("score", DoubleType())
     return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, schema)
