@@ -160,3 +160,52 @@ def likert(answers: DataFrame) -> DataFrame:
 def poll_rates(polls: DataFrame, by: list[str]) -> DataFrame:
     """Share of polls that held the execution, median age (Q27)."""
     return polls.groupBy(*by).agg(F.avg(F.col("found").cast("double")).alias("share"), F.expr("percentile(age, 0.5)").alias("median_age"), F.count("*").alias("polls"))
+
+
+def eval_degradation(met: DataFrame, told: DataFrame, grace_s: int) -> DataFrame:
+    """Per fingerprint: was the first finding before the rule was first met, in time, late, or missing? (Q13)
+
+    ``met(db_id, query_id, at_s)`` are windows in which the rule holds, ``told`` the findings.
+    """
+    key = ["db_id", "query_id"]
+    a, b = met.groupBy(*key).agg(F.min("at_s").alias("met_s")), told.groupBy(*key).agg(F.min("at_s").alias("told_s"))
+    state = (
+        F.when(F.col("met_s").isNull(), "not met").when(F.col("told_s").isNull(), "missed").when(F.col("told_s") < F.col("met_s"), "before")
+        .when(F.col("told_s") <= F.col("met_s") + grace_s, "in time").otherwise("late")
+    )
+    return a.join(b, key, "full_outer").select(*key, state.alias("outcome"))
+
+
+def eval_n1(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """Per child query: windows with an N+1, found with the right parent, with another, and stray findings (Q14)."""
+    key = ["db_id", "captured_at", "child_id"]
+    t, f = truth.select(*key, F.col("parent_id").alias("want")), found.select(*key, F.col("parent_id").alias("got"))
+    both = t.join(f, key, "full_outer")
+    return both.groupBy("child_id").agg(
+        F.count("want").alias("windows"), F.count_if(F.col("want") == F.col("got")).alias("right_parent"), F.count_if(F.col("want") != F.col("got")).alias("other_parent"), F.count_if(F.col("want").isNull()).alias("stray")
+    )
+
+
+def archive_projection(statements: DataFrame, ids: DataFrame) -> DataFrame:
+    """Counters of chosen fingerprints in archived snapshots, added up per message (Q24)."""
+    chosen = statements.join(ids, "query_id", "left_semi")
+    return chosen.groupBy("msg_id").agg(F.sum("calls").alias("calls"), F.count("*").alias("rows"))
+
+
+def plan_agreement(ops: DataFrame, executions: DataFrame, key: str) -> DataFrame:
+    """Share of plans, by source, whose operations are those of the slowest execution's plan (Q25).
+
+    ``ops(plan_id, pos, type, access, index_name)``; ``executions(plan_id, key, source, time_ms)``.
+    """
+    signature = F.to_json(F.array_sort(F.collect_list(F.struct("pos", "type", "access", "index_name"))))
+    signed = ops.groupBy("plan_id").agg(signature.alias("signature"))
+    each = executions.join(signed, "plan_id")
+    slowest = each.groupBy(key).agg(F.max_by("signature", F.struct("time_ms", "plan_id")).alias("reference"))
+    return each.join(slowest, key).groupBy("source").agg(F.avg((F.col("signature") == F.col("reference")).cast("double")).alias("agreement"), F.count("*").alias("plans"))
+
+
+def lost_conditions(raw: DataFrame, ops: DataFrame, key: list[str], kinds: list[str]) -> DataFrame:
+    """Conditions of a raw plan node that its flattened operation does not hold, by kind (Q26)."""
+    long = raw.unpivot(key, kinds, "kind", "condition").filter("condition is not null")
+    joined = long.join(ops.select(*key, "predicate"), key, "left")
+    return joined.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("predicate").contains(F.col("condition")), F.lit(False))).alias("lost"))

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import counters, findings, measures, texts, graphs, rules, readers, live  # noqa: F401
+    from . import counters, findings, measures, texts, graphs, rules, readers, live, archive  # noqa: F401

@@ -129,7 +129,7 @@ def test_issue_reopens_as_a_new_row(spark):
 
 
 def test_wilson_stays_in_bounds(spark):
-    df = spark.createDataFrame([(0, 10), (10, 10), (0, 0)], "k double, n double")
+    df = spark.createDataFrame([(0.0, 10.0), (10.0, 10.0), (0.0, 0.0)], "k double, n double")
     low, high = quality.wilson(F.col("k"), F.col("n"))
     got = [tuple(r) for r in df.select(low.alias("l"), high.alias("h")).collect()]
     assert got[0][0] == 0.0 and 0.27 < got[0][1] < 0.28
