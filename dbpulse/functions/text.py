@@ -16,7 +16,7 @@ QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 COMMENT = r"--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/"
 NUMBER = r"\b\d+(?:\.\d+)?\b"
 
-# Fixed values of the reference: rule names and their codes.
+# Rule names and their codes.
 CODES = {
     "baseline_degradation": "AP-01",
     "avoidable_full_scan": "AP-02",

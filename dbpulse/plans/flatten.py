@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the reference: node types by kind, and access methods.
+# Node types by kind, and access methods.
 SCANS = ["Seq Scan", "Index Scan", "Index Only Scan", "Bitmap Heap Scan", "Bitmap Index Scan"]
 JOINS = ["Nested Loop", "Hash Join", "Merge Join"]
 AGGREGATES = ["Aggregate", "HashAggregate", "GroupAggregate"]

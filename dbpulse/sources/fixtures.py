@@ -88,7 +88,7 @@ UNION ALL SELECT db_id, query_id, captured_at, 1, cast(floor(execution_count / 3
 define("table_stats", [], " UNION ALL ".join(
     f"SELECT 'db{i % 2}' AS db_id, 'public' AS schema_name, '{t}' AS table_name, count(*) AS live_rows FROM @{t}"
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem") for i in (0, 1)))
-# Index definitions
+# Index definitions, in a database for each user
 INDEXES = [
     ("orders", "orders_pk", "o_orderkey", True, None), ("orders", "orders_cust", "o_custkey", False, None), ("orders", "orders_cust_date", "o_custkey,o_orderdate", False, None),
     ("orders", "orders_cust_copy", "o_custkey", False, None), ("orders", "orders_open", "o_orderdate", False, "o_orderstatus = 'O'"), ("lineitem", "lineitem_pk", "l_orderkey,l_linenumber", True, None),
@@ -100,9 +100,9 @@ define("index_def", [], " UNION ALL ".join(
     f"SELECT {i} AS n, '{t}' AS table_name, '{x}' AS index_name, 'CREATE {'UNIQUE ' if u else ''}INDEX {x} ON public.{t} USING btree ({c.replace(',', ', ')}){f' WHERE ({p})'.replace(chr(39), chr(39) * 2) if p else ''}' AS index_ref"
     for i, (t, x, c, u, p) in enumerate(INDEXES)))
 define("index_catalog", ["index_def", "ev"], """
-SELECT concat('db', cast(d.d AS string)) AS db_id, 'public' AS schema_name, table_name, index_name, index_ref,
-  CASE WHEN n % 3 = 0 OR n % 4 = 0 THEN 0 ELSE (SELECT count(*) FROM ev) % (n + 7) END AS index_scans, 8192 * (n + 1) AS index_size_bytes
-FROM index_def CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1) d""")
+SELECT concat('db', cast(d.user_id AS string)) AS db_id, 'public' AS schema_name, table_name, index_name, index_ref,
+  CASE WHEN n % 3 = 0 OR n % 4 = 0 THEN 0 ELSE d.c % (n + 7) END AS index_scans, 8192 * (n + 1) AS index_size_bytes
+FROM index_def CROSS JOIN (SELECT user_id, count(*) AS c FROM ev GROUP BY user_id) d""")
 # Foreign keys, one composite
 FKS = [
     ("fk_nation_region", "nation", "n_regionkey", "region", "r_regionkey", 1), ("fk_customer_nation", "customer", "c_nationkey", "nation", "n_nationkey", 1), ("fk_supplier_nation", "supplier", "s_nationkey", "nation", "n_nationkey", 1),
