@@ -136,7 +136,8 @@ class Block:
             room = np.minimum(room, to - np.arange(at, to))
             found.append(at + _points_of(self.data[at:to], room, length))
             at += CHUNK
-        self.points = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        points = np.sort(np.concatenate(found), kind="stable") if found else np.zeros(0, np.int64)  # sorted but for the seams
+        self.points = points[np.concatenate(([True], points[1:] != points[:-1]))] if len(points) else points
         self.text_of = np.searchsorted(self.ends, self.points, side="right")
         self.doc = self.ids[self.text_of]
         padded = np.concatenate((np.zeros(self.reach, np.uint8), self.data, np.zeros(length, np.uint8)))

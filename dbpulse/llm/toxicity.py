@@ -46,6 +46,11 @@ def _powers(n: int) -> np.ndarray:
 _POWER = _powers(4096)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def slots(text: bytes, bits: int = BITS) -> np.ndarray:
     """The distinct slots of one text (sorted); works through long texts in pieces."""
     out: list[np.ndarray] = []
@@ -76,8 +81,8 @@ def slots(text: bytes, bits: int = BITS) -> np.ndarray:
             pair = _mix(chain[:-1] * np.uint64(3) + chain[1:] * np.uint64(5) + np.uint64(1)) if len(chain) > 1 else chain[:0]
             skip = _mix(chain[:-2] * np.uint64(7) + chain[2:] * np.uint64(11) + np.uint64(2)) if len(chain) > 2 else chain[:0]
         tail = chain[-2:]
-        out.append(np.unique(np.concatenate((word, start, pair, skip)) >> shift))
-    return np.unique(np.concatenate(out)).astype(np.int64) if out else np.zeros(0, np.int64)
+        out.append(_distinct(np.concatenate((word, start, pair, skip)) >> shift))
+    return _distinct(np.concatenate(out)).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
 @dataclass
