@@ -34,7 +34,7 @@ from .common import shuffle_partitions
 
 GRAM = 24
 CHUNK = 1 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 LARGEST = np.iinfo(np.int64).max
 BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 REQUEST = "__block int, bucket int, kind int, payload binary"
@@ -156,7 +156,8 @@ class Block:
         around = self.around[at] if len(at) else np.zeros((0, GRAM + 2 * self.reach), np.uint8)
         place = np.arange(around.shape[1])
         inside = (place >= (self.reach - left)[:, None]) & (place < (self.reach + GRAM + right)[:, None])
-        return around * inside, left, right
+        np.multiply(around, inside, out=around)
+        return around, left, right
 
 
 def _context_hash(around: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -410,8 +411,8 @@ def repeated_passages(
     gives an empty table. ``docs`` must not have columns named like the added ones.
 
     ``blocks`` and ``buckets`` bound what a task holds and how many requests there are; by
-    default there is one of each for ``BLOCK_BYTES`` of text, but no more than twice the
-    shuffle partitions, and no more than these; ``large`` is the number of contexts from which a group is dealt anew.
+    default there is one of each for ``BLOCK_BYTES`` of text, but no more blocks than four
+    times the shuffle partitions, and no more buckets than twice these; ``large`` is the number of contexts from which a group is dealt anew.
     """
     if length < GRAM or length - GRAM > 31:
         raise ValueError(f"length must be {GRAM} to {GRAM + 31}")
@@ -419,8 +420,8 @@ def repeated_passages(
     if not (blocks and buckets):
         bytes_ = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
         least = -(-int(bytes_) // BLOCK_BYTES) or 1
-        blocks = blocks or min(least, 2 * shuffle_partitions(spark))
-        buckets = buckets or min(least, shuffle_partitions(spark))
+        blocks = blocks or min(least, 4 * shuffle_partitions(spark))
+        buckets = buckets or min(least, 2 * shuffle_partitions(spark))
     key = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
     dealt = docs.withColumn("__block", key)
     own = list(docs.columns)
