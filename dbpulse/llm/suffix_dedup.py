@@ -85,8 +85,8 @@ def _slide(values: np.ndarray, width: int, least: bool) -> np.ndarray:
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * BASE).astype(np.uint32)
 
 
-def _points_of(data: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
-    """Synchronising points of one chunk; ``room`` is each place's distance to its text's end."""
+def _points_of(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Synchronising points of one chunk; ``ends`` are where texts end in it."""
     if len(data) < length:
         return np.zeros(0, np.int64)
     power, roll, span = np.uint32(0x01000193), _BYTE[data], 1
@@ -109,7 +109,8 @@ def _points_of(data: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
         roll = (roll ^ (roll >> np.uint32(15))) | np.uint32(1)
     windows = length - GRAM + 1
     least = _slide(roll, windows, True)
-    least[room[: len(least)] < length] = 0
+    over = (ends[:, None] - np.arange(1, length)).ravel()  # windows from here would cross an end
+    least[over[(over >= 0) & (over < len(least))]] = 0
     pad = np.zeros(windows - 1, np.uint32)
     return np.flatnonzero(_slide(np.concatenate((pad, least, pad)), windows, False) == roll)
 
@@ -130,11 +131,8 @@ class Block:
         found, at, total = [], 0, len(self.data)
         while at < total:
             to = min(total, at + CHUNK + length - 1)
-            first, last = np.searchsorted(self.ends, [at, to - 1], side="right")
-            spans = np.diff(np.concatenate(([at], self.ends[first:last], [to])))
-            room = np.repeat(np.concatenate((self.ends[first:last], [self.ends[last]])), spans) - np.arange(at, to)
-            room = np.minimum(room, to - np.arange(at, to))
-            found.append(at + _points_of(self.data[at:to], room, length))
+            first, last = np.searchsorted(self.ends, [at, to], side="right")
+            found.append(at + _points_of(self.data[at:to], self.ends[first:last] - at, length))
             at += CHUNK
         points = np.sort(np.concatenate(found), kind="stable") if found else np.zeros(0, np.int64)  # sorted but for the seams
         self.points = points[np.concatenate(([True], points[1:] != points[:-1]))] if len(points) else points
@@ -142,7 +140,8 @@ class Block:
         self.doc = self.ids[self.text_of]
         padded = np.concatenate((np.zeros(self.reach, np.uint8), self.data, np.zeros(length, np.uint8)))
         self.around = np.lib.stride_tricks.sliding_window_view(padded, GRAM + 2 * self.reach) if len(self.data) else padded
-        gram = np.ascontiguousarray(self.around[self.points][:, self.reach : self.reach + GRAM]) if len(self.points) else np.zeros((0, GRAM), np.uint8)
+        grams = np.lib.stride_tricks.sliding_window_view(padded, GRAM)
+        gram = grams[self.points + self.reach]
         key = np.zeros(len(gram), np.uint64)
         for lane in range(GRAM // 8):
             key = _mix((key + BASE) ^ np.ascontiguousarray(gram[:, 8 * lane : 8 * lane + 8]).view("<u8").ravel())
