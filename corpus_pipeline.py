@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dbpulse.llm import decontaminate, mixing, simhash, suffix_dedup, toxicity
+from dbpulse.llm import decontaminate, mixing, near_copies, suffix_dedup, toxicity
 from dbpulse.llm.common import held_out, shared_folder, table
 from dbpulse.llm.queries import BLOCK_CHARS, WEIGHTS
 
@@ -28,8 +28,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one of smallest id."""
-    return simhash.keep_one_per_group(docs, shingle=4, distance=4)
+    """One document of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more): the one of smallest id."""
+    return near_copies.keep_one_per_group(docs, shingle=5, similarity=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

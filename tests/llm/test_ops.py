@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dbpulse.llm import chat, components, decontaminate, embedding_dedup, mixing, quality, queries, simhash, suffix_dedup, tokens, toxicity, url_filter
+from dbpulse.llm import chat, components, decontaminate, embedding_dedup, mixing, near_copies, quality, queries, simhash, suffix_dedup, tokens, toxicity, url_filter
 from tests.compare import SF, same
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -110,6 +110,42 @@ def test_simhash_awkward_rows(spark):
     assert simhash.simhash_groups(rows.limit(0)).count() == 0
 
 
+def near_texts(r):
+    """Groups of texts whose copies have some words changed, one group much larger than the rest."""
+    out = []
+    for group, size in enumerate([60] + [6] * 12):
+        base = words(90, 900 + group).split()
+        for _ in range(size):
+            own = list(base)
+            for at in r.sample(range(90), r.randrange(6)):
+                own[at] = f"w{r.random()}"
+            out.append(" ".join(own))
+    return out + ["two words", "Two  WORDS", "", None]
+
+
+def test_pipeline_near_copies_are_brute_force_at_0_8(spark):
+    import corpus_pipeline
+
+    texts = near_texts(random.Random(8))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if (w := (t or "").lower().split()) else {()} for t in texts]
+    up = list(range(len(texts)))
+    at = lambda i: i if up[i] == i else at(up[i])
+    likes = []
+    for i in range(len(texts)):
+        for j in range(i):
+            like = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            likes.append(like)
+            if like >= 0.8:
+                a, b = at(i), at(j)
+                up[max(a, b)] = min(a, b)
+    assert all(any(low <= x < low + 0.05 for x in likes) for low in (0.7, 0.75, 0.8, 0.85, 0.9))
+    table = docs(spark, list(enumerate(texts)))
+    groups = {r.doc_id: r.group_id for r in near_copies.near_groups(table).collect()}
+    assert groups == {i: at(i) for i in range(len(texts))}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, "").collect()} == {i for i in up if at(i) == i}
+    assert corpus_pipeline.drop_near_copies(spark, table.limit(0), "").count() == 0
+
+
 # ---- 2 URL filter -------------------------------------------------------------------
 
 
