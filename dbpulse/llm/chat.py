@@ -1,101 +1,125 @@
 """Chat formatting by prefix-target expansion, in SQL functions only.
 
-Every assistant turn becomes an example of its own: all turns before it are context, only
-its own text is trained on. A conversation's turns are written once, as segments with
-their character offsets; an example names the segment it ends with, so its text is the
-conversation's stream up to ``example_end`` and its loss mask is ``[loss_start,
-loss_end)``. Prefixes are shared, not copied: n turns take n rows, not n squared
-characters. ``example_texts`` spells the examples out for a reader that wants whole strings.
-
-Template of a turn: ``### role: text</turn>`` and a line break. In roles and texts each of
-the characters ``\\``, ``#`` and ``<`` (in roles also ``:``) gets a backslash before it, so
-neither marker can occur inside them and ``unescape`` gives back the exact text.
+Every assistant turn becomes an example of its own: all turns before it are its context,
+and only its own text is trained on. An example is the formatted text from the first turn
+through that reply, with the loss mask ``[loss_start, loss_end)`` in characters. Turns after
+the last reply are in no example's context; where there are such turns, one more row holds
+the whole conversation with an empty mask, so the output holds every turn.
+
+A conversation's turns are gathered once, sorted, and its examples are made one at a time
+from that array: a task holds one conversation and one example, never all its examples.
+
+Template of a turn: ``### role: text</turn>`` and a line break. In roles and texts a
+backslash is written ``\\b``, ``#`` is ``\\h`` and ``<`` is ``\\l`` (in roles also ``:`` is
+``\\c``). So neither marker can occur inside them, a reader may split at the markers, and
+``unescape`` gives back the exact text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 TRAINED_ROLE = "assistant"
+#: the backslash comes first when escaping and last when reading back
+CODES = [("\\", "\\b"), ("#", "\\h"), ("<", "\\l"), (":", "\\c")]
+
+
+def _replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
+    return reduce(lambda t, step: F.replace(t, F.lit(step[0]), F.lit(step[1])), steps, text)
 
 
-def escape(text: Column, also: str = "") -> Column:
-    return F.regexp_replace(text, rf"([\\#<{also}])", r"\\$1")
+def escape(text: Column, role: bool = False) -> Column:
+    return _replaced(text, CODES if role else CODES[:3])
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return _replaced(text, [(code, char) for char, code in reversed(CODES)])
 
 
-def format_turns(conversations: DataFrame) -> DataFrame:
-    """``(conv_id, turn_no, segment, text_start, start, loss_start, loss_end, example_end)``, a row per turn.
+def expand(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, turn_no, text, loss_start, loss_end)``, a row per assistant turn and one for what follows the last.
 
-    ``segment`` is the formatted turn, ``text_start`` where its text begins in it, ``start``
-    its offset in the conversation's stream; the last three are null but for assistant turns, each of which ends one example.
-    Turns are ordered by ``turn`` (nulls first), then role and text, so repeated turns
-    have a fixed order. Null roles and texts count as empty, rows of a null conv_id form
-    one conversation. Other columns are ignored; an empty table gives an empty table.
+    ``turn_no`` (from 1) is the turn the row ends with. Turns are ordered by ``turn`` (nulls
+    first), then role and text, so repeated turns have a fixed order and each counts. Null
+    roles and texts count as empty; rows of a null conv_id form one conversation. A row whose
+    mask is empty with ``loss_start`` and ``loss_end`` null trains nothing. Other columns,
+    whatever their names, are ignored; an empty table gives an empty table.
+
+    An example is a string, so Spark's limit of 2 GB for a row is also the limit of a
+    conversation; one that is longer fails rather than being cut.
     """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    head = F.concat(F.lit(OPEN), escape(F.col("role"), ":"), F.lit(MIDDLE))
-    rows = turns.select(
-        "conv_id", "turn", "role", "text", F.length(head).alias("head"), F.concat(head, escape(F.col("text")), F.lit(CLOSE)).alias("segment")
+        F.struct(
+            F.col("turn").cast("long").alias("turn"),
+            F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        ).alias("t"),
     )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    placed = rows.withColumn("turn_no", F.row_number().over(order)).withColumn(
-        "start", F.sum(F.length("segment")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("segment")
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    head = lambda t: F.concat(F.lit(OPEN), escape(t["role"], role=True), F.lit(MIDDLE))
+    formatted = whole.select(
+        "conv_id",
+        F.transform("turns", lambda t: F.concat(head(t), escape(t["text"]), F.lit(CLOSE))).alias("segments"),
+        F.transform("turns", lambda t: F.length(head(t))).alias("heads"),
+        F.filter(
+            F.transform("turns", lambda t, i: F.when((t["role"] == TRAINED_ROLE) | (i == F.size("turns") - 1), F.struct((i + 1).alias("turn_no"), (t["role"] == TRAINED_ROLE).alias("trained")))),
+            lambda e: e.isNotNull(),
+        ).alias("ends"),
     )
-    trained = F.col("role") == TRAINED_ROLE
-    end = F.col("start") + F.length("segment")
-    return placed.select(
-        "conv_id", "turn_no", "segment", F.col("head").alias("text_start"), "start",
-        F.when(trained, F.col("start") + F.col("head")).alias("loss_start"),
-        F.when(trained, end - len(CLOSE)).alias("loss_end"),
-        F.when(trained, end).alias("example_end"),
+    last = formatted.select("conv_id", "segments", "heads", F.inline("ends")).select(
+        "conv_id", "turn_no", "trained",
+        F.array_join(F.slice("segments", F.lit(1), F.col("turn_no")), "").alias("text"),
+        F.length(F.element_at("segments", F.col("turn_no"))).alias("own"), F.element_at("heads", F.col("turn_no")).alias("head"),
+    )
+    end = F.length("text")
+    return last.select(
+        "conv_id", "turn_no", "text",
+        F.when(F.col("trained"), end - F.col("own") + F.col("head")).alias("loss_start"),
+        F.when(F.col("trained"), end - len(CLOSE)).alias("loss_end"),
     )
 
 
-def streams(segments: DataFrame) -> DataFrame:
-    """``(conv_id, stream)``: the whole formatted conversation, segments in order."""
-    parts = F.array_sort(F.collect_list(F.struct("turn_no", "segment")))
-    return segments.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["segment"]), "").alias("stream"))
+def read_turns(text: Column) -> Column:
+    """The turns of a formatted text as structs ``(role, text)``, read back from the markers alone."""
+    pieces = F.split(text, CLOSE)
+    turns = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    role_end = lambda p: F.instr(p, MIDDLE)
+    return F.transform(
+        turns,
+        lambda p: F.struct(
+            unescape(F.substring(p, F.lit(len(OPEN) + 1), role_end(p) - len(OPEN) - 1)).alias("role"),
+            unescape(F.substring(p, role_end(p) + len(MIDDLE), F.length(p))).alias("text"),
+        ),
+    )
 
 
-def example_texts(segments: DataFrame) -> DataFrame:
-    """``(conv_id, turn_no, text, loss_start, loss_end)``: every example as one string.
+def digests(examples: DataFrame) -> DataFrame:
+    """Conversations and trained text read back from the expanded rows, one row per conversation.
 
-    This copies each prefix, so it is for readers of a few conversations or of short ones.
+    The turns come from each conversation's longest row, which holds them all; the trained
+    text is what lies under the masks of its rows, in order. ``formatted_chars`` counts the
+    characters of all rows. Digests are of joined texts, so a conversation is one row here.
     """
-    ends = segments.filter("example_end is not null").select("conv_id", "turn_no", "loss_start", "loss_end", "example_end")
-    whole = streams(segments)
-    return ends.join(whole, ends["conv_id"].eqNullSafe(whole["conv_id"])).select(
-        ends["conv_id"], "turn_no", F.expr("substring(stream, 1, int(example_end))").alias("text"), "loss_start", "loss_end"
-    )
-
-
-def digests(segments: DataFrame) -> DataFrame:
-    """Read conversations and trained text back from formatted segments, one row per conversation."""
-    role = unescape(F.expr(f"substring(segment, {len(OPEN) + 1}, text_start - {len(OPEN) + len(MIDDLE)})"))
-    text = unescape(F.expr(f"substring(segment, text_start + 1, length(segment) - text_start - {len(CLOSE)})"))
-    masked = unescape(F.expr("substring(segment, int(loss_start - start) + 1, int(loss_end - loss_start))"))
-    read = segments.select("conv_id", "turn_no", F.length("segment").alias("n"), F.concat(role, F.lit("\n"), text, F.lit("\n")).alias("said"), masked.alias("loss"))
-    grouped = read.groupBy("conv_id").agg(
-        F.count("*").alias("n_turns"),
-        F.array_sort(F.collect_list(F.struct("turn_no", "said", "loss"))).alias("turns"),
-        F.sum("n").alias("formatted_chars"),
+    masked = unescape(F.substring("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
+    grouped = examples.select("conv_id", "turn_no", "text", masked.alias("loss")).groupBy("conv_id").agg(
+        F.max_by("text", "turn_no").alias("whole"),
+        F.array_sort(F.collect_list(F.struct("turn_no", "loss"))).alias("losses"),
+        F.sum(F.length("text").cast("long")).alias("formatted_chars"),
     )
-    joined = lambda field: F.array_join(F.transform("turns", lambda t: F.coalesce(t[field], F.lit(""))), "")
-    return grouped.select("conv_id", "n_turns", joined("said").alias("said"), joined("loss").alias("loss"), "formatted_chars").select(
+    read = grouped.select(
+        "conv_id", read_turns(F.col("whole")).alias("turns"), "formatted_chars",
+        F.array_join(F.transform("losses", lambda x: F.coalesce(x["loss"], F.lit(""))), "").alias("loss"),
+    )
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
         "conv_id",
-        "n_turns",
-        F.sha2(F.encode("said", "UTF-8"), 256).alias("turns_sha256"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"),
         "formatted_chars",

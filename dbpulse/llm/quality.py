@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from .common import set_aside
 from .toxicity import sampled_labels
 
 SAMPLE_ROWS = 12_000
@@ -152,11 +153,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
     """``docs(doc_id, text)`` and ``labels(doc_id, label)`` -> trees, from at most ``sample_rows`` labelled rows.
 
-    Without any row, or with one class only, the score is that class's share everywhere
-    (0.5 without rows). Null texts count as empty.
+    Rows that repeat an id count once, by the least of their statistics. Without any row,
+    or with one class only, the score is that class's share everywhere (0.5 without rows).
+    Null texts count as empty; other columns are ignored.
     """
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sampled_labels(labels, sample_rows)), "doc_id")
-    got = sorted((r[0], r[1], r[2]) for r in chosen.mapInArrow(_features, "doc_id long, x binary, label int").collect())
+    found = chosen.select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, x binary, label int")
+    got = sorted(tuple(r) for r in found.groupBy("doc_id").agg(F.min("x").alias("x"), F.max("label").alias("label")).collect())
     y = np.array([r[2] for r in got], np.float64)
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
@@ -166,15 +169,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
 
 
 def score(docs: DataFrame, trees: Trees) -> DataFrame:
-    """``docs`` with a column ``score`` in [0, 1] for every row, null and empty texts too."""
-    sent = docs.sparkSession.sparkContext.broadcast(trees)  # a fixed number of small trees
+    """``docs`` with a column ``score`` in [0, 1] for every row, null and empty texts too.
+
+    Repeated rows come back as often, with all their columns; a column of that name is
+    called ``score_given`` in the result.
+    """
+    docs = set_aside(docs, "score", "__text")
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(vars(trees).values()))  # a fixed number of small trees, as plain arrays
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = Trees(*sent.value)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("__text"))
             x = np.array([statistics((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in texts]).reshape(len(texts), len(FEATURES))
             keep = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
-            out = pa.array(sent.value.predict(x), pa.float64())
+            out = pa.array(walk.predict(x), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), out], [*(batch.schema.names[i] for i in keep), "score"])
 
     schema = StructType([*docs.schema.fields]).add("score", DoubleType())

@@ -5,19 +5,26 @@ first, and only as far as they stay together with a suffix of another document:
 
 * A suffix enters at a synchronising point: the places where the hash of ``GRAM`` bytes is
   the least of some window of ``length`` bytes. Equal windows hold equal points at equal
-  offsets, so sorting the points sorts every window and about one byte in fourteen is moved.
-* pass 1 buckets the points by the first digit, the hash of their ``GRAM`` bytes; buckets
-  that hold one document are finished;
-* pass 2 buckets what is left by the whole context, all windows around the point; points
-  whose context also stands in a smaller document are finished;
-* pass 3 buckets, within the remaining mixed groups, window by window. Groups too large
-  for one task are dealt by the windows' own hashes, so each becomes many small ones.
-
-Equal groups after the last pass are exactly the repeated windows. Documents are dealt
-once to blocks by id; each pass sends a block's distinct digits to the digit's bucket and
-gets back a few bits for each. A digit occurs at most once in a block, so a group has as
-many members as there are blocks however often a passage repeats. All digits are compared
-as hashes of 96 bits or more.
+  offsets, so sorting the windows of each point sorts every window, and about one byte in
+  fourteen is moved.
+* pass 1 takes the gram at the point as first digit and buckets by it; grams that one
+  document alone has are finished.
+* pass 2 folds copies: points whose whole context, all windows around the point, also
+  stands in a smaller document are finished.
+* pass 3 sorts what is left: the windows of a gram at one offset are ordered by their next
+  eight bytes, then the next, most significant first, through ``length`` bytes. After each
+  digit only groups that hold two documents go on. Equal groups after the last digit are
+  exactly the repeated windows.
+
+Grams with more than ``large`` points are too many for one task: their contexts are folded
+in buckets by context, and their windows are dealt, whole, by the hash of all their bytes,
+so that each becomes many small groups of equal windows.
+
+Documents are dealt once to blocks by id; each pass sends a block's distinct digits to the
+digit's bucket and gets back a few bits for each. A digit occurs at most once in a block, so
+a group has at most as many members as there are blocks, however often a passage repeats.
+Grams, contexts and the windows of frequent grams are compared as hashes of 96 bits or more
+together, all other windows byte by byte.
 """
 
 from __future__ import annotations
@@ -30,13 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions
+from .common import aside_names, set_aside, shuffle_partitions
 
 GRAM = 24
 CHUNK = 1 << 20
 BLOCK_BYTES = 4 << 20
 LARGEST = np.iinfo(np.int64).max
 BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+ADDED = ("n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept_text", "__block")
 REQUEST = "__block int, bucket int, kind int, payload binary"
 
 
@@ -245,18 +253,23 @@ class _Passes:
         start = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         self.digit = key[start]
         ends = np.concatenate((start[1:], [len(key)])) - 1 if len(start) else start
-        self.several = doc[start] != doc[ends] if len(start) else np.zeros(0, bool)
+        several = doc[start] != doc[ends] if len(start) else np.zeros(0, bool)
+        points = ends - start + 1
+        # one bit for several documents, and how many points there are as a power of two
+        self.held = (several | (np.ceil(np.log2(np.maximum(points, 1))).astype(np.int64) << 1)).astype(np.uint8)
         self.parts1 = list(_slices(_bucket(self.digit, buckets)))
 
     def request1(self):
-        return [(b, 1, _payload(e - a, _planes(self.digit[a:e], 6), self.several[a:e].astype(np.uint8).tobytes())) for b, a, e in self.parts1]
+        return [(b, 1, _payload(e - a, _planes(self.digit[a:e], 6), self.held[a:e].tobytes())) for b, a, e in self.parts1]
 
     def after1(self, got):
-        shared = np.zeros(len(self.digit), bool)
+        shared, frequent = np.zeros(len(self.digit), bool), np.zeros(len(self.digit), bool)
         for b, a, e in self.parts1:
-            shared[a:e] = np.unpackbits(got[b, 1], count=e - a).astype(bool)
+            bits = np.unpackbits(got[b, 1]).astype(bool)
+            shared[a:e], frequent[a:e] = bits[: e - a], bits[len(bits) // 2 :][: e - a]
         block = self.block
-        self.alive = np.flatnonzero(shared[np.searchsorted(self.digit, block.key)]) if len(self.digit) else np.zeros(0, np.int64)
+        where = np.searchsorted(self.digit, block.key)
+        self.alive = np.flatnonzero(shared[where]) if len(self.digit) else np.zeros(0, np.int64)
         around, left, right = block.contexts(self.alive)
         key, doc, context = block.key[self.alive], block.doc[self.alive], _context_hash(around, left, right)
         order, new = _runs(key, context, doc)
@@ -266,18 +279,22 @@ class _Passes:
         self.of[order] = np.repeat(np.arange(len(group)), np.diff(np.concatenate((group, [len(order)])))) if len(order) else 0
         self.key2, self.context2, self.doc2 = key[self.head], context[self.head], doc[self.head]
         self.later = doc > self.doc2[self.of]
-        self.parts2 = list(_slices(_bucket(self.key2, self.buckets)))
+        often = frequent[where[self.alive[self.head]]] if len(self.head) else np.zeros(0, bool)
+        few, many = np.flatnonzero(~often), np.flatnonzero(often)
+        many = many[np.argsort(self.context2[many], kind="stable")]
+        self.parts2 = [(2, few[a:e], b) for b, a, e in _slices(_bucket(self.key2[few], self.buckets))]
+        self.parts2 += [(5, many[a:e], b) for b, a, e in _slices(_bucket(self.context2[many] >> np.uint64(16), self.buckets))]
 
     def request2(self):
         return [
-            (b, 2, _payload(e - a, _planes(self.key2[a:e], 6), _planes(self.context2[a:e], 8), _planes(self.doc2[a:e].view(np.uint64), 8)))
-            for b, a, e in self.parts2
+            (b, kind, _payload(len(at), _planes(self.key2[at], 6), _planes(self.context2[at], 8), _planes(self.doc2[at].view(np.uint64), 8)))
+            for kind, at, b in self.parts2
         ]
 
     def after2(self, got):
         self.code = np.zeros(len(self.head), np.uint8)
-        for b, a, e in self.parts2:
-            self.code[a:e] = got[b, 2]
+        for kind, at, b in self.parts2:
+            self.code[at] = got[b, kind]
         block = self.block
         self.mixed = np.flatnonzero(self.code == 2)
         self.parts3 = list(_slices(_bucket(self.key2[self.mixed], self.buckets)))
@@ -337,6 +354,36 @@ class _Passes:
         return np.cumsum(steps)[:-1] > 0
 
 
+def _sorted_windows(key: np.ndarray, around: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For each context, which of its windows (bit = offset) also stand in a smaller document.
+
+    Most-significant-digit radix passes over eight bytes each: a pass orders the windows
+    within their groups by the next digit and drops groups that hold one document only.
+    """
+    mask = np.zeros(len(key), np.uint32)
+    rank = np.unique(key, return_inverse=True)[1]
+    for offset in range(length - GRAM + 1):
+        rows = np.flatnonzero((left >= length - GRAM - offset) & (right >= offset))
+        group = rank[rows]
+        for at in range(offset, offset + length, 8):
+            width = min(8, offset + length - at)
+            digit = np.zeros((len(rows), 8), np.uint8)
+            digit[:, :width] = around[rows, at : at + width]
+            digit = digit.view(">u8").ravel().astype(np.uint64)
+            order, new = _runs(group, digit)
+            rows, first = rows[order], np.flatnonzero(new)
+            if not len(rows):
+                break
+            size = np.diff(np.concatenate((first, [len(rows)])))
+            least, most = np.minimum.reduceat(doc[rows], first), np.maximum.reduceat(doc[rows], first)
+            go_on = np.repeat(least < most, size)
+            rows, group = rows[go_on], np.repeat(np.arange(len(first)), size)[go_on]
+        if len(rows):  # what is left is equal through the whole length
+            hit = rows[_least(doc[rows], group) < doc[rows]]
+            mask[hit] |= np.uint32(1 << offset)
+    return mask
+
+
 def _answer(table: pa.Table, length: int, large: int) -> pa.Table:
     """One bucket's replies to all blocks."""
     blocks, kinds = table.column("__block").to_numpy(), table.column("kind").to_numpy()
@@ -348,34 +395,30 @@ def _answer(table: pa.Table, length: int, large: int) -> pa.Table:
         sizes = [r.n for r in readers]
         gather = lambda f: np.concatenate([f(r) for r in readers])
         if kind == 1:
-            key, several = gather(lambda r: r.planes(6)), gather(lambda r: r.take(1))
+            key, held = gather(lambda r: r.planes(6)), gather(lambda r: r.take(1))
             order, new = _runs(key)
             first = np.flatnonzero(new)
             count = np.diff(np.concatenate((first, [len(key)])))
-            shared = (count > 1) | (np.maximum.reduceat(several[order], first) > 0)
-            result = np.empty(len(key), np.uint8)
-            result[order] = np.repeat(shared, count)
-        elif kind == 2:
+            shared = (count > 1) | (np.maximum.reduceat(held[order] & 1, first) > 0)
+            frequent = np.add.reduceat(np.left_shift(1, (held[order] >> 1).astype(np.int64)), first) > large
+            result = np.empty((len(key), 2), np.uint8)
+            result[order] = np.repeat(np.stack((shared, frequent), axis=1), count, axis=0)
+        elif kind in (2, 5):
             key, context = gather(lambda r: r.planes(6)), gather(lambda r: r.planes(8))
             doc = gather(lambda r: r.planes(8)).view(np.int64)
             least = _least(doc, key, context)
-            order, new = _runs(key, context)
-            # distinct contexts of each digit, for each row
-            starts = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-            contexts = np.repeat(np.add.reduceat(new.astype(np.int64), starts), np.diff(np.concatenate((starts, [len(key)]))))
-            result = np.empty(len(key), np.uint8)
-            result[order] = np.where(contexts > large, 3, np.where(contexts > 1, 2, 0))
+            result = np.full(len(key), 3, np.uint8)
+            if kind == 2:  # the whole gram is here: with one context there is nothing left to sort
+                order, new = _runs(key, context)
+                starts = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+                contexts = np.repeat(np.add.reduceat(new.astype(np.int64), starts), np.diff(np.concatenate((starts, [len(key)]))))
+                result[order] = np.where(contexts > 1, 2, 0)
             result[doc > least] = 1
         elif kind == 3:
             width = GRAM + 2 * (length - GRAM)
             parts = [(r.planes(6), r.take(width).reshape(-1, width), r.take(1), r.take(1), r.planes(8).view(np.int64)) for r in readers]
             key, around, left, right, doc = (np.concatenate(x) for x in zip(*parts))
-            mask = np.zeros(len(key), np.uint32)
-            for offset, one, two in _window_hashes(around, length):
-                ok = np.flatnonzero((left >= length - GRAM - offset) & (right >= offset))
-                hit = ok[_least(doc[ok], key[ok], one[ok], two[ok]) < doc[ok]]
-                mask[hit] |= np.uint32(1 << offset)
-            result = mask
+            result = _sorted_windows(key, np.ascontiguousarray(around), left, right, doc, length)
         else:
             one, two, doc = gather(lambda r: r.planes(8)), gather(lambda r: r.planes(8)), gather(lambda r: r.planes(8)).view(np.int64)
             result = (_least(doc, one, two) < doc).astype(np.uint8)
@@ -383,7 +426,9 @@ def _answer(table: pa.Table, length: int, large: int) -> pa.Table:
         for r, n in zip(rows, sizes):
             part = result[at : at + n]
             at += n
-            out.append((int(blocks[r]), kind, (np.packbits(part) if kind in (1, 4) else part).tobytes()))
+            if kind == 1:
+                part = np.concatenate((np.packbits(part[:, 0]), np.packbits(part[:, 1])))
+            out.append((int(blocks[r]), kind, (np.packbits(part) if kind == 4 else part).tobytes()))
     b, k, p = zip(*out)
     return pa.table({"__block": pa.array(b, pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "kind": pa.array(k, pa.int32()), "payload": pa.array(p, pa.binary())})
 
@@ -407,15 +452,19 @@ def repeated_passages(
     of which a cut leaves only some bytes is left out). Strings are judged on the input, matches never cross
     documents. A null text counts as empty; a null id as larger than all others; rows
     with one id are one document, so they never remove from each other. An empty table
-    gives an empty table. ``docs`` must not have columns named like the added ones.
+    gives an empty table. A column named like an added one is called ``<name>_given``.
 
     ``blocks`` and ``buckets`` bound what a task holds and how many requests there are; by
     default there is one of each for ``BLOCK_BYTES`` of text, but no more blocks than four
-    times the shuffle partitions, and no more buckets than twice these; ``large`` is the number of contexts from which a group is dealt anew.
+    times the shuffle partitions, and no more buckets than twice these, since there is a
+    request for each pair of them: on more data blocks grow, to 125 MB at 100 TB with 200,000
+    shuffle partitions. ``large`` is the number of points from which a gram is dealt anew.
     """
     if length < GRAM or length - GRAM > 31:
         raise ValueError(f"length must be {GRAM} to {GRAM + 31}")
     spark = docs.sparkSession
+    names = aside_names(docs.columns, ADDED)
+    docs, id_col, text_col = set_aside(docs, *ADDED), names[id_col], names[text_col]
     if not (blocks and buckets):
         bytes_ = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
         least = -(-int(bytes_) // BLOCK_BYTES) or 1
@@ -450,7 +499,7 @@ def repeated_passages(
         state.after1(got)
         state.after2(got)
         gone, block = state.covered(got), state.block
-        before = np.concatenate((gone[:0], [False], gone[:-1]))[: len(gone)]
+        before = np.concatenate(([False], gone[:-1]))[: len(gone)]
         before[block.starts[block.starts < len(gone)]] = False
         begin = np.flatnonzero(gone & ~before)
         after = np.concatenate((gone[1:], [False]))[: len(gone)]

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from .common import set_aside
+
 MARK = "▁"
 REMEMBERED = 500_000
 UNKNOWN_PENALTY = 10.0
@@ -59,7 +61,7 @@ def read_sentencepiece(path: str) -> Unigram:
 
 
 class Counter:
-    """Counts pieces of texts; made once in each executor process."""
+    """Counts pieces of texts; made once in each task."""
 
     def __init__(self, model: Unigram):
         self.model, self.unknown = model, model.unknown
@@ -155,12 +157,15 @@ def count_tokens(docs: DataFrame, model: Unigram, text_col: str = "text", name:
     """``docs`` with a column of the number of tokens of every whole text.
 
     The text is not normalised but for the word marks (one before it, one for each space).
-    Null and empty texts have 0 tokens. Other columns and repeated rows stay as they are.
+    Null and empty texts have 0 tokens. Other columns and repeated rows stay as they are; a
+    column called ``name`` is ``<name>_given`` in the result. An empty table gives an empty one.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary file's size
+    docs = set_aside(docs, name, "__text")
+    # the vocabulary file's size, as a plain dictionary: executors need no copy of this package
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(sent.value)
+        counter = Counter(Unigram(*sent.value))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("__text"))
             found = pa.array(np.array([counter.count(t.as_py()) for t in texts], np.int64))

@@ -17,15 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage, set_aside
+
 BITS = 20
 PREFIX = 4
 SAMPLE_ROWS = 8_000
+SAMPLE_SLOTS = 32_000_000
 WORDS_AT_ONCE = 1 << 17
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_SPACES = [bytes([b]) for b in (0x20, *range(0x09, 0x0E))]
 _SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SPACE[[s[0] for s in _SPACES]] = True
 #: bytes that never count as part of a word when they stand at its edge or inside it
 _MARK = np.zeros(256, bool)
 _MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
@@ -51,6 +55,16 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
+def _cut(text: bytes, at: int, to: int) -> int:
+    """Where the piece from ``at`` ends: after its last white space before ``to``, else after the next one, so that no word is cut."""
+    if to >= len(text):
+        return len(text)
+    last = max(text.rfind(s, at, to) for s in _SPACES)
+    if last >= 0:
+        return last + 1
+    return min((k for s in _SPACES if (k := text.find(s, to)) >= 0), default=len(text) - 1) + 1
+
+
 def slots(text: bytes, bits: int = BITS) -> np.ndarray:
     """The distinct slots of one text (sorted); works through long texts in pieces."""
     out: list[np.ndarray] = []
@@ -58,10 +72,7 @@ def slots(text: bytes, bits: int = BITS) -> np.ndarray:
     tail = np.zeros(0, np.uint64)  # hashes of the two words before the piece
     at, step = 0, WORDS_AT_ONCE * 8
     while at < len(text):
-        to = min(len(text), at + step)
-        if to < len(text):  # cut at white space, so that no word is cut
-            cut = max(text.rfind(b" ", at, to), text.rfind(b"\n", at, to))
-            to = cut + 1 if cut > at else to
+        to = _cut(text, at, at + step)
         data = np.frombuffer(text, np.uint8, to - at, at)
         at = to
         solid = ~_SPACE[data]
@@ -136,11 +147,14 @@ def sampled_labels(labels: DataFrame, sample_rows: int) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = BITS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = BITS, sample_slots: int = SAMPLE_SLOTS) -> Model:
     """``docs(doc_id, text)`` and ``labels(doc_id, label)`` -> model, from a bounded sample.
 
-    Without any row, or with one class only, the model says that class's share everywhere
-    (0.5 without rows). Null texts count as empty.
+    At most ``sample_rows`` labelled documents with ``sample_slots`` slots (of 4 bytes) in
+    all go to the driver, least hash of the id first. Rows that repeat an id count once, by
+    the text of least slots. Without any row, or with one class only, the model says that
+    class's share everywhere (0.5 without rows). Null texts count as empty; an empty table
+    gives 0.5 everywhere. Other columns are ignored.
     """
     chosen = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(
         F.broadcast(sampled_labels(labels, sample_rows)), "doc_id"  # at most sample_rows small rows
@@ -152,7 +166,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bits
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["doc_id", "slots", "label"])
 
     order = lambda r: ((r[0] * 0x9E3779B97F4A7C15) % (1 << 64), r[1], r[2])
-    got = sorted(chosen.mapInArrow(features, "doc_id long, slots binary, label int").collect(), key=order)
+    found = chosen.select("doc_id", "text", "label").mapInArrow(features, "doc_id long, slots binary, label int")
+    once = cut_lineage(found.groupBy("doc_id").agg(F.min("slots").alias("slots"), F.max("label").alias("label")))
+    sizes = once.select(F.xxhash64("doc_id").alias("h"), (F.octet_length("slots") / 4).alias("n")).orderBy("h").collect()  # sample_rows pairs of numbers
+    total, last = 0, None
+    for h, n in sizes:
+        total += n
+        if total > sample_slots:
+            break
+        last = h
+    bounded = once.filter(F.xxhash64("doc_id") <= last) if last is not None else once.limit(0)
+    got = sorted(bounded.collect(), key=order)
     truth = np.array([r[2] for r in got], np.float64)
     if not len(truth) or truth.min() == truth.max():
         share = min(max(truth.mean() if len(truth) else 0.5, 1e-6), 1 - 1e-6)
@@ -161,11 +185,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bits
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``score`` in [0, 1]; a null or empty text gets the bias alone."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**bits weights
+    """``docs`` with a column ``score`` in [0, 1]; a null or empty text gets the bias alone.
+
+    Every row comes back, repeated ones as often, with all its columns; a column of that
+    name is called ``score_given`` in the result.
+    """
+    docs = set_aside(docs, "score", "__text")
+    # at most 2**bits weights, as plain arrays: executors need no copy of this package
+    sent = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias, model.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, bits, bias = sent.value.dense(), sent.value.bits, sent.value.bias
+        bias, bits = sent.value[2:]
+        weight = Model(*sent.value).dense()
         for batch in batches:
             texts = (t.as_py() or "" for t in batch.column(batch.schema.get_field_index("__text")))
             total = np.array([weight[slots(t.encode("utf-8", "surrogatepass"), bits)].sum() + bias for t in texts])
