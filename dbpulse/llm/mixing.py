@@ -18,8 +18,12 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import aside_names, set_aside
+
 OTHER = "(other)"
-RANGES = 256
+RANGE_ROWS = 20_000
+BROADCAST_ROWS = 100_000
+ADDED = ("mix_source", "block", "slot", "mix_rank", "__chars", "__order", "__range", "__run", "__rank", "__c", "__n", "__nth", "__cycle", "__slot")
 
 
 def pattern(weights: dict[str, int]) -> list[str]:
@@ -59,17 +63,24 @@ def schedule(docs: DataFrame, weights: dict[str, int], other_weight: int = 1, bl
     of its source empty. Null texts have no characters; repeated rows each take a place; an
     empty table gives an empty table.
 
-    Running totals are taken in ``RANGES`` ranges of each source and then over the ranges'
-    totals, so a source of any size is spread over tasks.
+    Running totals are taken in ranges of each source and then over the ranges' totals, so
+    a source of any size is spread over tasks: ranges are the first hex digits of the MD5,
+    as many digits as bring a range of the whole table to ``RANGE_ROWS`` rows. A column
+    named like an added one is called ``<name>_given`` in the result.
     """
+    columns = [aside_names(docs.columns, ADDED)[c] for c in docs.columns]
+    docs = set_aside(docs, *ADDED)
+    digits = 2
+    rows = docs.count()
+    while rows > RANGE_ROWS * 16**digits:
+        digits += 1
     weights = {**weights, OTHER: other_weight}
     names = pattern(weights)
     steps = [(s, i, k) for s in weights for i, k in enumerate(k for k, n in enumerate(names) if n == s)]
     chars = F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     placed = docs.withColumn("mix_source", _own(F.col("source"), weights)).withColumn("__chars", chars).withColumn("__order", order)
-    # the first two hex digits: ranges of the order
-    placed = placed.withColumn("__range", F.conv(F.substring("__order", 1, 2), 16, 10).cast("int"))
+    placed = placed.withColumn("__range", F.conv(F.substring("__order", 1, digits), 16, 10).cast("long"))
     totals = placed.groupBy("mix_source", "__range").agg(F.sum("__chars").alias("c"), F.count("*").alias("n"))
     before = Window.partitionBy("mix_source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("mix_source", "__range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"))
@@ -77,7 +88,8 @@ def schedule(docs: DataFrame, weights: dict[str, int], other_weight: int = 1, bl
     ranked = (
         placed.withColumn("__run", F.sum("__chars").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__chars"))
         .withColumn("__rank", F.row_number().over(inner))
-        .join(F.broadcast(starts), ["mix_source", "__range"])  # at most RANGES rows for each weight given
+        # a row for each weight given and range at most; else both sides are partitioned alike already
+        .join(F.broadcast(starts) if len(weights) * 16**digits <= BROADCAST_ROWS else starts, ["mix_source", "__range"])
         .withColumn("mix_rank", (F.col("__n") + F.col("__rank")).cast("long"))
         .withColumn("block", F.floor((F.col("__c") + F.col("__run")) / block_chars))
     )
@@ -87,4 +99,4 @@ def schedule(docs: DataFrame, weights: dict[str, int], other_weight: int = 1, bl
     cycle = F.floor(F.col("block") / share[F.col("mix_source")])
     joined = ranked.withColumn("__nth", nth.cast("long")).withColumn("__cycle", cycle).join(F.broadcast(table), ["mix_source", "__nth"])
     slot = (F.col("__cycle") * len(names) + F.col("__slot")).alias("slot")
-    return joined.select(*[F.col(c) for c in docs.columns], "mix_source", "block", slot, "mix_rank")
+    return joined.select(*[F.col(f"`{c}`") for c in columns], "mix_source", "block", slot, "mix_rank")

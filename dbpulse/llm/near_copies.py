@@ -1,10 +1,13 @@
-"""Near copies by exact Jaccard similarity of word shingles, for the pipeline's stage.
-
-Texts with equal shingle sets are one node. Candidates share one of ``BANDS`` keys, each of
-``ROWS`` least hash values: at a similarity of 0.8 a pair is missed with probability
-``(1 - 0.8**5) ** 32``, 3e-6, and less above it. SimHash fingerprints lie about ten bits
-apart there, with a deviation of three, which no index of bit blocks reaches. Links are only
-pairs whose exact similarity suffices. A bucket's rows are held against one pivot a
+"""Near copies by SimHash and exact Jaccard similarity of word shingles, for the pipeline's stage.
+
+Texts with equal shingle sets are one node. The nodes' SimHash fingerprints go through the
+Gray-order index of ``simhash.near_links``; pairs within ``DISTANCE`` bits are verified by
+their exact similarity. That finds close copies. At a similarity of 0.8 fingerprints lie about
+ten bits apart, with a deviation of three, which no index of bit blocks reaches without
+meeting everything, so what SimHash has not joined is completed: further candidates share
+one of ``BANDS`` keys, each of ``ROWS`` least hash values. At 0.8 a pair is missed with
+probability ``(1 - 0.8**5) ** 32``, 3e-6, and less above it. Links are only pairs whose
+exact similarity suffices. A bucket's rows are held against one pivot a
 round, and against all others only where that has left them in another group, so a bucket
 of near copies costs no square of its size. Those pairs are first bounded by bitmaps of
 the sets, which drops none that could suffice, so that few sets travel.
@@ -24,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage
 from .components import connected_components
-from .simhash import SEED
+from .simhash import SEED, majority, near_links, without
 
+DISTANCE = 4
 BANDS, ROWS = 32, 5
 FACTORS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 HASHES_AT_ONCE = 512
@@ -79,20 +83,21 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _described(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, node, n, bands)``: hash and size of the shingle set, band keys."""
+    """``(doc_id, node, n, fp, bands)``: hash, size and SimHash of the shingle set, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, bands = [], [], []
+            node, n, fp, bands = [], [], [], []
             for text in batch.column(1):
                 hashes = shingle_set(text.as_py(), shingle)
                 node.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 n.append(len(hashes))
+                fp.append(majority(hashes))
                 bands.append(band_keys(hashes))
-            columns = [batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "bands"])
+            columns = [batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fp", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, node long, n long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -121,11 +126,22 @@ def _pairs(met: DataFrame, similarity: float) -> DataFrame:
     return met.filter(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _components(places: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``(node, component)`` of linked nodes, from ``places(bucket, node, n)`` of buckets of two or more."""
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``nodes(node, fp)``: equal fingerprints, and a forest of those within ``DISTANCE`` bits."""
+    reps = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    same = nodes.join(reps, "fp").filter("node != rep").select("node", F.col("rep").alias("other"))
+    near = near_links(reps, DISTANCE).select(F.col("src").alias("node"), F.col("dst").alias("other"))
+    return cut_lineage(same.unionByName(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+
+
+def _components(places: DataFrame, sets: DataFrame, similarity: float, links: DataFrame) -> DataFrame:
+    """``(node, component)`` of linked nodes, from ``links`` and ``places(bucket, node, n)`` of buckets of two or more."""
+    def grouped_by(found: DataFrame) -> DataFrame:
+        return cut_lineage(places.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+
     sizes = cut_lineage(places.groupBy("bucket").agg(F.count("*").alias("size")))
     most = 4 * places.count()
-    links, found, grouped = None, None, places.withColumn("component", F.col("node"))
+    grouped = grouped_by(connected_components(links))
     for turn in range(PIVOT_ROUNDS):
         first = F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component")))
         pivots = grouped.groupBy("bucket").agg(first.alias("pivot")).select("bucket", "pivot.other", "pivot.other_n", "pivot.other_component")
@@ -138,10 +154,8 @@ def _components(places: DataFrame, sets: DataFrame, similarity: float) -> DataFr
                 met = strange.join(others, "bucket").filter("component != other_component")
                 pairs = _bounded(_pairs(met, similarity), sets, similarity)
                 return connected_components(links.unionByName(_links(pairs, sets, similarity)))
-        new = _links(_pairs(met, similarity), sets, similarity)
-        links = new if links is None else links.unionByName(new)
-        found = connected_components(links)
-        grouped = cut_lineage(places.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        links = links.unionByName(_links(_pairs(met, similarity), sets, similarity))
+        grouped = grouped_by(connected_components(links))
     raise AssertionError("the last round returns")
 
 
@@ -153,14 +167,16 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     """
     texts = _rows(docs, id_col, text_col).filter("doc_id is not null")
     rows = cut_lineage(_described(texts, shingle))
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands")))
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.min_by("bands", "doc_id").alias("bands")))
     dealt = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     several = dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
     places = cut_lineage(dealt.join(several, "bucket", "left_semi"))
-    wanted = cut_lineage(nodes.join(places.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id")))
+    close = _simhash_pairs(nodes.select("node", "fp"))
+    met = places.select("node").unionByName(close.select(F.col("a").alias("node"))).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    wanted = cut_lineage(nodes.join(met, "node", "left_semi").select("node", F.col("rep").alias("doc_id")))
     few = F.broadcast(wanted) if wanted.count() <= SMALL_IDS else wanted
     sets = cut_lineage(_sets(texts.join(few, "doc_id"), shingle).dropDuplicates(["node"]))
-    found = _components(places, sets, similarity)
+    found = _components(places, sets, similarity, _links(_bounded(close, sets, similarity), sets, similarity))
     named = nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("group_id"))
     return rows.join(named.join(least, "component").select("node", "group_id"), "node").select("doc_id", "group_id")
@@ -172,5 +188,4 @@ def keep_one_per_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     All columns stay. Of repeated rows with one id each stays; rows with a null id stay.
     """
     groups = near_groups(docs, shingle, similarity, id_col, text_col)
-    dropped = groups.filter("doc_id != group_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["__id"], "left_anti")
+    return without(docs, groups.filter("doc_id != group_id").select(F.col("doc_id").alias("__id")), id_col)

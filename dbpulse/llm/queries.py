@@ -169,12 +169,12 @@ def _op5_sql() -> str:
     return f"""
 WITH pattern(s, nth, slot, weight) AS (VALUES {steps}),
 d AS (
-  SELECT doc_id, CASE WHEN source IN ({listed}) THEN source ELSE '{mixing.OTHER}' END AS mix_source,
+  SELECT doc_id, text, CASE WHEN source IN ({listed}) THEN source ELSE '{mixing.OTHER}' END AS mix_source,
     coalesce(length(text), 0) AS chars, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents
 ), r AS (
   SELECT *, CAST(sum(chars) OVER ({order}) - chars AS BIGINT) AS run, row_number() OVER ({order}) AS mix_rank FROM d
 ), b AS (SELECT *, run // {BLOCK_CHARS} AS block FROM r)
-SELECT doc_id, mix_source, block, (block // weight) * {len(names)} + slot AS slot, mix_rank
+SELECT doc_id, text, mix_source, block, (block // weight) * {len(names)} + slot AS slot, mix_rank
 FROM b JOIN pattern ON s = mix_source AND nth = block % weight
 """
 
@@ -182,7 +182,7 @@ FROM b JOIN pattern ON s = mix_source AND nth = block % weight
 @query("op5_mixing", _op5_sql())
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.schedule(docs, WEIGHTS, 1, BLOCK_CHARS).select("doc_id", "mix_source", "block", "slot", "mix_rank")
+    return mixing.schedule(docs, WEIGHTS, 1, BLOCK_CHARS).select("doc_id", "text", "mix_source", "block", "slot", "mix_rank")
 
 
 def captures_of(pages: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ sorted by Gray rank, neighbours are packed into nodes that keep the bits all the
 share (a mask and a pattern), and pairs of nodes are walked from the top down: bits on
 which both nodes are settled and differ add up to a lower bound, and a pair above the
 limit is dropped with all its members. Each bucket emits a spanning forest of its links,
-never all pairs, and the forests are merged by ``connected_components``.
+never all pairs, and the forests are merged by ``connected_components``. A bucket of more
+than ``BUCKET_ROWS`` fingerprints is cut into parts, and every two parts meet in a task.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .components import connected_components
 SEED = 42
 FAN_OUT = 8
 PAIRS_AT_ONCE = 400_000
+BUCKET_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 SHINGLES_AT_ONCE = 200_000
 
 
@@ -39,6 +42,11 @@ def _ones(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The signed fingerprint of some hashes: a bit is 1 if set in over half of them."""
+    return int(np.packbits(_ones(hashes) * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """The 64-bit SimHash of one text; zero if it has no words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -168,11 +176,36 @@ def link_forest(keys: np.ndarray, codes: np.ndarray, distance: int) -> tuple[np.
     return order[moved], order[roots[moved]]
 
 
-def near_links(nodes: DataFrame, distance: int = 4, blocks: int = 6) -> DataFrame:
+def blocks_for(nodes: int, distance: int) -> int:
+    """The fewest bit blocks with which a bucket of evenly spread fingerprints holds a thousand or fewer."""
+    blocks = distance + 2
+    while nodes / 2 ** (64 * (blocks - distance) / blocks) > 1_000:
+        blocks += 1
+    return blocks
+
+
+def _split_large(dealt: DataFrame) -> DataFrame:
+    """``dealt(bucket, fp, rep)`` with large buckets cut into parts and a bucket for every two of them."""
+    large = dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS)
+    large = cut_lineage(large.select("bucket", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts")))
+    n = large.count()
+    if not n:
+        return dealt
+    marked = dealt.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, "bucket", "left")
+    part = F.pmod(F.xxhash64("fp", F.lit(SEED)), F.col("parts")).cast("int")
+    others = F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("part")))
+    each = marked.withColumn("part", part).select("bucket", "fp", "rep", "part", F.explode(others).alias("other"))
+    two = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
+    return each.select(F.when(F.col("other") < 0, F.col("bucket")).otherwise(two).alias("bucket"), "fp", "rep")
+
+
+def near_links(nodes: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """``nodes(fp, rep)`` with distinct fingerprints -> links ``(src, dst)`` between reps.
 
     The links of each bucket are a spanning forest of all its pairs at ``distance`` or less.
+    ``blocks`` is by default what the number of nodes asks for.
     """
+    blocks = blocks or blocks_for(nodes.count(), distance)
     shared = blocks - distance
     if shared < 1:
         raise ValueError("blocks must exceed distance, or links would be lost")
@@ -205,11 +238,11 @@ def near_links(nodes: DataFrame, distance: int = 4, blocks: int = 6) -> DataFram
         if kept:
             yield links(kept)
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "src long, dst long")
+    return _split_large(dealt).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "src long, dst long")
 
 
 def simhash_groups(
-    docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -238,6 +271,10 @@ def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
     All columns stay. Of repeated rows with one id each stays; rows with a null id stay.
     """
     groups = simhash_groups(docs, **options).select(F.col("doc_id").alias("__id"), "component_id")
-    dropped = groups.filter("__id != component_id").select("__id").distinct()
-    id_col = options.get("id_col", "doc_id")
-    return docs.join(dropped, docs[id_col] == dropped["__id"], "left_anti")
+    return without(docs, groups.filter("__id != component_id").select("__id"), options.get("id_col", "doc_id"))
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``ids(__id)``; these are broadcast only if at most ``BROADCAST_ROWS``."""
+    gone = cut_lineage(ids.distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs[id_col] == gone["__id"], "left_anti")

@@ -23,6 +23,7 @@ BITS = 20
 PREFIX = 4
 SAMPLE_ROWS = 8_000
 SAMPLE_SLOTS = 32_000_000
+ADDED = ("score", "__text")
 WORDS_AT_ONCE = 1 << 17
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -190,7 +191,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Every row comes back, repeated ones as often, with all its columns; a column of that
     name is called ``score_given`` in the result.
     """
-    docs = set_aside(docs, "score", "__text")
+    docs = set_aside(docs, *ADDED)
     # at most 2**bits weights, as plain arrays: executors need no copy of this package
     sent = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias, model.bits))
 

@@ -17,7 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 BROADCAST_ROWS = 100_000
+HOT_SHARE = 10_000
+SALTS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -68,22 +72,36 @@ def _keys(host: Column, path: Column) -> Column:
     return F.concat(domains, prefixes, own)
 
 
+def _lookup(keyed: DataFrame, spans: DataFrame) -> DataFrame:
+    """Join on kind and pattern by shuffling; patterns asked for by over one in ``HOT_SHARE`` of all keys, so no more than that many, are salted."""
+    asked = cut_lineage(keyed.groupBy("kind", "pattern").agg(F.count("*").alias("n")).join(spans.select("kind", "pattern").distinct(), ["kind", "pattern"], "left_semi"))
+    total = asked.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(asked.filter(F.col("n") > total / HOT_SHARE).select("kind", "pattern", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("host", "path", "fetched_at"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    left = keyed.join(hot, ["kind", "pattern"], "left").withColumn("salt", salt)
+    every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = spans.join(hot, ["kind", "pattern"], "left").select(*spans.columns, F.explode(every).alias("salt"))
+    return left.join(right, ["kind", "pattern", "salt"])
+
+
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``captures(page_id, url, fetched_at)`` -> ``(page_id, host, verdict, kind, pattern, valid_from)``, a row per capture.
 
     ``verdict`` is block, allow, or keep where no entry holds at the fetch time. A null URL
     or one without host, and a null fetch time, give keep. Repeated captures come back as
-    often. Extra columns are ignored; an empty table gives an empty table.
+    often. Extra columns, whatever their names, are ignored; an empty table gives an empty table.
 
     Each address and time is looked up once however often it was captured. The intervals
-    are sent to every executor only if they are at most ``BROADCAST_ROWS``.
+    are sent to every executor only if they are at most ``BROADCAST_ROWS``; else both sides
+    are shuffled, with salted keys for the patterns that many addresses ask for.
     """
     spans = validity(entries)
     small = spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = captures.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("fetched_at"))
     asked = rows.filter("host is not null and fetched_at is not null").select("host", "path", "fetched_at").distinct()
     keyed = asked.select("host", "path", "fetched_at", F.inline(_keys(F.col("host"), F.col("path"))))
-    held = keyed.join(F.broadcast(spans) if small else spans, ["kind", "pattern"]).filter("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
+    met = keyed.join(F.broadcast(spans), ["kind", "pattern"]) if small else _lookup(keyed, spans)
+    held = met.filter("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
     strength = F.struct(F.col("rank"), (F.col("action") == "allow").cast("int"))
     best = held.groupBy("host", "path", "fetched_at").agg(F.max_by(F.struct("action", "kind", "pattern", "valid_from"), strength).alias("b"))
     return rows.join(best, ["host", "path", "fetched_at"], "left").select(

@@ -1,7 +1,7 @@
 """The training-data operators against brute force, round trips and awkward rows."""
 
 import hashlib
-import json
+import os
 import random
 
 import numpy as np
@@ -110,6 +110,40 @@ def test_simhash_awkward_rows(spark):
     assert simhash.simhash_groups(rows.limit(0)).count() == 0
 
 
+def test_simhash_query_is_brute_force(spark):
+    """The whole registered query against plain Python over the whole table."""
+    import re
+
+    import xxhash
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    codes = []
+    for r in sorted(rows):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) if x]
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
+        codes.append(sum((sum(x >> b & 1 for x in h) * 2 > len(h)) << b for b in range(64)))
+    ids = sorted(r.doc_id for r in rows)
+    roots = brute_components(codes, 4)
+    want = [(i, f"{c:016x}", ids[k]) for i, c, k in zip(ids, codes, roots)]
+    assert sorted(tuple(r) for r in queries.op1_simhash(spark, SF).collect()) == want
+
+
+@pytest.mark.parametrize("rows", [3, 50])
+def test_large_buckets_are_cut_and_lose_no_link(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", rows)
+    r = random.Random(16)
+    base = [r.getrandbits(64) & ~0xFFFFFFFFFF for _ in range(3)]
+    codes = sorted({b ^ (sum(1 << k for k in r.sample(range(64), r.randrange(7)))) for b in base for _ in range(60)})
+    made = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c, i) for i, c in enumerate(codes)], "fp long, rep long")
+    for blocks in (None, 7):
+        got = {x.node: x.component for x in components.connected_components(simhash.near_links(made, blocks=blocks)).collect()}
+        assert [got.get(i, i) for i in range(len(codes))] == brute_components(codes, 4)
+
+
+def test_more_blocks_for_more_fingerprints():
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**6, 10**10, 10**12)] == [6, 6, 7, 8]
+
+
 def near_texts(r):
     """Groups of texts whose copies have some words changed, one group much larger than the rest."""
     out = []
@@ -161,6 +195,21 @@ def test_list_entry_holds_only_while_valid(spark):
     assert url_filter.judge(captures.limit(0), entries.limit(0)).count() == 0
 
 
+def test_large_lists_are_shuffled_with_salted_patterns(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 0)
+    for share in (1, 10_000):
+        monkeypatch.setattr(url_filter, "HOT_SHARE", share)
+        same(queries.op2_url_filter(spark, SF), queries.ORACLE_SQL["op2_url_filter"])
+
+
+def test_url_filter_clashing_columns(spark):
+    own = ["host", "path", "kind", "pattern", "rank", "verdict", "valid_from", "b", "hot", "salt"]
+    captures, entries = queries.captures_of(spark.read.parquet(f"{SF}/pages.parquet")), queries.list_of(spark.read.parquet(f"{SF}/pages.parquet"))
+    clash = lambda df: df.select("*", *[F.lit(0).alias(n) for n in own if n not in df.columns])
+    got = url_filter.judge(clash(captures), clash(entries))
+    same(got, queries.ORACLE_SQL["op2_url_filter"])
+
+
 # ---- 3 decontamination --------------------------------------------------------------
 
 
@@ -177,8 +226,30 @@ def test_short_item_in_a_long_document(spark):
     assert decontaminate.contained_items(rows, items.limit(0)).count() == 0
 
 
-def test_large_item_tables_are_joined_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", 0)
+def test_decontamination_clashes_and_stock_phrases(spark):
+    stock = words(12, 500)
+    items = [(i, " ".join((words(8, 510 + i), stock, words(8, 530 + i)))) for i in range(12)] + [(50, words(3, 560)), (51, stock)]
+    texts = [(1, items[4][1]), (2, stock), (3, " ".join((words(500, 570), items[7][1], words(500, 571)))), (4, words(30, 572) + " " + items[12][1]), (5, items[2][1][:60]), (3, words(50, 573))]
+    clash = lambda df: df.withColumn("key", F.lit("own")).withColumn("set_id", F.lit(1)).withColumn("w", F.lit(2)).withColumn("__id", F.lit(3))
+    rows, tests = clash(docs(spark, texts)), clash(spark.createDataFrame(items, "item_id long, text string"))
+
+    def five(text):
+        w = text.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    held = {}
+    for i, t in texts:
+        held.setdefault(i, set()).update(five(t))
+    want = sorted((d, i) for d, h in held.items() for i, t in items if len(h & five(t)) >= 0.8 * len(five(t)) - 1e-9)
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contained_items(rows, tests).collect()) == want
+    kept = decontaminate.drop_contaminated(rows, tests)
+    assert kept.columns == rows.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in texts if i not in {d for d, _ in want})
+
+
+@pytest.mark.parametrize("limits", [(0, 1 << 25), (200_000, 0)])
+def test_large_item_tables_are_joined_without_broadcast(spark, monkeypatch, limits):
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", limits[0])
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limits[1])
     same(queries.op3_decontamination(spark, SF), queries.ORACLE_SQL["op3_decontamination"])
 
 
@@ -224,10 +295,36 @@ def test_trees_walk_as_grown():
 
 
 def test_slots_do_not_hang_on_piece_size(monkeypatch):
-    text = words(5000, 4).encode()
-    whole = toxicity.slots(text)
-    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 50)
-    assert np.array_equal(toxicity.slots(text), whole)
+    texts = [words(5000, 4).encode().replace(b" ", space) for space in (b" ", b"\n", b"\t", b"\r\n", b"\x0b", b"\x0c  ")]
+    texts.append(b"a" * 3000 + b"\t" + b"b" * 3000 + b" c d " + b"e" * 4000)
+    whole = [toxicity.slots(t) for t in texts]
+    for n in (1, 50):
+        monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", n)
+        assert all(np.array_equal(toxicity.slots(t), w) for t, w in zip(texts, whole))
+
+
+@pytest.mark.parametrize("method", [quality, toxicity])
+def test_classifier_repeated_rows_clashes_and_empty_tables(spark, method):
+    rows = docs(spark, [(i % 20, words(40, i % 20) if i % 2 else " ".join(["idiot!!", "SCUM!!"] * 20)) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, label int")
+    assert method.fit(rows, labels).__dict__.keys() == method.fit(rows.dropDuplicates(["doc_id"]), labels).__dict__.keys()
+    twice, once = method.score(rows, method.fit(rows, labels)).collect(), method.score(rows, method.fit(rows.dropDuplicates(["doc_id"]), labels)).collect()
+    assert len(twice) == 40 and sorted((r.doc_id, r.score) for r in twice) == sorted((r.doc_id, r.score) for r in once)
+    clash = rows.withColumn("Score", F.lit("own")).withColumn("__text", F.lit("x")).withColumn("label", F.lit(3)).withColumn("slots", F.lit(4))
+    got = method.score(clash, method.fit(clash, labels))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "Score_given", "__text_given", "label", "slots", "score"]
+    assert sorted((r.doc_id, r.score) for r in got.collect()) == sorted((r.doc_id, r.score) for r in twice)
+    assert {r.Score_given for r in got.collect()} == {"own"}
+    none = rows.limit(0)
+    assert method.score(none, method.fit(none, labels)).count() == 0
+    assert {r.score for r in method.score(rows, method.fit(none, labels)).collect()} == {0.5}
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = docs(spark, [(i, words(40 + i, i)) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    assert len(toxicity.fit(rows, labels, sample_slots=2_000).index) <= 2_000
+    assert {r.score for r in toxicity.score(rows, toxicity.fit(rows, labels, sample_slots=1)).collect()} == {0.5}
 
 
 # ---- 5 mixing -----------------------------------------------------------------------
@@ -246,13 +343,14 @@ def test_pattern_stays_within_one_block():
 def test_schedule_keeps_every_row_and_the_shares(spark):
     rows = docs(spark, [(i, "x" * 100) for i in range(600)]).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") % 3 == 1, "b").when(F.col("doc_id") < 580, None).otherwise("zz")).withColumn("slot", F.lit(9))
     rows = rows.unionByName(rows.limit(1)).unionByName(docs(spark, [(None, None)]).withColumn("slot", F.lit(1)))
-    got = mixing.schedule(rows.drop("slot"), {"a": 3, "b": 1}, 2, block_chars=500).collect()
+    got = mixing.schedule(rows, {"a": 3, "b": 1}, 2, block_chars=500).collect()
     assert len(got) == 602
     order = sorted((r.slot, r.mix_rank, r.mix_source) for r in got)
     first = [s for slot, _, s in order if slot < 60]  # all three still have blocks
     assert abs(len({(r.slot) for r in got if r.slot < 60 and r.mix_source == "a"}) - 30) <= 1
     assert set(first) == {"a", "b", "(other)"}
-    assert mixing.schedule(rows.drop("slot").limit(0), {"a": 1}).count() == 0
+    assert mixing.schedule(rows.limit(0), {"a": 1}).count() == 0
+    assert {r["slot_given"] for r in got} == {1, 9}
 
 
 # ---- 6 suffixes ---------------------------------------------------------------------
@@ -288,6 +386,32 @@ def test_repeats_are_brute_force(spark, large):
     assert sorted((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in found) == brute_repeats(rows)
     assert all(sum(s.end - s.start for s in x.spans) == x.n_removed and len(x.spans) == x.n_spans for x in found)
     assert suffix_dedup.repeated_passages(docs(spark, []), blocks=2, buckets=2).count() == 0
+    clash = docs(spark, rows[:9]).select("*", *[F.lit("own").alias(n) for n in ("n_bytes", "KEPT_text", "spans", "__block")])
+    got = suffix_dedup.repeated_passages(clash, blocks=2, buckets=2, texts=True)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_bytes_given", "KEPT_text_given", "spans_given", "__block_given", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept_text"]
+    assert sorted((x["n_bytes"], x.n_removed, x.n_spans, x.kept_sha256) for x in got.collect()) == brute_repeats(rows[:9])
+    assert {x.spans_given for x in got.collect()} == {"own"}
+
+
+def test_windows_are_sorted_digit_by_digit():
+    r = np.random.default_rng(4)
+    around = r.integers(97, 99, (400, 76)).astype(np.uint8)
+    around[:, 26:50] = 97
+    around[200:, :60] = around[:200, :60]
+    key, doc = r.integers(0, 3, 400).astype(np.uint64), r.integers(0, 30, 400)
+    key[200:] = key[:200]
+    left, right = r.integers(0, 27, 400).astype(np.uint8), r.integers(0, 27, 400).astype(np.uint8)
+    got = suffix_dedup._sorted_windows(key, around, left, right, doc, 50)
+    first: dict = {}
+    inside = [(i, o) for i in range(400) for o in range(27) if left[i] >= 26 - o and right[i] >= o]
+    for i, o in inside:
+        k = (key[i], o, around[i, o : o + 50].tobytes())
+        first[k] = min(doc[i], first.get(k, doc[i]))
+    want = np.zeros(400, np.uint32)
+    for i, o in inside:
+        if first[key[i], o, around[i, o : o + 50].tobytes()] < doc[i]:
+            want[i] |= np.uint32(1 << o)
+    assert np.array_equal(got, want) and want.any()
 
 
 def test_long_text_in_pieces(spark, monkeypatch):
@@ -318,6 +442,10 @@ def test_counts_are_the_tokenizers(spark):
     exact = tokenizer(model)
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["", " ", "a  b   ", "☃☃x", "  lead", "日本語", "a\n\nb", "▁▁x ▁y", words(20_000, 40)]
     rows = docs(spark, list(enumerate(texts)) + [(None, None)]).withColumn("n", F.lit(1))
+    clash = docs(spark, [(1, "a b"), (1, "a b"), (2, None)]).withColumn("n_tokens", F.lit("own")).withColumn("__text", F.lit(1))
+    twice = tokens.count_tokens(clash, model)
+    assert twice.columns[5:] == ["n_tokens_given", "__text_given", "n_tokens"] and sorted((r.doc_id, r.n_tokens) for r in twice.collect()) == [(1, 2), (1, 2), (2, 0)]
+    assert tokens.count_tokens(clash.limit(0), model).count() == 0
     got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(rows, model).collect()}
     assert got[None] == 0
     assert [got[i] for i in range(len(texts))] == [len(exact.encode(t, add_special_tokens=False).ids) for t in texts]
@@ -365,6 +493,25 @@ def test_vectors_are_brute_force(spark, monkeypatch):
     assert embedding_dedup.vector_groups(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_size_link(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(k, [x * scale for x in v], 0) for k, scale in enumerate((1.0, 1e200, 1e-200, 1e300, 5e-310))] + [(9, [3.0, -2.0, 1.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {k: (4, 0) for k in range(5)} | {9: (0, 9)}
+
+
+def test_probes_reach_what_brute_force_finds(spark):
+    """Recall of the default probes on whole embeddings, exact with a share of 1."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    total = {share: table.sparkSession.createDataFrame(embedding_dedup.vector_groups(table, probe_share=share).collect()).agg(F.sum("n_links")).first()[0] for share in (0.5, 1.0)}
+    e = table.filter("label is not null").select("embedding", "label").toPandas()
+    x = np.array(e.embedding.tolist(), np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    same_label = e.label.to_numpy()[:, None] == e.label.to_numpy()[None]
+    want = int(((x @ x.T >= 0.98) & same_label).sum()) - len(x)
+    assert total[1.0] == want and total[0.5] >= 0.99 * want
+
+
 # ---- 10 chat ------------------------------------------------------------------------
 
 
@@ -373,8 +520,8 @@ def test_chat_round_trip_and_masks(spark):
     rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(["system", "user", "assistant", "user", "assistant", "assistant", "us:er#", "assistant"], said))]
     rows += [(2, 0, None, "x"), (2, None, "user", "first"), (None, 0, "assistant", "lost"), (1, 0, "system", "plain")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("start", F.lit(1))
-    segments = chat.format_turns(df)
-    got = {r.conv_id: r for r in chat.digests(segments).collect()}
+    expanded = chat.expand(df)
+    got = {r.conv_id: r for r in chat.digests(expanded).collect()}
 
     def sha(text):
         return hashlib.sha256(text.encode()).hexdigest()
@@ -385,14 +532,32 @@ def test_chat_round_trip_and_masks(spark):
         assert got[conv].turns_sha256 == sha("".join(f"{r}\n{x}\n" for _, r, x in own))
         loss = "".join(x for _, r, x in own if r == "assistant")
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), sha(loss))
-    stream = {r.conv_id: r.stream for r in chat.streams(segments).collect()}
-    examples = chat.example_texts(segments).collect()
-    assert len(examples) == sum(r[2] == "assistant" for r in rows)
-    for e in examples:
-        assert stream[e.conv_id].startswith(e.text) and e.text.endswith(chat.CLOSE)
-        assert e.text[e.loss_start : e.loss_end] + chat.CLOSE == e.text[e.loss_start :]
-    assert got[1].formatted_chars == len(stream[1])
-    assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
+    def escaped(x, role=False):
+        for char, code in [("\\", "\\b"), ("#", "\\h"), ("<", "\\l")] + [(":", "\\c")] * role:
+            x = x.replace(char, code)
+        return x
+
+    want = []
+    for conv in (1, 2, None):
+        own = sorted(((t if t is not None else -1, r or "", x or "") for c, t, r, x in rows if c == conv))
+        text = ""
+        for k, (_, r, x) in enumerate(own, 1):
+            text += f"### {escaped(r, True)}: {escaped(x)}</turn>\n"
+            if r == "assistant":
+                want.append((conv or -9, k, text, len(text) - 8 - len(escaped(x)), len(text) - 8))
+            elif k == len(own):
+                want.append((conv or -9, k, text, None, None))
+        assert got[conv].formatted_chars == sum(len(w[2]) for w in want if w[0] == (conv or -9))
+    assert sorted((e.conv_id or -9, *e[1:]) for e in expanded.collect()) == sorted(want)
+    assert chat.digests(chat.expand(df.limit(0))).count() == 0
+
+
+def test_chat_long_conversation(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", words(200, i) + "<" * 50) for i in range(300)] + [(2, 0, "assistant", "</turn>\n" * 40_000)]
+    got = {r.conv_id: r for r in chat.digests(chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for conv, n in ((1, 300), (2, 1)):
+        loss = "".join(x for c, _, r, x in rows if c == conv and r == "assistant")
+        assert (got[conv].n_turns, got[conv].loss_chars, got[conv].loss_sha256) == (n, len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
 # ---- queries and pipeline -----------------------------------------------------------
@@ -421,3 +586,60 @@ def test_pipeline_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, out, str(tmp_path))
         assert out.columns == [f.split()[0] for f in DOCS.split(", ")]
+
+
+def test_pipeline_awkward_tables(spark, tmp_path):
+    """Clashing columns come back from each stage, repeated rows stay repeated, an empty table passes."""
+    import corpus_pipeline
+
+    text, item = words(120, 400), words(30, 401)
+    rows = [(1, text), (1, text), (2, None), (2, None), (None, words(90, 402)), (3, text + " " + words(3, 403)), (4, words(60, 404) + " " + item), (5, text[:300] + words(80, 405))]
+    clash = ["score", "N_Bytes", "kept_text", "spans", "block", "slot", "__id", "mix_rank", "n_removed", "component_id"]
+    given = docs(spark, rows)
+    for k, name in enumerate(clash):
+        given = given.withColumn(name, F.lit(f"own {k}"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    given.write.parquet(f"{tmp_path}/full/documents.parquet")
+    out = given
+    # without labels every score is 0.5, so nothing may be rejected by the limit here
+    old, corpus_pipeline.TOXIC_FROM = corpus_pipeline.TOXIC_FROM, 0.6
+    try:
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, str(tmp_path))
+            assert out.columns == given.columns
+        last = corpus_pipeline.mix_sources(spark, out, "").collect()
+        assert sorted(r.doc_id or -1 for r in last) == [-1, 1, 1, 2, 2, 5]
+        assert {r["N_Bytes"] for r in last} == {"own 1"} and {r["block_given"] for r in last} == {"own 4"} and {r["slot_given"] for r in last} == {"own 5"}
+        empty = given.limit(0)
+        for _, stage in corpus_pipeline.STAGES:
+            empty = stage(spark, empty, str(tmp_path))
+            assert empty.count() == 0
+    finally:
+        corpus_pipeline.TOXIC_FROM = old
+
+
+def test_operators_run_where_the_package_is_not(tmp_path):
+    """Executors get functions and models by value: workers are started in another folder, without this package on their path."""
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    program = f"""
+import sys, os
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "shared").getOrCreate()
+from dbpulse.llm import queries
+def seen(batches):
+    import importlib.util
+    for batch in batches:
+        assert importlib.util.find_spec("dbpulse") is None
+        yield batch
+assert spark.range(1).mapInArrow(seen, "id long").count() == 1
+for name in ("op1_simhash", "op4_quality", "op6_suffix_dedup", "op7_toxicity", "op8_token_counts", "op9_embedding_dedup"):
+    assert queries.QUERIES[name](spark, {SF!r}).count() > 0
+"""
+    clean = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-3000:]
