@@ -7,6 +7,8 @@ so a quote inside a comment, or a comment inside a string, is not taken for what
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,15 +119,25 @@ def redact_sessions(df: DataFrame, raw: str, canonical: str) -> DataFrame:
     return df.withColumn(canonical, F.coalesce(canonical, F.lit(NOT_AVAILABLE))).drop(raw)
 
 
+MARKERS_AT_ONCE = 500
+
+
 def leak_audit(tables: dict[str, DataFrame], markers: DataFrame) -> DataFrame:
-    """Rows of each table that hold a marker in any column (N13). ``markers(marker)`` is a short list (at most 1000)."""
-    short = F.broadcast(markers.limit(1001))  # a query set of fixed size
-    out = None
+    """``(table_name, marker, n)``: how many rows of each table hold a marker in any column.
+
+    ``markers(marker)`` is a stated query set of any size: it goes over the rows in blocks of
+    about ``MARKERS_AT_ONCE`` by hash. Null and empty markers are left out.
+    """
+    known = markers.filter("marker != ''").select("marker").distinct()
+    blocks = -(-known.count() // MARKERS_AT_ONCE) or 1
+    numbered = known.withColumn("block", F.pmod(F.xxhash64("marker"), F.lit(blocks)))
+    found = []
     for name, df in tables.items():
-        rows = df.select(F.to_json(F.struct(*df.columns)).alias("row"))
-        hit = rows.join(short, F.col("row").contains(F.col("marker"))).groupBy("marker").agg(F.count("*").alias("n")).withColumn("table_name", F.lit(name))
-        out = hit if out is None else out.unionByName(hit)
-    return out
+        rows = df.select(F.concat_ws("\u001f", *[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("row"))
+        for block in range(blocks):
+            some = F.broadcast(numbered.filter(F.col("block") == block).select("marker"))
+            found.append(rows.join(some, F.col("row").contains(F.col("marker"))).groupBy("marker").agg(F.count("*").alias("n")).withColumn("table_name", F.lit(name)))
+    return reduce(DataFrame.unionByName, found)
 
 
 def index_facts(df: DataFrame, column: str = "index_ref") -> DataFrame:
@@ -183,14 +195,14 @@ def filter_columns(df: DataFrame, key: str, column: str, catalog: DataFrame) ->
         key, F.when(F.col("c").contains("."), F.lower(F.substring_index("c", ".", 1))).alias("q"), F.lower(F.substring_index("c", ".", -1)).alias("column_name")
     ).distinct()
     joined = found.join(tables, key).filter("q is null or q = alias")
-    known = joined.join(F.broadcast(catalog.select("table_name", "column_name").distinct().withColumn("has", F.lit(True))), ["table_name", "column_name"], "left")  # a column catalog
+    known = joined.join(catalog.select("table_name", "column_name").distinct().withColumn("has", F.lit(True)), ["table_name", "column_name"], "left")
     anywhere = F.max(F.coalesce("has", F.lit(False))).over(Window.partitionBy(key, "column_name"))
     return known.withColumn("any", anywhere).filter("q is not null or has or not any").select(key, "table_name", "column_name").distinct()
 
 
 def explicit_casts(leaves: DataFrame, catalog: DataFrame) -> DataFrame:
     """Marks leaves whose text or date column is compared with a number."""
-    joined = leaves.join(F.broadcast(catalog), ["table_name", "column_name"], "left")  # a column catalog
+    joined = leaves.join(catalog, ["table_name", "column_name"], "left")
     return joined.withColumn("cast", F.coalesce(F.col("data_type").isin("varchar", "char", "text", "date", "timestamp") & (F.col("value_kind") == "number"), F.lit(False)))
 
 
@@ -296,20 +308,30 @@ def severity(x: Column, high: float, medium: float | None = None) -> Column:
     return F.when(x >= high, "high").when(x >= (medium if medium is not None else high), "medium").otherwise("low")
 
 
-def strip_markers(col: Column, passes: int = 4) -> Column:
-    """Engine-internal ``<marker>(...)`` wrappers and sub-plan references become NULL."""
+def _inside_out(col: Column, step) -> Column:
+    """Apply ``step`` to the innermost parentheses, then to those around them, as often as there are any.
+
+    Parentheses that are done are set aside as control characters and come back at the end,
+    so nesting of any depth is met from the inside.
+    """
+    depth = F.length(col) - F.length(F.replace(col, F.lit("("), F.lit("")))
+    inner = lambda text, _: F.regexp_replace(step(text), r"(?<!<[a-z_]{1,60}>)\(([^()]*)\)", "\u0001$1\u0002")
+    done = F.when(depth > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), col, inner)).otherwise(col)
+    return F.translate(done, "\u0001\u0002", "()")
+
+
+def strip_markers(col: Column) -> Column:
+    """Engine-internal ``<marker>(...)`` wrappers of any depth and sub-plan references become NULL."""
     out = F.regexp_replace(col, r"\((?:SubPlan|InitPlan) \d+\)|\b(?:SubPlan|InitPlan) \d+", "NULL")
-    for _ in range(passes):
-        out = F.regexp_replace(out, r"<[a-z_]+>\([^()]*\)", "NULL")
-    return out
+    return _inside_out(out, lambda text: F.regexp_replace(text, r"<[a-z_]+>\([^()]*\)", "NULL"))
 
 
 def clean_my_predicate(col: Column) -> Column:
-    """Schema qualifiers, back quotes and optimizer markers go; literals become numbered (N33). Null if markers nest."""
+    """Schema qualifiers, back quotes and optimizer markers go; literals become numbered (N33). Null where an unknown marker stays."""
     out = F.regexp_replace(col, "`", "")
     out = F.regexp_replace(out, r"\b\w+\.(\w+\.\w+)", "$1")
-    out = F.regexp_replace(out, r"<(?:cache|if|is_not_null_test)>\(([^()]*)\)", "$1")
-    out = F.regexp_replace(out, r"<not>\(([^()]*)\)", "NOT ($1)")
+    bare = lambda text: F.regexp_replace(text, r"<(?:cache|if|is_not_null_test)>\(([^()]*)\)", "$1")
+    out = _inside_out(out, lambda text: F.regexp_replace(bare(text), r"<not>\(([^()]*)\)", "NOT \u0001$1\u0002"))
     out = F.regexp_replace(out, r"(?i)\bcast\(([\w.]+) as date\)", "date($1)")
     numbered = _pieces(out, rf"{STRING}|(?<![\w$.])-?{NUMBER}", lambda m, n: F.when(m.startswith("'"), F.concat(F.lit("'$"), n.cast("string"), F.lit("'"))).otherwise(F.concat(F.lit("$"), n.cast("string"))))
     return F.when(numbered.rlike(r"<\w+>"), None).otherwise(numbered)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import written
+
 SEVERITIES = ["high", "medium", "low"]
 
 
@@ -30,6 +32,25 @@ def baseline_degradation(
     )
 
 
+def _order(*last) -> list:
+    return [F.coalesce("impact_ms", F.lit(0)).desc(), severity_rank(), F.col("rule").asc_nulls_last(), "finding_key", *last]
+
+
 def prioritize(findings: DataFrame) -> DataFrame:
     """A total order: impact (null counts 0, stays null), severity, rule (nulls last), key."""
-    return findings.orderBy(F.coalesce("impact_ms", F.lit(0)).desc(), severity_rank(), F.col("rule").asc_nulls_last(), "finding_key")
+    return findings.orderBy(*_order())
+
+
+def places(findings: DataFrame, *last) -> DataFrame:
+    """Every finding with its ``place`` (from 1) in that order, ties by ``last``.
+
+    Findings are sorted in ranges, numbered within each, and each range starts where the one
+    before it ends; only the ranges' sizes, one row for each, go to all tasks.
+    """
+    within = 1 << 33  # what the numbering leaves for the rows of one range
+    numbered = written(findings.orderBy(*_order(*last)).withColumn("__id", F.monotonically_increasing_id()))
+    numbered = numbered.withColumn("__range", F.floor(F.col("__id") / within)).withColumn("__nth", F.col("__id") % within)
+    sizes = numbered.groupBy("__range").agg(F.count("*").alias("n"))
+    starts = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    placed = numbered.join(F.broadcast(starts), "__range").withColumn("place", F.col("__start") + F.col("__nth") + 1)
+    return placed.drop("__id", "__range", "__nth", "__start")

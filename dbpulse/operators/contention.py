@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import written
+
 
 def wait_edges(sessions: DataFrame) -> DataFrame:
     """``(db_id, waiter, blocker)`` from ``sessions(db_id, process_id, blocking_pids)``, without self edges."""
@@ -18,23 +20,24 @@ def wait_roots(edges: DataFrame) -> DataFrame:
     return blockers.join(edges.select("db_id", F.col("waiter").alias("root")).distinct(), ["db_id", "root"], "left_anti")
 
 
-def blocked_under(edges: DataFrame, depth: int = 50) -> DataFrame:
+def blocked_under(edges: DataFrame) -> DataFrame:
     """``(db_id, root, member, depth)``: all sessions under each root; depth is the least.
 
-    A recursive query; a session never comes twice on one path, so wait cycles end.
+    Jumps of doubling length: after k rounds each session knows whom it reaches in 2**k
+    waits, or its roots within them. Chains of any length take as many rounds as their
+    length has binary digits; sessions in wait cycles have no root and end with the last round.
     """
-    spark = edges.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE r (db_id, root, member, depth, path) AS (
-          SELECT e.db_id, e.blocker, e.waiter, 1, array(e.blocker, e.waiter) FROM {edges} e JOIN {roots} t ON e.db_id = t.db_id AND e.blocker = t.root
-          UNION ALL
-          SELECT r.db_id, r.root, e.waiter, r.depth + 1, array_append(r.path, e.waiter) FROM r JOIN {edges} e ON e.db_id = r.db_id AND e.blocker = r.member
-          WHERE NOT array_contains(r.path, e.waiter) AND r.depth < """ + str(depth) + """)
-        SELECT db_id, root, member, min(depth) AS depth FROM r GROUP BY db_id, root, member
-        """,
-        edges=edges, roots=wait_roots(edges),
-    )
+    root = wait_roots(edges).select("db_id", F.col("root").alias("over"), F.lit(True).alias("is_root"))
+    jumps = edges.select("db_id", F.col("waiter").alias("member"), F.col("blocker").alias("over")).distinct()
+    jumps = written(jumps.join(root, ["db_id", "over"], "left").select("db_id", "member", "over", F.coalesce("is_root", F.lit(False)).alias("is_root"), F.lit(1).cast("long").alias("depth")))
+    most = jumps.select("db_id", "member").distinct().groupBy("db_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    steps = 1
+    while steps < most and not jumps.filter("not is_root").isEmpty():
+        far = jumps.select("db_id", F.col("member").alias("over"), F.col("over").alias("o"), F.col("is_root").alias("r"), F.col("depth").alias("d"))
+        on = jumps.filter("not is_root").join(far, ["db_id", "over"]).select("db_id", "member", F.col("o").alias("over"), F.col("r").alias("is_root"), (F.col("depth") + F.col("d")).alias("depth"))
+        jumps = written(jumps.filter("is_root").unionByName(on).groupBy("db_id", "member", "over", "is_root").agg(F.min("depth").alias("depth")))
+        steps *= 2
+    return jumps.filter("is_root").select("db_id", F.col("over").alias("root"), "member", "depth")
 
 
 def long_tx_cascade(roots: DataFrame, age_s: int = 30, wait_s: int = 5, blocked: int = 2, gap_s: int = 60, high_s: int = 120) -> DataFrame:
@@ -59,14 +62,57 @@ def cascade_tables(locks: DataFrame) -> DataFrame:
     return locks.groupBy("db_id", "root").agg(waits.alias("w"), holds.alias("h")).select("db_id", "root", F.when(F.size("w") > 0, F.col("w")).otherwise(F.col("h")).alias("tables"))
 
 
-def cycle_flags(trx: DataFrame) -> DataFrame:
-    """Per report: is it a cycle (complete, two or more, all waiting for a member), are targets and holds known (G06, G07)?"""
-    members = trx.groupBy("report_id").agg(F.collect_set("process_id").alias("members"))
-    joined = trx.join(members, "report_id")
-    return joined.groupBy("report_id").agg(
-        (F.bool_and("complete") & (F.count("*") >= 2) & F.bool_and(F.coalesce(F.array_contains("members", F.col("blocked_by")), F.lit(False)))).alias("is_cycle"),
-        F.bool_and(F.col("waits_for").isNotNull()).alias("targets_known"), F.bool_and("holds_known").alias("holds_known"),
-    )
+# Lock scopes of the space between rows, and those that hold off an insert into it.
+GAPS, GAP_HOLDS = ["gap", "insert_intention"], ["gap", "row+gap"]
+PATTERNS = ["CT-01", "CT-02", "CT-03", "CT-04", "CT"]
+
+
+def reports_of(trx: DataFrame, locks: DataFrame) -> DataFrame:
+    """One row per report: its transactions and their locks as arrays, in one shuffle.
+
+    ``trx(report_id, process_id, complete, blocked_by, holds_known, rows_locked, undo_entries,
+    scan)``, where ``scan`` is the statement of ``amplifying_statements`` or null; ``locks(
+    report_id, process_id, role, target, mode, scope)``, a row per target held or awaited.
+    A report is one text of bounded size, so its transactions fit a row.
+    """
+    ratio = F.col("rows_locked") / F.greatest(F.coalesce(F.col("undo_entries"), F.lit(0)), F.lit(1))
+    scan = F.col("scan") if "scan" in trx.columns else F.lit(None).cast("struct<columns:array<string>,led:boolean>")
+    one = F.struct("process_id", "complete", "blocked_by", "holds_known", ratio.alias("ratio"), scan.alias("scan"))
+    lock = F.struct("process_id", "role", "target", "mode", "scope")
+    both = trx.select("report_id", one.alias("t"), F.lit(None).alias("l")).unionByName(locks.select("report_id", F.lit(None).alias("t"), lock.alias("l")))
+    return both.groupBy("report_id").agg(F.collect_list("t").alias("members"), F.collect_list("l").alias("locks"))
+
+
+def _waits(member):
+    return F.filter("locks", lambda w: (w["role"] == "wait") & (w["process_id"] == member["process_id"]))
+
+
+def _held(member_id, target, kind):
+    return F.exists("locks", lambda h: (h["role"] == "hold") & (h["process_id"] == member_id) & (h["target"] == target) & F.coalesce(kind(h), F.lit(False)))
+
+
+def _blocker_holds(member, wait, kind):
+    """Does the member that blocks this one keep, in that way, what it waits for?"""
+    return _held(member["blocked_by"], wait["target"], kind)
+
+
+def _on_row(lock, mode):
+    return (lock["mode"] == mode) & ~F.coalesce(lock["scope"].isin(*GAPS), F.lit(False))
+
+
+def _asks_exclusive(wait):
+    return (wait["mode"].isNull() | (wait["mode"] == "X")) & ~F.coalesce(wait["scope"].isin(*GAPS), F.lit(False))
+
+
+def cycle_flags(reports: DataFrame) -> DataFrame:
+    """Adds: is it a cycle (complete, two or more, all waiting for a member), are targets and holds known (G06, G07)?"""
+    ids = F.transform("members", lambda m: m["process_id"])
+    waiting = F.forall("members", lambda m: (F.size(_waits(m)) > 0) & F.coalesce(F.array_contains(ids, m["blocked_by"]), F.lit(False)))
+    known = F.forall("members", lambda m: (F.size(_waits(m)) > 0) & F.forall(_waits(m), lambda w: w["target"].isNotNull()))
+    return reports.withColumns({
+        "is_cycle": F.forall("members", lambda m: F.coalesce(m["complete"], F.lit(False))) & (F.size("members") >= 2) & waiting,
+        "targets_known": known, "holds_known": F.forall("members", lambda m: F.coalesce(m["holds_known"], F.lit(False))),
+    })
 
 
 def holder_match(locks: DataFrame, modes: list[str], scopes: list[str] | None = None) -> DataFrame:
@@ -79,39 +125,123 @@ def holder_match(locks: DataFrame, modes: list[str], scopes: list[str] | None =
     return waits.join(held, ["report_id", "target"]).filter("holder != process_id").select("report_id", "process_id").distinct()
 
 
-def amplification(trx: DataFrame, ratio: float = 10) -> DataFrame:
-    """Per report: does a transaction lock ``ratio`` times the rows it changed (G12)? And the greatest ratio."""
-    r = F.col("rows_locked") / F.greatest(F.col("undo_entries"), F.lit(1))
-    return trx.groupBy("report_id").agg(F.bool_or(F.coalesce(r >= ratio, F.lit(False))).alias("amplified"), F.max(r).alias("ratio"))
+def amplification(reports: DataFrame, ratio: float = 10) -> DataFrame:
+    """Adds: does a transaction lock ``ratio`` times the rows it changed (G12)? And the greatest ratio, null where none is known."""
+    most = F.array_max(F.transform("members", lambda m: m["ratio"]))
+    return reports.withColumn("ratio", most).withColumn("amplified", F.coalesce(most >= ratio, F.lit(False)))
+
+
+def inconsistent_order(flags: DataFrame) -> DataFrame:
+    """CT-01 (G09): all ask exclusively for different rows, and where holds are known the blocker holds the row exclusively."""
+    targets = F.flatten(F.transform("members", lambda m: F.array_distinct(F.transform(_waits(m), lambda w: w["target"]))))
+    disjoint = F.size(targets) == F.size(F.array_distinct(targets))
+    asks = F.forall("members", lambda m: F.forall(_waits(m), _asks_exclusive))
+    kept = F.forall("members", lambda m: F.exists(_waits(m), lambda w: _blocker_holds(m, w, lambda h: _on_row(h, "X"))))
+    return flags.withColumn("ct01", F.col("is_cycle") & F.col("targets_known") & asks & disjoint & ~F.col("amplified") & (~F.col("holds_known") | kept))
+
+
+def mode_conversion(flags: DataFrame) -> DataFrame:
+    """CT-02 (G10): all ask exclusively for a row that they and their blocker hold shared; holds unknown: all ask for one row."""
+    asks = F.forall("members", lambda m: F.forall(_waits(m), _asks_exclusive))
+    own = lambda m: F.exists(_waits(m), lambda w: _held(m["process_id"], w["target"], lambda h: _on_row(h, "S")))
+    blocker = lambda m: F.exists(_waits(m), lambda w: _blocker_holds(m, w, lambda h: _on_row(h, "S")))
+    first = F.transform(_waits(F.col("members")[0]), lambda w: w["target"])
+    common = F.exists(first, lambda t: F.forall("members", lambda m: F.exists(_waits(m), lambda w: w["target"] == t)))
+    converts = F.when(F.col("holds_known"), F.forall("members", lambda m: own(m) & blocker(m))).otherwise(common)
+    return flags.withColumn("ct02", F.col("is_cycle") & F.col("targets_known") & asks & ~F.col("amplified") & converts)
+
+
+def range_contention(flags: DataFrame) -> DataFrame:
+    """CT-03 (G11): someone waits to insert where its blocker holds the gap; ``gaps`` lists the places.
+
+    A gap is named by the record that closes it; heap number 1 is the end of the index.
+    """
+    gap = lambda h: h["scope"].isin(*GAP_HOLDS)
+    blocked = F.filter("locks", lambda w: (w["role"] == "wait") & (w["scope"] == "insert_intention") & F.exists("members", lambda m: (m["process_id"] == w["process_id"]) & _blocker_holds(m, w, gap)))
+    place = lambda w: F.struct(w["target"].alias("record"), F.when(F.element_at(F.split(w["target"], ":"), -1) == "1", "end_of_index").otherwise("before_record").alias("position"))
+    found = flags.withColumn("gaps", F.array_sort(F.array_distinct(F.transform(blocked, place))))
+    is_range = F.col("is_cycle") & F.col("targets_known") & F.col("holds_known") & ~F.col("amplified") & (F.size("gaps") > 0)
+    return found.withColumn("ct03", is_range).withColumn("gaps", F.when(F.col("ct03"), F.col("gaps")).otherwise(F.slice("gaps", F.lit(1), F.lit(0))))
+
+
+def amplifying_statements(trx: DataFrame, leads: DataFrame) -> DataFrame:
+    """Adds ``scan(columns, led)`` to transactions with an UPDATE or DELETE of one table that filters by bare columns.
+
+    ``trx`` has db_id, schema_name and canonic_query; ``leads(db_id, schema_name, table_name,
+    column_name)`` are first columns of indexes. ``led``: an index of that table begins with
+    one of the columns, or it is not known which table of that name is meant.
+    """
+    query = F.regexp_replace("canonic_query", r"\s+", " ")
+    one = query.rlike(r"(?i)^(UPDATE|DELETE FROM) [\w.]+ ") & ~query.rlike(r"(?i)\b(JOIN|USING|SELECT)\b") & ~query.rlike(r"(?i)^UPDATE [\w.]+ (AS )?\w* ?,")
+    clause = F.regexp_extract(query, r"(?i) WHERE (.*)$", 1)
+    names = F.regexp_extract_all(clause, F.lit(r"(?i)(?:^|\bAND\b|\bOR\b|\()\s*\(*([a-z_]\w*)\s*(?:<=|>=|=|<(?!>)|>|\bIN\b|\bBETWEEN\b|\bIS NULL\b)"), F.lit(1))
+    columns = F.array_sort(F.array_distinct(F.transform(names, F.lower)))
+    named = trx.withColumn("__columns", F.when(one, columns)).withColumn("__table", F.lower(F.element_at(F.split(F.regexp_extract(query, r"(?i)^(?:UPDATE|DELETE FROM) ([\w.]+)", 1), r"\."), -1)))
+    by_table = leads.groupBy("db_id", F.col("table_name").alias("__table")).agg(F.collect_set(F.struct("schema_name", "column_name")).alias("__leads"))
+    joined = named.join(by_table, ["db_id", "__table"], "left")
+    all_leads = F.coalesce("__leads", F.array().cast("array<struct<schema_name:string,column_name:string>>"))
+    same = F.filter(all_leads, lambda x: x["schema_name"].eqNullSafe(F.col("schema_name")))
+    loose = F.filter(all_leads, lambda x: x["schema_name"].isNull() | F.col("schema_name").isNull())
+    ambiguous = (F.size(same) == 0) & (F.size(F.array_distinct(F.transform(loose, lambda x: x["schema_name"]))) > 1)
+    meant = F.when(F.size(same) > 0, same).otherwise(loose)
+    led = ambiguous | F.arrays_overlap("__columns", F.transform(meant, lambda x: x["column_name"]))
+    scan = F.when(F.size("__columns") > 0, F.struct(F.col("__columns").alias("columns"), F.coalesce(led, F.lit(False)).alias("led")))
+    return joined.withColumn("scan", scan).drop("__columns", "__table", "__leads")
+
+
+def lock_amplification(flags: DataFrame, ratio: float = 10) -> DataFrame:
+    """CT-04 (G13): of the amplified transactions with such a statement, the one of the greatest ratio filters by columns that lead no index.
+
+    ``index_columns`` are the columns an index should have.
+    """
+    scanning = F.filter("members", lambda m: F.coalesce(m["ratio"] >= ratio, F.lit(False)) & m["scan"].isNotNull())
+    most = F.array_max(F.transform(scanning, lambda m: F.struct(m["ratio"].alias("ratio"), (-m["process_id"]).alias("p"), m["scan"]["columns"].alias("columns"), m["scan"]["led"].alias("led"))))
+    found = flags.withColumn("__most", most).withColumn("ct04", F.col("is_cycle") & F.col("amplified") & F.coalesce(~F.col("__most.led"), F.lit(False)))
+    return found.withColumn("index_columns", F.when(F.col("ct04"), F.array_join("__most.columns", ", "))).drop("__most")
+
+
+def unclassified(flags: DataFrame) -> DataFrame:
+    """A cycle of which it is not known what was waited for."""
+    return flags.withColumn("open", F.col("is_cycle") & ~F.col("targets_known"))
 
 
 def pattern_flags(trx: DataFrame, locks: DataFrame, ratio: float = 10) -> DataFrame:
-    """Per report the flags that CT-01 to CT-04 are made of."""
-    waits = locks.filter("role = 'wait'")
-    w = waits.groupBy("report_id").agg(
-        F.bool_and(F.col("mode").isin("X", "IX")).alias("exclusive"), (F.countDistinct("target") == F.count("*")).alias("disjoint"), (F.countDistinct("target") == 1).alias("common"),
-        F.bool_or(F.col("scope") == "insert_intention").alias("inserts"), F.count("*").alias("n_waits"),
-    )
-    n = lambda df, name: df.groupBy("report_id").agg(F.count("*").alias(name))
-    base = cycle_flags(trx).join(amplification(trx, ratio), "report_id").join(w, "report_id")
-    for name, got in (("by_x", holder_match(locks, ["X", "IX"])), ("by_s", holder_match(locks, ["S", "IS"])), ("by_gap", holder_match(locks, ["X", "S"], ["gap", "row+gap", "insert_intention"]))):
-        base = base.join(n(got, name), "report_id", "left").na.fill(0, [name])
-    rows = base.withColumn("ct01", F.expr("is_cycle and targets_known and exclusive and disjoint and not amplified and (not holds_known or by_x = n_waits)"))
-    rows = rows.withColumn("ct02", F.expr("is_cycle and exclusive and not amplified and case when holds_known then by_s > 0 else common end"))
-    rows = rows.withColumn("ct03", F.expr("is_cycle and targets_known and holds_known and inserts and by_gap > 0"))
-    return rows.withColumn("ct04", F.expr("is_cycle and amplified")).withColumn("open", F.col("is_cycle") & ~F.col("targets_known"))
+    """Per report the flags of CT-01 to CT-04 and of unclassified cycles."""
+    flags = amplification(cycle_flags(reports_of(trx, locks)), ratio)
+    return unclassified(lock_amplification(range_contention(mode_conversion(inconsistent_order(flags))), ratio))
 
 
 def classify_deadlocks(flags: DataFrame) -> DataFrame:
-    """The first pattern in fixed order, else unclassified for cycles without targets, else none."""
-    rule = F.when(F.col("ct03"), "CT-03").when(F.col("ct04"), "CT-04").when(F.col("ct02"), "CT-02").when(F.col("ct01"), "CT-01").when(F.col("open"), "CT")
+    """The first pattern in the order CT-01 to CT-04, else unclassified for cycles without targets, else none."""
+    rule = F.coalesce(*[F.when(F.col(flag), code) for flag, code in zip(("ct01", "ct02", "ct03", "ct04", "open"), PATTERNS)])
     return flags.withColumn("rule", rule)
 
 
 def dedup_deadlocks(reports: DataFrame, within_s: int = 2) -> DataFrame:
-    """Reports of one victim at most ``within_s`` after the one before are the same deadlock; the first stays."""
-    w = Window.partitionBy("db_id", "victim_pid").orderBy("at_s", "report_id")
-    return reports.withColumn("gap", F.col("at_s") - F.lag("at_s").over(w)).filter(F.col("gap").isNull() | (F.col("gap") > within_s)).drop("gap")
+    """Reports that come again are the same deadlock; the first stays.
+
+    ``reports(db_id, report_id, victim_pid, at_us, complete, source)``, times in microseconds.
+    Complete reports of one victim at one time are the same. InnoDB's time may come without
+    its fraction, so its reports are also the same as one that stayed at most ``within_s``
+    before if either time is in whole seconds. An incomplete report is the same as any other
+    of its time. Reports of one victim are folded in stretches without a gap over ``within_s``.
+    """
+    second = 1_000_000
+    rest = [c for c in reports.columns if c not in ("db_id", "at_us", "victim_pid")]
+    first = lambda df, key: df.groupBy(*key).agg(F.min_by(F.struct(*[c for c in reports.columns if c not in key]), "report_id").alias("r")).select(*key, "r.*")
+    exact = first(reports.filter("complete"), ["db_id", "victim_pid", "at_us"])
+    w = Window.partitionBy("db_id", "victim_pid").orderBy("at_us")
+    apart = F.coalesce((F.col("at_us") - F.lag("at_us").over(w) > within_s * second).cast("int"), F.lit(0))
+    runs = exact.withColumn("__apart", apart).withColumn("__run", F.sum("__apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    stretch = runs.groupBy("db_id", "victim_pid", "__run").agg(F.array_sort(F.collect_list(F.struct("at_us", *rest))).alias("all"))
+    same = lambda kept, x: (
+        (x["source"] == "innodb_status") & F.col("victim_pid").isNotNull()
+        & F.exists(kept, lambda k: (x["at_us"] - k["at_us"] <= within_s * second) & ((k["at_us"] % second == 0) | (x["at_us"] % second == 0)))
+    )
+    fold = F.aggregate("all", F.slice("all", 1, 0), lambda kept, x: F.when(F.coalesce(same(kept, x), F.lit(False)), kept).otherwise(F.array_append(kept, x)))
+    kept = stretch.select("db_id", "victim_pid", F.inline(fold))
+    bare = first(reports.filter("not coalesce(complete, false)"), ["db_id", "at_us"]).join(exact.select("db_id", "at_us").distinct(), ["db_id", "at_us"], "left_anti")
+    return kept.select(reports.columns).unionByName(bare.select(reports.columns))
 
 
 def recurrence(events: DataFrame, days: int = 7, high: int = 3) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
@@ -56,41 +56,52 @@ def throughput_overhead(pairs: DataFrame) -> DataFrame:
     return pairs.agg((100 * (F.sum("base_n") - F.sum("treated_n")) / F.sum("base_n")).alias("drop_percent"))
 
 
-def pair_blocks(samples: DataFrame) -> DataFrame:
-    """Per pair: successful samples and summed latency of both sides; incomplete pairs go."""
+def pair_blocks(samples: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Per pair, in each experiment of ``by``: successful samples and summed latency of both sides; incomplete pairs go."""
     side = lambda s, v: F.sum(F.when(F.col("side") == s, v))
-    sums = samples.filter("ok").groupBy("pair").agg(
+    sums = samples.filter("ok").groupBy(*(by or []), "pair").agg(
         side(0, F.lit(1)).alias("base_n"), side(1, F.lit(1)).alias("treated_n"), side(0, F.col("latency")).alias("base_t"), side(1, F.col("latency")).alias("treated_t")
     )
     return sums.dropna(subset=["base_n", "treated_n"])
 
 
-def bootstrap_ci(pairs: DataFrame, rounds: int = 200, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Interval of the mean latency ratio over resampled whole pairs.
+ROUNDS = 2000
+
+
+def bootstrap_ci(pairs: DataFrame, by: list[str], rounds: int = ROUNDS, low: float = 0.025, high: float = 0.975, least: float = 0.9) -> DataFrame:
+    """Interval of each experiment's mean latency ratio over resampled whole pairs.
 
     Draw d of round r takes pair number md5(r/d) mod n, so the resampling is the same
-    everywhere. ``pairs`` is a few rows per experiment; rounds and draws are generated in Spark.
+    everywhere. Experiments (``by``) of fewer than two pairs have no rounds and no row; the
+    interval is null if fewer than ``least`` of the rounds give a ratio.
     """
     spark = pairs.sparkSession
-    numbered = pairs.select("base_t", "base_n", "treated_t", "treated_n", (F.row_number().over(_by_pair()) - 1).alias("i"))
-    n = pairs.agg(F.count("*").alias("n"))
-    draws = spark.range(rounds).select(F.col("id").alias("round")).crossJoin(F.broadcast(n)).filter("n >= 2").withColumn("draw", F.explode(F.expr("sequence(0L, n - 1)")))  # one row
+    order = Window.partitionBy(*by).orderBy("pair")
+    numbered = pairs.select(*by, "base_t", "base_n", "treated_t", "treated_n", (F.row_number().over(order) - 1).alias("i"))
+    sizes = pairs.groupBy(*by).agg(F.count("*").alias("n")).filter("n >= 2")
+    draws = sizes.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("draw", F.explode(F.expr("sequence(0L, n - 1)")))
     picked = draws.withColumn("i", (F.conv(F.substring(F.md5(F.concat_ws("/", "round", "draw").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n")).cast("int"))
-    ratio = (F.sum("treated_t") / F.sum("treated_n")) / (F.sum("base_t") / F.sum("base_n")) - 1
-    each = picked.join(numbered, "i").groupBy("round").agg(ratio.cast("double").alias("x"))
-    return each.agg(percentile("x", low).alias("low"), percentile("x", high).alias("high"), F.count("x").alias("rounds"))
-
+    ratio = (F.sum("treated_t") / F.sum("treated_n")) / F.nullif(F.sum("base_t") / F.sum("base_n"), F.lit(0.0)) - 1
+    each = picked.join(numbered, [*by, "i"]).groupBy(*by, "round").agg(ratio.cast("double").alias("x"))
+    enough = F.count("x") >= least * rounds
+    return each.groupBy(*by).agg(F.when(enough, percentile("x", low)).alias("low"), F.when(enough, percentile("x", high)).alias("high"), F.count("x").alias("rounds"))
 
-def _by_pair():
-    from pyspark.sql import Window
 
-    return Window.orderBy("pair")  # a few pairs per experiment
+def arm_points(pairs: DataFrame, by: list[str], least_n: int = 30) -> DataFrame:
+    """Each experiment's ratio over all its pairs, and whether every side has ``least_n`` samples."""
+    ratio = (F.sum("treated_t") / F.sum("treated_n")) / F.nullif(F.sum("base_t") / F.sum("base_n"), F.lit(0.0)) - 1
+    return pairs.groupBy(*by).agg(ratio.cast("double").alias("point"), (F.least(F.min("base_n"), F.min("treated_n")) >= least_n).alias("enough"))
 
 
 def arm_verdict(arms: DataFrame, limit: float = 0.05) -> DataFrame:
-    """pass, fail, inconclusive or no data from an interval and a limit."""
-    verdict = F.when(F.col("low").isNull() | F.col("high").isNull(), "no data").when(F.col("high") < limit, "pass").when(F.col("low") >= limit, "fail").otherwise("inconclusive")
-    return arms.withColumn("verdict", verdict)
+    """pass, fail, inconclusive or no data from an interval and a limit.
+
+    ``noise_ok``: an interval of equal arms lies within the limit on both sides; ``detected``:
+    a positive control would have failed. Both are null without an interval.
+    """
+    unknown = ~F.col("enough") | F.col("point").isNull() | F.col("low").isNull() | F.col("high").isNull()
+    verdict = F.when(unknown, "no data").when(F.col("high") < limit, "pass").when(F.col("low") >= limit, "fail").otherwise("inconclusive")
+    return arms.withColumn("verdict", verdict).withColumn("noise_ok", (F.col("low") > -limit) & (F.col("high") < limit)).withColumn("detected", F.col("low") >= limit)
 
 
 def cycle_summary(cycles: DataFrame, by: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import written
+
 Z = 1.959963984540054
 
 
@@ -105,16 +107,24 @@ def quality_summary(rows: DataFrame) -> DataFrame:
 
 
 def match_once(left: DataFrame, right: DataFrame, within: int) -> DataFrame:
-    """Pairs of ``left(key, l_id, l_s)`` and ``right(key, r_id, r_s)`` at most ``within`` seconds apart that are
-    each other's nearest (ties by id): each row is used once (Q16).
+    """One-to-one pairs of ``left(key, l_id, l_s)`` and ``right(key, r_id, r_s)`` at most ``within`` seconds apart (Q16).
 
+    The nearest pair goes first (ties by ids), then the nearest of the rows still free, until
+    no two free rows are near: rows that are each other's nearest pair off in rounds, which
+    gives the same pairs. ``key`` names what must be equal, the victim too where it is known.
     Time slots of ``within`` seconds make the band join an equality join on three slots.
     """
     a = left.withColumn("slot", F.explode(F.expr(f"transform(sequence(-1, 1), d -> cast(floor(l_s / {within}) as bigint) + d)")))
     b = right.withColumn("slot", F.floor(F.col("r_s") / within).cast("long"))
     near = a.join(b, ["key", "slot"]).withColumn("gap", F.abs(F.col("l_s") - F.col("r_s"))).filter(F.col("gap") <= within)
-    ranked = near.withColumn("l_rank", F.row_number().over(Window.partitionBy("l_id").orderBy("gap", "r_id"))).withColumn("r_rank", F.row_number().over(Window.partitionBy("r_id").orderBy("gap", "l_id")))
-    return ranked.filter("l_rank = 1 and r_rank = 1").select("l_id", "r_id", "gap")
+    free = written(near.select("key", "l_id", "r_id", "gap"))
+    out = free.limit(0)
+    while not free.isEmpty():
+        ranked = free.withColumn("l_rank", F.row_number().over(Window.partitionBy("key", "l_id").orderBy("gap", "r_id"))).withColumn("r_rank", F.row_number().over(Window.partitionBy("key", "r_id").orderBy("gap", "l_id")))
+        pairs = written(ranked.filter("l_rank = 1 and r_rank = 1").select("key", "l_id", "r_id", "gap"))
+        out = out.unionByName(pairs)
+        free = written(free.join(pairs.select("key", "l_id"), ["key", "l_id"], "left_anti").join(pairs.select("key", "r_id"), ["key", "r_id"], "left_anti"))
+    return out.select("l_id", "r_id", "gap")
 
 
 def case_summary(rows: DataFrame, case: str, outcome: str, outcomes: list[str]) -> DataFrame:

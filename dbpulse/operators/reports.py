@@ -101,13 +101,18 @@ def dense_activity(hourly: DataFrame, hours: int = 24) -> DataFrame:
 
 
 def deadlock_quality(samples: DataFrame, captured: DataFrame, long_gap: int = 120) -> DataFrame:
-    """Counted against captured deadlocks per database: missed, extra, resets, overruns, long gaps."""
+    """Counted against captured deadlocks per database: missed, extra, resets, overruns, long gaps, captured by pattern.
+
+    Where no growth of the counter is known, counted, missed and extra are null, not 0.
+    """
     counted = samples.groupBy("db_id").agg(
-        F.coalesce(F.sum("delta"), F.lit(0)).alias("counted"), F.count_if("reset").alias("resets"), F.count_if("overrun").alias("overruns"), F.count_if(F.col("seconds") > long_gap).alias("long_gaps")
+        F.sum("delta").alias("counted"), F.count_if("reset").alias("resets"), F.count_if("overrun").alias("overruns"), F.count_if(F.col("seconds") > long_gap).alias("long_gaps")
     )
-    seen = captured.groupBy("db_id").agg(F.count("*").alias("captured"))
-    joined = counted.join(seen, "db_id", "left").withColumn("captured", F.coalesce("captured", F.lit(0)))
-    return joined.withColumn("missed", F.greatest(F.col("counted") - F.col("captured"), F.lit(0))).withColumn("extra", F.greatest(F.col("captured") - F.col("counted"), F.lit(0)))
+    each = captured.groupBy("db_id", "pattern").agg(F.count("*").alias("n"))
+    seen = each.groupBy("db_id").agg(F.sum("n").alias("captured"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "pattern", "n"))), ",").alias("patterns"))
+    joined = counted.join(seen, "db_id", "left").withColumn("captured", F.coalesce("captured", F.lit(0).cast("long"))).withColumn("patterns", F.coalesce("patterns", F.lit("")))
+    over = lambda a, b: F.when(F.col("counted").isNotNull(), F.greatest(F.col(a) - F.col(b), F.lit(0)))
+    return joined.withColumn("missed", over("counted", "captured")).withColumn("extra", over("captured", "counted"))
 
 
 def range_report(detections: DataFrame, start, end) -> DataFrame:

@@ -41,7 +41,9 @@ def drop_idle(st: DataFrame) -> DataFrame:
 
 
 def _reset() -> Column:
-    return F.coalesce(F.col("counters_epoch") != _before("counters_epoch"), F.lit(False))
+    """Has the epoch changed since the last sample that had one? An unknown epoch is no reset and hides none."""
+    known = F.last("counters_epoch", ignorenulls=True).over(_series().rowsBetween(Window.unboundedPreceding, -1))
+    return F.coalesce(F.col("counters_epoch") != known, F.lit(False))
 
 
 def delta_windows(st: DataFrame) -> DataFrame:

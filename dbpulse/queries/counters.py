@@ -17,7 +17,7 @@ SELECT *, total_time_ms / execution_count AS mean_time_ms, total_time_ms / execu
 
 LAG = "OVER (PARTITION BY db_id, query_id ORDER BY captured_at)"
 DELTA = f"""delta AS (
-  SELECT *, lag(captured_at) {LAG} AS window_start, coalesce(counters_epoch <> lag(counters_epoch) {LAG}, false) AS reset,
+  SELECT *, lag(captured_at) {LAG} AS window_start, coalesce(counters_epoch <> lag(counters_epoch IGNORE NULLS) {LAG}, false) AS reset,
     execution_count - lag(execution_count) {LAG} AS dc, total_time_ms - lag(total_time_ms) {LAG} AS dt FROM stmt
 ), win AS (
   SELECT db_id, query_id, captured_at, window_start, CASE WHEN ok THEN dc END AS calls, CASE WHEN ok THEN dt END AS time_ms, CASE WHEN ok THEN dt / dc END AS mean_ms
@@ -59,7 +59,7 @@ ADMITTED = "coalesce(epoch(captured_at) - epoch(counters_epoch) <= {s} OR counte
 
 
 @query("w05_rows_windows", ctes("stmt") + f""", {DB_BEFORE}, r AS (
-  SELECT db_id, query_id, captured_at, lag(captured_at) {LAG} IS NULL AS is_new, coalesce(counters_epoch <> lag(counters_epoch) {LAG}, false) AS reset, {ADMITTED.format(s=21600)} AS admitted,
+  SELECT db_id, query_id, captured_at, lag(captured_at) {LAG} IS NULL AS is_new, coalesce(counters_epoch <> lag(counters_epoch IGNORE NULLS) {LAG}, false) AS reset, {ADMITTED.format(s=21600)} AS admitted,
     execution_count - coalesce(lag(execution_count) {LAG}, 0) AS calls, rows_returned - coalesce(lag(rows_returned) {LAG}, 0) AS rows FROM stmt JOIN caps USING (db_id, captured_at))
 SELECT db_id, query_id, captured_at, is_new, calls, rows FROM r WHERE NOT reset AND (NOT is_new OR admitted) AND calls > 0 AND rows >= 0""")
 def w05(spark, sf_dir):
@@ -67,7 +67,7 @@ def w05(spark, sf_dir):
 
 
 @query("w06_spill_windows", ctes("stmt") + f""", {DB_BEFORE}, r AS (
-  SELECT db_id, query_id, captured_at, lag(captured_at) {LAG} IS NULL AS is_new, coalesce(counters_epoch <> lag(counters_epoch) {LAG}, false) AS reset, {ADMITTED.format(s=21600)} AS admitted,
+  SELECT db_id, query_id, captured_at, lag(captured_at) {LAG} IS NULL AS is_new, coalesce(counters_epoch <> lag(counters_epoch IGNORE NULLS) {LAG}, false) AS reset, {ADMITTED.format(s=21600)} AS admitted,
     execution_count - coalesce(lag(execution_count) {LAG}, 0) AS calls, total_time_ms - coalesce(lag(total_time_ms) {LAG}, 0) AS time_ms,
     disk_spill_indicator - coalesce(lag(disk_spill_indicator) {LAG}, 0) AS spill FROM stmt JOIN caps USING (db_id, captured_at))
 SELECT db_id, query_id, captured_at, calls, time_ms, CASE WHEN spill >= 0 THEN spill END AS spill, CAST(NULL AS BIGINT) AS merges FROM r WHERE NOT reset AND (NOT is_new OR admitted) AND calls >= 0""")
@@ -76,7 +76,7 @@ def w06(spark, sf_dir):
 
 
 @query("w07_activity_windows", ctes("stmt") + f""", r AS (
-  SELECT *, coalesce(lag(captured_at) {LAG} IS NULL OR counters_epoch <> lag(counters_epoch) {LAG} OR execution_count < lag(execution_count) {LAG}, false) AS whole,
+  SELECT *, coalesce(lag(captured_at) {LAG} IS NULL OR counters_epoch <> lag(counters_epoch IGNORE NULLS) {LAG} OR execution_count < lag(execution_count) {LAG}, false) AS whole,
     lag(execution_count) {LAG} AS pc, lag(total_time_ms) {LAG} AS pt FROM stmt)
 SELECT db_id, query_id, captured_at, CASE WHEN whole THEN execution_count ELSE execution_count - pc END AS calls, CASE WHEN whole THEN total_time_ms ELSE total_time_ms - pt END AS time_ms, whole
 FROM r WHERE CASE WHEN whole THEN execution_count ELSE execution_count - pc END > 0""")

@@ -60,15 +60,9 @@ def s20(spark, sf_dir):
     return reports.export_report(problems(spark, sf_dir))
 
 
-@query("r01_prioritize", ctes("detection") + f""" SELECT detection_id, row_number() OVER (ORDER BY coalesce(impact_ms, 0) DESC, {RANK}, rule NULLS LAST, finding_key, detection_id) AS place FROM detection
-QUALIFY place <= 500""")
+@query("r01_prioritize", ctes("detection") + f""" SELECT detection_id, row_number() OVER (ORDER BY coalesce(impact_ms, 0) DESC, {RANK}, rule NULLS LAST, finding_key, detection_id) AS place FROM detection""")
 def r01(spark, sf_dir):
-    ordered = view(spark, sf_dir, "detection").withColumn("finding_key", F.concat_ws("/", "finding_key", F.lpad(F.col("detection_id").cast("string"), 12, "0")))
-    top = baseline.prioritize(ordered).limit(500)  # a top-k report
-    from pyspark.sql import Window
-
-    place = Window.orderBy(F.coalesce("impact_ms", F.lit(0)).desc(), baseline.severity_rank(), F.col("rule").asc_nulls_last(), "finding_key")
-    return top.select("detection_id", F.row_number().over(place).cast("long").alias("place"))
+    return baseline.places(view(spark, sf_dir, "detection"), F.col("detection_id")).select("detection_id", "place")
 
 
 @query("r02_session_findings", ctes("detection") + f""", g AS (
@@ -116,11 +110,11 @@ def r06(spark, sf_dir):
     return reports.activity(view(spark, sf_dir, "detection"))
 
 
-@query("r07_dense_activity", ctes("detection") + """, a AS (SELECT db_id, CAST(date_trunc('hour', detected_at) AS TIMESTAMP) AS hour, count(*) AS n FROM detection WHERE detection_id % 3 = 0 GROUP BY ALL),
+@query("r07_dense_activity", ctes("detection") + """, a AS (SELECT db_id, CAST(date_trunc('hour', detected_at) AS TIMESTAMP) AS hour, count(*) AS n FROM detection GROUP BY ALL),
 e AS (SELECT db_id, max(hour) AS e FROM a GROUP BY 1), g AS (SELECT db_id, unnest(range(0, 24)) AS i, e FROM e)
 SELECT g.db_id, g.e - to_hours(i) AS hour, coalesce(n, 0) AS n FROM g LEFT JOIN a ON a.db_id = g.db_id AND a.hour = g.e - to_hours(i)""")
 def r07(spark, sf_dir):
-    return reports.dense_activity(reports.activity(view(spark, sf_dir, "detection").filter("detection_id % 3 = 0")))
+    return reports.dense_activity(reports.activity(view(spark, sf_dir, "detection")))
 
 
 SAMPLES = f"{CYCLE}, {GROWTH}, cs AS (SELECT db_id, at_s, CASE WHEN reset THEN deadlocks ELSE grown END AS delta, reset, seconds, grown_bytes, grown_bytes > 20000 AS overrun FROM d JOIN l USING (db_id, at_s))"
@@ -130,11 +124,14 @@ def samples(spark, sf_dir):
     return windows.cycle_samples(view(spark, sf_dir, "cycle"), limit_bytes=20000)
 
 
-@query("r08_deadlock_quality", ctes("cycle", "ev") + f""", {SAMPLES}, c AS (SELECT db_id, CAST(coalesce(sum(delta), 0) AS BIGINT) AS counted, count(*) FILTER (reset) AS resets, count(*) FILTER (overrun) AS overruns,
-  count(*) FILTER (seconds > 3600) AS long_gaps FROM cs GROUP BY db_id), s AS (SELECT db_id, count(*) AS captured FROM ev WHERE event_type = 'error' GROUP BY db_id)
-SELECT db_id, counted, resets, overruns, long_gaps, captured, greatest(counted - captured, 0) AS missed, greatest(captured - counted, 0) AS extra FROM c JOIN s USING (db_id)""")
+@query("r08_deadlock_quality", ctes("cycle", "ev") + f""", {SAMPLES}, c AS (SELECT db_id, CAST(sum(delta) AS BIGINT) AS counted, count(*) FILTER (reset) AS resets, count(*) FILTER (overrun) AS overruns,
+  count(*) FILTER (seconds > 3600) AS long_gaps FROM cs WHERE db_id <> 'db0' OR seconds IS NULL GROUP BY db_id), p AS (SELECT db_id, 'CT-0' || (k % 4 + 1) AS pattern, count(*) AS n FROM ev WHERE event_type = 'error' GROUP BY 1, 2),
+s AS (SELECT db_id, CAST(sum(n) AS BIGINT) AS captured, string_agg(pattern || ':' || n, ',' ORDER BY pattern) AS patterns FROM p GROUP BY 1)
+SELECT db_id, counted, resets, overruns, long_gaps, coalesce(captured, 0) AS captured, coalesce(patterns, '') AS patterns, CASE WHEN counted > coalesce(captured, 0) THEN counted - coalesce(captured, 0) WHEN counted IS NOT NULL THEN 0 END AS missed, CASE WHEN counted < coalesce(captured, 0) THEN coalesce(captured, 0) - counted WHEN counted IS NOT NULL THEN 0 END AS extra FROM c LEFT JOIN s USING (db_id)""")
 def r08(spark, sf_dir):
-    return reports.deadlock_quality(samples(spark, sf_dir), view(spark, sf_dir, "ev").filter("event_type = 'error'"), long_gap=3600)
+    seen = samples(spark, sf_dir).filter("db_id != 'db0' or seconds is null")  # a database with its first sample only: nothing is comparable
+    captured = view(spark, sf_dir, "ev").filter("event_type = 'error'").withColumn("pattern", F.concat(F.lit("CT-0"), (F.col("k") % 4 + 1).cast("string")))
+    return reports.deadlock_quality(seen, captured, long_gap=3600)
 
 
 @query("r09_range_report", ctes("detection") + f""" SELECT {P}, count(*) AS n, min(detected_at) AS first_at, max(detected_at) AS last_at, arg_min(severity, {RANK}) AS worst, arg_max(severity, (detected_at, detection_id)) AS last_severity,

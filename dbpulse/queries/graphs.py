@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import index_facts
 from ..operators import contention as G
 from ..sources.fixtures import ctes, define, view
 from . import query
+from .texts import FACTS
 
 EDGE = "e AS (SELECT DISTINCT db_id, process_id AS waiter, blocker FROM session WHERE blocker IS NOT NULL AND blocker <> process_id), rt AS (SELECT DISTINCT db_id, blocker AS root FROM e WHERE (db_id, blocker) NOT IN (SELECT db_id, waiter FROM e))"
 
@@ -57,27 +59,51 @@ def g05(spark, sf_dir):
     return G.cascade_tables(view(spark, sf_dir, "root_lock")).withColumn("tables", F.array_join("tables", ","))
 
 
-define("deadlock_lock", ["deadlock_trx"], """SELECT report_id, process_id, 'wait' AS role, waits_for AS target, lock_mode AS mode, lock_scope AS scope FROM deadlock_trx
-UNION ALL SELECT report_id, process_id, 'hold', holds, lock_mode, lock_scope FROM deadlock_trx WHERE holds_known""")
-FLAG = """cy AS (SELECT report_id, bool_and(complete) AND count(*) >= 2 AND bool_and(blocked_by IN (1, 2)) AS is_cycle, bool_and(waits_for IS NOT NULL) AS targets_known, bool_and(holds_known) AS holds_known,
-  bool_or(rows_locked / greatest(undo_entries, 1) >= 10) AS amplified, max(rows_locked / greatest(undo_entries, 1)) AS ratio FROM deadlock_trx GROUP BY 1),
-wt AS (SELECT report_id, bool_and(mode IN ('X', 'IX')) AS exclusive, count(DISTINCT target) = count(*) AS disjoint, count(DISTINCT target) = 1 AS common, bool_or(scope = 'insert_intention') AS inserts, count(*) AS n_waits FROM deadlock_lock WHERE role = 'wait' GROUP BY 1),
-hm AS (SELECT w.report_id, count(DISTINCT w.process_id) FILTER (h.mode IN ('X', 'IX')) AS by_x, count(DISTINCT w.process_id) FILTER (h.mode IN ('S', 'IS')) AS by_s,
-  count(DISTINCT w.process_id) FILTER (h.mode IN ('X', 'S') AND h.scope IN ('gap', 'row+gap', 'insert_intention')) AS by_gap
-  FROM deadlock_lock w JOIN deadlock_lock h ON w.report_id = h.report_id AND w.target = h.target AND w.role = 'wait' AND h.role = 'hold' AND w.process_id <> h.process_id GROUP BY 1),
-fl AS (SELECT cy.*, exclusive, disjoint, common, inserts, n_waits, coalesce(by_x, 0) AS by_x, coalesce(by_s, 0) AS by_s, coalesce(by_gap, 0) AS by_gap FROM cy JOIN wt USING (report_id) LEFT JOIN hm USING (report_id)),
-pf AS (SELECT *, is_cycle AND targets_known AND exclusive AND disjoint AND NOT amplified AND (NOT holds_known OR by_x = n_waits) AS ct01, is_cycle AND exclusive AND NOT amplified AND CASE WHEN holds_known THEN by_s > 0 ELSE common END AS ct02,
-  is_cycle AND targets_known AND holds_known AND inserts AND by_gap > 0 AS ct03, is_cycle AND amplified AS ct04, is_cycle AND NOT targets_known AS open FROM fl)"""
-DL = ctes("deadlock_trx", "deadlock_lock") + f", {FLAG}"
-
-
-def flags(spark, sf_dir):
-    return G.pattern_flags(view(spark, sf_dir, "deadlock_trx"), view(spark, sf_dir, "deadlock_lock"))
-
-
-@query("g06_cycle_flags", DL + " SELECT report_id, is_cycle, targets_known, holds_known FROM cy")
+# reports of four shapes: opposite order, conversion of one row, inserts into gaps, opposite order with other scopes; some without targets, modes or holds
+define("deadlock_lock", ["deadlock_trx"], """
+SELECT report_id, process_id, 'wait' AS role, CASE WHEN report_id % 17 = 0 THEN cast(NULL AS string) WHEN report_id % 4 = 1 THEN concat('row ', cast(report_id AS string))
+    WHEN report_id % 4 = 2 THEN concat('7:', cast(report_id % 50 AS string), ':', cast(CASE WHEN report_id % 3 = 0 THEN 1 ELSE 8 - process_id END AS string)) ELSE waits_for END AS target,
+  CASE WHEN report_id % 13 = 0 THEN cast(NULL AS string) WHEN report_id % 4 = 1 THEN 'X' ELSE lock_mode END AS mode,
+  CASE report_id % 4 WHEN 0 THEN 'row' WHEN 1 THEN 'row' WHEN 2 THEN CASE WHEN report_id % 7 = 3 AND process_id = 1 THEN 'row' ELSE 'insert_intention' END ELSE lock_scope END AS scope FROM deadlock_trx
+UNION ALL SELECT report_id, process_id, 'hold', CASE report_id % 4 WHEN 1 THEN concat('row ', cast(report_id AS string)) WHEN 2 THEN concat('7:', cast(report_id % 50 AS string), ':', cast(CASE WHEN report_id % 3 = 0 THEN 1 ELSE 5 + process_id END AS string)) ELSE holds END,
+  CASE WHEN report_id % 4 = 1 AND (process_id = 1 OR report_id % 5 > 0) THEN 'S' WHEN report_id % 4 = 1 THEN 'X' ELSE lock_mode END,
+  CASE report_id % 4 WHEN 2 THEN CASE report_id % 5 WHEN 0 THEN 'row' WHEN 1 THEN 'row+gap' ELSE 'gap' END ELSE 'row' END FROM deadlock_trx WHERE holds_known""")
+FLAG = f"""{FACTS}, ld AS (SELECT DISTINCT db_id, schema_name, table_name, columns[1] AS column_name FROM fa WHERE NOT is_partial AND columns[1] IS NOT NULL),
+mw AS (SELECT t.report_id, t.process_id, w.target, (w.mode IS NULL OR w.mode = 'X') AND w.scope NOT IN ('gap', 'insert_intention') AS asks_x, w.scope = 'insert_intention' AS inserts,
+  EXISTS (SELECT 1 FROM deadlock_lock h WHERE h.report_id = t.report_id AND h.role = 'hold' AND h.process_id = t.blocked_by AND h.target = w.target AND h.mode = 'X' AND h.scope NOT IN ('gap', 'insert_intention')) AS blocker_x,
+  EXISTS (SELECT 1 FROM deadlock_lock h WHERE h.report_id = t.report_id AND h.role = 'hold' AND h.process_id = t.blocked_by AND h.target = w.target AND h.mode = 'S' AND h.scope NOT IN ('gap', 'insert_intention')) AS blocker_s,
+  EXISTS (SELECT 1 FROM deadlock_lock h WHERE h.report_id = t.report_id AND h.role = 'hold' AND h.process_id = t.process_id AND h.target = w.target AND h.mode = 'S' AND h.scope NOT IN ('gap', 'insert_intention')) AS own_s,
+  EXISTS (SELECT 1 FROM deadlock_lock h WHERE h.report_id = t.report_id AND h.role = 'hold' AND h.process_id = t.blocked_by AND h.target = w.target AND h.scope IN ('gap', 'row+gap')) AS blocker_gap
+  FROM deadlock_trx t JOIN deadlock_lock w ON w.report_id = t.report_id AND w.process_id = t.process_id AND w.role = 'wait'),
+gp AS (SELECT report_id, string_agg(DISTINCT target || CASE WHEN target LIKE '%:1' THEN ' end_of_index' ELSE ' before_record' END, ', ' ORDER BY target || CASE WHEN target LIKE '%:1' THEN ' end_of_index' ELSE ' before_record' END) AS gaps FROM mw WHERE inserts AND blocker_gap GROUP BY 1),
+sc AS (SELECT *, rows_locked / greatest(undo_entries, 1) AS r, CASE (report_id + process_id) % 6 WHEN 0 THEN ['o_custkey'] WHEN 1 THEN ['o_clerk', 'o_shippriority'] WHEN 2 THEN ['l_tax'] END AS cols, CASE (report_id + process_id) % 6 WHEN 2 THEN 'lineitem' ELSE 'orders' END AS tb FROM deadlock_trx),
+am AS (SELECT report_id, cols, EXISTS (SELECT 1 FROM ld WHERE ld.db_id = sc.db_id AND ld.table_name = tb AND (sc.schema_name IS NULL OR sc.schema_name = ld.schema_name) AND list_contains(cols, ld.column_name)) AS led
+  FROM sc WHERE r >= 10 AND cols IS NOT NULL QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY r DESC, process_id) = 1),
+cy AS (SELECT report_id, bool_and(complete) AND count(*) >= 2 AND bool_and(blocked_by IN (SELECT process_id FROM deadlock_trx o WHERE o.report_id = deadlock_trx.report_id)) AS is_cycle, bool_and(holds_known) AS holds_known, max(rows_locked / greatest(undo_entries, 1)) AS ratio FROM deadlock_trx GROUP BY 1),
+wt AS (SELECT report_id, bool_and(target IS NOT NULL) AS targets_known, bool_and(asks_x) AS asks, count(DISTINCT target) = count(*) AS disjoint, count(DISTINCT target) = 1 AS common, bool_and(blocker_x) AS kept, bool_and(own_s AND blocker_s) AS converts FROM mw GROUP BY 1),
+pf AS (SELECT cy.*, targets_known, ratio >= 10 AS amplified, gaps, is_cycle AND targets_known AND asks AND disjoint AND ratio < 10 AND (NOT holds_known OR kept) AS ct01, is_cycle AND targets_known AND asks AND ratio < 10 AND CASE WHEN holds_known THEN converts ELSE common END AS ct02,
+  is_cycle AND targets_known AND holds_known AND ratio < 10 AND gaps IS NOT NULL AS ct03, is_cycle AND coalesce(NOT led, false) AS ct04, array_to_string(cols, ', ') AS cols, is_cycle AND NOT targets_known AS open FROM cy JOIN wt USING (report_id) LEFT JOIN gp USING (report_id) LEFT JOIN am USING (report_id))"""
+DL = ctes("deadlock_trx", "deadlock_lock", "index_catalog") + f", {FLAG}"
+
+
+def reports(spark, sf_dir):
+    leads = index_facts(view(spark, sf_dir, "index_catalog")).filter("not is_partial").select("db_id", "schema_name", "table_name", F.col("columns")[0].alias("column_name")).filter("column_name is not null")
+    trx = G.amplifying_statements(view(spark, sf_dir, "deadlock_trx"), leads)
+    return G.reports_of(trx, view(spark, sf_dir, "deadlock_lock"))
+
+
+def flagged(spark, sf_dir):
+    return G.amplification(G.cycle_flags(reports(spark, sf_dir)))
+
+
+def classified(spark, sf_dir):
+    rules = G.lock_amplification(G.range_contention(G.mode_conversion(G.inconsistent_order(flagged(spark, sf_dir)))))
+    return G.classify_deadlocks(G.unclassified(rules))
+
+
+@query("g06_cycle_flags", DL + " SELECT report_id, is_cycle, targets_known, holds_known FROM pf")
 def g06(spark, sf_dir):
-    return G.cycle_flags(view(spark, sf_dir, "deadlock_trx"))
+    return G.cycle_flags(reports(spark, sf_dir)).select("report_id", "is_cycle", "targets_known", "holds_known")
 
 
 @query("g08_holder_match", DL + " SELECT DISTINCT w.report_id, w.process_id FROM deadlock_lock w JOIN deadlock_lock h ON w.report_id = h.report_id AND w.target = h.target AND w.role = 'wait' AND h.role = 'hold' AND h.mode IN ('X') AND h.process_id <> w.process_id")
@@ -85,32 +111,63 @@ def g08(spark, sf_dir):
     return G.holder_match(view(spark, sf_dir, "deadlock_lock"), ["X"])
 
 
-for _n, _name in (("g09_ct01", "ct01"), ("g10_ct02", "ct02"), ("g11_ct03", "ct03"), ("g13_ct04", "ct04"), ("g14_unclassified", "open")):
+@query("g09_ct01", DL + " SELECT report_id, ct01 FROM pf")
+def g09(spark, sf_dir):
+    return G.inconsistent_order(flagged(spark, sf_dir)).select("report_id", "ct01")
+
+
+@query("g10_ct02", DL + " SELECT report_id, ct02 FROM pf")
+def g10(spark, sf_dir):
+    return G.mode_conversion(flagged(spark, sf_dir)).select("report_id", "ct02")
+
 
-    @query(_n, DL + f" SELECT report_id, {_name} AS found FROM pf")
-    def _pattern(spark, sf_dir, name=_name):
-        return flags(spark, sf_dir).select("report_id", F.col(name).alias("found"))
+@query("g11_ct03", DL + " SELECT report_id, ct03, CASE WHEN ct03 THEN gaps ELSE '' END AS gaps FROM pf")
+def g11(spark, sf_dir):
+    said = F.array_join(F.transform("gaps", lambda g: F.concat(g["record"], F.lit(" "), g["position"])), ", ")
+    return G.range_contention(flagged(spark, sf_dir)).select("report_id", "ct03", said.alias("gaps"))
 
 
-@query("g12_amplification", DL + " SELECT report_id, amplified, ratio FROM cy")
+@query("g13_ct04", DL + " SELECT report_id, ct04, CASE WHEN ct04 THEN cols END AS index_columns FROM pf")
+def g13(spark, sf_dir):
+    return G.lock_amplification(flagged(spark, sf_dir)).select("report_id", "ct04", "index_columns")
+
+
+@query("g14_unclassified", DL + " SELECT report_id FROM pf WHERE open")
+def g14(spark, sf_dir):
+    return G.unclassified(flagged(spark, sf_dir)).filter("open").select("report_id")
+
+
+@query("g12_amplification", DL + " SELECT report_id, amplified, ratio FROM pf")
 def g12(spark, sf_dir):
-    return G.amplification(view(spark, sf_dir, "deadlock_trx"))
+    return flagged(spark, sf_dir).select("report_id", "amplified", "ratio")
 
 
-RULE = "CASE WHEN ct03 THEN 'CT-03' WHEN ct04 THEN 'CT-04' WHEN ct02 THEN 'CT-02' WHEN ct01 THEN 'CT-01' WHEN open THEN 'CT' END"
+RULE = "CASE WHEN ct01 THEN 'CT-01' WHEN ct02 THEN 'CT-02' WHEN ct03 THEN 'CT-03' WHEN ct04 THEN 'CT-04' WHEN open THEN 'CT' END"
 
 
 @query("g15_classify_deadlocks", DL + f" SELECT report_id, {RULE} AS rule FROM pf")
 def g15(spark, sf_dir):
-    return G.classify_deadlocks(flags(spark, sf_dir)).select("report_id", "rule")
+    return classified(spark, sf_dir).select("report_id", "rule")
 
 
 define("dl_report", ["deadlock_trx"], "SELECT report_id, db_id, at_s - at_s % 7 AS at_s, process_id + report_id % 50 AS victim_pid, concat(lock_mode, lock_scope, cast(report_id % 20 AS string)) AS signature FROM deadlock_trx WHERE victim")
 
 
-@query("g16_dedup_deadlocks", ctes("dl_report") + """ SELECT report_id, db_id, victim_pid, at_s FROM (SELECT *, at_s - lag(at_s) OVER (PARTITION BY db_id, victim_pid ORDER BY at_s, report_id) AS gap FROM dl_report) WHERE gap IS NULL OR gap > 50000""")
+# reports 0.7 s apart, some with times in whole seconds, some that come twice, some without detail
+define("dl_seen", ["deadlock_trx"], """SELECT report_id + 1000000000 * n AS report_id, db_id, (report_id + n) % 2 * n + report_id % 2 AS victim_pid, report_id * 700000 - CASE WHEN report_id % 4 = 0 THEN report_id * 700000 % 1000000 ELSE 0 END AS at_us,
+  report_id % 9 <> 0 AS complete, CASE WHEN report_id % 5 = 0 THEN 'postgres_log' ELSE 'innodb_status' END AS source FROM deadlock_trx CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) c WHERE process_id = 1 AND (n = 0 OR report_id % 3 = 0)""")
+
+
+@query("g16_dedup_deadlocks", ctes("dl_seen").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+x AS (SELECT db_id, victim_pid, at_us, min(report_id) AS report_id, arg_min(source, report_id) AS source FROM dl_seen WHERE complete GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY db_id, victim_pid ORDER BY at_us) AS rn FROM x),
+r AS (SELECT db_id, victim_pid, rn, report_id, [at_us] AS kept, true AS keep FROM o WHERE rn = 1
+  UNION ALL SELECT o.db_id, o.victim_pid, o.rn, o.report_id, CASE WHEN d.dup THEN r.kept ELSE list_append(list_filter(r.kept, lambda k: k >= o.at_us - 2000000), o.at_us) END, NOT d.dup
+  FROM r JOIN o ON o.db_id = r.db_id AND o.victim_pid = r.victim_pid AND o.rn = r.rn + 1,
+  LATERAL (SELECT o.source = 'innodb_status' AND len(list_filter(r.kept, lambda k: o.at_us - k <= 2000000 AND (k % 1000000 = 0 OR o.at_us % 1000000 = 0))) > 0 AS dup) d)
+SELECT report_id FROM r WHERE keep UNION ALL SELECT min(report_id) FROM dl_seen WHERE NOT complete AND (db_id, at_us) NOT IN (SELECT db_id, at_us FROM x) GROUP BY db_id, at_us""")
 def g16(spark, sf_dir):
-    return G.dedup_deadlocks(view(spark, sf_dir, "dl_report"), 50000).select("report_id", "db_id", "victim_pid", "at_s")
+    return G.dedup_deadlocks(view(spark, sf_dir, "dl_seen")).select("report_id")
 
 
 @query("g17_recurrence", ctes("dl_report") + """, g AS (SELECT *, CASE WHEN at_s - lag(at_s) OVER w > 7 * 86400 THEN 1 ELSE 0 END AS gap FROM dl_report WINDOW w AS (PARTITION BY db_id, signature ORDER BY at_s, report_id)),
@@ -122,7 +179,7 @@ def g17(spark, sf_dir):
 
 @query("g18_deadlock_events", DL + f", ev2 AS (SELECT report_id, db_id, max(at_s) AS at_s, count(*) AS members FROM deadlock_trx GROUP BY 1, 2) SELECT report_id, db_id, at_s, members, {RULE} AS rule FROM ev2 JOIN pf USING (report_id)")
 def g18(spark, sf_dir):
-    rules = G.classify_deadlocks(flags(spark, sf_dir)).select("report_id", "rule")
+    rules = classified(spark, sf_dir).select("report_id", "rule")
     return G.deadlock_evidence(view(spark, sf_dir, "deadlock_trx")).join(rules, "report_id").select("report_id", "db_id", "at_s", "members", "rule")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.fixtures import ctes, view
+from ..sources.fixtures import ctes, define, view
 from ..streaming import jobs
 from . import query
 from .counters import DELTA
@@ -14,7 +14,7 @@ def events(spark, sf_dir):
     """The event table as a stream, with the time as a timestamp for watermarks."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = jobs.stream_snapshots(spark, f"{sf_dir}/events.parque[t]", schema)  # a pattern may name a file or a folder
-    db = F.concat(F.lit("db"), (F.col("user_id") % 2).cast("string"))
+    db = F.concat(F.lit("db"), F.floor(F.col("user_id") / 10).cast("string"))
     return stream.withColumn("at", F.col("ts").cast("timestamp")).withColumn("db_id", db)
 
 
@@ -30,6 +30,13 @@ def landed(spark, df, folder, parts=3):
     return jobs.stream_snapshots(spark, f"{folder}/in", df.schema, files_per_batch=1)
 
 
+def landed_in_batches(spark, df, batch, folder):
+    """A table written as one file for each value of ``batch``, in that order, one file a micro-batch."""
+    for (number,) in sorted(df.select(batch).distinct().collect()):  # a few batches
+        df.filter(F.col(batch) == number).drop(batch).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return jobs.stream_snapshots(spark, f"{folder}/in", df.drop(batch).schema, files_per_batch=1)
+
+
 @query("t01_stream_source", " SELECT event_id, user_id, event_type FROM events")
 def t01(spark, sf_dir):
     stream = events(spark, sf_dir).select("event_id", "user_id", "event_type")
@@ -42,11 +49,22 @@ def t02(spark, sf_dir):
     return jobs.run_now(jobs.dedup_stream(twice, ["event_id"], "at").select("event_id", "user_id"), jobs.work_folder(spark)).drop("batch_id")
 
 
-@query("t03_late_policy", ctes("ev") + " SELECT db_id, bucket * 21600 AS bucket_s, count(*) AS n FROM ev GROUP BY 1, 2")
+# a tenth of a database's events is sent twelve days late, the rest on its day; arrivals come in batches of three days
+define("arrival", ["ev"], "SELECT db_id, event_id, s, ts, cast(floor((s - (SELECT min(s) FROM ev)) / 259200) AS bigint) + CASE WHEN k % 10 = 0 THEN 4 ELSE 0 END AS batch FROM ev")
+
+
+@query("t03_late_policy", ctes("arrival") + """, m AS (SELECT batch, max(s) AS newest FROM arrival GROUP BY 1), w AS (SELECT a.batch, max(b.newest) - 86400 AS mark FROM m a LEFT JOIN m b ON b.batch <= a.batch - 2 GROUP BY 1)
+SELECT db_id, count(*) AS arrived, count(*) FILTER (mark IS NULL OR (s // 21600 + 1) * 21600 > mark) AS counted, count(*) FILTER (mark IS NOT NULL AND (s // 21600 + 1) * 21600 <= mark) AS late FROM arrival JOIN w USING (batch) GROUP BY 1""")
 def t03(spark, sf_dir):
-    kept = jobs.late_policy(events(spark, sf_dir), "at", "30 days")
-    counts = kept.groupBy(F.window("at", "6 hours").alias("w"), "db_id").agg(F.count("*").alias("n")).select("db_id", F.unix_seconds("w.start").alias("bucket_s"), "n")
-    return jobs.fold_latest(jobs.run_now(counts, jobs.work_folder(spark), "update"), ["db_id", "bucket_s"])
+    """A window is closed for a batch by the newest time of the batches up to the one before the last."""
+    rows = view(spark, sf_dir, "arrival").select("db_id", "event_id", F.col("ts").cast("timestamp").alias("at"), "batch")
+    folder = jobs.work_folder(spark)
+    stream = landed_in_batches(spark, rows, "batch", folder)
+    kept = jobs.late_policy(stream, "at", "1 day")
+    windows = kept.groupBy(F.window("at", "6 hours").alias("w"), "db_id").agg(F.count("*").alias("n")).select("db_id", F.unix_seconds("w.start").alias("bucket_s"), "n")
+    counted = jobs.fold_latest(jobs.run_now(windows, folder, "update"), ["db_id", "bucket_s"])
+    arrived = jobs.run_now(stream.select("db_id", F.lit(1).cast("long").alias("n")), jobs.work_folder(spark))
+    return jobs.late_rows(arrived, counted, "db_id")
 
 
 @query("t04_stream_baseline", ctes("stmt") + f""", {DELTA}, b AS (SELECT *, quantile_cont(mean_ms, 0.5) OVER f AS baseline_ms, count(mean_ms) OVER f AS n FROM win WHERE calls >= 2
@@ -93,7 +111,7 @@ def t08(spark, sf_dir):
     return jobs.fold_latest(jobs.run_now(seen, jobs.work_folder(spark), "update"), ["db_id", "cycle_s"])
 
 
-@query("t09_sessions", """WITH e AS (SELECT 'db' || user_id % 2 AS db_id, epoch_us(ts) AS u FROM events), g AS (SELECT *, CASE WHEN u - lag(u) OVER (PARTITION BY db_id ORDER BY u) >= 1200000000 THEN 1 ELSE 0 END AS gap FROM e),
+@query("t09_sessions", """WITH e AS (SELECT 'db' || CAST(floor(user_id / 10) AS BIGINT) AS db_id, epoch_us(ts) AS u FROM events), g AS (SELECT *, CASE WHEN u - lag(u) OVER (PARTITION BY db_id ORDER BY u) >= 1200000000 THEN 1 ELSE 0 END AS gap FROM e),
 r AS (SELECT *, sum(gap) OVER (PARTITION BY db_id ORDER BY u) AS run FROM g) SELECT db_id, min(u) // 1000000 AS start_s, (max(u) + 1200000000) // 1000000 AS end_s, count(*) AS n FROM r GROUP BY db_id, run""")
 def t09(spark, sf_dir):
     found = jobs.sessions(events(spark, sf_dir), "at", "20 minutes", "60 days")

@@ -109,7 +109,7 @@ def q10(spark, sf_dir):
     return view(spark, sf_dir, "stmt").select("db_id", "query_id", "captured_at", (F.col("execution_count") - F.lag("execution_count", 1, 0).over(w)).alias("calls"))
 
 
-define("cycle_span", ["ev"], "SELECT event_id AS cycle_id, db_id, s AS c0, s + 600 + k * 10 AS c1 FROM ev WHERE event_id % 20 = 0")
+define("cycle_span", ["ev"], "SELECT event_id AS cycle_id, db_id, s AS c0, s + 600 + k * 10 AS c1 FROM ev WHERE event_type = 'signup'")
 
 
 @query("q11_finding_cycle", ctes("detection", "cycle_span") + """, f AS (SELECT db_id, s, detection_id FROM detection)
@@ -132,15 +132,17 @@ def q15(spark, sf_dir):
     return quality.quality_summary(view(spark, sf_dir, "confusion_row").withColumnRenamed("grp", "role").withColumnRenamed("toxic", "category"))
 
 
-@query("q16_match_once", ctes("ev") + """, l AS (SELECT db_id AS key, event_id AS l_id, s AS l_s FROM ev WHERE event_type = 'error'), r AS (SELECT db_id AS key, event_id AS r_id, s AS r_s FROM ev WHERE event_type = 'signup'),
-p AS (SELECT l_id, r_id, abs(l_s - r_s) AS gap FROM l JOIN r USING (key) WHERE abs(l_s - r_s) <= 900),
-k AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY gap, r_id) AS a, row_number() OVER (PARTITION BY r_id ORDER BY gap, l_id) AS b FROM p)
-SELECT l_id, r_id, gap FROM k WHERE a = 1 AND b = 1""")
+@query("q16_match_once", ctes("ev").replace("WITH ", "WITH RECURSIVE ", 1) + """, l AS (SELECT db_id AS key, event_id AS l_id, s AS l_s FROM ev WHERE event_type = 'error'), r AS (SELECT db_id AS key, event_id AS r_id, s AS r_s FROM ev WHERE event_type = 'signup'),
+p AS (SELECT key, l_id, r_id, abs(l_s - r_s) AS gap FROM l JOIN r USING (key) WHERE abs(l_s - r_s) <= 7200), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY gap, l_id, r_id) AS rn FROM p),
+g AS (SELECT key, rn, l_id, r_id, gap, [l_id] AS ls, [r_id] AS rs, true AS taken FROM o WHERE rn = 1
+  UNION ALL SELECT o.key, o.rn, o.l_id, o.r_id, o.gap, CASE WHEN u.free THEN list_append(g.ls, o.l_id) ELSE g.ls END, CASE WHEN u.free THEN list_append(g.rs, o.r_id) ELSE g.rs END, u.free
+  FROM g JOIN o ON o.key = g.key AND o.rn = g.rn + 1, LATERAL (SELECT NOT list_contains(g.ls, o.l_id) AND NOT list_contains(g.rs, o.r_id) AS free) u)
+SELECT l_id, r_id, gap FROM g WHERE taken""")
 def q16(spark, sf_dir):
     ev = view(spark, sf_dir, "ev")
     left = ev.filter("event_type = 'error'").select(F.col("db_id").alias("key"), F.col("event_id").alias("l_id"), F.col("s").alias("l_s"))
     right = ev.filter("event_type = 'signup'").select(F.col("db_id").alias("key"), F.col("event_id").alias("r_id"), F.col("s").alias("r_s"))
-    return quality.match_once(left, right, 900)
+    return quality.match_once(left, right, 7200)
 
 
 @query("q17_case_summary", ctes("detection") + " SELECT rule, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM detection GROUP BY 1")
@@ -225,7 +227,7 @@ def o03(spark, sf_dir):
     return overhead.in_block(latencies(spark, sf_dir), view(spark, sf_dir, "block"), 600_000_000).select("event_id", "day_no")
 
 
-define("busy", ["latency"], "SELECT t0 AS c0, t0 + 60000000 AS c1, ok, side FROM latency WHERE event_id % 40 = 0")
+define("busy", ["latency"], "SELECT t0 AS c0, t0 + 60000000 AS c1, ok, side FROM latency WHERE template_id IN ('signup', 'error')")
 
 
 @query("o04_overlaps", ctes("latency", "busy") + " SELECT event_id, EXISTS (SELECT 1 FROM busy b WHERE l.t0 < b.c1 AND b.c0 < l.t1) AS overlaps FROM latency l")
@@ -259,26 +261,34 @@ def o06(spark, sf_dir):
     return overhead.throughput_overhead(pairs(spark, sf_dir))
 
 
-BOOT = f"""{PAIRS}, num AS (SELECT *, row_number() OVER (ORDER BY pair) - 1 AS i, count(*) OVER () AS n FROM pr), dr AS (
-  SELECT r.round, d.draw, CAST('0x' || substr(md5(r.round || '/' || d.draw), 1, 8) AS BIGINT) % n AS i FROM (SELECT unnest(range(0, 200)) AS round) r, (SELECT i AS draw, n FROM num) d),
-bs AS (SELECT round, (CAST(sum(treated_t) AS DOUBLE) / CAST(sum(treated_n) AS DOUBLE)) / (CAST(sum(base_t) AS DOUBLE) / CAST(sum(base_n) AS DOUBLE)) - 1 AS x FROM dr JOIN num USING (i) GROUP BY round),
-ci AS (SELECT round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high, count(x) AS rounds FROM bs)"""
+ARM_PAIRS = PAIRS.replace("SELECT pair, ", "SELECT template_id, pair, ").replace("GROUP BY 1", "GROUP BY 1, 2")
+BOOT = f"""{ARM_PAIRS}, num AS (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY pair) - 1 AS i, count(*) OVER (PARTITION BY template_id) AS n FROM pr), dr AS (
+  SELECT template_id, r.round, d.draw, CAST('0x' || substr(md5(r.round || '/' || d.draw), 1, 8) AS BIGINT) % n AS i FROM (SELECT unnest(range(0, 2000)) AS round) r, (SELECT template_id, i AS draw, n FROM num) d),
+bs AS (SELECT template_id, round, (CAST(sum(treated_t) AS DOUBLE) / CAST(sum(treated_n) AS DOUBLE)) / nullif(CAST(sum(base_t) AS DOUBLE) / CAST(sum(base_n) AS DOUBLE), 0) - 1 AS x FROM dr JOIN num USING (template_id, i) GROUP BY 1, 2),
+ci AS (SELECT template_id, CASE WHEN count(x) >= 1800 THEN round(quantile_cont(x, 0.025), 6) END AS low, CASE WHEN count(x) >= 1800 THEN round(quantile_cont(x, 0.975), 6) END AS high, count(x) AS rounds FROM bs GROUP BY 1),
+pt AS (SELECT template_id, round((CAST(sum(treated_t) AS DOUBLE) / CAST(sum(treated_n) AS DOUBLE)) / (CAST(sum(base_t) AS DOUBLE) / CAST(sum(base_n) AS DOUBLE)) - 1, 6) AS point, least(min(base_n), min(treated_n)) >= 2 AS enough FROM pr GROUP BY 1)"""
 
 
-def interval(spark, sf_dir):
-    p = pairs(spark, sf_dir).select("pair", *[F.col(c).cast("double").alias(c) for c in ("base_n", "treated_n", "base_t", "treated_t")])
-    ci = overhead.bootstrap_ci(p, 200)
-    return ci.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "rounds")
+def arm_pairs(spark, sf_dir):
+    p = overhead.pair_blocks(view(spark, sf_dir, "latency").withColumn("latency", F.col("v")), ["template_id"])
+    return p.select("template_id", "pair", *[F.col(c).cast("double").alias(c) for c in ("base_n", "treated_n", "base_t", "treated_t")])
+
+
+def intervals(spark, sf_dir):
+    ci = overhead.bootstrap_ci(arm_pairs(spark, sf_dir), ["template_id"])
+    return ci.select("template_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "rounds")
 
 
 @query("o07_bootstrap_ci", ctes("latency") + f", {BOOT} SELECT * FROM ci")
 def o07(spark, sf_dir):
-    return interval(spark, sf_dir)
+    return intervals(spark, sf_dir)
 
 
-@query("o08_arm_verdict", ctes("latency") + f""", {BOOT} SELECT *, CASE WHEN low IS NULL OR high IS NULL THEN 'no data' WHEN high < 0.05 THEN 'pass' WHEN low >= 0.05 THEN 'fail' ELSE 'inconclusive' END AS verdict FROM ci""")
+@query("o08_arm_verdict", ctes("latency") + f""", {BOOT} SELECT *, CASE WHEN NOT enough OR low IS NULL OR high IS NULL THEN 'no data' WHEN high < 0.05 THEN 'pass' WHEN low >= 0.05 THEN 'fail' ELSE 'inconclusive' END AS verdict,
+  low > -0.05 AND high < 0.05 AS noise_ok, low >= 0.05 AS detected FROM ci JOIN pt USING (template_id)""")
 def o08(spark, sf_dir):
-    return overhead.arm_verdict(interval(spark, sf_dir), 0.05)
+    points = overhead.arm_points(arm_pairs(spark, sf_dir), ["template_id"], least_n=2).withColumn("point", F.round("point", 6))
+    return overhead.arm_verdict(intervals(spark, sf_dir).join(points, "template_id"), 0.05)
 
 
 @query("o09_cycle_summary", ctes("busy") + """ SELECT side, count(*) AS cycles, count(*) FILTER (NOT ok) AS failed, avg(c1 - c0) AS mean_wall, max(c1 - c0) AS max_wall, sum(c1 - c0) / (max(c1) - min(c0)) AS duty FROM busy GROUP BY 1""")

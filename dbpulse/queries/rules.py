@@ -106,11 +106,11 @@ define("reads", [], " UNION ALL ".join(f"SELECT '{q}' AS query_id, '{t}' AS tabl
 EQUAL = [("click", "l_orderkey"), ("view", "o_custkey"), ("error", "c_nationkey"), ("signup", "s_nationkey"), ("purchase", "n_name")]
 define("equal_col", [], " UNION ALL ".join(f"SELECT '{q}' AS query_id, '{c}' AS column_name" for q, c in EQUAL))
 define("filter_col", ["reads", "equal_col"], "SELECT r.query_id, r.table_name, e.column_name FROM reads r JOIN equal_col e ON r.query_id = e.query_id")
-define("plan_op", ["reads"], """SELECT concat('db', cast(d.d AS string)) AS db_id, query_id, 0 AS op_pos, table_name, CASE WHEN query_id IN ('click', 'view', 'error') THEN 'full_table_scan' ELSE 'index_lookup' END AS access_method,
-  CASE WHEN query_id = 'signup' THEN 'supplier_nation' END AS index_name, query_id <> 'error' AS simple FROM reads CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1) d""")
+define("plan_op", ["reads", "db"], """SELECT db_id, query_id, 0 AS op_pos, table_name, CASE WHEN query_id IN ('click', 'view', 'error') THEN 'full_table_scan' ELSE 'index_lookup' END AS access_method,
+  CASE WHEN query_id = 'signup' THEN 'supplier_nation' END AS index_name, query_id <> 'error' AS simple FROM reads CROSS JOIN db""")
 define("cond_leaf", ["reads"], """SELECT query_id, table_name, CASE query_id WHEN 'click' THEN 'l_tax' WHEN 'view' THEN 'o_custkey' ELSE 'c_nationkey' END AS column_name, CASE query_id WHEN 'view' THEN 'function' ELSE 'none' END AS wrapper, 'range' AS comparator FROM reads
 UNION ALL SELECT query_id, table_name, CASE query_id WHEN 'click' THEN 'l_discount' ELSE 'o_totalprice' END, 'none', 'eq' FROM reads""")
-ROWS = f"""{DB_BEFORE}, rw0 AS (SELECT db_id, query_id, captured_at, lag(captured_at) {LAG} IS NULL AS is_new, coalesce(counters_epoch <> lag(counters_epoch) {LAG}, false) AS reset, {ADMITTED.format(s=21600)} AS admitted,
+ROWS = f"""{DB_BEFORE}, rw0 AS (SELECT db_id, query_id, captured_at, lag(captured_at) {LAG} IS NULL AS is_new, coalesce(counters_epoch <> lag(counters_epoch IGNORE NULLS) {LAG}, false) AS reset, {ADMITTED.format(s=21600)} AS admitted,
   execution_count - coalesce(lag(execution_count) {LAG}, 0) AS calls, rows_returned - coalesce(lag(rows_returned) {LAG}, 0) AS rows FROM stmt JOIN caps USING (db_id, captured_at)),
 rw AS (SELECT db_id, query_id, captured_at, calls, rows FROM rw0 WHERE NOT reset AND (NOT is_new OR admitted) AND calls > 0 AND rows >= 0)"""
 SCAN = f"""{ROWS}, fs AS (SELECT w.db_id, w.captured_at, w.query_id, o.table_name, t.live_rows, w.calls, w.rows / w.calls / t.live_rows AS selectivity FROM rw w JOIN plan_op o USING (db_id, query_id) JOIN table_stats t ON t.db_id = w.db_id AND t.table_name = o.table_name
@@ -148,7 +148,7 @@ def d04(spark, sf_dir):
 
 USED = "us AS (SELECT DISTINCT c.db_id, c.table_name, c.index_name FROM index_catalog c JOIN plan_op o ON o.db_id = c.db_id AND o.table_name = c.table_name AND o.index_name = c.index_name)"
 ACT = f"""ac AS (SELECT db_id, query_id, captured_at, CASE WHEN whole THEN execution_count ELSE execution_count - pc END AS calls, CASE WHEN whole THEN total_time_ms ELSE total_time_ms - pt END AS time_ms
-  FROM (SELECT *, coalesce(lag(captured_at) {LAG} IS NULL OR counters_epoch <> lag(counters_epoch) {LAG} OR execution_count < lag(execution_count) {LAG}, false) AS whole, lag(execution_count) {LAG} AS pc, lag(total_time_ms) {LAG} AS pt FROM stmt)
+  FROM (SELECT *, coalesce(lag(captured_at) {LAG} IS NULL OR counters_epoch <> lag(counters_epoch IGNORE NULLS) {LAG} OR execution_count < lag(execution_count) {LAG}, false) AS whole, lag(execution_count) {LAG} AS pc, lag(total_time_ms) {LAG} AS pt FROM stmt)
   WHERE CASE WHEN whole THEN execution_count ELSE execution_count - pc END > 0)"""
 RED = """ux AS (SELECT *, (is_unique::INT, (index_scans > 0)::INT, index_scans) AS worth FROM fa WHERE NOT is_partial AND len(list_filter(columns, lambda c: c IS NULL)) = 0),
 rd AS (SELECT a.db_id, a.table_name, a.index_name, min(b.index_name) AS covered_by FROM ux a JOIN ux b ON a.db_id = b.db_id AND a.table_name = b.table_name AND a.method = b.method AND a.index_name <> b.index_name
@@ -216,7 +216,7 @@ def d06(spark, sf_dir):
     return D.n_plus_one(rows(spark, sf_dir), view(spark, sf_dir, "reads"), view(spark, sf_dir, "equal_col"), view(spark, sf_dir, "fk"), calls=4, tolerance=0.97, high=12)
 
 
-SPILL = f"""{DB_BEFORE}, sp0 AS (SELECT db_id, query_id, captured_at, lag(captured_at) {LAG} IS NULL AS is_new, coalesce(counters_epoch <> lag(counters_epoch) {LAG}, false) AS reset, {ADMITTED.format(s=21600)} AS admitted,
+SPILL = f"""{DB_BEFORE}, sp0 AS (SELECT db_id, query_id, captured_at, lag(captured_at) {LAG} IS NULL AS is_new, coalesce(counters_epoch <> lag(counters_epoch IGNORE NULLS) {LAG}, false) AS reset, {ADMITTED.format(s=21600)} AS admitted,
   execution_count - coalesce(lag(execution_count) {LAG}, 0) AS calls, total_time_ms - coalesce(lag(total_time_ms) {LAG}, 0) AS time_ms, disk_spill_indicator - coalesce(lag(disk_spill_indicator) {LAG}, 0) AS spill FROM stmt JOIN caps USING (db_id, captured_at)),
 sp AS (SELECT db_id, query_id, captured_at, calls, time_ms, spill FROM sp0 WHERE NOT reset AND (NOT is_new OR admitted) AND calls >= 0 AND spill > 0)"""
 
@@ -226,7 +226,7 @@ def d07(spark, sf_dir):
     return D.disk_spill(windows.spill_windows(view(spark, sf_dir, "stmt"), 21600), 1000, 500).select("db_id", "query_id", "captured_at", "calls", "spill", "kind", "severity")
 
 
-define("estimate", ["reads"], "SELECT concat('db', cast(d.d AS string)) AS db_id, query_id, cast(CASE query_id WHEN 'click' THEN 900 WHEN 'view' THEN 2 ELSE 60 END AS double) AS estimated FROM reads CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1) d")
+define("estimate", ["reads", "db"], "SELECT db_id, query_id, cast(CASE query_id WHEN 'click' THEN 900 WHEN 'view' THEN 2 ELSE 60 END AS double) AS estimated FROM reads CROSS JOIN db")
 
 
 @query("d08_misestimate", ctes("stmt", "estimate") + f""", {ROWS}, j AS (SELECT *, rows / calls AS actual, greatest(greatest(estimated, 1) / greatest(rows / calls, 1), greatest(rows / calls, 1) / greatest(estimated, 1)) AS q_error FROM rw JOIN estimate USING (db_id, query_id))

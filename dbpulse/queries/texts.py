@@ -97,13 +97,14 @@ def n12(spark, sf_dir):
     return T.redact_sessions(s, "q", "canonic_query")
 
 
-@query("n13_leak_audit", """
-WITH m AS (SELECT DISTINCT substr(text, 1, 12) AS marker FROM benchmark WHERE item_id < 40), r AS (SELECT 'documents' AS table_name, text AS row FROM documents UNION ALL SELECT 'conversations', text FROM conversations)
-SELECT marker, count(*) AS n, table_name FROM r JOIN m ON contains(row, marker) GROUP BY ALL""")
+AUDITED = {"documents": ["doc_id", "text", "lang", "source", "n_chars"], "conversations": ["conv_id", "turn", "role", "text"], "pages": ["page_id", "url", "html"], "customer": ["c_name"], "orders": ["o_orderpriority"]}
+
+
+@query("n13_leak_audit", "WITH m AS (SELECT DISTINCT text AS marker FROM benchmark WHERE text <> ''), r AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, concat_ws(chr(31), {', '.join(f'CAST({c} AS VARCHAR)' for c in cs)}) AS row FROM {t}" for t, cs in AUDITED.items()) + ") SELECT marker, count(*) AS n, table_name FROM r JOIN m ON contains(row, marker) GROUP BY ALL")
 def n13(spark, sf_dir):
-    read = lambda t, c: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(c)
-    markers = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id < 40").select(F.substring("text", 1, 12).alias("marker")).distinct()
-    return T.leak_audit({"documents": read("documents", "text"), "conversations": read("conversations", "text")}, markers)
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return T.leak_audit({t: read(t).select(cs) for t, cs in AUDITED.items()}, read("benchmark").select(F.col("text").alias("marker")))
 
 
 FACTS = r"""fa AS (SELECT *, regexp_extract(index_ref, '(?i)USING\s+(\w+)', 1) AS method, starts_with(index_ref, 'CREATE UNIQUE') AS is_unique, regexp_matches(index_ref, '\)\s+WHERE\b') AS is_partial,

@@ -67,7 +67,7 @@ def ctes(*names: str) -> str:
 # B1: cumulative statement counters, a row for each database, fingerprint and six hours with activity
 define("ev", [], """
 SELECT event_id, ts, user_id, event_type, value, cast(value AS decimal(18,4)) AS v, cast(regexp_extract(props, '[0-9]+', 0) AS bigint) AS k,
-  concat('db', cast(user_id % 2 AS string)) AS db_id, cast(floor(EPOCH_S(ts) / 21600) AS bigint) AS bucket, EPOCH_S(ts) AS s FROM @events""")
+  concat('db', cast(cast(floor(user_id / 10) AS bigint) AS string)) AS db_id, cast(floor(EPOCH_S(ts) / 21600) AS bigint) AS bucket, EPOCH_S(ts) AS s FROM @events""")
 define("stmt_bucket", ["ev"], """
 SELECT db_id, event_type AS query_id, bucket, count(*) AS calls, sum(v) AS t, sum(k) AS n, sum(CASE WHEN value > 300 THEN 1 ELSE 0 END) AS spill,
   CASE WHEN event_type = 'signup' AND bucket >= (SELECT min(bucket) FROM ev) + 60 THEN 1 ELSE 0 END AS ep
@@ -78,17 +78,18 @@ SELECT db_id, query_id, bucket, ep, (bucket + 1) * 21600 AS at_s, ((SELECT min(b
 FROM stmt_bucket WINDOW w AS (PARTITION BY db_id, query_id, ep ORDER BY bucket ROWS UNBOUNDED PRECEDING)""")
 define("stmt", ["stmt_run"], """
 SELECT db_id, query_id, AT_S(at_s) AS captured_at, calls AS execution_count, cast(t AS double) AS total_time_ms, n AS rows_returned,
-  spill AS disk_spill_indicator, cast(NULL AS bigint) AS sort_merge_passes, AT_S(ep_s) AS counters_epoch FROM stmt_run""")
+  spill AS disk_spill_indicator, cast(NULL AS bigint) AS sort_merge_passes, CASE WHEN calls % 11 = 0 THEN cast(NULL AS timestamp) ELSE AT_S(ep_s) END AS counters_epoch FROM stmt_run""")
 # B2: the same counters as two rows of one snapshot (two users of one fingerprint)
 define("stmt_dup", ["stmt"], """
 SELECT db_id, query_id, captured_at, 0 AS part, execution_count - cast(floor(execution_count / 3) AS bigint) AS execution_count, total_time_ms,
   rows_returned, disk_spill_indicator, sort_merge_passes, counters_epoch FROM stmt
 UNION ALL SELECT db_id, query_id, captured_at, 1, cast(floor(execution_count / 3) AS bigint), cast(NULL AS double), 0, cast(NULL AS bigint), cast(NULL AS bigint), counters_epoch FROM stmt""")
 # Live rows of the given tables; columns
-define("table_stats", [], " UNION ALL ".join(
-    f"SELECT 'db{i % 2}' AS db_id, 'public' AS schema_name, '{t}' AS table_name, count(*) AS live_rows FROM @{t}"
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem") for i in (0, 1)))
-# Index definitions, in a database for each user
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+define("db", ["ev"], "SELECT DISTINCT db_id FROM ev")
+define("table_count", [], " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS live_rows FROM @{t}" for t in TABLES))
+define("table_stats", ["db", "table_count"], "SELECT db_id, 'public' AS schema_name, table_name, live_rows FROM table_count CROSS JOIN db")
+# Index definitions, the same in every database
 INDEXES = [
     ("orders", "orders_pk", "o_orderkey", True, None), ("orders", "orders_cust", "o_custkey", False, None), ("orders", "orders_cust_date", "o_custkey,o_orderdate", False, None),
     ("orders", "orders_cust_copy", "o_custkey", False, None), ("orders", "orders_open", "o_orderdate", False, "o_orderstatus = 'O'"), ("lineitem", "lineitem_pk", "l_orderkey,l_linenumber", True, None),
@@ -100,9 +101,9 @@ define("index_def", [], " UNION ALL ".join(
     f"SELECT {i} AS n, '{t}' AS table_name, '{x}' AS index_name, 'CREATE {'UNIQUE ' if u else ''}INDEX {x} ON public.{t} USING btree ({c.replace(',', ', ')}){f' WHERE ({p})'.replace(chr(39), chr(39) * 2) if p else ''}' AS index_ref"
     for i, (t, x, c, u, p) in enumerate(INDEXES)))
 define("index_catalog", ["index_def", "ev"], """
-SELECT concat('db', cast(d.user_id AS string)) AS db_id, 'public' AS schema_name, table_name, index_name, index_ref,
+SELECT d.db_id, 'public' AS schema_name, table_name, index_name, index_ref,
   CASE WHEN n % 3 = 0 OR n % 4 = 0 THEN 0 ELSE d.c % (n + 7) END AS index_scans, 8192 * (n + 1) AS index_size_bytes
-FROM index_def CROSS JOIN (SELECT user_id, count(*) AS c FROM ev GROUP BY user_id) d""")
+FROM index_def CROSS JOIN (SELECT db_id, count(*) AS c FROM ev GROUP BY db_id) d""")
 # Foreign keys, one composite
 FKS = [
     ("fk_nation_region", "nation", "n_regionkey", "region", "r_regionkey", 1), ("fk_customer_nation", "customer", "c_nationkey", "nation", "n_nationkey", 1), ("fk_supplier_nation", "supplier", "s_nationkey", "nation", "n_nationkey", 1),
@@ -113,17 +114,20 @@ define("fk", [], " UNION ALL ".join(
     f"SELECT '{c}' AS constraint_name, '{t}' AS table_name, '{k}' AS column_name, '{rt}' AS referenced_table, '{rc}' AS referenced_column, {p} AS position" for c, t, k, rt, rc, p in FKS))
 # Open orders as sessions that wait for the customer's previous open order
 define("session", [], """
-SELECT concat('db', cast(o_custkey % 2 AS string)) AS db_id, o_orderkey AS process_id, o_custkey, EPOCH_S(o_orderdate) AS start_s,
+SELECT concat('db', cast(cast(floor(o_custkey / 50) AS bigint) AS string)) AS db_id, o_orderkey AS process_id, o_custkey, EPOCH_S(o_orderdate) AS start_s,
   lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS blocker FROM @orders WHERE o_orderstatus = 'O'""")
 # The first two lines of an order as a deadlock
 define("dl_line", [], """
 SELECT * FROM (SELECT l_orderkey AS report_id, l_linenumber AS process_id, l_partkey, l_returnflag, l_linestatus, l_quantity, EPOCH_S(l_shipdate) AS ship_s,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM @lineitem) x WHERE rn <= 2""")
 define("deadlock_trx", ["dl_line"], """
-SELECT a.report_id, a.rn AS process_id, concat('db', cast(a.report_id % 2 AS string)) AS db_id, a.ship_s + a.report_id % 86400 AS at_s, a.report_id % 10 <> 0 AS complete,
+SELECT a.report_id, a.rn AS process_id, concat('db', cast(cast(floor(a.report_id / 1000) AS bigint) AS string)) AS db_id, a.ship_s + a.report_id % 86400 AS at_s, a.report_id % 10 <> 0 AS complete,
   concat('part ', cast(b.l_partkey AS string)) AS waits_for, concat('part ', cast(a.l_partkey AS string)) AS holds, a.report_id % 7 <> 0 AS holds_known,
   CASE a.l_returnflag WHEN 'R' THEN 'S' ELSE 'X' END AS lock_mode, CASE WHEN a.l_linestatus = 'F' THEN 'row' WHEN a.report_id % 2 = 0 THEN 'gap' ELSE 'insert_intention' END AS lock_scope,
-  cast(a.l_quantity AS bigint) AS rows_locked, a.process_id AS undo_entries, a.rn = 2 AS victim, b.rn AS blocked_by
+  cast(a.l_quantity AS bigint) AS rows_locked, a.process_id AS undo_entries, a.rn = 2 AS victim, CASE WHEN a.report_id % 19 = 0 THEN 9 ELSE b.rn END AS blocked_by,
+  CASE WHEN a.report_id % 5 = 0 THEN cast(NULL AS string) WHEN a.report_id % 11 = 0 THEN 'other' ELSE 'public' END AS schema_name, CASE (a.report_id + a.rn) % 6
+  WHEN 0 THEN 'UPDATE orders SET o_clerk = $1 WHERE o_custkey = $2' WHEN 1 THEN 'UPDATE orders SET o_clerk = $1 WHERE (o_clerk = $2 AND o_shippriority >= $3)' WHEN 2 THEN 'DELETE FROM shop.lineitem WHERE l_tax > $1'
+  WHEN 3 THEN 'SELECT * FROM orders WHERE o_clerk = $1 FOR UPDATE' WHEN 4 THEN 'UPDATE orders AS o JOIN customer AS c ON c.c_custkey = o.o_custkey SET o_clerk = $1 WHERE c_name = $2' ELSE 'UPDATE part SET p_name = $1 WHERE LOWER(p_name) = $2' END AS canonic_query
 FROM dl_line a JOIN dl_line b ON a.report_id = b.report_id AND a.rn <> b.rn""")
 # Detections of problems
 define("detection", ["ev"], """

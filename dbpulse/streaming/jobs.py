@@ -7,7 +7,6 @@ result.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.rounds import shared_folder
+
+
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under the checkpoint folder, temporary only where that is unset."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return f"{context._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, under the checkpoint folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_snapshots(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -57,10 +56,20 @@ def dedup_stream(snapshots: DataFrame, key: list[str], at: str, delay: str = "1
 
 
 def late_policy(snapshots: DataFrame, at: str, delay: str = "10 minutes") -> DataFrame:
-    """Rows later than ``delay`` are left out of windows; how many rows came is observed per batch."""
+    """Rows whose window has closed, ``delay`` after its end, are left out; how many rows came is observed per batch.
+
+    What was left out is ``late_rows`` of the arrivals and the windows' counts.
+    """
     return snapshots.observe("arrivals", F.count("*").alias("rows"), F.max(at).alias("newest")).withWatermark(at, delay)
 
 
+def late_rows(arrived: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """``(key, arrived, counted, late)`` of ``arrived(key, n)`` and ``counted(key, n)``: a side count of late rows."""
+    total = lambda df, name: df.groupBy(key).agg(F.sum("n").alias(name))
+    both = total(arrived, "arrived").join(total(counted, "counted"), key, "left").select(key, "arrived", F.coalesce("counted", F.lit(0).cast("long")).alias("counted"))
+    return both.withColumn("late", F.col("arrived") - F.col("counted"))
+
+
 def stream_evaluation(evaluations: DataFrame, at: str, delay: str = "1 hour") -> DataFrame:
     """Windows per ten minutes, rule and state (T07), for update mode."""
     counts = evaluations.withWatermark(at, delay).groupBy(F.window(at, "10 minutes").alias("w"), "db_id", "code", "state").agg(F.count("*").alias("n"))
@@ -79,74 +88,113 @@ def sessions(detections: DataFrame, at: str, gap: str = "30 minutes", delay: str
     return grouped.select("db_id", F.unix_seconds("w.start").alias("start_s"), F.unix_seconds("w.end").alias("end_s"), "n")
 
 
-def stream_baseline(statements: DataFrame, min_calls: int = 5, baseline: int = 60, ratio: float = 2.0, plus_ms: float = 10.0, keep_hours: int = 24) -> DataFrame:
+def _expire(state: GroupState, last_s: int, seconds: int) -> None:
+    """Let the state go once the watermark is ``seconds`` past its last event."""
+    state.setTimeoutTimestamp(max((last_s + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
+
+
+def _timed(rows: DataFrame, delay: str) -> DataFrame:
+    return rows.withColumn("__at", F.timestamp_seconds("at_s")).withWatermark("__at", delay)
+
+
+def _whole(value) -> int | None:
+    return None if pd.isna(value) else int(value)
+
+
+def stream_baseline(statements: DataFrame, min_calls: int = 5, baseline: int = 60, ratio: float = 2.0, plus_ms: float = 10.0, keep_hours: int = 24, delay: str = "1 hour") -> DataFrame:
     """AP-01 incrementally (T04): per fingerprint the last counters and the last ``baseline`` means are kept.
 
     ``statements(db_id, query_id, at_s, calls, time_ms, epoch_s)`` with cumulative counters.
-    Samples older than the last one kept are skipped, idle ones do not advance the state;
-    a silence of more than ``keep_hours`` starts anew.
+    Samples older than the last one kept are skipped, idle ones do not advance the state; a
+    null epoch is unknown: it is no reset and the last known one stays. Samples without
+    calls are skipped; a null time gives no window. A silence of more than ``keep_hours``
+    starts anew; the state is freed when the watermark, ``delay`` behind, has passed it.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = list(state.get) if state.exists else None
         means = list(last[4]) if last else []
         rows = pd.concat(list(batches)).sort_values("at_s")
         out = []
         for at, calls, time, epoch in zip(rows["at_s"], rows["calls"], rows["time_ms"], rows["epoch_s"]):
-            if last is not None and at <= last[0]:
+            at, calls, epoch, time = int(at), _whole(calls), _whole(epoch), None if pd.isna(time) else float(time)
+            if calls is None or (last is not None and at <= last[0]):
                 continue
             if last is not None and at - last[0] > keep_hours * 3600:
                 last, means = None, []
-            if last is not None and calls == last[1] and epoch == last[3]:
+            same = last is not None and (epoch is None or last[3] is None or epoch == last[3])
+            known = epoch if epoch is not None or last is None else last[3]
+            if same and calls == last[1]:
+                last[3] = known
                 continue
-            if last is not None and epoch == last[3]:
-                n, t = int(calls - last[1]), float(time - last[2])
+            if same and time is not None and last[2] is not None:
+                n, t = calls - last[1], time - last[2]
                 if n >= max(1, min_calls) and t >= 0:
                     mean = t / n
                     if len(means) == baseline and (middle := float(np.median(means))) > 0 and mean >= ratio * middle and mean - middle >= plus_ms:
-                        out.append((key[0], key[1], int(at), n, mean, middle))
+                        out.append((key[0], key[1], at, n, mean, middle))
                     means = [*means, mean][-baseline:]
-            last = [int(at), int(calls), float(time), int(epoch)]
+            last = [at, calls, time, known]
         if last is not None:
             state.update((*last[:4], means))
+            _expire(state, last[0], keep_hours * 3600)
         yield pd.DataFrame(out, columns=["db_id", "query_id", "at_s", "n", "mean_ms", "baseline_ms"])
 
-    return statements.groupBy("db_id", "query_id").applyInPandasWithState(
-        step, "db_id string, query_id string, at_s long, n long, mean_ms double, baseline_ms double", "at_s long, calls long, time_ms double, epoch_s long, means array<double>", "append", GroupStateTimeout.NoTimeout
+    return _timed(statements, delay).groupBy("db_id", "query_id").applyInPandasWithState(
+        step, "db_id string, query_id string, at_s long, n long, mean_ms double, baseline_ms double", "at_s long, calls long, time_ms double, epoch_s long, means array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def stream_cascade(roots: DataFrame, age_s: int = 30, wait_s: int = 5, blocked: int = 2, gap_s: int = 60) -> DataFrame:
-    """CT-05 incrementally (T05): a database's last sample, its qualifying roots and what was reported are kept."""
+def stream_cascade(roots: DataFrame, age_s: int = 30, wait_s: int = 5, blocked: int = 2, gap_s: int = 60, keep_hours: int = 24, delay: str = "1 hour") -> DataFrame:
+    """CT-05 incrementally (T05): a database's last sample, its qualifying roots and what was reported are kept.
+
+    A reported transaction is forgotten ``keep_hours`` after it was last a root, and a silent
+    database after as long. Rows with a null time, process or start are skipped.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at0, known, told = state.get if state.exists else (None, [], [])
-        known, told, out = set(known), set(told), []
-        for at, sample in pd.concat(list(batches)).sort_values(["at_s", "pid"]).groupby("at_s"):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at0, known, names, seen = state.get if state.exists else (None, [], [], [])
+        known, told, out = set(known), dict(zip(names, seen)), []
+        rows = pd.concat(list(batches)).dropna(subset=["at_s", "pid", "tx_start_s"])
+        for at, sample in rows.sort_values(["at_s", "pid"]).groupby("at_s"):
             if at0 is not None and at <= at0:
                 continue
             fit = sample[(at - sample.tx_start_s >= age_s) & (sample.n_blocked >= blocked) & (sample.min_wait_s >= wait_s)]
-            now = {f"{p}/{t}": (p, t, w) for p, t, w in zip(fit.pid, fit.tx_start_s, fit.total_wait_s)}
+            now = {f"{int(p)}/{int(t)}": (p, t, w) for p, t, w in zip(fit.pid, fit.tx_start_s, fit.total_wait_s)}
             if at0 is not None and at - at0 <= gap_s:
-                for name in sorted(now.keys() & known - told):
+                for name in sorted(now.keys() & known - told.keys()):
                     p, t, w = now[name]
-                    out.append((key[0], int(p), int(t), int(at), int(w)))
-                    told.add(name)
+                    out.append((key[0], int(p), int(t), int(at), _whole(w)))
+                    told[name] = int(at)
+            for p, t in zip(sample.pid, sample.tx_start_s):
+                if (name := f"{int(p)}/{int(t)}") in told:
+                    told[name] = int(at)
             at0, known = int(at), set(now)
-            told &= set(f"{p}/{t}" for p, t in zip(sample.pid, sample.tx_start_s)) | known | told
-        state.update((at0, sorted(known), sorted(told)))
+            told = {name: last for name, last in told.items() if at0 - last <= keep_hours * 3600}
+        state.update((at0, sorted(known), list(told), list(told.values())))
+        if at0 is not None:
+            _expire(state, at0, keep_hours * 3600)
         yield pd.DataFrame(out, columns=["db_id", "pid", "tx_start_s", "at_s", "impact_s"])
 
-    return roots.groupBy("db_id").applyInPandasWithState(
-        step, "db_id string, pid long, tx_start_s long, at_s long, impact_s long", "at_s long, known array<string>, told array<string>", "append", GroupStateTimeout.NoTimeout
+    return _timed(roots, delay).groupBy("db_id").applyInPandasWithState(
+        step, "db_id string, pid long, tx_start_s long, at_s long, impact_s long", "at_s long, known array<string>, told array<string>, told_s array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def stream_deadlocks(reports: DataFrame, at: str, delay: str = "10 minutes", days: int = 7) -> DataFrame:
-    """Deadlocks seen once within ``delay``, counted per signature, restarting after ``days`` of silence."""
+    """Deadlocks seen once within ``delay``, counted per signature, restarting after ``days`` of silence, which also frees the state."""
     once = dedup_stream(reports, ["db_id", "report_id"], at, delay)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, n = state.get if state.exists else (None, 0)
         out = []
         for at_s, report in sorted((int(a), int(r)) for b in batches for a, r in zip(b["at_s"], b["report_id"])):
@@ -154,8 +202,9 @@ def stream_deadlocks(reports: DataFrame, at: str, delay: str = "10 minutes", day
             last = at_s if last is None else max(last, at_s)
             out.append((key[0], key[1], report, n))
         state.update((last, n))
+        _expire(state, last, days * 86400)
         yield pd.DataFrame(out, columns=["db_id", "signature", "report_id", "occurrence"])
 
     return once.groupBy("db_id", "signature").applyInPandasWithState(
-        step, "db_id string, signature string, report_id long, occurrence long", "last_s long, n long", "append", GroupStateTimeout.NoTimeout
+        step, "db_id string, signature string, report_id long, occurrence long", "last_s long, n long", "append", GroupStateTimeout.EventTimeTimeout
     )
