@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.flatten import fix_leaves
+from .rounds import written
+
 SNAP = ["db_id", "captured_at"]
 
 
@@ -22,26 +25,53 @@ def avoidable_full_scan(windows: DataFrame, ops: DataFrame, tables: DataFrame, l
 
 
 def leading_columns(facts: DataFrame) -> DataFrame:
-    """``(db_id, table_name, column_name)`` that lead a non-partial index."""
-    return facts.filter(~F.col("is_partial")).select("db_id", "table_name", F.col("columns")[0].alias("column_name")).filter("column_name is not null").distinct()
-
-
-def non_sargable(base: DataFrame, leaves: DataFrame, facts: DataFrame) -> DataFrame:
-    """AP-03: a wrapped column of a scanned query that leads an index; one per column."""
-    wrapped = leaves.filter("wrapper != 'none'").select("query_id", "table_name", "column_name", "wrapper")
-    found = base.select("db_id", "query_id", "table_name").distinct().join(wrapped, ["query_id", "table_name"]).join(leading_columns(facts), ["db_id", "table_name", "column_name"])
-    return found.groupBy("db_id", "query_id", "table_name", "column_name").agg(F.min("wrapper").alias("subtype"))
-
-
-def missing_index(base: DataFrame, leaves: DataFrame, facts: DataFrame) -> DataFrame:
-    """AP-04: bare columns of a scanned query that no index leads; suggested index, equality before range."""
-    bare = leaves.filter("wrapper = 'none' and comparator in ('eq', 'in', 'range')").select("query_id", "table_name", "column_name", "comparator")
-    asked = base.select("db_id", "query_id", "table_name").distinct().join(bare, ["query_id", "table_name"])
-    none = asked.join(leading_columns(facts), ["db_id", "table_name", "column_name"], "left_anti")
-    order = F.struct(F.when(F.col("comparator") == "range", 1).otherwise(0).alias("o"), "column_name")
-    grouped = none.groupBy("db_id", "query_id", "table_name").agg(F.array_sort(F.collect_set(order)).alias("c"))
-    columns = F.array_join(F.transform("c", lambda x: x["column_name"]), ", ")
-    return grouped.select("db_id", "query_id", "table_name", columns.alias("columns"), F.concat(F.lit("CREATE INDEX ON "), "table_name", F.lit(" ("), columns, F.lit(")")).alias("suggested_index"))
+    """``(db_id, table_name, column_name, partial_only)``: columns that lead an index; do only partial ones begin with it?"""
+    leads = facts.select("db_id", "table_name", F.col("columns")[0].alias("column_name"), "is_partial").filter("column_name is not null")
+    return leads.groupBy("db_id", "table_name", "column_name").agg(F.bool_and("is_partial").alias("partial_only"))
+
+
+def _to_fix(base: DataFrame, conditions: DataFrame, leads: DataFrame, state) -> DataFrame:
+    """The condition leaves to change for each scanned query, with whether they stand in an OR."""
+    asked = base.select("db_id", "query_id", "table_name").distinct().join(conditions, ["query_id", "table_name"] + (["db_id"] if "db_id" in conditions.columns else []))
+    known = asked.join(leads.withColumn("leads", F.lit(True)), ["db_id", "table_name", "column_name"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+    nodes = known.withColumn("tree", F.struct("db_id", "query_id", "table_name")).withColumn("state", F.when(F.col("kind") == "leaf", state))
+    nodes = written(nodes)
+    return nodes.join(fix_leaves(nodes), ["tree", "node_id"])
+
+
+def non_sargable(base: DataFrame, conditions: DataFrame, facts: DataFrame) -> DataFrame:
+    """AP-03: wrapped columns that lead an index and whose rewrite lets the scan use it; one per column.
+
+    ``conditions(query_id, table_name, node_id, parent_id, level, kind, column_name, wrapper,
+    comparator)`` are the scans' condition trees. ``partial_only``: only partial indexes
+    begin with the column.
+    """
+    can = F.col("leads") & F.col("comparator").isin("eq", "in", "range", "is_null")
+    state = F.when(can & (F.col("wrapper") == "none"), "OK").when(can, "FIX").otherwise("OTHER")
+    found = _to_fix(base, conditions, leading_columns(facts), state)
+    return found.groupBy("db_id", "query_id", "table_name", "column_name").agg(F.min("wrapper").alias("subtype"), F.bool_or("in_or").alias("in_or"), F.bool_and("partial_only").alias("partial_only"))
+
+
+def missing_index(base: DataFrame, conditions: DataFrame, facts: DataFrame) -> DataFrame:
+    """AP-04: bare columns without a leading index that would let the scan use one.
+
+    Equality before range; a column that has both counts as equality. In an OR each branch
+    needs an index of its own (``per_branch``). ``unverified`` are columns of unknown type
+    that are compared with a value: an implicit conversion could not be ruled out.
+    """
+    bare = (F.col("wrapper") == "none") & F.col("comparator").isin("eq", "in", "range", "is_null")
+    state = F.when(bare & F.col("leads"), "OK").when(bare, "FIX").otherwise("OTHER")
+    found = _to_fix(base, conditions, leading_columns(facts).filter("not partial_only"), state)
+    each = found.groupBy("db_id", "query_id", "table_name", "column_name").agg(
+        F.min(F.when(F.col("comparator") == "range", 1).otherwise(0)).alias("o"), F.bool_or("in_or").alias("in_or"), F.bool_or(F.col("data_type").isNull() & (F.col("comparator") != "is_null")).alias("unknown")
+    )
+    grouped = each.groupBy("db_id", "query_id", "table_name").agg(
+        F.array_sort(F.collect_list(F.struct("o", "column_name"))).alias("c"), F.bool_or("in_or").alias("per_branch"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("unknown"), F.col("column_name")))), ", ").alias("unverified")
+    )
+    names = F.transform("c", lambda x: x["column_name"])
+    create = lambda columns: F.concat(F.lit("CREATE INDEX ON "), "table_name", F.lit(" ("), columns, F.lit(")"))
+    suggested = F.when(F.col("per_branch"), F.array_join(F.transform(names, create), "; ")).otherwise(create(F.array_join(names, ", ")))
+    return grouped.select("db_id", "query_id", "table_name", F.array_join(names, ", ").alias("columns"), suggested.alias("suggested_index"), "per_branch", "unverified")
 
 
 def used_indexes(ops: DataFrame, catalog: DataFrame) -> DataFrame:

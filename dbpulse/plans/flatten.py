@@ -2,36 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.rounds import written
+
 # Node types by kind, and access methods.
 SCANS = ["Seq Scan", "Index Scan", "Index Only Scan", "Bitmap Heap Scan", "Bitmap Index Scan"]
 JOINS = ["Nested Loop", "Hash Join", "Merge Join"]
 AGGREGATES = ["Aggregate", "HashAggregate", "GroupAggregate"]
 
 
-def walk(plans: DataFrame, key: str, column: str, children: str, depth: int = 40) -> DataFrame:
-    """``(key, path, node)``: every node of each tree; ``path`` orders nodes as they are written.
+SUBQUERIES = ["subquery", "attached_subqueries", "dependent_subquery"]
+
+
+def _place(pos: str) -> str:
+    """A position that sorts as text: its number of digits before it."""
+    return f"concat(length(cast({pos} AS string)), ':', {pos})"
+
 
-    A recursive query over the array of children named ``children``.
+def _levels(plans: DataFrame, key: str, column: str, step: str) -> DataFrame:
+    """``(key, path, name, node)``: the documents and all that ``step`` reaches from them, level by level until nothing is left.
+
+    Each document is parsed once; a level is written before the next is taken from it, so
+    no depth is too deep and nothing is parsed again.
     """
-    spark = plans.sparkSession
-    rows = plans.select(F.col(key).alias("k"), F.col(column).alias("j"))
-    found = spark.sql(
-        """
-        WITH RECURSIVE n (k, path, depth, node) AS (
-          SELECT k, '0', 0, j FROM {rows} WHERE j IS NOT NULL
-          UNION ALL
-          SELECT k, concat(path, '.', lpad(cast(c.pos AS string), 3, '0')), depth + 1, c.col
-          FROM n LATERAL VIEW posexplode(from_json(get_json_object(node, '$.""" + children + """'), 'array<string>')) c AS pos, col WHERE depth < """ + str(depth) + """)
-        SELECT k, path, node FROM n
-        """,
-        rows=rows,
-    )
+    level = written(plans.select(F.col(key).alias("k"), F.lit("0").alias("path"), F.lit(None).cast("string").alias("name"), F.parse_json(column).alias("node")).filter("node is not null"))
+    found = level
+    while not level.isEmpty():
+        level = written(plans.sparkSession.sql(step, level=level))
+        found = found.unionByName(level)
     return found.withColumnRenamed("k", key)
 
 
+def walk(plans: DataFrame, key: str, column: str, children: str) -> DataFrame:
+    """``(key, path, node)``: every node of each tree; ``path`` orders nodes as they are written.
+
+    ``node`` is a VARIANT; its children are the array called ``children``.
+    """
+    step = f"SELECT k, concat(path, '.', {_place('c.pos')}) AS path, name, c.value AS node FROM {{level}}, LATERAL variant_explode(variant_get(node, '$.{children}', 'variant')) AS c"
+    return _levels(plans, key, column, step).drop("name")
+
+
+def field(name: str, kind: str = "string") -> Column:
+    """A field of the VARIANT column ``node``; null where it is absent or of another kind."""
+    return F.try_variant_get("node", f"$['{name}']", kind)
+
+
 def access_method(node_type: Column, condition: Column) -> Column:
     """Sequential and ALL scans read the table; index scans without condition read the whole index."""
     index = node_type.isin("Index Scan", "Index Only Scan", "Bitmap Heap Scan", "Bitmap Index Scan")
@@ -49,15 +66,14 @@ def and_conditions(a: Column, b: Column) -> Column:
 def flatten_pg_plan(plans: DataFrame, key: str, column: str) -> DataFrame:
     """Operations of PostgreSQL plans (P01): scans, joins, aggregates, sorts in written order."""
     nodes = walk(plans, key, column, "Plans")
-    get = lambda name: F.get_json_object("node", f"$['{name}']")
+    node_type, index_cond = field("Node Type"), F.coalesce(field("Index Cond"), field("Recheck Cond"))
     kind = (
-        F.when(get("Node Type").isin(*SCANS), "scan").when(get("Node Type").isin(*JOINS), "join").when(get("Node Type").isin(*AGGREGATES), "aggregate")
-        .when(get("Node Type") == "Sort", "sort").when(get("Node Type") == "Unique", "distinct").when(get("Node Type") == "Subquery Scan", "subquery")
+        F.when(node_type.isin(*SCANS), "scan").when(node_type.isin(*JOINS), "join").when(node_type.isin(*AGGREGATES), "aggregate")
+        .when(node_type == "Sort", "sort").when(node_type == "Unique", "distinct").when(node_type == "Subquery Scan", "subquery")
     )
     return nodes.select(
-        key, "path", get("Node Type").alias("node_type"), kind.alias("type"), get("Relation Name").alias("table_name"), get("Index Name").alias("index_name"),
-        and_conditions(F.coalesce(get("Index Cond"), get("Recheck Cond")), get("Filter")).alias("predicate"), get("Plan Rows").cast("double").alias("estimated_rows"),
-        access_method(get("Node Type"), F.coalesce(get("Index Cond"), get("Recheck Cond"))).alias("access_method"),
+        key, "path", node_type.alias("node_type"), kind.alias("type"), field("Relation Name").alias("table_name"), field("Index Name").alias("index_name"),
+        and_conditions(index_cond, field("Filter")).alias("predicate"), field("Plan Rows", "double").alias("estimated_rows"), access_method(node_type, index_cond).alias("access_method"),
     ).filter("type is not null")
 
 
@@ -73,23 +89,36 @@ def bitmap_attrib(ops: DataFrame, key: str) -> DataFrame:
 
 
 def flatten_my_plan(plans: DataFrame, key: str, column: str) -> DataFrame:
-    """Table accesses of MySQL plans (P02), in join order, with their row estimates (P06): examined times filtered percent."""
-    block = F.get_json_object(column, "$.query_block")
-    inner = F.coalesce(F.get_json_object(block, "$.grouping_operation"), F.get_json_object(block, "$.ordering_operation"), block)
-    single = F.when(F.get_json_object(inner, "$.table").isNotNull(), F.array(F.to_json(F.struct(F.from_json(F.get_json_object(inner, "$.table"), "map<string,string>").alias("table")))))
-    tables = F.coalesce(F.from_json(F.get_json_object(inner, "$.nested_loop"), "array<string>"), single)
-    rows = plans.select(key, F.posexplode(tables).alias("pos", "t"))
-    get = lambda name: F.get_json_object("t", f"$.table.{name}")
-    return rows.select(
-        key, "pos", get("table_name").alias("table_name"), get("key").alias("index_name"), access_method(get("access_type"), F.lit(None).cast("string")).alias("access_method"),
-        F.coalesce(get("rows_examined_per_scan").cast("double") * get("filtered").cast("double") / 100, get("rows_produced_per_join").cast("double")).alias("estimated_rows"),
-        get("rows_produced_per_join").cast("double").alias("produced"), get("attached_condition").alias("predicate"),
+    """Operations of MySQL plans (P02) with the row estimates of their scans (P06): examined times filtered percent.
+
+    Every key of the document is walked: tables are scans, ``nested_loop`` a join, grouping,
+    ordering and removal of duplicates an aggregate, a sort and a distinct, at any depth and
+    in any order, subqueries too. ``path`` names the keys and positions; ``in_subquery``
+    tells scans of subqueries from those of the statement itself.
+    """
+    step = f"SELECT k, concat(path, '.', coalesce(c.key, {_place('c.pos')})) AS path, c.key AS name, c.value AS node FROM {{level}}, LATERAL variant_explode(node) AS c"
+    nodes = _levels(plans, key, column, step)
+    name = F.col("name")
+    kind = (
+        F.when((name == "table") & field("table_name").isNotNull(), "scan").when(name == "nested_loop", "join").when(name == "grouping_operation", "aggregate")
+        .when(name == "ordering_operation", "sort").when(name == "duplicates_removal", "distinct").when(name.isin(*SUBQUERIES), "subquery")
+    )
+    scan = kind == "scan"
+    examined = F.round(field("rows_examined_per_scan", "double") * field("filtered", "double") / 100, 2)
+    flag = F.when(kind == "aggregate", field("using_temporary_table")).when(kind == "sort", field("using_filesort"))
+    predicate = F.when(scan, and_conditions(field("index_condition"), field("attached_condition"))).otherwise(flag)
+    return nodes.filter(kind.isNotNull()).select(
+        key, "path", kind.alias("type"), field("table_name").alias("table_name"), field("key").alias("index_name"),
+        F.when(scan, access_method(field("access_type"), F.lit(None).cast("string"))).alias("access_method"), predicate.alias("predicate"),
+        F.when(scan, F.coalesce(examined, field("rows_produced_per_join", "double"))).alias("estimated_rows"), F.when(scan, field("rows_produced_per_join", "double")).alias("produced"),
+        F.exists(F.split("path", r"\."), lambda p: p.isin(*SUBQUERIES)).alias("in_subquery"),
     )
 
 
 def output_rows(ops: DataFrame, key: str) -> DataFrame:
-    """Rows that come out of a plan: those of the last table of its loop."""
-    return ops.groupBy(key).agg(F.max_by("produced", "pos").alias("output_rows"), F.sum("estimated_rows").alias("scanned_rows"))
+    """Rows that come out of a plan: those of the last table of the statement's own loop (P06); and what all its scans return."""
+    scans = ops.filter("type = 'scan'")
+    return scans.groupBy(key).agg(F.max_by(F.when(~F.col("in_subquery"), F.col("produced")), F.when(~F.col("in_subquery"), F.col("path"))).alias("output_rows"), F.sum("estimated_rows").alias("scanned_rows"))
 
 
 def logical_shape(ops: DataFrame, key: str) -> DataFrame:
@@ -107,20 +136,53 @@ def best_plan(plans: DataFrame, key: list[str]) -> DataFrame:
     return plans.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(place, "total_cost", "plan_id")).alias("p")).select(*key, "p.*")
 
 
-def usable_tree(nodes: DataFrame, depth: int) -> DataFrame:
-    """Can an index serve a condition tree?
+def node_usability(nodes: DataFrame) -> DataFrame:
+    """Every node of condition trees with ``now`` and ``fixed``: can an index serve it as it is, or with all fixes (P09)?
 
     ``nodes(tree, node_id, parent_id, level, kind, state)``: kind and, or, leaf; a leaf's
-    state is OK, FIX (usable after a rewrite) or OTHER. AND needs one usable child, OR all.
-    Level by level from the deepest of ``depth`` levels, each one aggregate over its
-    parents. Returns ``(tree, usable, fixable)`` of the roots: fixable trees are not usable
-    now but would be with all fixes.
+    state is OK, FIX (usable after a change) or OTHER. AND needs one usable child, OR all.
+    ``has_or`` tells subtrees with an OR. Level by level from the deepest there is.
+    """
+    leaf = F.col("kind") == "leaf"
+    base = nodes.select("tree", "node_id", "parent_id", "level", "kind", "state")
+    deepest = base.agg(F.max("level")).first()[0]
+    found = under = None
+    for level in range(-1 if deepest is None else deepest, -1, -1):
+        here = base.filter(F.col("level") == level)
+        if under is None:
+            joined = here.withColumns({f"{n}_{c}": F.lit(None).cast("boolean") for n in ("any", "all") for c in ("now", "fixed", "has_or")})
+        else:
+            below = under.groupBy("tree", F.col("parent_id").alias("node_id")).agg(*[f(c).alias(f"{n}_{c}") for n, f in (("any", F.bool_or), ("all", F.bool_and)) for c in ("now", "fixed", "has_or")])
+            joined = here.join(below, ["tree", "node_id"], "left")
+        value = lambda c, own: F.coalesce(F.when(leaf, own).when(F.col("kind") == "and", F.col(f"any_{c}")).otherwise(F.col(f"all_{c}")), F.lit(False))
+        under = written(joined.select(
+            "tree", "node_id", "parent_id", "level", "kind", "state", value("now", F.col("state") == "OK").alias("now"), value("fixed", F.col("state").isin("OK", "FIX")).alias("fixed"),
+            (~leaf & ((F.col("kind") == "or") | F.coalesce("any_has_or", F.lit(False)))).alias("has_or"),
+        ))
+        found = under if found is None else found.unionByName(under)
+    return found if found is not None else base.withColumns({c: F.lit(None).cast("boolean") for c in ("now", "fixed", "has_or")})
+
+
+def usable_tree(nodes: DataFrame) -> DataFrame:
+    """``(tree, usable, fixable)`` of the roots (P09): fixable trees are not usable now but would be with all fixes."""
+    return node_usability(nodes).filter("level = 0").select("tree", F.col("now").alias("usable"), (~F.col("now") & F.col("fixed")).alias("fixable"))
+
+
+def fix_leaves(nodes: DataFrame) -> DataFrame:
+    """``(tree, node_id, in_or)``: the leaves to change so that a fixable tree becomes usable.
+
+    Of an OR every branch that is not usable now; of an AND its fixable parts, those without
+    an OR if there are any, since one change is enough there.
     """
-    base = nodes.select("tree", "node_id", "parent_id", "level", "kind", F.when(F.col("kind") == "leaf", F.col("state") == "OK").alias("now"), F.when(F.col("kind") == "leaf", F.col("state").isin("OK", "FIX")).alias("fixed"))
-    done = base.filter(F.col("level") == depth)
-    for level in range(depth - 1, -1, -1):
-        under = done.groupBy("tree", F.col("parent_id").alias("node_id")).agg(*[f(c).alias(f"{n}_{c}") for n, f in (("any", F.bool_or), ("all", F.bool_and)) for c in ("now", "fixed")])
-        here = base.filter(F.col("level") == level).join(under, ["tree", "node_id"], "left")
-        value = lambda c: F.when(F.col("kind") == "leaf", F.col(c)).when(F.col("kind") == "and", F.col(f"any_{c}")).otherwise(F.col(f"all_{c}"))
-        done = here.select("tree", "node_id", "parent_id", "level", "kind", value("now").alias("now"), value("fixed").alias("fixed"))
-    return done.select("tree", F.col("now").alias("usable"), (~F.col("now") & F.col("fixed")).alias("fixable"))
+    known = node_usability(nodes)
+    level = known.filter("level = 0 and not now and fixed").select("tree", "node_id", "kind", F.lit(False).alias("in_or"))
+    found = level.filter("kind = 'leaf'")
+    while True:
+        level = written(level.filter("kind != 'leaf'"))
+        if level.isEmpty():
+            return found.select("tree", "node_id", "in_or")
+        above = level.select("tree", F.col("node_id").alias("parent_id"), F.col("kind").alias("p_kind"), "in_or")
+        children = known.join(above, ["tree", "parent_id"]).withColumn("plain", F.max((F.col("fixed") & ~F.col("has_or")).cast("int")).over(Window.partitionBy("tree", "parent_id")))
+        chosen = F.when(F.col("p_kind") == "or", ~F.col("now")).otherwise(F.col("fixed") & ((F.col("plain") == 0) | ~F.col("has_or")))
+        level = children.filter(chosen).select("tree", "node_id", "kind", (F.col("in_or") | (F.col("p_kind") == "or")).alias("in_or"))
+        found = found.unionByName(level.filter("kind = 'leaf'"))

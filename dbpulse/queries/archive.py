@@ -54,7 +54,7 @@ def q25(spark, sf_dir):
 @query("q26_lost_conditions", PGW + """ SELECT 'cond' AS kind, count(c) AS n, 0 AS lost FROM op WHERE c IS NOT NULL UNION ALL SELECT 'filter', count(f), count(*) FILTER (id % 3 = 0) FROM op WHERE f IS NOT NULL""")
 def q26(spark, sf_dir):
     plans = view(spark, sf_dir, "pg_plan")
-    get = lambda n: F.get_json_object("node", f"$['{n}']")
+    get = flatten.field
     raw = flatten.walk(plans, "id", "plan", "Plans").select("id", "path", F.coalesce(get("Index Cond"), get("Recheck Cond")).alias("cond"), get("Filter").alias("filter"))
     ops = flatten.flatten_pg_plan(plans, "id", "plan").filter("id % 3 > 0")  # as if one vendor's scans had lost theirs
     return quality.lost_conditions(raw, ops, ["id", "path"], ["cond", "filter"])

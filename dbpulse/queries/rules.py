@@ -20,7 +20,7 @@ SELECT o_orderkey AS id, CASE o_orderkey % 3
   WHEN 0 THEN concat('{"Node Type":"Aggregate","Plan Rows":1,"Plans":[{"Node Type":"Hash Join","Plan Rows":', cast(o_custkey AS string), ',"Plans":[{"Node Type":"Seq Scan","Relation Name":"orders","Plan Rows":', cast(o_orderkey AS string), ',"Filter":"(o_total > 1)"},{"Node Type":"Hash","Plans":[{"Node Type":"Index Scan","Relation Name":"customer","Index Name":"customer_pk","Plan Rows":1}]}]}]}')
   WHEN 1 THEN concat('{"Node Type":"Bitmap Heap Scan","Relation Name":"lineitem","Plan Rows":', cast(o_custkey AS string), ',"Recheck Cond":"(l_partkey = 1)","Filter":"(l_tax > 0)","Plans":[{"Node Type":"Bitmap Index Scan","Index Name":"lineitem_part","Plan Rows":7,"Index Cond":"(l_partkey = 1)"}]}')
   ELSE concat('{"Node Type":"Sort","Plan Rows":', cast(o_custkey AS string), ',"Plans":[{"Node Type":"Index Scan","Relation Name":"part","Index Name":"part_pk","Plan Rows":2,"Index Cond":"(p_partkey = 5)"}]}') END AS plan FROM @orders""")
-PG = """nd(k, path, node) AS (SELECT id, '0', plan FROM pg_plan UNION ALL SELECT k, path || '.' || lpad(CAST(c.i - 1 AS VARCHAR), 3, '0'), CAST(json_extract(node, '$.Plans[' || (c.i - 1) || ']') AS VARCHAR)
+PG = """nd(k, path, node) AS (SELECT id, '0', plan FROM pg_plan UNION ALL SELECT k, path || '.' || length(CAST(c.i - 1 AS VARCHAR)) || ':' || (c.i - 1), CAST(json_extract(node, '$.Plans[' || (c.i - 1) || ']') AS VARCHAR)
   FROM nd, LATERAL (SELECT unnest(range(1, cast(coalesce(json_array_length(node, '$.Plans'), 0) AS BIGINT) + 1)) AS i) c),
 op AS (SELECT k AS id, path, json_extract_string(node, '$."Node Type"') AS node_type, json_extract_string(node, '$."Relation Name"') AS table_name, json_extract_string(node, '$."Index Name"') AS index_name,
   CAST(json_extract_string(node, '$."Plan Rows"') AS DOUBLE) AS estimated_rows, coalesce(json_extract_string(node, '$."Index Cond"'), json_extract_string(node, '$."Recheck Cond"')) AS c, json_extract_string(node, '$.Filter') AS f FROM nd),
@@ -57,24 +57,43 @@ def p07(spark, sf_dir):
     return P.logical_shape(pg_ops(spark, sf_dir), "id")
 
 
-define("my_plan", [], """
-SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0
-  THEN concat('{"query_block":{"grouping_operation":{"nested_loop":[{"table":{"table_name":"orders","access_type":"ALL","rows_examined_per_scan":', cast(o_custkey AS string), ',"rows_produced_per_join":', cast(o_custkey % 90 AS string), ',"filtered":"25.00","attached_condition":"(a > 1)"}},{"table":{"table_name":"customer","access_type":"eq_ref","key":"PRIMARY","rows_examined_per_scan":1,"rows_produced_per_join":', cast(o_custkey % 70 AS string), ',"filtered":"100.00"}}]}}}')
-  ELSE concat('{"query_block":{"table":{"table_name":"part","access_type":"index","key":"part_brand","rows_examined_per_scan":', cast(o_orderkey AS string), ',"rows_produced_per_join":', cast(o_custkey AS string), ',"filtered":"10.00"}}}') END AS plan, o_custkey FROM @orders""")
-MY = """mo AS (SELECT id, 0 AS pos, 'orders' AS table_name, NULL AS index_name, 'full_table_scan' AS access_method, o_custkey * 25.0 / 100 AS estimated_rows, CAST(o_custkey % 90 AS DOUBLE) AS produced FROM my_plan WHERE id % 2 = 0
-UNION ALL SELECT id, 1, 'customer', 'PRIMARY', 'index_lookup', 1.0, CAST(o_custkey % 70 AS DOUBLE) FROM my_plan WHERE id % 2 = 0 UNION ALL SELECT id, 0, 'part', 'part_brand', 'full_index_scan', id * 10.0 / 100, CAST(o_custkey AS DOUBLE) FROM my_plan WHERE id % 2 = 1)"""
+T_ORDERS = '{"table":{"table_name":"orders","access_type":"ALL","rows_examined_per_scan\":\', cast(o_custkey AS string), \',"rows_produced_per_join":\', cast(o_custkey % 90 AS string), \',"filtered":"25.00","attached_condition":"(a > 1)","index_condition":"(b = 2)"}}'
+T_CUSTOMER = '{"table":{"table_name":"customer","access_type":"eq_ref","key":"PRIMARY","rows_examined_per_scan":1,"rows_produced_per_join":\', cast(o_custkey % 70 AS string), \',"filtered":"100.00"}}'
+define("my_plan", [], f"""
+SELECT o_orderkey AS id, CASE o_orderkey % 4
+  WHEN 0 THEN concat('{{"query_block":{{"ordering_operation":{{"using_filesort":true,"grouping_operation":{{"using_temporary_table":true,"nested_loop":[{T_ORDERS},{T_CUSTOMER}]}}}}}}}}')
+  WHEN 1 THEN concat('{{"query_block":{{"table":{{"table_name":"part","access_type":"index","key":"part_brand","rows_examined_per_scan":', cast(o_orderkey AS string), ',"rows_produced_per_join":', cast(o_custkey AS string), ',"filtered":"10.00"}}}}}}')
+  WHEN 2 THEN concat('{{"query_block":{{"duplicates_removal":{{"using_temporary_table":true,"nested_loop":[{T_ORDERS},{T_CUSTOMER}]}}}}}}')
+  ELSE concat('{{"query_block":{{"table":{{"table_name":"supplier","access_type":"ref","key":"supplier_nation","rows_produced_per_join":', cast(o_custkey AS string), ',"attached_subqueries":[{{"dependent":true,"query_block":{{"table":{{"table_name":"nation","access_type":"ALL","rows_examined_per_scan":25,"rows_produced_per_join":25,"filtered":"100.00"}}}}}}]}}}}}}') END AS plan, o_custkey FROM @orders""")
+_BLOCK = "0.query_block"
+_OPS = [  # shape, path, type, table, index, access method, predicate, estimated rows, produced rows, in a subquery
+    (0, ".ordering_operation", "sort", None, None, None, "true", "NULL", "NULL", False), (0, ".ordering_operation.grouping_operation", "aggregate", None, None, None, "true", "NULL", "NULL", False),
+    (0, ".ordering_operation.grouping_operation.nested_loop", "join", None, None, None, None, "NULL", "NULL", False),
+    (0, ".ordering_operation.grouping_operation.nested_loop.1:0.table", "scan", "orders", None, "full_table_scan", "((b = 2)) AND ((a > 1))", "round(o_custkey * 25.0 / 100, 2)", "o_custkey % 90", False),
+    (0, ".ordering_operation.grouping_operation.nested_loop.1:1.table", "scan", "customer", "PRIMARY", "index_lookup", None, "1.0", "o_custkey % 70", False),
+    (1, ".table", "scan", "part", "part_brand", "full_index_scan", None, "round(id * 10.0 / 100, 2)", "o_custkey", False),
+    (2, ".duplicates_removal", "distinct", None, None, None, None, "NULL", "NULL", False), (2, ".duplicates_removal.nested_loop", "join", None, None, None, None, "NULL", "NULL", False),
+    (2, ".duplicates_removal.nested_loop.1:0.table", "scan", "orders", None, "full_table_scan", "((b = 2)) AND ((a > 1))", "round(o_custkey * 25.0 / 100, 2)", "o_custkey % 90", False),
+    (2, ".duplicates_removal.nested_loop.1:1.table", "scan", "customer", "PRIMARY", "index_lookup", None, "1.0", "o_custkey % 70", False),
+    (3, ".table", "scan", "supplier", "supplier_nation", "index_lookup", None, "o_custkey", "o_custkey", False), (3, ".table.attached_subqueries", "subquery", None, None, None, None, "NULL", "NULL", True),
+    (3, ".table.attached_subqueries.1:0.query_block.table", "scan", "nation", None, "full_table_scan", None, "25.0", "25", True),
+]
+_text = lambda x: "NULL" if x is None else f"'{x}'"
+MY = "mo AS (" + " UNION ALL ".join(
+    f"SELECT id, '{_BLOCK}{p}' AS path, '{t}' AS type, {_text(n)} AS table_name, {_text(i)} AS index_name, {_text(m)} AS access_method, {_text(c)} AS predicate, CAST({e} AS DOUBLE) AS estimated_rows, CAST({r} AS DOUBLE) AS produced, {q} AS in_subquery FROM my_plan WHERE id % 4 = {k}"
+    for k, p, t, n, i, m, c, e, r, q in _OPS) + ")"
 
 
 def my_ops(spark, sf_dir):
     return P.flatten_my_plan(view(spark, sf_dir, "my_plan"), "id", "plan")
 
 
-@query("p02_flatten_my_plan", ctes("my_plan") + f", {MY} SELECT id, pos, table_name, index_name, access_method FROM mo")
+@query("p02_flatten_my_plan", ctes("my_plan") + f", {MY} SELECT id, path, type, table_name, index_name, access_method, predicate, in_subquery FROM mo")
 def p02(spark, sf_dir):
-    return my_ops(spark, sf_dir).select("id", "pos", "table_name", "index_name", "access_method")
+    return my_ops(spark, sf_dir).select("id", "path", "type", "table_name", "index_name", "access_method", "predicate", "in_subquery")
 
 
-@query("p06_row_estimates", ctes("my_plan") + f", {MY} SELECT id, max_by(produced, pos) AS output_rows, CAST(sum(estimated_rows) AS DOUBLE) AS scanned_rows FROM mo GROUP BY id")
+@query("p06_row_estimates", ctes("my_plan") + f", {MY} SELECT id, max_by(produced, path) FILTER (NOT in_subquery) AS output_rows, sum(estimated_rows) AS scanned_rows FROM mo WHERE type = 'scan' GROUP BY id")
 def p06(spark, sf_dir):
     return P.output_rows(my_ops(spark, sf_dir), "id")
 
@@ -97,7 +116,7 @@ UNION ALL SELECT event_id, 3, 2, 2, 'leaf', CASE user_id % 3 WHEN 0 THEN 'OK' WH
 i AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN b OR c ELSE b AND c END AS n, CASE WHEN user_id % 2 = 0 THEN bf OR cf ELSE bf AND cf END AS nf FROM s),
 r AS (SELECT tree, CASE WHEN k % 2 = 0 THEN a OR n ELSE a AND n END AS usable, CASE WHEN k % 2 = 0 THEN af OR nf ELSE af AND nf END AS fx FROM i) SELECT tree, usable, NOT usable AND fx AS fixable FROM r""")
 def p09(spark, sf_dir):
-    return P.usable_tree(view(spark, sf_dir, "tree_node"), 2)
+    return P.usable_tree(view(spark, sf_dir, "tree_node"))
 
 
 # what the five fingerprints read, filter by equality and how they are planned
@@ -108,14 +127,27 @@ define("equal_col", [], " UNION ALL ".join(f"SELECT '{q}' AS query_id, '{c}' AS
 define("filter_col", ["reads", "equal_col"], "SELECT r.query_id, r.table_name, e.column_name FROM reads r JOIN equal_col e ON r.query_id = e.query_id")
 define("plan_op", ["reads", "db"], """SELECT db_id, query_id, 0 AS op_pos, table_name, CASE WHEN query_id IN ('click', 'view', 'error') THEN 'full_table_scan' ELSE 'index_lookup' END AS access_method,
   CASE WHEN query_id = 'signup' THEN 'supplier_nation' END AS index_name, query_id <> 'error' AS simple FROM reads CROSS JOIN db""")
-define("cond_leaf", ["reads"], """SELECT query_id, table_name, CASE query_id WHEN 'click' THEN 'l_tax' WHEN 'view' THEN 'o_custkey' ELSE 'c_nationkey' END AS column_name, CASE query_id WHEN 'view' THEN 'function' ELSE 'none' END AS wrapper, 'range' AS comparator FROM reads
-UNION ALL SELECT query_id, table_name, CASE query_id WHEN 'click' THEN 'l_discount' ELSE 'o_totalprice' END, 'none', 'eq' FROM reads""")
+# condition trees of the two scanned queries, in three shapes by database
+_N = "cast(replace(db_id, 'db', '') AS bigint) % 3"
+_COND = [  # shape, query, table, node, parent, level, kind, column, wrapper, comparator, type
+    (0, "click", "lineitem", 0, -1, 0, "and", None, None, None, None), (0, "click", "lineitem", 1, 0, 1, "leaf", "l_tax", "none", "range", None), (0, "click", "lineitem", 2, 0, 1, "or", None, None, None, None),
+    (0, "click", "lineitem", 3, 2, 2, "leaf", "l_discount", "none", "eq", "numeric"), (0, "click", "lineitem", 4, 2, 2, "leaf", "l_partkey", "none", "eq", "int"),
+    (0, "view", "orders", 0, -1, 0, "or", None, None, None, None), (0, "view", "orders", 1, 0, 1, "leaf", "o_custkey", "function", "eq", "int"), (0, "view", "orders", 2, 0, 1, "leaf", "o_orderdate", "function", "range", "date"),
+    (1, "click", "lineitem", 0, -1, 0, "or", None, None, None, None), (1, "click", "lineitem", 1, 0, 1, "leaf", "l_tax", "none", "range", "numeric"), (1, "click", "lineitem", 2, 0, 1, "and", None, None, None, None),
+    (1, "click", "lineitem", 3, 2, 2, "leaf", "l_comment", "none", "like", "text"), (1, "click", "lineitem", 4, 2, 2, "leaf", "l_discount", "none", "eq", None), (1, "view", "orders", 0, -1, 0, "leaf", "o_custkey", "arithmetic", "range", "int"),
+    (2, "click", "lineitem", 0, -1, 0, "or", None, None, None, None), (2, "click", "lineitem", 1, 0, 1, "leaf", "l_comment", "none", "like", "text"), (2, "click", "lineitem", 2, 0, 1, "leaf", "l_discount", "none", "eq", "numeric"),
+    (2, "view", "orders", 0, -1, 0, "and", None, None, None, None), (2, "view", "orders", 1, 0, 1, "leaf", "o_custkey", "none", "eq", "int"), (2, "view", "orders", 2, 0, 1, "leaf", "o_orderdate", "cast", "range", "date"),
+]
+_cast = lambda x: "cast(NULL AS string)" if x is None else f"'{x}'"
+define("cond_node", ["db"], " UNION ALL ".join(
+    f"SELECT db_id, '{q}' AS query_id, '{t}' AS table_name, {n} AS node_id, {p} AS parent_id, {l} AS level, '{k}' AS kind, {_cast(c)} AS column_name, {_cast(w)} AS wrapper, {_cast(o)} AS comparator, {_cast(d)} AS data_type FROM db WHERE {_N} = {i}"
+    for i, q, t, n, p, l, k, c, w, o, d in _COND))
 ROWS = f"""{DB_BEFORE}, rw0 AS (SELECT db_id, query_id, captured_at, lag(captured_at) {LAG} IS NULL AS is_new, coalesce(counters_epoch <> lag(counters_epoch IGNORE NULLS) {LAG}, false) AS reset, {ADMITTED.format(s=21600)} AS admitted,
   execution_count - coalesce(lag(execution_count) {LAG}, 0) AS calls, rows_returned - coalesce(lag(rows_returned) {LAG}, 0) AS rows FROM stmt JOIN caps USING (db_id, captured_at)),
 rw AS (SELECT db_id, query_id, captured_at, calls, rows FROM rw0 WHERE NOT reset AND (NOT is_new OR admitted) AND calls > 0 AND rows >= 0)"""
 SCAN = f"""{ROWS}, fs AS (SELECT w.db_id, w.captured_at, w.query_id, o.table_name, t.live_rows, w.calls, w.rows / w.calls / t.live_rows AS selectivity FROM rw w JOIN plan_op o USING (db_id, query_id) JOIN table_stats t ON t.db_id = w.db_id AND t.table_name = o.table_name
   WHERE simple AND access_method = 'full_table_scan' AND live_rows >= 1000 AND w.calls >= 2 AND w.rows / w.calls / t.live_rows <= 0.1)"""
-BASE = ctes("stmt", "plan_op", "table_stats", "cond_leaf", "index_catalog") + f", {SCAN}, {FACTS}, ld AS (SELECT DISTINCT db_id, table_name, columns[1] AS column_name FROM fa WHERE NOT is_partial AND columns[1] IS NOT NULL), bs AS (SELECT DISTINCT db_id, query_id, table_name FROM fs)"
+BASE = ctes("stmt", "plan_op", "table_stats", "cond_node", "index_catalog") + f", {SCAN}, {FACTS}, ld AS (SELECT DISTINCT db_id, table_name, columns[1] AS column_name FROM fa WHERE NOT is_partial AND columns[1] IS NOT NULL), bs AS (SELECT DISTINCT db_id, query_id, table_name FROM fs)"
 
 
 def rows(spark, sf_dir):
@@ -135,15 +167,18 @@ def d02(spark, sf_dir):
     return scans(spark, sf_dir)
 
 
-@query("d03_non_sargable", BASE + " SELECT db_id, query_id, table_name, column_name, min(wrapper) AS subtype FROM bs JOIN cond_leaf USING (query_id, table_name) JOIN ld USING (db_id, table_name, column_name) WHERE wrapper <> 'none' GROUP BY ALL")
+# worked out by hand for each shape: of an OR every wrapped branch, nothing where a bare column already leads an index
+@query("d03_non_sargable", BASE + f""", a(n, column_name, subtype, in_or, partial_only) AS (VALUES (0, 'o_custkey', 'function', true, false), (0, 'o_orderdate', 'function', true, true), (1, 'o_custkey', 'arithmetic', false, false))
+SELECT db_id, query_id, table_name, column_name, subtype, in_or, partial_only FROM bs JOIN a ON {_N} = n WHERE query_id = 'view'""")
 def d03(spark, sf_dir):
-    return D.non_sargable(scans(spark, sf_dir), view(spark, sf_dir, "cond_leaf"), facts(spark, sf_dir))
+    return D.non_sargable(scans(spark, sf_dir), view(spark, sf_dir, "cond_node"), facts(spark, sf_dir))
 
 
-@query("d04_missing_index", BASE + """, a AS (SELECT DISTINCT db_id, query_id, table_name, column_name, CASE comparator WHEN 'range' THEN 1 ELSE 0 END AS o FROM bs JOIN cond_leaf USING (query_id, table_name) WHERE wrapper = 'none' AND (db_id, table_name, column_name) NOT IN (SELECT db_id, table_name, column_name FROM ld)),
-g AS (SELECT db_id, query_id, table_name, string_agg(column_name, ', ' ORDER BY o, column_name) AS columns FROM a GROUP BY ALL) SELECT *, 'CREATE INDEX ON ' || table_name || ' (' || columns || ')' AS suggested_index FROM g""")
+# of an AND the part without OR; of an OR an index for each branch; nothing where one branch cannot be helped
+@query("d04_missing_index", BASE + f""", a(n, columns, suggested_index, per_branch, unverified) AS (VALUES (0, 'l_tax', 'CREATE INDEX ON lineitem (l_tax)', false, 'l_tax'),
+  (1, 'l_discount, l_tax', 'CREATE INDEX ON lineitem (l_discount); CREATE INDEX ON lineitem (l_tax)', true, 'l_discount')) SELECT db_id, query_id, table_name, columns, suggested_index, per_branch, unverified FROM bs JOIN a ON {_N} = n WHERE query_id = 'click'""")
 def d04(spark, sf_dir):
-    return D.missing_index(scans(spark, sf_dir), view(spark, sf_dir, "cond_leaf"), facts(spark, sf_dir))
+    return D.missing_index(scans(spark, sf_dir), view(spark, sf_dir, "cond_node"), facts(spark, sf_dir))
 
 
 USED = "us AS (SELECT DISTINCT c.db_id, c.table_name, c.index_name FROM index_catalog c JOIN plan_op o ON o.db_id = c.db_id AND o.table_name = c.table_name AND o.index_name = c.index_name)"

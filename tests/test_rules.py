@@ -86,7 +86,7 @@ def test_condition_tree_and_needs_one_or_needs_all(spark):
     def tree(kind, a, b):
         rows = [(1, 0, -1, 0, kind, None), (1, 1, 0, 1, "leaf", a), (1, 2, 0, 1, "leaf", b)]
         df = spark.createDataFrame(rows, "tree int, node_id int, parent_id int, level int, kind string, state string")
-        return tuple(usable_tree(df, 1).first())[1:]
+        return tuple(usable_tree(df).first())[1:]
 
     assert tree("and", "OK", "OTHER") == (True, False)
     assert tree("or", "OK", "OTHER") == (False, False)
