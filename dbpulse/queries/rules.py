@@ -293,20 +293,78 @@ def d11(spark, sf_dir):
     return D.findings_by_rule(everything(spark, sf_dir))
 
 
-define("section", ["stmt"], """SELECT DISTINCT db_id, captured_at, s.section, CASE WHEN (execution_count + s.n) % 11 = 0 THEN 'failed' WHEN (execution_count + s.n) % 13 = 0 THEN 'empty' ELSE 'ok' END AS status
-FROM stmt CROSS JOIN (SELECT 'statements' AS section, 0 AS n UNION ALL SELECT 'plans', 3 UNION ALL SELECT 'indexes', 5 UNION ALL SELECT 'locks', 8) s WHERE query_id = 'click'""")
-define("section_issue", ["section"], "SELECT db_id, captured_at, section, CASE WHEN section = 'plans' THEN 'TIMEOUT' ELSE 'PERMISSION_DENIED' END AS code FROM section WHERE status <> 'ok' AND section <> 'locks'")
-NEEDS = [("AP-01", "statements", True), ("AP-02", "statements", True), ("AP-02", "plans", True), ("AP-05", "indexes", True), ("AP-05", "statements", False), ("CT-05", "locks", True)]
-NEED_SQL = "rq(code, section, mandatory) AS (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in NEEDS) + ")"
-REASON = f"{NEED_SQL}, rs AS (SELECT DISTINCT s.db_id, s.captured_at, s.section, coalesce(i.code, 'unread') AS reason FROM section s LEFT JOIN section_issue i ON i.db_id = s.db_id AND i.captured_at = s.captured_at AND i.section = s.section WHERE status = 'failed')"
-STATES = f"""{REASON}, bd AS (SELECT db_id, captured_at, rq.code, max(CASE WHEN mandatory THEN 2 ELSE 1 END) AS r, string_agg(DISTINCT reason, ',' ORDER BY reason) AS sg FROM rs JOIN rq USING (section) GROUP BY ALL),
-st AS (SELECT g.db_id, g.captured_at, g.code, CASE r WHEN 2 THEN 'not_evaluated' WHEN 1 THEN 'partial' ELSE 'evaluated' END AS state, coalesce(sg, '') AS signature FROM (SELECT DISTINCT s.db_id, s.captured_at, rq.code FROM section s CROSS JOIN rq) g LEFT JOIN bd USING (db_id, captured_at, code))"""
-COV = ctes("stmt", "section", "section_issue")
+SECTIONS = [("statements", 0), ("tables", 3), ("indexes", 5), ("columns", 7), ("foreign_keys", 8), ("server_start_timestamp", 10), ("active_queries", 2)]
+define("snap_fact", ["stmt"], """SELECT db_id, captured_at, execution_count AS x, execution_count % 5 AS n_statements, execution_count % 3 AS n_baseline, 4 AS candidates, execution_count % 5 AS without_plan,
+  3 AS q_candidates, execution_count % 2 AS q_without_plan, execution_count % 3 AS q_without_rows, execution_count % 4 = 0 AS fresh, execution_count % 6 AS foreign_keys FROM stmt WHERE query_id = 'click'""")
+define("section", ["snap_fact"], "SELECT db_id, captured_at, s.section, CASE WHEN (x + s.n) % 11 = 0 THEN 'failed' WHEN (x + s.n) % 13 = 0 THEN 'empty' ELSE 'ok' END AS status FROM snap_fact CROSS JOIN ("
+  + " UNION ALL ".join(f"SELECT '{s}' AS section, {n} AS n" for s, n in SECTIONS) + ") s")
+CODES = ["PERFORMANCE_SCHEMA_OFF", "PS_CONSUMER_DISABLED", "EXPLAIN_FAILED", "QUERY_TEXT_TRUNCATED", "AUTO_EXPLAIN_LOG_UNAVAILABLE", "TRACK_COUNTS_OFF", "DEADLOCK_REPORTS_UNAVAILABLE", "DEADLOCK_REPORTS_PARTIAL", "DEADLOCK_ROW_WAITS_UNLOGGED", "MISSING_PROCESS_PRIVILEGE", "MISSING_PG_READ_ALL_STATS"]
+define("section_issue", ["section", "snap_fact"], "SELECT db_id, captured_at, section, CASE WHEN section = 'tables' THEN 'TIMEOUT' ELSE 'PERMISSION_DENIED' END AS code FROM section WHERE status <> 'ok' AND section <> 'active_queries' UNION ALL SELECT db_id, captured_at, '', c.code FROM snap_fact JOIN ("
+  + " UNION ALL ".join(f"SELECT '{c}' AS code, {i} AS i" for i, c in enumerate(CODES)) + ") c ON (x + 2 * c.i) % 7 = 0")
+REASON = "rs AS (SELECT DISTINCT s.db_id, s.captured_at, s.section, coalesce(i.code, 'unread') AS reason FROM section s LEFT JOIN section_issue i ON i.db_id = s.db_id AND i.captured_at = s.captured_at AND i.section = s.section WHERE status = 'failed')"
+
+
+def _reasons() -> str:
+    """Every reason of every rule as rows: b blinds, e blinds if nothing else does, p makes partial; d: findings go."""
+    statement_rules = [f"AP-0{i}" for i in range(1, 9)]
+    out = []
+
+    def section(rules, names, kind, discard):
+        out.append(f"SELECT db_id, captured_at, r.code, '{kind}' AS kind, reason || '@' || section AS reason, {discard} AS d FROM rs, (SELECT unnest({rules}) AS code) r WHERE list_contains({names}, section)")
+
+    def issue(rules, names, kind, where="true", default=None):
+        joined = f"SELECT f.db_id, f.captured_at, r.code, '{kind}', i.code, false FROM snap_fact f JOIN section_issue i USING (db_id, captured_at), (SELECT unnest({rules}) AS code) r WHERE list_contains({names}, i.code) AND ({where})"
+        out.append(joined)
+        if default:
+            out.append(f"SELECT db_id, captured_at, r.code, '{kind}', '{default}', false FROM snap_fact f, (SELECT unnest({rules}) AS code) r WHERE ({where}) AND NOT EXISTS (SELECT 1 FROM section_issue i WHERE i.db_id = f.db_id AND i.captured_at = f.captured_at AND list_contains({names}, i.code))")
+
+    def fact(rule, kind, reason, where):
+        out.append(f"SELECT db_id, captured_at, '{rule}', '{kind}', '{reason}', false FROM snap_fact WHERE {where}")
+
+    section(statement_rules, ["statements"], "b", "true")
+    issue(statement_rules, ["PERFORMANCE_SCHEMA_OFF", "MISSING_PG_READ_ALL_STATS"], "b")
+    issue(statement_rules, ["PS_CONSUMER_DISABLED"], "b", "n_statements = 0")
+    issue(statement_rules, ["PS_CONSUMER_DISABLED"], "p", "n_statements > 0")
+    fact("AP-01", "e", "BASELINE_BUILDING", "n_baseline = 0")
+    section(["AP-02", "AP-03", "AP-04"], ["tables"], "b", "true")
+    section(["AP-03", "AP-04"], ["indexes"], "b", "true")
+    section(["AP-04"], ["columns"], "p", "false")
+    plans = ["EXPLAIN_FAILED", "QUERY_TEXT_TRUNCATED"]
+    issue(["AP-02", "AP-03", "AP-04"], plans, "e", "without_plan = candidates", "NO_PLAN")
+    issue(["AP-02", "AP-03", "AP-04"], plans, "p", "without_plan > 0 AND without_plan < candidates", "NO_PLAN")
+    section(["AP-05"], ["indexes", "server_start_timestamp", "foreign_keys"], "b", "true")
+    out.append("SELECT db_id, captured_at, 'AP-05', 'b', code, true FROM section_issue WHERE code = 'TRACK_COUNTS_OFF'")
+    fact("AP-05", "p", "SHORT_STATS_WINDOW", "fresh")
+    section(["AP-06"], ["foreign_keys"], "b", "true")
+    fact("AP-06", "e", "NO_FOREIGN_KEYS", "foreign_keys = 0")
+    for kind, where in (("e", "q_without_plan + q_without_rows = q_candidates"), ("p", "q_without_plan + q_without_rows <> q_candidates")):
+        issue(["AP-08"], plans, kind, f"q_without_plan > 0 AND {where}", "NO_PLAN")
+        issue(["AP-08"], ["AUTO_EXPLAIN_LOG_UNAVAILABLE"], kind, f"q_without_rows > 0 AND {where}", "NO_REAL_ROWS")
+    deadlocks = [f"CT-0{i}" for i in range(1, 5)]
+    issue(deadlocks, ["DEADLOCK_REPORTS_UNAVAILABLE"], "b")
+    issue(deadlocks, ["DEADLOCK_REPORTS_PARTIAL"], "p")
+    issue(["CT-01", "CT-02"], ["DEADLOCK_ROW_WAITS_UNLOGGED"], "p")
+    section(["CT-04"], ["indexes"], "b", "true")
+    section(["CT-05"], ["active_queries"], "b", "true")
+    issue(["CT-05"], ["MISSING_PROCESS_PRIVILEGE", "MISSING_PG_READ_ALL_STATS"], "b")
+    return " UNION ALL ".join(out)
+
+
+RULES = [*(f"AP-0{i}" for i in range(1, 9)), *(f"CT-0{i}" for i in range(1, 6))]
+STATES = f"""{REASON}, rr AS ({_reasons()}), rk AS (SELECT *, bool_or(kind = 'b') OVER (PARTITION BY db_id, captured_at, code) AS has_b FROM rr),
+ef AS (SELECT db_id, captured_at, code, reason, d, CASE WHEN kind = 'p' THEN 'p' ELSE 'b' END AS kind FROM rk WHERE kind <> 'e' OR NOT has_b),
+ag AS (SELECT db_id, captured_at, code, bool_or(kind = 'b') AS blind, bool_or(d) AS d, string_agg(DISTINCT reason, ',' ORDER BY reason) FILTER (kind = 'b') AS sb, string_agg(DISTINCT reason, ',' ORDER BY reason) FILTER (kind = 'p') AS sp FROM ef GROUP BY 1, 2, 3),
+st AS (SELECT g.db_id, g.captured_at, g.code, CASE WHEN blind THEN 'not_evaluated' WHEN sp IS NOT NULL THEN 'partial' ELSE 'evaluated' END AS state, CASE WHEN blind THEN sb ELSE coalesce(sp, '') END AS signature, coalesce(blind AND d, false) AS discard
+  FROM (SELECT f.db_id, f.captured_at, r.code FROM snap_fact f, (SELECT unnest({RULES}) AS code) r) g LEFT JOIN ag USING (db_id, captured_at, code))"""
+COV = ctes("stmt", "section", "section_issue", "snap_fact")
+
+
+def snaps(spark, sf_dir):
+    return E.snapshots(view(spark, sf_dir, "section"), view(spark, sf_dir, "section_issue"), view(spark, sf_dir, "snap_fact"))
 
 
 def states(spark, sf_dir):
-    needs = spark.createDataFrame(NEEDS, "code string, section string, mandatory boolean")
-    return E.evaluate(view(spark, sf_dir, "section"), needs, view(spark, sf_dir, "section_issue"))
+    return E.evaluate(snaps(spark, sf_dir))
 
 
 @query("e01_section_reasons", COV + f", {REASON} SELECT * FROM rs")
@@ -332,15 +390,32 @@ def e04(spark, sf_dir):
     return E.baseline_ready(st, 60)
 
 
-for _name, _codes in (("e05_full_scan_state", ["AP-02"]), ("e06_ap_states", ["AP-01", "AP-05"]), ("e07_ct_states", ["CT-05"]), ("e08_evaluate", ["AP-01", "AP-02", "AP-05", "CT-05"])):
+def of(codes):
+    return COV + f", {STATES} SELECT * FROM st WHERE list_contains({codes}, code)"
 
-    @query(_name, COV + f", {STATES} SELECT * FROM st WHERE list_contains({_codes}, code)")
-    def _state(spark, sf_dir, codes=_codes):
-        return states(spark, sf_dir).filter(F.col("code").isin(codes))
+
+@query("e05_full_scan_state", of(["AP-02", "AP-03", "AP-04"]))
+def e05(spark, sf_dir):
+    return E.full_scan_states(snaps(spark, sf_dir))
+
+
+@query("e06_ap_states", of(["AP-05", "AP-06", "AP-07", "AP-08"]))
+def e06(spark, sf_dir):
+    return E.ap_states(snaps(spark, sf_dir))
+
+
+@query("e07_ct_states", of([f"CT-0{i}" for i in range(1, 6)]))
+def e07(spark, sf_dir):
+    return E.ct_states(snaps(spark, sf_dir))
+
+
+@query("e08_evaluate", of(RULES))
+def e08(spark, sf_dir):
+    return states(spark, sf_dir)
 
 
 @query("e09_drop_unreliable", COV + f""", {STATES}, f AS (SELECT db_id, captured_at, query_id, CASE execution_count % 2 WHEN 0 THEN 'AP-02' ELSE 'AP-01' END AS code FROM stmt)
-SELECT f.*, st.state IS DISTINCT FROM 'not_evaluated' AS kept FROM f LEFT JOIN st USING (db_id, captured_at, code)""")
+SELECT f.*, NOT coalesce(st.discard, false) AS kept FROM f LEFT JOIN st USING (db_id, captured_at, code)""")
 def e09(spark, sf_dir):
     code = F.when(F.col("execution_count") % 2 == 0, "AP-02").otherwise("AP-01")
     found = view(spark, sf_dir, "stmt").select("db_id", "captured_at", "query_id", code.alias("code"))
