@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from dbpulse.functions import text as T
 from dbpulse.operators import antipatterns, baseline, candidates, contention, health, quality, reports, windows
-from dbpulse.plans.flatten import and_conditions, usable_tree
+from dbpulse.plans.flatten import and_conditions, fix_leaves, flatten_pg_plan, usable_tree
+from dbpulse.streaming import jobs
 
 AT = dt.datetime(2024, 1, 1)
 
@@ -141,3 +142,128 @@ def test_empty_findings_give_empty_reports(spark):
     none = spark.createDataFrame([], "db_id string, rule string, finding_key string, detected_at timestamp_ntz, detection_id long, severity string, impact_ms double, table_name string, evidence string")
     assert reports.fold_problems(none).count() == 0
     assert reports.severity_breakdown(none).count() == 0
+
+
+# ---- no caps: one past the limits that once were -------------------------------------
+
+
+def test_audit_finds_every_marker(spark):
+    markers = [f"marker number {i:05d}." for i in range(1_500)]
+    rows = spark.createDataFrame([(i, f"it's \"{m}\"\n") for i, m in enumerate(markers)] + [(9_999, None)], "id long, text string")
+    asked = spark.createDataFrame([(m,) for m in [*markers, "absent", "", None, 's "marker number 00007."\n']], "marker string")
+    got = T.leak_audit({"t": rows}, asked)
+    assert got.count() == 1_501 and got.agg(F.sum("n")).first()[0] == 1_501
+
+
+def test_wait_chains_of_any_length(spark):
+    chain = spark.createDataFrame([("db", i + 1, i) for i in range(130)] + [("db", 500, 501), ("db", 501, 500)], "db_id string, waiter long, blocker long")
+    got = {(r.root, r.member): r.depth for r in contention.blocked_under(chain).collect()}
+    assert got == {(0, i): i for i in range(1, 131)}
+    assert contention.blocked_under(chain.limit(0)).count() == 0
+
+
+def test_plans_of_any_depth_and_width(spark):
+    deep, depth = '{"Node Type":"Seq Scan","Relation Name":"t"}', 55
+    for _ in range(depth):
+        deep = '{"Node Type":"Sort","Plans":[' + deep + "]}"
+    wide = '{"Node Type":"Aggregate","Plans":[' + ",".join(f'{{"Node Type":"Seq Scan","Relation Name":"t{i}"}}' for i in range(1_200)) + "]}"
+    df = spark.createDataFrame([(1, deep), (2, wide), (3, None)], "id int, plan string")
+    ops = flatten_pg_plan(df, "id", "plan").orderBy("id", "path").collect()
+    assert sum(r.id == 1 for r in ops) == depth + 1
+    assert [r.table_name for r in ops if r.id == 2 and r.type == "scan"] == [f"t{i}" for i in range(1_200)]
+
+
+def test_condition_trees_of_any_depth_and_their_leaves(spark):
+    rows = []
+    for level in range(0, 8, 2):  # an AND over a useless leaf and an OR, which is over a fixable leaf and the next AND
+        n = 2 * level
+        rows += [(1, n, n - 1 if level else -1, level, "and", None), (1, n + 2, n, level + 1, "leaf", "OTHER"), (1, n + 3, n, level + 1, "or", None), (1, n + 1, n + 3, level + 2, "leaf", "FIX")]
+    rows.append((1, 100, 15, 8, "leaf", "FIX"))
+    df = spark.createDataFrame([r if r[2] != r[1] - 1 else (*r[:2], r[1] - 1, *r[3:]) for r in rows], "tree int, node_id int, parent_id int, level int, kind string, state string")
+    assert tuple(usable_tree(df).first()) == (1, False, True)
+    assert sorted(r.node_id for r in fix_leaves(df).collect()) == [1, 5, 9, 13, 100]
+    plain = spark.createDataFrame([(1, 0, -1, 0, "and", None), (1, 1, 0, 1, "leaf", "FIX"), (1, 2, 0, 1, "or", None), (1, 3, 2, 2, "leaf", "FIX"), (1, 4, 2, 2, "leaf", "OK")], df.schema)
+    assert [(r.node_id, r.in_or) for r in fix_leaves(plain).collect()] == [(1, False)]
+    assert fix_leaves(df.limit(0)).count() == 0
+
+
+def test_markers_nest_to_any_depth(spark):
+    one = lambda expr: spark.range(1).select(expr.alias("x")).first().x
+    deep = "x"
+    for i in range(15):
+        deep = f"<{'abc'[i % 3]}>(({deep}) = 1)"
+    assert one(T.strip_markers(F.lit(f"a = {deep} and (b)"))) == "a = NULL and (b)"
+    assert one(T.clean_my_predicate(F.lit("<not>(<cache>((a + <if>(b))))"))) == "NOT ((a + b))"
+    assert one(T.clean_my_predicate(F.lit("<odd>(a)"))) is None
+
+
+# ---- deadlock patterns ----------------------------------------------------------------
+
+
+def deadlock(spark, members, locks, leads=()):
+    """The rule of one report: members (pid, blocked_by, rows_locked, undo, query), locks (pid, role, target, mode, scope)."""
+    trx = spark.createDataFrame([(1, "db", p, True, b, True, r, u, None, q) for p, b, r, u, q in members], "report_id long, db_id string, process_id long, complete boolean, blocked_by long, holds_known boolean, rows_locked long, undo_entries long, schema_name string, canonic_query string")
+    held = spark.createDataFrame([(1, *x) for x in locks], "report_id long, process_id long, role string, target string, mode string, scope string")
+    known = spark.createDataFrame(list(leads), "db_id string, schema_name string, table_name string, column_name string")
+    found = contention.classify_deadlocks(contention.pattern_flags(contention.amplifying_statements(trx, known), held))
+    return found.first().rule
+
+
+def two(first, second, rows=1, query=None):
+    return [(1, 2, rows, 1, query), (2, 1, 1, 1, None)], [(1, "hold", *first[0]), (1, "wait", *first[1]), (2, "hold", *second[0]), (2, "wait", *second[1])]
+
+
+def test_deadlock_patterns(spark):
+    a, b = ("7:1:2", "X", "row"), ("7:1:3", "X", "row")
+    assert deadlock(spark, *two((a, b), (b, a))) == "CT-01"
+    s = ("7:1:2", "S", "row")
+    assert deadlock(spark, *two((s, a), (s, a))) == "CT-02"
+    assert deadlock(spark, *two((s, a), (a, a))) is None  # one of them did not hold it shared
+    gap, insert = ("7:1:1", "X", "gap"), ("7:1:1", "X", "insert_intention")
+    assert deadlock(spark, *two((gap, insert), (gap, insert))) == "CT-03"
+    unknown = (None, "X", "row")
+    assert deadlock(spark, *two((a, unknown), (b, a))) == "CT"
+    update = "UPDATE orders SET state = $1 WHERE client = $2"
+    assert deadlock(spark, *two((a, b), (b, a), 10, update)) == "CT-04"
+    assert deadlock(spark, *two((a, b), (b, a), 9, update)) == "CT-01"
+    assert deadlock(spark, *two((a, b), (b, a), 10, update), [("db", "x", "orders", "client")]) is None
+    assert deadlock(spark, *two((a, b), (b, a), 10, "SELECT * FROM orders WHERE client = $1 FOR UPDATE")) is None
+    assert deadlock(spark, *two((a, b), (b, a), 10, "UPDATE orders SET state = $1 WHERE lower(state) = $2")) is None
+    members, locks = two((a, b), (b, a))
+    assert deadlock(spark, [members[0], (2, 999, 1, 1, None)], locks) is None
+
+
+def test_same_victim_at_exact_times_is_another_deadlock(spark):
+    def kept(*times, source="innodb_status"):
+        rows = [("db", i, 5, int(t * 1_000_000), True, source) for i, t in enumerate(times)]
+        return sorted(r.report_id for r in contention.dedup_deadlocks(spark.createDataFrame(rows, "db_id string, report_id long, victim_pid long, at_us long, complete boolean, source string")).collect())
+
+    assert kept(10.1, 12.1, 14.1, 16.1, 18.1) == [0, 1, 2, 3, 4]
+    assert kept(10.1, 11.0, 12.5) == [0, 2]
+    assert kept(10.0, 11.5, 13.0) == [0, 2]  # the third is held against what stayed
+    assert kept(10.1, 11.0, source="postgres_log") == [0, 1]
+    assert kept(10.1, 10.1) == [0]
+
+
+# ---- windows and streams with unknown epochs ------------------------------------------
+
+
+def test_reset_is_seen_across_an_unknown_epoch(spark):
+    later = AT + dt.timedelta(hours=1)
+    st = samples(spark, [(10, 100.0, 1, 0, None, AT), (12, 120.0, 1, 0, None, None), (17, 150.0, 1, 0, None, later)])
+    assert [r.calls for r in windows.delta_windows(st).orderBy("captured_at").collect()] == [None, 2, None]
+
+
+def test_stream_takes_null_epochs_times_and_calls(spark):
+    rows = [("db", "q", 3600 * i, 10 * i, 100.0 * i, None if i % 3 else 5) for i in range(1, 12)] + [("db", "q", 3600 * 12, None, 1.0, 5), ("db", "q", 3600 * 13, 120, None, None), ("db", "q", 3600 * 14, 130, 5000.0, 5), ("db", "q", 3600 * 15, 140, 9000.0, 5)]
+    schema = "db_id string, query_id string, at_s long, calls long, time_ms double, epoch_s long"
+    folder = jobs.work_folder(spark)
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in")
+    found = jobs.stream_baseline(jobs.stream_snapshots(spark, f"{folder}/in", spark.createDataFrame([], schema).schema), baseline=5, ratio=2.0)
+    assert [(r.at_s, r.n, r.mean_ms) for r in jobs.run_now(found, folder).collect()] == [(3600 * 15, 10, 400.0)]
+
+
+def test_matching_goes_on_with_the_rows_still_free(spark):
+    left = spark.createDataFrame([("k", 1, 0), ("k", 2, 10)], "key string, l_id long, l_s long")
+    right = spark.createDataFrame([("k", 3, 8), ("k", 4, 30)], "key string, r_id long, r_s long")
+    assert sorted((r.l_id, r.r_id) for r in quality.match_once(left, right, 60).collect()) == [(1, 4), (2, 3)]
