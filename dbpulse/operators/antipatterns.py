@@ -76,8 +76,9 @@ def missing_index(base: DataFrame, conditions: DataFrame, facts: DataFrame) -> D
 
 def used_indexes(ops: DataFrame, catalog: DataFrame) -> DataFrame:
     """Indexes that any plan of the database cites; a plan without schema counts in all."""
-    cited = ops.filter("index_name is not null").select("db_id", "table_name", "index_name").distinct()
-    return catalog.join(cited, ["db_id", "table_name", "index_name"], "left_semi").select("db_id", "table_name", "index_name")
+    cited = ops.filter("index_name is not null").select("db_id", "table_name", "index_name", F.col("schema_name").alias("cited_schema")).distinct()
+    met = catalog.join(cited, ["db_id", "table_name", "index_name"]).filter("cited_schema is null or schema_name is null or cited_schema = schema_name")
+    return met.select("db_id", "schema_name", "table_name", "index_name").distinct()
 
 
 def filter_traffic(activity: DataFrame, filters: DataFrame, ops: DataFrame) -> DataFrame:
@@ -89,21 +90,23 @@ def filter_traffic(activity: DataFrame, filters: DataFrame, ops: DataFrame) -> D
     return joined.groupBy("db_id", "table_name").agg(F.countDistinct("query_id").alias("queries"), texts("column_name").alias("columns"), texts(F.when(F.col("scan"), F.col("column_name"))).alias("scan_columns"))
 
 
-def redundant_indexes(facts: DataFrame) -> DataFrame:
+def redundant_indexes(facts: DataFrame, freshness: DataFrame) -> DataFrame:
     """Exact copies and strict prefixes of a wider index of the same method.
 
     Of copies stays: unique before plain, read before unread, more scans, name. Unique and
-    partial indexes are never redundant as prefixes. Pairs are within one table.
+    partial indexes are never redundant as prefixes, and the wider index must have been read,
+    unless the database's statistics are too fresh to tell (``freshness(db_id, fresh)``).
+    Pairs are within one table.
     """
-    usable = facts.filter(~F.col("is_partial") & ~F.exists("columns", lambda c: c.isNull())).select(
-        "db_id", "table_name", "index_name", "method", "columns", "is_unique", "index_scans", F.struct(F.col("is_unique").cast("int"), (F.col("index_scans") > 0).cast("int"), "index_scans").alias("worth")
+    usable = facts.join(freshness, "db_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False))).filter(~F.col("is_partial") & ~F.exists("columns", lambda c: c.isNull())).select(
+        "db_id", "table_name", "index_name", "method", "columns", "is_unique", "index_scans", "fresh", F.struct(F.col("is_unique").cast("int"), (F.col("index_scans") > 0).cast("int"), "index_scans").alias("worth")
     )
     other = usable.select("db_id", "table_name", "method", *[F.col(c).alias(f"o_{c}") for c in ("index_name", "columns", "worth", "index_scans")])
     pairs = usable.join(other, ["db_id", "table_name", "method"]).filter("index_name != o_index_name")
     same = F.col("columns") == F.col("o_columns")
     worse = (F.col("o_worth") > F.col("worth")) | ((F.col("o_worth") == F.col("worth")) & (F.col("o_index_name") < F.col("index_name")))
     prefix = (F.size("o_columns") > F.size("columns")) & (F.slice("o_columns", F.lit(1), F.size("columns")) == F.col("columns"))
-    bad = pairs.filter(~F.col("is_unique") & ((same & worse) | (prefix & (F.col("o_index_scans") > 0))))
+    bad = pairs.filter(~F.col("is_unique") & ((same & worse) | (prefix & ((F.col("o_index_scans") > 0) | F.col("fresh")))))
     return bad.groupBy("db_id", "table_name", "index_name").agg(F.min("o_index_name").alias("covered_by"))
 
 
@@ -115,20 +118,29 @@ def fk_keepers(fks: DataFrame, facts: DataFrame, sizes: DataFrame) -> DataFrame:
     return ranked.filter("not safe").select("db_id", "constraint_name", "index_name")
 
 
-def unused_indexes(facts: DataFrame, used: DataFrame, redundant: DataFrame, keepers: DataFrame, traffic: DataFrame) -> DataFrame:
-    """AP-05: never scanned, in no plan, not redundant, not unique, no foreign key's keeper, on a table with traffic (D05d)."""
-    idle = facts.filter("index_scans = 0 and not is_unique").select("db_id", "table_name", "index_name")
+def unused_indexes(facts: DataFrame, used: DataFrame, redundant: DataFrame, keepers: DataFrame, traffic: DataFrame, freshness: DataFrame) -> DataFrame:
+    """AP-05: never scanned and without a last scan, in no plan, not redundant, not unique, no foreign key's keeper, on a table with traffic (D05d).
+
+    Databases with fresh statistics are left out: their counters have not run for long enough.
+    """
+    idle = facts.filter("index_scans = 0 and last_index_scan is null and not is_unique").select("db_id", "table_name", "index_name")
+    idle = idle.join(freshness.filter("fresh").select("db_id"), "db_id", "left_anti")
     for other in (used, redundant, keepers):
         idle = idle.join(other.select("db_id", "index_name"), ["db_id", "index_name"], "left_anti")
     return idle.join(traffic.select("db_id", "table_name"), ["db_id", "table_name"], "left_semi").select("db_id", "table_name", "index_name")
 
 
-def pick_query(indexes: DataFrame, filters: DataFrame, activity: DataFrame) -> DataFrame:
-    """The query to show with an index: one that filters its lead column, then the most time (D05f)."""
+def pick_query(indexes: DataFrame, filters: DataFrame, activity: DataFrame, ops: DataFrame) -> DataFrame:
+    """The query to show with an index: one that filters its lead column, then one that scans the whole table by it, then the most time (D05f).
+
+    ``by_lead``: there is such a filter, so the index could have served.
+    """
     time = activity.groupBy("db_id", "query_id").agg(F.sum("time_ms").alias("time_ms"))
-    joined = indexes.join(filters, "table_name").join(time, ["db_id", "query_id"])
-    best = F.max_by("query_id", F.struct((F.col("column_name") == F.col("lead")).cast("int"), "time_ms", "query_id"))
-    return joined.groupBy("db_id", "index_name").agg(best.alias("query_id"))
+    scans = ops.filter("access_method = 'full_table_scan'").select("db_id", "query_id", "table_name").distinct().withColumn("scan", F.lit(1))
+    joined = indexes.join(filters, "table_name").join(time, ["db_id", "query_id"]).join(scans, ["db_id", "query_id", "table_name"], "left")
+    leads = (F.col("column_name") == F.col("lead")).cast("int")
+    best = F.max_by("query_id", F.struct(leads, F.coalesce("scan", F.lit(0)) * leads, "time_ms", "query_id"))
+    return joined.groupBy("db_id", "index_name").agg(best.alias("query_id"), (F.max(leads) == 1).alias("by_lead"))
 
 
 def n_plus_one(windows: DataFrame, reads: DataFrame, equal: DataFrame, fks: DataFrame, calls: int = 50, tolerance: float = 0.2, per_call: float = 2.0, high: int = 500) -> DataFrame:

@@ -125,7 +125,7 @@ define("reads", [], " UNION ALL ".join(f"SELECT '{q}' AS query_id, '{t}' AS tabl
 EQUAL = [("click", "l_orderkey"), ("view", "o_custkey"), ("error", "c_nationkey"), ("signup", "s_nationkey"), ("purchase", "n_name")]
 define("equal_col", [], " UNION ALL ".join(f"SELECT '{q}' AS query_id, '{c}' AS column_name" for q, c in EQUAL))
 define("filter_col", ["reads", "equal_col"], "SELECT r.query_id, r.table_name, e.column_name FROM reads r JOIN equal_col e ON r.query_id = e.query_id")
-define("plan_op", ["reads", "db"], """SELECT db_id, query_id, 0 AS op_pos, table_name, CASE WHEN query_id IN ('click', 'view', 'error') THEN 'full_table_scan' ELSE 'index_lookup' END AS access_method,
+define("plan_op", ["reads", "db"], """SELECT db_id, query_id, 0 AS op_pos, CASE WHEN db_id = 'db0' THEN cast(NULL AS string) WHEN db_id = 'db3' THEN 'other' ELSE 'public' END AS schema_name, table_name, CASE WHEN query_id IN ('click', 'view', 'error') THEN 'full_table_scan' ELSE 'index_lookup' END AS access_method,
   CASE WHEN query_id = 'signup' THEN 'supplier_nation' END AS index_name, query_id <> 'error' AS simple FROM reads CROSS JOIN db""")
 # condition trees of the two scanned queries, in three shapes by database
 _N = "cast(replace(db_id, 'db', '') AS bigint) % 3"
@@ -181,17 +181,17 @@ def d04(spark, sf_dir):
     return D.missing_index(scans(spark, sf_dir), view(spark, sf_dir, "cond_node"), facts(spark, sf_dir))
 
 
-USED = "us AS (SELECT DISTINCT c.db_id, c.table_name, c.index_name FROM index_catalog c JOIN plan_op o ON o.db_id = c.db_id AND o.table_name = c.table_name AND o.index_name = c.index_name)"
+USED = "us AS (SELECT DISTINCT c.db_id, c.schema_name, c.table_name, c.index_name FROM index_catalog c JOIN plan_op o ON o.db_id = c.db_id AND o.table_name = c.table_name AND o.index_name = c.index_name AND (o.schema_name IS NULL OR o.schema_name = c.schema_name))"
 ACT = f"""ac AS (SELECT db_id, query_id, captured_at, CASE WHEN whole THEN execution_count ELSE execution_count - pc END AS calls, CASE WHEN whole THEN total_time_ms ELSE total_time_ms - pt END AS time_ms
   FROM (SELECT *, coalesce(lag(captured_at) {LAG} IS NULL OR counters_epoch <> lag(counters_epoch IGNORE NULLS) {LAG} OR execution_count < lag(execution_count) {LAG}, false) AS whole, lag(execution_count) {LAG} AS pc, lag(total_time_ms) {LAG} AS pt FROM stmt)
   WHERE CASE WHEN whole THEN execution_count ELSE execution_count - pc END > 0)"""
 RED = """ux AS (SELECT *, (is_unique::INT, (index_scans > 0)::INT, index_scans) AS worth FROM fa WHERE NOT is_partial AND len(list_filter(columns, lambda c: c IS NULL)) = 0),
 rd AS (SELECT a.db_id, a.table_name, a.index_name, min(b.index_name) AS covered_by FROM ux a JOIN ux b ON a.db_id = b.db_id AND a.table_name = b.table_name AND a.method = b.method AND a.index_name <> b.index_name
-  WHERE NOT a.is_unique AND ((a.columns = b.columns AND (b.worth > a.worth OR (b.worth = a.worth AND b.index_name < a.index_name))) OR (len(b.columns) > len(a.columns) AND b.columns[1:len(a.columns)] = a.columns AND b.index_scans > 0)) GROUP BY ALL)"""
+  WHERE NOT a.is_unique AND ((a.columns = b.columns AND (b.worth > a.worth OR (b.worth = a.worth AND b.index_name < a.index_name))) OR (len(b.columns) > len(a.columns) AND b.columns[1:len(a.columns)] = a.columns AND (b.index_scans > 0 OR a.db_id IN (SELECT db_id FROM db_fresh WHERE fresh)))) GROUP BY ALL)"""
 KEEP = """ky AS (SELECT constraint_name, table_name, list_sort(list(DISTINCT column_name)) AS key FROM fk GROUP BY 1, 2),
 kf AS (SELECT db_id, constraint_name, bool_or(is_unique OR index_scans > 0) AS safe, arg_min(index_name, (len(columns), index_size_bytes, index_name)) AS index_name FROM fa JOIN ky USING (table_name) WHERE NOT is_partial AND list_sort(columns[1:len(key)]) = key GROUP BY 1, 2),
 kp AS (SELECT db_id, constraint_name, index_name FROM kf WHERE NOT safe)"""
-D05 = ctes("stmt", "plan_op", "index_catalog", "fk", "filter_col") + f", {FACTS}, {USED}, {ACT}, {RED}, {KEEP}"
+D05 = ctes("stmt", "plan_op", "index_catalog", "fk", "filter_col", "db_fresh") + f", {FACTS}, {USED}, {ACT}, {RED}, {KEEP}"
 
 
 def keepers(spark, sf_dir):
@@ -199,6 +199,10 @@ def keepers(spark, sf_dir):
     return D.fk_keepers(view(spark, sf_dir, "fk"), facts(spark, sf_dir).drop("index_size_bytes"), sizes)
 
 
+def redundant(spark, sf_dir):
+    return D.redundant_indexes(facts(spark, sf_dir), view(spark, sf_dir, "db_fresh"))
+
+
 def used(spark, sf_dir):
     return D.used_indexes(view(spark, sf_dir, "plan_op"), view(spark, sf_dir, "index_catalog"))
 
@@ -220,13 +224,13 @@ def d05b(spark, sf_dir):
 
 @query("d05c_redundant_indexes", D05 + " SELECT * FROM rd")
 def d05c(spark, sf_dir):
-    return D.redundant_indexes(facts(spark, sf_dir))
+    return redundant(spark, sf_dir)
 
 
-@query("d05d_unused_indexes", D05 + """ SELECT db_id, table_name, index_name FROM fa WHERE index_scans = 0 AND NOT is_unique AND (db_id, index_name) NOT IN (SELECT db_id, index_name FROM us) AND (db_id, index_name) NOT IN (SELECT db_id, index_name FROM rd)
+@query("d05d_unused_indexes", D05 + """ SELECT db_id, table_name, index_name FROM fa WHERE index_scans = 0 AND last_index_scan IS NULL AND NOT is_unique AND db_id NOT IN (SELECT db_id FROM db_fresh WHERE fresh) AND (db_id, index_name) NOT IN (SELECT db_id, index_name FROM us) AND (db_id, index_name) NOT IN (SELECT db_id, index_name FROM rd)
   AND (db_id, index_name) NOT IN (SELECT db_id, index_name FROM kp) AND (db_id, table_name) IN (SELECT ac.db_id, f.table_name FROM ac JOIN filter_col f USING (query_id))""")
 def d05d(spark, sf_dir):
-    return D.unused_indexes(facts(spark, sf_dir), used(spark, sf_dir), D.redundant_indexes(facts(spark, sf_dir)), keepers(spark, sf_dir), traffic(spark, sf_dir))
+    return D.unused_indexes(facts(spark, sf_dir), used(spark, sf_dir), redundant(spark, sf_dir), keepers(spark, sf_dir), traffic(spark, sf_dir), view(spark, sf_dir, "db_fresh"))
 
 
 @query("d05e_fk_keepers", D05 + " SELECT * FROM kp")
@@ -234,11 +238,11 @@ def d05e(spark, sf_dir):
     return keepers(spark, sf_dir)
 
 
-@query("d05f_pick_query", D05 + """, t AS (SELECT db_id, query_id, round(sum(time_ms), 3) AS time_ms FROM ac GROUP BY 1, 2) SELECT fa.db_id, index_name, arg_max(t.query_id, ((f.column_name = columns[1])::INT, time_ms, t.query_id)) AS query_id
-FROM fa JOIN filter_col f USING (table_name) JOIN t ON t.db_id = fa.db_id AND t.query_id = f.query_id WHERE columns[1] IS NOT NULL GROUP BY 1, 2""")
+@query("d05f_pick_query", D05 + """, t AS (SELECT db_id, query_id, round(sum(time_ms), 3) AS time_ms FROM ac GROUP BY 1, 2) SELECT fa.db_id, fa.index_name, arg_max(t.query_id, ((f.column_name = columns[1])::INT, (f.column_name = columns[1] AND o.access_method = 'full_table_scan')::INT, time_ms, t.query_id)) AS query_id, bool_or(f.column_name = columns[1]) AS by_lead
+FROM fa JOIN filter_col f USING (table_name) JOIN t ON t.db_id = fa.db_id AND t.query_id = f.query_id LEFT JOIN plan_op o ON o.db_id = fa.db_id AND o.query_id = f.query_id AND o.table_name = fa.table_name WHERE columns[1] IS NOT NULL GROUP BY 1, 2""")
 def d05f(spark, sf_dir):
     indexes = facts(spark, sf_dir).select("db_id", "table_name", "index_name", F.col("columns")[0].alias("lead")).filter("lead is not null")
-    return D.pick_query(indexes, view(spark, sf_dir, "filter_col"), windows.activity_windows(view(spark, sf_dir, "stmt")))
+    return D.pick_query(indexes, view(spark, sf_dir, "filter_col"), windows.activity_windows(view(spark, sf_dir, "stmt")), view(spark, sf_dir, "plan_op"))
 
 
 @query("d06_n_plus_one", ctes("stmt", "reads", "equal_col", "fk") + f""", {ROWS}, ky AS (SELECT constraint_name, table_name, referenced_table, list(DISTINCT column_name) AS key FROM fk GROUP BY ALL), eq AS (SELECT query_id, list(DISTINCT column_name) AS eq FROM equal_col GROUP BY 1),

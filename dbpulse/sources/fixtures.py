@@ -102,8 +102,9 @@ define("index_def", [], " UNION ALL ".join(
     for i, (t, x, c, u, p) in enumerate(INDEXES)))
 define("index_catalog", ["index_def", "ev"], """
 SELECT d.db_id, 'public' AS schema_name, table_name, index_name, index_ref,
-  CASE WHEN n % 3 = 0 OR n % 4 = 0 THEN 0 ELSE d.c % (n + 7) END AS index_scans, 8192 * (n + 1) AS index_size_bytes
+  CASE WHEN n % 3 = 0 OR n % 4 = 0 THEN 0 ELSE d.c % (n + 7) END AS index_scans, CASE WHEN (d.c + n) % 5 = 0 THEN 'seen' ELSE cast(NULL AS string) END AS last_index_scan, 8192 * (n + 1) AS index_size_bytes
 FROM index_def CROSS JOIN (SELECT db_id, count(*) AS c FROM ev GROUP BY db_id) d""")
+define("db_fresh", ["db"], "SELECT db_id, cast(replace(db_id, 'db', '') AS bigint) % 4 = 1 AS fresh FROM db")
 # Foreign keys, one composite
 FKS = [
     ("fk_nation_region", "nation", "n_regionkey", "region", "r_regionkey", 1), ("fk_customer_nation", "customer", "c_nationkey", "nation", "n_nationkey", 1), ("fk_supplier_nation", "supplier", "s_nationkey", "nation", "n_nationkey", 1),
