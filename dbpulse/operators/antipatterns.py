@@ -179,25 +179,32 @@ def misestimate(windows: DataFrame, estimates: DataFrame, q_error: float = 10, r
     return judged.select(*SNAP, "query_id", "estimated", "actual", "q_error", F.when(F.col("estimated") > F.col("actual"), "over").otherwise("under").alias("direction"), F.when(F.col("q_error") >= high, "high").otherwise("medium").alias("severity"))
 
 
+# What each rule says of a finding, with its query and its detail.
+SENTENCES = {
+    "AP-01": "Query %s has become slower than its own history; severity %s.", "AP-02": "Query %s reads all of %s for few rows.", "AP-03": "Query %s wraps column %s, so its index cannot serve.",
+    "AP-04": "Query %s scans the table for want of an index: %s.", "AP-05": "No query (%s) uses index %s.", "AP-06": "Query %s is called once for each row of its parent along %s.",
+    "AP-07": "Query %s wrote %s to disk.", "AP-08": "The row estimate of query %s is far %s.", "CT-01": "Sessions (%s) lock rows in opposite order: report %s.", "CT-02": "Sessions (%s) turn shared locks into exclusive ones: report %s.",
+    "CT-03": "Sessions (%s) insert into gaps that others hold: report %s.", "CT-04": "A statement (%s) locks far more rows than it changes: report %s.", "CT-05": "A long transaction (%s) holds up other sessions: process %s.",
+}
+
+
 def render_texts(findings: DataFrame) -> DataFrame:
-    """A sentence per finding, by rule."""
-    text = (
-        F.when(F.col("rule") == "disk_spill", F.format_string("Query %s wrote temporary data: %s.", "query_id", "detail"))
-        .when(F.col("rule") == "avoidable_full_scan", F.format_string("Query %s reads all of %s.", "query_id", "detail")).otherwise(F.format_string("Query %s: %s.", "query_id", "detail"))
-    )
-    return findings.withColumn("text", text)
+    """A sentence per finding, by rule (D09); a finding without a query says "-" for it."""
+    texts = [F.when(F.col("rule") == rule, F.format_string(said, F.coalesce("query_id", F.lit("-")), "detail")) for rule, said in SENTENCES.items()]
+    return findings.withColumn("text", F.coalesce(*texts))
 
 
 def detect_all(found: dict[str, DataFrame], rule: str | None = None) -> DataFrame:
-    """One table of all rules' findings, or of one rule's (D10). Each frame has (db_id, captured_at, query_id, detail)."""
+    """One table of all rules' findings, or of one rule's (D10). Each frame has db_id, detail, and captured_at and query_id where the rule knows them."""
     out = None
     for name, df in found.items():
         if rule in (None, name):
-            part = df.select("db_id", "captured_at", "query_id", F.col("detail").cast("string").alias("detail"), F.lit(name).alias("rule"))
+            own = lambda c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)  # noqa: E731, B023
+            part = df.select("db_id", own("captured_at", "timestamp_ntz"), own("query_id", "string"), F.col("detail").cast("string").alias("detail"), F.lit(name).alias("rule"))
             out = part if out is None else out.unionByName(part)
     return out
 
 
 def findings_by_rule(findings: DataFrame) -> DataFrame:
-    """How many findings and which queries each rule has."""
-    return findings.groupBy("rule").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("query_id")), ",").alias("queries"))
+    """How many findings each rule has, of each query."""
+    return findings.groupBy("rule", "query_id").agg(F.count("*").alias("n"), F.countDistinct("db_id").alias("databases"))

@@ -10,7 +10,7 @@ from ..operators import coverage as E
 from ..operators import windows
 from ..plans import flatten as P
 from ..sources.fixtures import ctes, define, view
-from . import query
+from . import ORACLE_SQL, QUERIES, counters, graphs, query  # noqa: F401  the rules' own queries
 from .counters import ADMITTED, DB_BEFORE, LAG
 from .texts import FACTS
 
@@ -274,15 +274,31 @@ def d08(spark, sf_dir):
     return D.misestimate(rows(spark, sf_dir), view(spark, sf_dir, "estimate"), q_error=10, rows=50, high=25)
 
 
+# rule: query whose findings it has, its query and detail columns, and which of its rows
+FOUND = {
+    "AP-01": ("d01_baseline_degradation", "query_id", "severity", "true"), "AP-02": ("d02_avoidable_full_scan", "query_id", "table_name", "true"), "AP-03": ("d03_non_sargable", "query_id", "column_name", "true"),
+    "AP-04": ("d04_missing_index", "query_id", "suggested_index", "true"), "AP-05": ("d05d_unused_indexes", None, "index_name", "true"), "AP-06": ("d06_n_plus_one", "child_id", "constraint_name", "true"),
+    "AP-07": ("d07_disk_spill", "query_id", "kind", "true"), "AP-08": ("d08_misestimate", "query_id", "direction", "true"), **{f"CT-0{i}": ("g18_deadlock_events", None, "report_id", f"rule = 'CT-0{i}'") for i in range(1, 5)},
+    "CT-05": ("g04_long_tx_cascade", None, "pid", "true"),
+}
+TIMED = ["AP-01", "AP-02", "AP-06", "AP-07", "AP-08"]
+
+
 def everything(spark, sf_dir):
-    spill = D.disk_spill(windows.spill_windows(view(spark, sf_dir, "stmt"), 21600)).withColumn("detail", F.col("kind"))
-    return D.detect_all({"disk_spill": spill, "avoidable_full_scan": scans(spark, sf_dir).withColumn("detail", F.col("table_name"))})
+    frames = {}
+    for rule, (name, query_id, detail, which) in FOUND.items():
+        df = QUERIES[name](spark, sf_dir).filter(which).withColumn("detail", F.col(detail))
+        frames[rule] = df.withColumn("query_id", F.col(query_id)) if query_id else df.drop("query_id")
+    return D.detect_all(frames)
 
 
-ALL = ctes("stmt", "plan_op", "table_stats") + f", {SCAN}, {SPILL.replace(DB_BEFORE + ', ', '')}, al AS (SELECT db_id, captured_at, query_id, 'temporary data' AS detail, 'disk_spill' AS rule FROM sp UNION ALL SELECT db_id, captured_at, query_id, table_name, 'avoidable_full_scan' FROM fs)"
+ALL = "WITH al AS (" + " UNION ALL ".join(
+    f"SELECT db_id, {'captured_at' if rule in TIMED else 'CAST(NULL AS TIMESTAMP)'} AS captured_at, {q or 'NULL'} AS query_id, CAST({detail} AS VARCHAR) AS detail, '{rule}' AS rule FROM ({ORACLE_SQL[name]}) WHERE {which}"
+    for rule, (name, q, detail, which) in FOUND.items()) + ")"
+SAID = "CASE rule " + " ".join(f"WHEN '{r}' THEN printf('{t}', coalesce(query_id, '-'), detail)" for r, t in D.SENTENCES.items()) + " END"
 
 
-@query("d09_render_texts", ALL + " SELECT *, CASE rule WHEN 'disk_spill' THEN 'Query ' || query_id || ' wrote temporary data: ' || detail || '.' ELSE 'Query ' || query_id || ' reads all of ' || detail || '.' END AS text FROM al")
+@query("d09_render_texts", ALL + f" SELECT *, {SAID} AS text FROM al")
 def d09(spark, sf_dir):
     return D.render_texts(everything(spark, sf_dir))
 
@@ -292,7 +308,7 @@ def d10(spark, sf_dir):
     return everything(spark, sf_dir)
 
 
-@query("d11_findings_by_rule", ALL + " SELECT rule, count(*) AS n, string_agg(DISTINCT query_id, ',' ORDER BY query_id) AS queries FROM al GROUP BY 1")
+@query("d11_findings_by_rule", ALL + " SELECT rule, query_id, count(*) AS n, count(DISTINCT db_id) AS databases FROM al GROUP BY 1, 2")
 def d11(spark, sf_dir):
     return D.findings_by_rule(everything(spark, sf_dir))
 
