@@ -34,7 +34,7 @@ def q14(spark, sf_dir):
     return quality.eval_n1(p.filter("r < 4"), found)
 
 
-@query("q24_archive_projection", ctes("raw_snapshot") + """ SELECT msg_id, CAST(CASE WHEN event_type IN ('click', 'view') THEN k + 1 ELSE 1 END AS BIGINT) AS calls, CASE WHEN event_type IN ('click', 'view') THEN 2 ELSE 1 END AS rows FROM raw_snapshot WHERE k % 9 > 1""")
+@query("q24_archive_projection", ctes("raw_snapshot") + """ SELECT msg_id, CAST(CASE WHEN event_type IN ('click', 'view') AND k % 9 <> 3 THEN k + 1 ELSE 1 END AS BIGINT) AS calls, CASE WHEN event_type IN ('click', 'view') THEN 2 ELSE 1 END AS rows FROM raw_snapshot WHERE k % 9 IN (3, 4, 7, 8)""")
 def q24(spark, sf_dir):
     raw = view(spark, sf_dir, "raw_snapshot").select("msg_id", "db_id", "captured_at", "payload")
     ids = spark.createDataFrame([("click",), ("view",), ("other",)], "query_id string")

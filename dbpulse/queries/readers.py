@@ -8,18 +8,32 @@ from ..sources import scans as S
 from ..sources.fixtures import ctes, define, view
 from . import query
 
-define("raw_snapshot", ["ev"], """
-SELECT event_id AS msg_id, db_id, ts AS captured_at, CASE k % 9 WHEN 0 THEN 'no json' WHEN 1 THEN '{"statements":[]}'
-  ELSE concat('{"statements":[{"query_id":"', event_type, '","calls":', cast(k AS string), ',"time_ms":1.5},{"query_id":"other","calls":1,"time_ms":2}],"locks":[{"process_id":', cast(user_id AS string), ',"table_name":"t","granted":', CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END, '}],"unknown":1}') END AS payload,
+# whole payloads, and by turns: no JSON, sections missing, a section unread (null), one of another type, a mistyped number (null then), no database
+_REST = '"locks":[{"process_id":\', cast(user_id AS string), \',"table_name":"t","granted":true}],"indexes":[],"tables":[{"schema_name":"s","table_name":"t","live_rows":5}],"columns":[]'
+define("raw_snapshot", ["ev"], f"""
+SELECT event_id AS msg_id, db_id, ts AS captured_at, CASE k % 9 WHEN 0 THEN 'no json' WHEN 1 THEN '{{"statements":[]}}'
+  ELSE concat('{{', CASE WHEN k % 9 = 2 THEN '' ELSE '"db_id":"d",' END, '"statements":[{{"query_id":"', event_type, '","calls":', CASE WHEN k % 9 = 3 THEN '"many"' ELSE cast(k AS string) END, ',"time_ms":1.5}},{{"query_id":"other","calls":1,"time_ms":2}}],
+    {_REST},"active_queries":', CASE k % 9 WHEN 4 THEN 'null' WHEN 5 THEN '{{"process_id":1}}' ELSE '[]' END, ',"server_start_timestamp":[{{"server_start_time":"2024-01-01"}}]', CASE WHEN k % 9 = 6 THEN ',"deadlocks":7' ELSE ',"collection_status":{{"sections_failed":["x"],"issues":[]}}' END, ',"unknown":1}}') END AS payload,
   k, event_type, user_id FROM ev""")
+VALID = "k % 9 IN (3, 4, 7, 8)"
 
 
-@query("s01_ingest_snapshots", ctes("raw_snapshot") + """ SELECT msg_id, db_id, captured_at, event_type AS query_id, k AS calls, 1.5 AS time_ms FROM raw_snapshot WHERE k % 9 > 1 UNION ALL SELECT msg_id, db_id, captured_at, 'other', 1, 2.0 FROM raw_snapshot WHERE k % 9 > 1""")
+@query("s01_ingest_snapshots", ctes("raw_snapshot") + f""", v AS (SELECT * FROM raw_snapshot WHERE {VALID}) SELECT msg_id, db_id, captured_at, 'statements' AS section, event_type AS name, CASE WHEN k % 9 <> 3 THEN k END AS n FROM v
+UNION ALL SELECT msg_id, db_id, captured_at, 'statements', 'other', 1 FROM v UNION ALL SELECT msg_id, db_id, captured_at, 'locks', 't', user_id FROM v UNION ALL SELECT msg_id, db_id, captured_at, 'tables', 't', 5 FROM v
+UNION ALL SELECT msg_id, db_id, captured_at, 'server_start_timestamp', '2024-01-01', 1 FROM v UNION ALL SELECT msg_id, db_id, captured_at, 'collection_status', 'x', 1 FROM v""")
 def s01(spark, sf_dir):
-    return S.ingest_snapshots(view(spark, sf_dir, "raw_snapshot").select("msg_id", "db_id", "captured_at", "payload"))["statements"]
-
-
-@query("s02_split_valid", ctes("raw_snapshot") + " SELECT msg_id, k % 9 > 1 AS valid FROM raw_snapshot")
+    """Rows of all 14 sections in one layout; sections without rows give none."""
+    got = S.ingest_snapshots(view(spark, sf_dir, "raw_snapshot").select("msg_id", "db_id", "captured_at", "payload"))
+    shown = {"statements": ("query_id", "calls"), "locks": ("table_name", "process_id"), "tables": ("table_name", "live_rows"), "server_start_timestamp": ("server_start_time", None), "collection_status": ("array_join(sections_failed, ',')", None)}
+    out = None
+    for name, df in got.items():
+        text, number = shown.get(name, ("msg_id", None))
+        part = df.select("msg_id", "db_id", "captured_at", F.lit(name).alias("section"), F.expr(text).cast("string").alias("name"), (F.expr(number) if number else F.lit(1)).cast("long").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("s02_split_valid", ctes("raw_snapshot") + f" SELECT msg_id, {VALID} AS valid FROM raw_snapshot")
 def s02(spark, sf_dir):
     ok, bad = S.split_valid(view(spark, sf_dir, "raw_snapshot").select("msg_id", "payload"))
     return ok.select("msg_id", F.lit(True).alias("valid")).unionByName(bad.select("msg_id", F.lit(False).alias("valid")))

@@ -5,33 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.rounds import written
+
+CANDIDATE = "query_id:string,canonic_query:string,calls:bigint,total_time_ms:double,reasons:array<string>"
+#: the sections of a snapshot and the fields of their rows; other fields and sections are ignored
 SECTIONS = {
     "statements": "array<struct<query_id:string,calls:bigint,time_ms:double>>",
     "locks": "array<struct<process_id:bigint,table_name:string,granted:boolean>>",
-    "tables": "array<struct<table_name:string,live_rows:bigint>>",
+    "active_queries": "array<struct<process_id:bigint,canonic_query:string,state:string,transaction_start_time:string,blocking_pids:array<bigint>>>",
+    "indexes": "array<struct<schema_name:string,table_name:string,index_name:string,index_ref:string,index_scans:bigint,last_index_scan:string,index_size_bytes:bigint>>",
+    "tables": "array<struct<schema_name:string,table_name:string,live_rows:bigint>>",
+    "columns": "array<struct<schema_name:string,table_name:string,column_name:string,data_type:string>>",
+    "server_start_timestamp": "array<struct<server_start_time:string,stats_reset_time:string>>",
+    "foreign_keys": "array<struct<schema_name:string,table_name:string,constraint_name:string,column_name:string,referenced_table:string,referenced_column:string,position:int>>",
+    "capture_timestamp": "array<struct<capture_timestamp:string>>",
+    "deadlocks": "array<struct<detected_at:string,source:string,complete:boolean,database_name:string,transactions:array<struct<process_id:bigint,blocked_by:array<bigint>>>>>",
+    "canonic_explains": "array<struct<query_id:string,explain_source:string,total_cost:double>>",
+    "top_impact_queries": f"array<struct<{CANDIDATE}>>",
+    "non_explainable_candidates": f"array<struct<{CANDIDATE}>>",
+    "collection_status": "struct<sections_failed:array<string>,issues:array<struct<code:string,section:string,severity:string>>>",
 }
-MANDATORY = ["statements", "locks"]
-PAYLOAD = "struct<" + ",".join(f"{n}:{t}" for n, t in SECTIONS.items()) + ">"
+MANDATORY = ["statements", "locks", "active_queries", "indexes", "tables", "columns", "server_start_timestamp"]
 
 
 def _parsed(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("p", F.from_json("payload", PAYLOAD, {"mode": "PERMISSIVE"}))
+    return raw.withColumn("p", F.try_parse_json("payload"))
+
+
+def _section(name: str):
+    """The section's rows; null where it is absent, was not read (null) or has another type."""
+    return F.try_variant_get("p", f"$.{name}", SECTIONS[name])
 
 
 def split_valid(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Payloads with all mandatory sections, and those without (or that are no JSON); the rest goes on."""
-    ok = F.col("p").isNotNull()
-    for name in MANDATORY:
-        ok = ok & F.col(f"p.{name}").isNotNull()
+    """Payloads that keep the contract, and those that do not; the rest goes on.
+
+    ``db_id`` and the ``MANDATORY`` sections must be there, though a section may be null if
+    it could not be read; every section that is there must have its type. A field of a row
+    that has another type is null.
+    """
+    ok = F.try_variant_get("p", "$.db_id", "string").isNotNull()
+    for name in SECTIONS:
+        there = F.try_variant_get("p", f"$.{name}", "variant")
+        typed = F.is_variant_null(there) | _section(name).isNotNull()
+        ok = ok & (F.coalesce(typed, F.lit(False)) if name in MANDATORY else there.isNull() | F.coalesce(typed, F.lit(False)))
     marked = _parsed(raw).withColumn("__ok", F.coalesce(ok, F.lit(False)))
     return marked.filter("__ok").drop("__ok", "p"), marked.filter("not __ok").drop("__ok", "p")
 
 
 def ingest_snapshots(raw: DataFrame) -> dict[str, DataFrame]:
-    """One table per section, each row with its database, message and capture time."""
-    parsed = _parsed(split_valid(raw)[0])
+    """One table per section, each row with its database, message and capture time (S01); of the status one row per message.
+
+    Payloads are parsed and checked once, and written; every section is read from there.
+    """
     head = ["db_id", "msg_id", "captured_at"]
-    return {name: parsed.select(*head, F.explode(f"p.{name}").alias("r")).select(*head, "r.*") for name in SECTIONS}
+    parsed = written(_parsed(split_valid(raw)[0]).select(*head, "p"))
+    rows = lambda name: F.array(_section(name)) if SECTIONS[name].startswith("struct") else _section(name)
+    return {name: parsed.select(*head, F.explode(rows(name)).alias("r")).filter("r is not null").select(*head, "r.*") for name in SECTIONS}
 
 
 def read_statements(pg: DataFrame, my: DataFrame, own_roles: list[str], noise: str) -> DataFrame:
