@@ -135,27 +135,26 @@ def _simhash_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _components(places: DataFrame, sets: DataFrame, similarity: float, links: DataFrame) -> DataFrame:
-    """``(node, component)`` of linked nodes, from ``links`` and ``places(bucket, node, n)`` of buckets of two or more."""
-    def grouped_by(found: DataFrame) -> DataFrame:
-        return cut_lineage(places.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    """``(node, component)`` of linked nodes, from ``links`` and ``places(bucket, node, n)`` of buckets of two or more.
 
-    sizes = cut_lineage(places.groupBy("bucket").agg(F.count("*").alias("size")))
+    A bucket whose nodes are all in one group is done; only the others go into the next round.
+    """
     most = 4 * places.count()
-    grouped = grouped_by(connected_components(links))
     for turn in range(PIVOT_ROUNDS):
+        found = connected_components(links)
+        grouped = cut_lineage(places.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
         first = F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component")))
-        pivots = grouped.groupBy("bucket").agg(first.alias("pivot")).select("bucket", "pivot.other", "pivot.other_n", "pivot.other_component")
-        met = grouped.join(pivots, "bucket").filter("component != other_component")
-        if turn:
-            # whoever is not in the pivot's group must still meet all other groups of the bucket
-            strange = cut_lineage(met.select("bucket", "node", "n", "component"))
-            if turn + 1 == PIVOT_ROUNDS or (strange.join(sizes, "bucket").agg(F.sum("size")).first()[0] or 0) <= most:
-                others = grouped.select("bucket", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-                met = strange.join(others, "bucket").filter("component != other_component")
-                pairs = _bounded(_pairs(met, similarity), sets, similarity)
-                return connected_components(links.unionByName(_links(pairs, sets, similarity)))
-        links = links.unionByName(_links(_pairs(met, similarity), sets, similarity))
-        grouped = grouped_by(connected_components(links))
+        mixed = grouped.groupBy("bucket").agg(first.alias("pivot"), F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+        alive = cut_lineage(grouped.join(mixed.select("bucket", "size", "pivot.other", "pivot.other_n", "pivot.other_component"), "bucket"))
+        # whoever is not in the pivot's group must still meet all other groups of the bucket
+        strange = alive.filter("component != other_component")
+        if turn + 1 == PIVOT_ROUNDS or (strange.agg(F.sum("size")).first()[0] or 0) <= most:
+            others = alive.select("bucket", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
+            met = strange.select("bucket", "node", "n", "component").join(others, "bucket").filter("component != other_component")
+            pairs = _bounded(_pairs(met, similarity), sets, similarity)
+            return connected_components(links.unionByName(_links(pairs, sets, similarity)))
+        links = links.unionByName(_links(_pairs(strange, similarity), sets, similarity))
+        places = alive.select("bucket", "node", "n")
     raise AssertionError("the last round returns")
 
 
