@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, mixing, quality, simhash, suffix_dedup, tokens, toxicity, url_filter
+from . import chat, conversation_repair, decontaminate, embedding_dedup, line_dedup, mixing, quality, simhash, suffix_dedup, tokens, toxicity, url_filter, whitening
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,6 +250,108 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(captures_of(pages), list_of(pages))
 
 
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviation as a long; null where it needs more than 64 bits."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS blanks),
+s AS (SELECT r, doc_id, string_split(t, chr(10)) AS a FROM d),
+l AS (SELECT r, doc_id, unnest(a) AS line, unnest(range(len(a))) AS pos FROM s),
+k AS (SELECT l.*, translate(trim(line, blanks), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l, w),
+f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, f.key IS NOT NULL AND (doc_id IS NULL OR doc_id < last) AS gone FROM k LEFT JOIN f USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
+
+@query("op12_line_dedup", OP12_SQL)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def _op13_sql() -> str:
+    # crc32 a bit at a time; the cheapest repair forwards, kept for each state as its cost in eight digits and its audit
+    # (an insertion costs 5 and a deletion of the row beside it 2, so none is ever in a cheapest repair)
+    crc = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(k, ''),
+      lambda ch: [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"""
+    step = lambda v, cost, letter, when: f"CASE WHEN {v} IS NOT NULL AND {when} THEN printf('%08d', CAST(substr({v}, 1, 8) AS INTEGER) + {cost}) || substr({v}, 9) || '{letter}' END"
+    stay = lambda v: step(v, "2", "D", "true")
+    keep = lambda v, initial: step(v, "cut", "K", f"NOT gone AND initial = '{initial}'")
+    give = lambda v: step(v, "1 + cut", "R", "NOT gone")
+    to_user = ", ".join(f(v) for v in ("v0", "v1", "v3") for f in (lambda v: keep(v, "u"), give))
+    return f"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), h AS (SELECT *, {crc} % 20 AS h FROM c),
+d AS (
+  SELECT conv, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0
+), o AS (
+  SELECT conv, turn, role, text, substr(role, 1, 1) AS initial, row_number() OVER w AS i, lag(substr(role, 1, 1)) OVER w AS before,
+    row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS bare
+  FROM d WINDOW w AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy)
+), f AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o
+), g AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS cut FROM f),
+r AS (
+  SELECT DISTINCT conv, 0 AS i, '00000000' AS v0, CAST(NULL AS VARCHAR) AS v1, CAST(NULL AS VARCHAR) AS v2, CAST(NULL AS VARCHAR) AS v3 FROM g
+  UNION ALL
+  SELECT g.conv, CAST(g.i AS INTEGER), {stay("v0")}, least({stay("v1")}, {keep("v0", "s")}), least({stay("v2")}, {to_user}), least({stay("v3")}, {keep("v2", "a")}, {give("v2")})
+  FROM r JOIN g ON g.conv = r.conv AND g.i = r.i + 1
+), best AS (SELECT conv, least(v0, v3) AS v FROM r QUALIFY row_number() OVER (PARTITION BY conv ORDER BY i DESC) = 1
+), e AS (SELECT g.*, v, substr(v, CAST(8 + i AS BIGINT), 1) AS letter FROM g JOIN best USING (conv)
+), k AS (
+  SELECT *, row_number() OVER w AS place, first_value(initial || letter) OVER w AS head FROM e WHERE letter <> 'D' WINDOW w AS (PARTITION BY conv ORDER BY i)
+), t AS (
+  SELECT conv, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place + CAST(head = 'sK' AS INTEGER)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS said FROM k GROUP BY conv
+), n AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, any_value(v) AS v FROM e GROUP BY conv
+)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(substr(v, 1, 8), '0') AS BIGINT) AS cost, coalesce(substr(v, 9), '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM c) a LEFT JOIN n USING (conv) LEFT JOIN t USING (conv)
+"""
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns with faults put in by a hash of conversation and turn; nulls but in ids and turns become one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    how = F.pmod(F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")), F.lit(20))
+    rows = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), how.alias("how")).filter("how != 0")
+    return rows.select(
+        "conv_id", "turn",
+        F.when(F.col("how") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("how") == 1, "").when(F.col("how") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.sequence(F.lit(0), F.when(F.col("how") == 3, 1).otherwise(0))).alias("copy"),
+    ).drop("copy")
+
+
+@query("op13_conversation_repair", _op13_sql())
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation of which no row is left has zeros, no audit and the digest of an empty text."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.digests(conversation_repair.repair(damaged(given)))
+    every = given.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")).alias("conv")).distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return every.join(found, "conv", "left").select(
+        "conv_id", *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
