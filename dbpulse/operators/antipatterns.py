@@ -1,4 +1,4 @@
-"""Anti-pattern rules AP-02 to AP-08 as joins of windows, plans, catalogs and foreign keys."""
+"""Anti-pattern rules AP-02 to AP-04, AP-07 and AP-08 as joins of windows, plans and catalogs (AP-05: ``index_rules``, AP-06: ``n_plus_one``)."""
 
 from __future__ import annotations
 
@@ -74,94 +74,6 @@ def missing_index(base: DataFrame, conditions: DataFrame, facts: DataFrame) -> D
     return grouped.select("db_id", "query_id", "table_name", F.array_join(names, ", ").alias("columns"), suggested.alias("suggested_index"), "per_branch", "unverified")
 
 
-def used_indexes(ops: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Indexes that any plan of the database cites; a plan without schema counts in all."""
-    cited = ops.filter("index_name is not null").select("db_id", "table_name", "index_name", F.col("schema_name").alias("cited_schema")).distinct()
-    met = catalog.join(cited, ["db_id", "table_name", "index_name"]).filter("cited_schema is null or schema_name is null or cited_schema = schema_name")
-    return met.select("db_id", "schema_name", "table_name", "index_name").distinct()
-
-
-def filter_traffic(activity: DataFrame, filters: DataFrame, ops: DataFrame) -> DataFrame:
-    """Per table: active queries, filter columns, columns of full scans, time."""
-    active = activity.groupBy("db_id", "query_id").agg(F.sum("calls").alias("calls"), F.sum("time_ms").alias("time_ms"))
-    scans = ops.filter("access_method = 'full_table_scan'").select("db_id", "query_id", "table_name").distinct().withColumn("scan", F.lit(True))
-    joined = active.join(filters, "query_id").join(scans, ["db_id", "query_id", "table_name"], "left")
-    texts = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-    return joined.groupBy("db_id", "table_name").agg(F.countDistinct("query_id").alias("queries"), texts("column_name").alias("columns"), texts(F.when(F.col("scan"), F.col("column_name"))).alias("scan_columns"))
-
-
-def redundant_indexes(facts: DataFrame, freshness: DataFrame) -> DataFrame:
-    """Exact copies and strict prefixes of a wider index of the same method.
-
-    Of copies stays: unique before plain, read before unread, more scans, name. Unique and
-    partial indexes are never redundant as prefixes, and the wider index must have been read,
-    unless the database's statistics are too fresh to tell (``freshness(db_id, fresh)``).
-    Pairs are within one table.
-    """
-    usable = facts.join(freshness, "db_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False))).filter(~F.col("is_partial") & ~F.exists("columns", lambda c: c.isNull())).select(
-        "db_id", "table_name", "index_name", "method", "columns", "is_unique", "index_scans", "fresh", F.struct(F.col("is_unique").cast("int"), (F.col("index_scans") > 0).cast("int"), "index_scans").alias("worth")
-    )
-    other = usable.select("db_id", "table_name", "method", *[F.col(c).alias(f"o_{c}") for c in ("index_name", "columns", "worth", "index_scans")])
-    pairs = usable.join(other, ["db_id", "table_name", "method"]).filter("index_name != o_index_name")
-    same = F.col("columns") == F.col("o_columns")
-    worse = (F.col("o_worth") > F.col("worth")) | ((F.col("o_worth") == F.col("worth")) & (F.col("o_index_name") < F.col("index_name")))
-    prefix = (F.size("o_columns") > F.size("columns")) & (F.slice("o_columns", F.lit(1), F.size("columns")) == F.col("columns"))
-    bad = pairs.filter(~F.col("is_unique") & ((same & worse) | (prefix & ((F.col("o_index_scans") > 0) | F.col("fresh")))))
-    return bad.groupBy("db_id", "table_name", "index_name").agg(F.min("o_index_name").alias("covered_by"))
-
-
-def fk_keepers(fks: DataFrame, facts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """For each foreign key, the narrowest non-partial index whose first columns are the key's; none if one of them is unique or read (D05e)."""
-    keys = fks.groupBy("constraint_name", "table_name").agg(F.array_sort(F.collect_set("column_name")).alias("key"))
-    fit = facts.filter(~F.col("is_partial")).join(keys, "table_name").filter(F.array_sort(F.slice("columns", F.lit(1), F.size("key"))) == F.col("key"))
-    ranked = fit.join(sizes, ["db_id", "index_name"]).groupBy("db_id", "constraint_name").agg(F.bool_or(F.col("is_unique") | (F.col("index_scans") > 0)).alias("safe"), F.min_by("index_name", F.struct(F.size("columns"), "index_size_bytes", "index_name")).alias("index_name"))
-    return ranked.filter("not safe").select("db_id", "constraint_name", "index_name")
-
-
-def unused_indexes(facts: DataFrame, used: DataFrame, redundant: DataFrame, keepers: DataFrame, traffic: DataFrame, freshness: DataFrame) -> DataFrame:
-    """AP-05: never scanned and without a last scan, in no plan, not redundant, not unique, no foreign key's keeper, on a table with traffic (D05d).
-
-    Databases with fresh statistics are left out: their counters have not run for long enough.
-    """
-    idle = facts.filter("index_scans = 0 and last_index_scan is null and not is_unique").select("db_id", "table_name", "index_name")
-    idle = idle.join(freshness.filter("fresh").select("db_id"), "db_id", "left_anti")
-    for other in (used, redundant, keepers):
-        idle = idle.join(other.select("db_id", "index_name"), ["db_id", "index_name"], "left_anti")
-    return idle.join(traffic.select("db_id", "table_name"), ["db_id", "table_name"], "left_semi").select("db_id", "table_name", "index_name")
-
-
-def pick_query(indexes: DataFrame, filters: DataFrame, activity: DataFrame, ops: DataFrame) -> DataFrame:
-    """The query to show with an index: one that filters its lead column, then one that scans the whole table by it, then the most time (D05f).
-
-    ``by_lead``: there is such a filter, so the index could have served.
-    """
-    time = activity.groupBy("db_id", "query_id").agg(F.sum("time_ms").alias("time_ms"))
-    scans = ops.filter("access_method = 'full_table_scan'").select("db_id", "query_id", "table_name").distinct().withColumn("scan", F.lit(1))
-    joined = indexes.join(filters, "table_name").join(time, ["db_id", "query_id"]).join(scans, ["db_id", "query_id", "table_name"], "left")
-    leads = (F.col("column_name") == F.col("lead")).cast("int")
-    best = F.max_by("query_id", F.struct(leads, F.coalesce("scan", F.lit(0)) * leads, "time_ms", "query_id"))
-    return joined.groupBy("db_id", "index_name").agg(best.alias("query_id"), (F.max(leads) == 1).alias("by_lead"))
-
-
-def n_plus_one(windows: DataFrame, reads: DataFrame, equal: DataFrame, fks: DataFrame, calls: int = 50, tolerance: float = 0.2, per_call: float = 2.0, high: int = 500) -> DataFrame:
-    """AP-06: a child query called about once for each row of a parent query, along a foreign key.
-
-    Equality joins by database, snapshot and table; the band on counts is the residual
-    condition. Of several parents the closest stays.
-    """
-    keys = fks.groupBy("constraint_name", "table_name", "referenced_table").agg(F.collect_set("column_name").alias("key"))
-    filtered = equal.groupBy("query_id").agg(F.collect_set("column_name").alias("eq"))
-    child = windows.filter(F.col("calls") >= calls).join(reads, "query_id").join(filtered, "query_id").join(keys, "table_name").filter(F.size(F.array_except("key", "eq")) == 0)
-    child = child.select(*SNAP, F.col("query_id").alias("child_id"), F.col("calls").alias("child_calls"), "constraint_name", "referenced_table")
-    parent = windows.filter((F.col("rows") > 0) & (F.col("rows") / F.col("calls") >= per_call)).join(reads, "query_id")
-    parent = parent.select(*SNAP, F.col("query_id").alias("parent_id"), F.col("rows").alias("parent_rows"), F.col("table_name").alias("referenced_table"))
-    off = F.abs(F.col("child_calls") - F.col("parent_rows")) / F.col("parent_rows")
-    pairs = child.join(parent, [*SNAP, "referenced_table"]).filter("child_id != parent_id").withColumn("off", off).filter(F.col("off") <= tolerance)
-    nearest = F.row_number().over(Window.partitionBy(*SNAP, "child_id").orderBy("off", "parent_id", "constraint_name"))
-    best = pairs.withColumn("r", nearest).filter("r = 1")
-    return best.select(*SNAP, "child_id", "parent_id", "constraint_name", "child_calls", "parent_rows", F.when(F.col("child_calls") >= high, "high").otherwise("medium").alias("severity"))
-
-
 def disk_spill(windows: DataFrame, high_ms: float = 10_000, medium_ms: float = 1_000) -> DataFrame:
     """AP-07: windows that wrote temporary data or merged sort runs, with kind and severity by time."""
     spill, merges = F.coalesce("spill", F.lit(0)) > 0, F.coalesce("merges", F.lit(0)) > 0
@@ -171,12 +83,18 @@ def disk_spill(windows: DataFrame, high_ms: float = 10_000, medium_ms: float = 1
 
 
 def misestimate(windows: DataFrame, estimates: DataFrame, q_error: float = 10, rows: float = 100, high: float = 100) -> DataFrame:
-    """AP-08: estimated against actual rows per call, both taken as one at least."""
-    actual = F.col("rows") / F.col("calls")
-    joined = windows.join(estimates, ["db_id", "query_id"]).withColumn("actual", actual)
+    """AP-08: the plan's estimated rows against the rows of the execution that gave the plan, both taken as one at least.
+
+    ``estimates(db_id, query_id, captured_at, estimated, actual, shape)``: the snapshot's plans.
+    A plan without an execution's own rows says nothing of its estimate and is left out, as
+    is a query whose output is not its scan's (``shape`` not null: aggregate, limit ...). The
+    windows only tell that the query ran since the snapshot before, and its time.
+    """
+    told = estimates.filter("estimated is not null and actual is not null and shape is null").drop("shape")
+    joined = windows.join(told, [*SNAP, "query_id"])
     e, a = F.greatest("estimated", F.lit(1.0)), F.greatest("actual", F.lit(1.0))
     judged = joined.withColumn("q_error", F.greatest(e / a, a / e)).filter((F.col("q_error") >= q_error) & (F.greatest("estimated", "actual") >= rows))
-    return judged.select(*SNAP, "query_id", "estimated", "actual", "q_error", F.when(F.col("estimated") > F.col("actual"), "over").otherwise("under").alias("direction"), F.when(F.col("q_error") >= high, "high").otherwise("medium").alias("severity"))
+    return judged.select(*SNAP, "query_id", "estimated", "actual", "q_error", F.round("time_ms", 3).alias("impact_ms"), F.when(F.col("estimated") > F.col("actual"), "over").otherwise("under").alias("direction"), F.when(F.col("q_error") >= high, "high").otherwise("medium").alias("severity"))
 
 
 # What each rule says of a finding, with its query and its detail.

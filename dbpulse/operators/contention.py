@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carried import carried
 from .rounds import written
 
 
@@ -310,12 +311,11 @@ def trim_resources(locks: DataFrame, most: int = 64) -> DataFrame:
 def merge_headers(headers: DataFrame, reports: DataFrame, within_s: int = 2) -> DataFrame:
     """Each report takes the time of the newest header at most ``within_s`` before it; other headers stay without detail.
 
-    As-of by a union in time order per database.
+    As-of by a union in time order, with the last header carried on.
     """
     marks = headers.select("db_id", F.col("h_s").alias("at"), F.lit(0).alias("kind"), "h_s", F.lit(None).cast("long").alias("report_id"))
     asks = reports.select("db_id", F.col("r_s").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("h_s"), "report_id")
-    w = Window.partitionBy("db_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    joined = marks.unionByName(asks).withColumn("near", F.last("h_s", ignorenulls=True).over(w)).filter("kind = 1")
+    joined = carried(marks.unionByName(asks), ["db_id"], ["at", "kind"], {"near": ("last", F.col("h_s"))}).filter("kind = 1")
     matched = joined.select("db_id", "report_id", F.when(F.col("at") - F.col("near") <= within_s, F.col("near")).alias("h_s"))
     used = matched.filter("h_s is not null").select("db_id", "h_s").distinct()
     alone = headers.select("db_id", "h_s").distinct().join(used, ["db_id", "h_s"], "left_anti").select("db_id", F.lit(None).cast("long").alias("report_id"), "h_s")

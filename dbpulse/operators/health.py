@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carried import carried
+
 RANK = {"error": 2, "warning": 1, "info": 0}
 
 
@@ -63,9 +65,8 @@ def config_issues(settings: DataFrame, required: dict[str, str]) -> DataFrame:
 
 def payload_flag(samples: DataFrame, high: float, low: float) -> DataFrame:
     """A flag that rises above ``high`` and falls only below ``low``."""
-    w = Window.partitionBy("db_id").orderBy("at_s").rowsBetween(Window.unboundedPreceding, 0)
     crossing = F.when(F.col("bytes") > high, True).when(F.col("bytes") < low, False)
-    return samples.withColumn("flag", F.coalesce(F.last(crossing, ignorenulls=True).over(w), F.lit(False)))
+    return carried(samples, ["db_id"], ["at_s"], {"flag": ("last", crossing)}).withColumn("flag", F.coalesce("flag", F.lit(False)))
 
 
 def missed_deadlocks(samples: DataFrame, events: DataFrame, back: int = 3600, lag: int = 120, slot: int = 3600) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_US = 86_400_000_000
+from .carried import carried
 
 
 def percentile(column: str, p: float) -> Column:
@@ -22,25 +22,38 @@ def latency_stats(samples: DataFrame, by: list[str], span_seconds: float) -> Dat
     )
 
 
-def in_block(samples: DataFrame, blocks: DataFrame, settle_us: int = 0, slot_us: int = DAY_US) -> DataFrame:
+def in_block(samples: DataFrame, blocks: DataFrame, settle_us: int = 0, by: list[str] | None = None) -> DataFrame:
     """Samples that begin after a block has settled and end inside it.
 
-    A range join by time slots: a block stands in each slot it covers, a sample in the slot
-    it begins in; the bounds are the residual condition.
+    Blocks of one experiment (``by``) follow each other, so a sample's block is the last that
+    had settled when it began: both sides in time order, the block carried on. Samples do
+    not meet blocks by pairs. Blocks that overlap are refused.
     """
-    slots = blocks.withColumn("slot", F.explode(F.expr(f"sequence(cast(floor(start_us / {slot_us}) as bigint), cast(floor(end_us / {slot_us}) as bigint))")))
-    placed = samples.withColumn("slot", F.floor(F.col("t0") / slot_us).cast("long"))
-    joined = placed.join(slots.select("slot", "day_no", F.col("pair").alias("block_pair"), F.col("side").alias("block_side"), "start_us", "end_us"), "slot")
-    return joined.filter((F.col("t0") >= F.col("start_us") + settle_us) & (F.col("t1") <= F.col("end_us")))
-
-
-def overlaps(samples: DataFrame, cycles: DataFrame, slot_us: int = 3_600_000_000) -> DataFrame:
-    """``samples`` with whether any cycle ``(c0, c1)`` runs during them (O04), by time slots."""
-    sequence = "sequence(cast(floor({a} / {s}) as bigint), cast(floor({b} / {s}) as bigint))"
-    cut = cycles.withColumn("slot", F.explode(F.expr(sequence.format(a="c0", b="c1", s=slot_us))))
-    mine = samples.select("event_id", "t0", "t1").withColumn("slot", F.explode(F.expr(sequence.format(a="t0", b="t1", s=slot_us))))
-    hit = mine.join(cut, "slot").filter("t0 < c1 and c0 < t1").select("event_id").distinct().withColumn("__hit", F.lit(True))
-    return samples.join(hit, "event_id", "left").withColumn("overlaps", F.coalesce("__hit", F.lit(False))).drop("__hit")
+    by = by or []
+    order = carried(blocks.select(*by, "start_us", "end_us", "day_no"), by, ["start_us", "day_no"], {"until": ("max", F.col("end_us"))}, own=False)
+    if order.filter("until > start_us").limit(1).count():
+        raise ValueError("blocks of one experiment must not overlap")
+    held = [c for c in blocks.columns if c not in by]
+    block = F.struct(*[F.col(c).alias({"pair": "block_pair", "side": "block_side"}.get(c, c)) for c in held])
+    begins = blocks.select(*by, (F.col("start_us") + settle_us).alias("__at"), F.lit(0).alias("__kind"), block.alias("__block"))
+    asks = samples.select(*by, F.col("t0").alias("__at"), F.lit(1).alias("__kind"), F.struct(*samples.columns).alias("__sample"))
+    swept = carried(begins.unionByName(asks, allowMissingColumns=True), by, ["__at", "__kind"], {"__b": ("last", F.col("__block"))}).filter("__kind = 1")
+    inside = swept.filter("__sample.t1 <= __b.end_us")
+    return inside.select("__sample.*", "__b.*")
+
+
+def overlaps(samples: DataFrame, cycles: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``samples`` with whether any cycle ``(c0, c1)`` of the same experiment (``by``) runs during them.
+
+    Of the cycles that begin before a sample ends, the latest end decides: cycles at their
+    begin and samples at their end in time order, with the greatest end carried on. Each
+    sample and each cycle is one row, however many meet.
+    """
+    by = by or []
+    marks = cycles.filter("c0 < c1").select(*by, F.col("c0").alias("__at"), F.lit(1).alias("__kind"), F.col("c1").alias("__c1"))
+    asks = samples.select(*by, F.col("t1").alias("__at"), F.lit(0).alias("__kind"), F.struct(*samples.columns).alias("__sample"))
+    swept = carried(asks.unionByName(marks, allowMissingColumns=True), by, ["__at", "__kind"], {"__until": ("max", F.col("__c1"))}).filter("__kind = 0")
+    return swept.select("__sample.*", F.coalesce(F.col("__until") > F.col("__sample.t0"), F.lit(False)).alias("overlaps"))
 
 
 def geomean_overhead(samples: DataFrame, by: list[str], least: int = 5) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carried import carried
 from .rounds import written
 
 Z = 1.959963984540054
@@ -84,13 +85,14 @@ def verdict(checks: DataFrame, by: list[str]) -> DataFrame:
 def finding_cycle(findings: DataFrame, cycles: DataFrame, slot: int = 3600) -> DataFrame:
     """The cycle whose interval holds a finding, else the last that began before it (Q11).
 
-    As-of by a union of both sides in time order, per database: no range join.
+    As-of by a union of both sides in time order, with the last cycle carried on: no range
+    join, and a database's history may lie in several tasks. Of cycles that begin together
+    the one of the largest id counts.
     """
     marks = cycles.select("db_id", F.col("c0").alias("at"), F.lit(0).alias("kind"), F.col("cycle_id"), F.col("c1"), F.lit(None).cast("long").alias("detection_id"))
     asks = findings.select("db_id", F.col("s").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("cycle_id"), F.lit(None).cast("long").alias("c1"), "detection_id")
-    w = Window.partitionBy("db_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind") == 0, F.struct("cycle_id", "c1")), ignorenulls=True).over(w)
-    found = marks.unionByName(asks).withColumn("c", last).filter("kind = 1")
+    last = F.when(F.col("kind") == 0, F.struct("cycle_id", "c1"))
+    found = carried(marks.unionByName(asks), ["db_id"], ["at", "kind", "cycle_id"], {"c": ("last", last)}).filter("kind = 1")
     return found.select("detection_id", F.col("c.cycle_id").alias("cycle_id"), F.coalesce(F.col("at") <= F.col("c.c1"), F.lit(False)).alias("inside"))
 
 

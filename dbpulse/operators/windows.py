@@ -1,7 +1,7 @@
 """Counter differencing: cumulative counters of statement snapshots become measured windows.
 
-All window functions are partitioned by database and fingerprint, so one busy database is
-spread over as many tasks as it has fingerprints.
+Window functions are partitioned by database and fingerprint, so one busy database is spread
+over as many tasks as it has fingerprints; series of a whole database are carried scans.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carried import with_previous
+
 KEY = ["db_id", "query_id"]
 COUNTERS = ["execution_count", "total_time_ms", "rows_returned", "disk_spill_indicator", "sort_merge_passes"]
 
@@ -79,16 +81,20 @@ def _with_db_before(st: DataFrame) -> DataFrame:
 
 
 def rows_windows(st: DataFrame, new_within: int = 10) -> DataFrame:
-    """Calls and rows since the sample before; a new fingerprint counts whole if admitted; nothing after a reset."""
+    """Calls, rows and time since the sample before (``window_start``); a new fingerprint counts whole if admitted; nothing after a reset.
+
+    ``time_ms`` is null where the time is unknown or ran back.
+    """
     st = _with_db_before(st)
     first = _before("captured_at").isNull()
+    time = F.when(first, F.col("total_time_ms")).otherwise(F.col("total_time_ms") - _before("total_time_ms"))
     w = st.select(
-        *KEY, "captured_at", first.alias("is_new"), _reset().alias("reset"), _admitted(new_within).alias("admitted"),
+        *KEY, "captured_at", _before("captured_at").alias("window_start"), F.when(time >= 0, time).alias("time_ms"), first.alias("is_new"), _reset().alias("reset"), _admitted(new_within).alias("admitted"),
         F.when(first, F.col("execution_count")).otherwise(F.col("execution_count") - _before("execution_count")).alias("calls"),
         F.when(first, F.col("rows_returned")).otherwise(F.col("rows_returned") - _before("rows_returned")).alias("rows"),
     )
     ok = ~F.col("reset") & (~F.col("is_new") | F.col("admitted")) & (F.col("calls") > 0) & (F.col("rows") >= 0)
-    return w.filter(ok).select(*KEY, "captured_at", "is_new", "calls", "rows")
+    return w.filter(ok).select(*KEY, "captured_at", "window_start", "is_new", "calls", "rows", "time_ms")
 
 
 def spill_windows(st: DataFrame, new_within: int = 10) -> DataFrame:
@@ -128,10 +134,10 @@ def stats_fresh(s: DataFrame, least_seconds: int = 1800) -> DataFrame:
 
 def counter_delta(df: DataFrame, value: str, mark: str, by: list[str], order: str) -> DataFrame:
     """Growth of a counter since the row before; after a reset (it fell, or ``mark`` changed) the value itself, a lower bound."""
-    w = Window.partitionBy(*by).orderBy(order)
-    reset = F.coalesce((F.col(value) < F.lag(value).over(w)) | (F.col(mark) != F.lag(mark).over(w)), F.lit(False))
-    grown = F.when(reset, F.col(value)).otherwise(F.col(value) - F.lag(value).over(w))
-    return df.withColumn("delta", grown).withColumn("reset", reset)
+    last = with_previous(df, by, [order], [value, mark])
+    reset = F.coalesce((F.col(value) < F.col(f"previous.{value}")) | (F.col(mark) != F.col(f"previous.{mark}")), F.lit(False))
+    grown = F.when(reset, F.col(value)).otherwise(F.col(value) - F.col(f"previous.{value}"))
+    return last.withColumn("delta", grown).withColumn("reset", reset).drop("previous")
 
 
 def log_growth(files: DataFrame) -> DataFrame:
@@ -144,21 +150,21 @@ def log_growth(files: DataFrame) -> DataFrame:
 
 def cycle_samples(cycles: DataFrame, limit_bytes: int = 2 << 20) -> DataFrame:
     """Per cycle: deadlocks counted since the last, reset flag, log bytes, seconds, and whether the log outran its limit."""
-    deltas = counter_delta(cycles, "deadlocks", "epoch", ["db_id"], "at_s")
-    w = Window.partitionBy("db_id").orderBy("at_s")
-    timed = deltas.withColumn("seconds", F.col("at_s") - F.lag("at_s").over(w)).select("db_id", "at_s", "delta", "reset", "seconds")
+    last = with_previous(cycles, ["db_id"], ["at_s"], ["deadlocks", "epoch", "at_s"])
+    reset = F.coalesce((F.col("deadlocks") < F.col("previous.deadlocks")) | (F.col("epoch") != F.col("previous.epoch")), F.lit(False))
+    grown = F.when(reset, F.col("deadlocks")).otherwise(F.col("deadlocks") - F.col("previous.deadlocks"))
+    timed = last.select("db_id", "at_s", grown.alias("delta"), reset.alias("reset"), (F.col("at_s") - F.col("previous.at_s")).alias("seconds"))
     return timed.join(log_growth(cycles), ["db_id", "at_s"]).withColumn("overrun", F.col("grown_bytes") > limit_bytes)
 
 
 def eviction_delta(checks: DataFrame) -> DataFrame:
     """``checks(db_id, at_s, evicted)``: rows where the eviction counter grew since the check before."""
-    w = Window.partitionBy("db_id").orderBy("at_s")
-    grown = F.col("evicted") - F.lag("evicted").over(w)
-    return checks.withColumn("evicted_since", grown).filter("evicted_since > 0")
+    last = with_previous(checks, ["db_id"], ["at_s"], ["evicted"])
+    return last.withColumn("evicted_since", F.col("evicted") - F.col("previous.evicted")).drop("previous").filter("evicted_since > 0")
 
 
 def consecutive(samples: DataFrame, by: list[str], at: str = "at_s", most_seconds: int = 60) -> DataFrame:
     """One row per capture time, with whether it follows the one before within ``most_seconds``."""
     once = samples.dropDuplicates([*by, at])
-    gap = F.col(at) - F.lag(at).over(Window.partitionBy(*by).orderBy(at))
-    return once.withColumn("follows", F.coalesce(gap <= most_seconds, F.lit(False)))
+    gap = F.col(at) - F.col(f"previous.{at}")
+    return with_previous(once, by, [at], [at]).withColumn("follows", F.coalesce(gap <= most_seconds, F.lit(False))).drop("previous")

@@ -63,7 +63,7 @@ ADMITTED = "coalesce(epoch(captured_at) - epoch(counters_epoch) <= {s} OR counte
     execution_count - coalesce(lag(execution_count) {LAG}, 0) AS calls, rows_returned - coalesce(lag(rows_returned) {LAG}, 0) AS rows FROM stmt JOIN caps USING (db_id, captured_at))
 SELECT db_id, query_id, captured_at, is_new, calls, rows FROM r WHERE NOT reset AND (NOT is_new OR admitted) AND calls > 0 AND rows >= 0""")
 def w05(spark, sf_dir):
-    return windows.rows_windows(view(spark, sf_dir, "stmt"), new_within=21600)
+    return windows.rows_windows(view(spark, sf_dir, "stmt"), new_within=21600).drop("window_start", "time_ms")
 
 
 @query("w06_spill_windows", ctes("stmt") + f""", {DB_BEFORE}, r AS (

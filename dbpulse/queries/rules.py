@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.text import index_facts
 from ..operators import antipatterns as D
 from ..operators import coverage as E
+from ..operators import index_rules as X
+from ..operators import n_plus_one as N
 from ..operators import windows
+from ..operators.rounds import written
 from ..plans import flatten as P
 from ..sources.fixtures import ctes, define, view
 from . import ORACLE_SQL, QUERIES, counters, graphs, query  # noqa: F401  the rules' own queries
@@ -143,8 +146,9 @@ define("cond_node", ["db"], " UNION ALL ".join(
     f"SELECT db_id, '{q}' AS query_id, '{t}' AS table_name, {n} AS node_id, {p} AS parent_id, {l} AS level, '{k}' AS kind, {_cast(c)} AS column_name, {_cast(w)} AS wrapper, {_cast(o)} AS comparator, {_cast(d)} AS data_type FROM db WHERE {_N} = {i}"
     for i, q, t, n, p, l, k, c, w, o, d in _COND))
 ROWS = f"""{DB_BEFORE}, rw0 AS (SELECT db_id, query_id, captured_at, lag(captured_at) {LAG} IS NULL AS is_new, coalesce(counters_epoch <> lag(counters_epoch IGNORE NULLS) {LAG}, false) AS reset, {ADMITTED.format(s=21600)} AS admitted,
-  execution_count - coalesce(lag(execution_count) {LAG}, 0) AS calls, rows_returned - coalesce(lag(rows_returned) {LAG}, 0) AS rows FROM stmt JOIN caps USING (db_id, captured_at)),
-rw AS (SELECT db_id, query_id, captured_at, calls, rows FROM rw0 WHERE NOT reset AND (NOT is_new OR admitted) AND calls > 0 AND rows >= 0)"""
+  lag(captured_at) {LAG} AS window_start, execution_count - coalesce(lag(execution_count) {LAG}, 0) AS calls, rows_returned - coalesce(lag(rows_returned) {LAG}, 0) AS rows,
+  CASE WHEN lag(captured_at) {LAG} IS NULL THEN total_time_ms ELSE total_time_ms - lag(total_time_ms) {LAG} END AS t FROM stmt JOIN caps USING (db_id, captured_at)),
+rw AS (SELECT db_id, query_id, captured_at, window_start, is_new, calls, rows, CASE WHEN t >= 0 THEN t END AS time_ms FROM rw0 WHERE NOT reset AND (NOT is_new OR admitted) AND calls > 0 AND rows >= 0)"""
 SCAN = f"""{ROWS}, fs AS (SELECT w.db_id, w.captured_at, w.query_id, o.table_name, t.live_rows, w.calls, w.rows / w.calls / t.live_rows AS selectivity FROM rw w JOIN plan_op o USING (db_id, query_id) JOIN table_stats t ON t.db_id = w.db_id AND t.table_name = o.table_name
   WHERE simple AND access_method = 'full_table_scan' AND live_rows >= 1000 AND w.calls >= 2 AND w.rows / w.calls / t.live_rows <= 0.1)"""
 BASE = ctes("stmt", "plan_op", "table_stats", "cond_node", "index_catalog") + f", {SCAN}, {FACTS}, ld AS (SELECT DISTINCT db_id, table_name, columns[1] AS column_name FROM fa WHERE NOT is_partial AND columns[1] IS NOT NULL), bs AS (SELECT DISTINCT db_id, query_id, table_name FROM fs)"
@@ -181,34 +185,63 @@ def d04(spark, sf_dir):
     return D.missing_index(scans(spark, sf_dir), view(spark, sf_dir, "cond_node"), facts(spark, sf_dir))
 
 
-USED = "us AS (SELECT DISTINCT c.db_id, c.schema_name, c.table_name, c.index_name FROM index_catalog c JOIN plan_op o ON o.db_id = c.db_id AND o.table_name = c.table_name AND o.index_name = c.index_name AND (o.schema_name IS NULL OR o.schema_name = c.schema_name))"
+# the catalog in two schemas with equal names, and one index name on two tables, of which plans cite one
+define("index_all", ["index_catalog", "db"], f"""
+SELECT db_id, schema_name, table_name, index_name, index_ref, index_scans, last_index_scan, index_size_bytes FROM index_catalog
+UNION ALL SELECT db_id, 'archive', table_name, index_name, replace(index_ref, 'public.', 'archive.'), (index_scans + 2) % 3, last_index_scan, index_size_bytes FROM index_catalog WHERE {_N} = 2 AND table_name <> 'part'
+UNION ALL SELECT db_id, 'public', 'orders', 'by_key', 'CREATE INDEX by_key ON public.orders USING btree (o_clerk)', 0, cast(NULL AS string), 8192 FROM db
+UNION ALL SELECT db_id, 'public', 'supplier', 'by_key', 'CREATE INDEX by_key ON public.supplier USING btree (s_acctbal)', 0, cast(NULL AS string), 8192 FROM db
+UNION ALL SELECT db_id, 'public', 'orders', 'orders_some', 'CREATE INDEX orders_some ON public.orders USING btree (o_custkey) WHERE (o_clerk IS NULL)', 3, cast(NULL AS string), 8192 FROM db""")
+_AT = "CASE cast(replace(db_id, 'db', '') AS bigint) % 7 WHEN 0 THEN cast(NULL AS string) WHEN 3 THEN 'archive' WHEN 5 THEN 'elsewhere' ELSE 'public' END"
+define("plan_use", ["plan_op", "db"], f"""
+SELECT db_id, query_id, {_AT} AS schema_name, table_name, access_method, index_name FROM plan_op
+UNION ALL SELECT db_id, 'signup', {_AT}, 'supplier', 'index_lookup', 'by_key' FROM db UNION ALL SELECT db_id, 'view', {_AT}, 'orders', 'index_lookup', 'orders_cust_date' FROM db WHERE {_N} = 2""")
+define("filter_at", ["filter_col", "db"], f"SELECT db_id, query_id, {_AT} AS schema_name, table_name, column_name FROM filter_col CROSS JOIN db")
+define("fk_rel", ["fk", "db"], f"""
+SELECT db_id, 'public' AS schema_name, table_name, constraint_name, column_name, 'public' AS referenced_schema, referenced_table, referenced_column FROM fk CROSS JOIN db
+UNION ALL SELECT db_id, 'Archive', upper(table_name), constraint_name, column_name, 'Archive', referenced_table, referenced_column FROM fk CROSS JOIN db WHERE {_N} = 2""")
+FACTS_ALL = FACTS.replace("FROM index_catalog", "FROM index_all")
+USED = """ct AS (SELECT DISTINCT db_id, table_name, index_name, schema_name AS cited, EXISTS (FROM index_all c WHERE c.db_id = o.db_id AND c.table_name = o.table_name AND c.index_name = o.index_name AND c.schema_name = o.schema_name) AS known FROM plan_use o WHERE index_name IS NOT NULL),
+us AS (SELECT DISTINCT c.db_id, c.schema_name, c.table_name, c.index_name FROM index_all c JOIN ct USING (db_id, table_name, index_name) WHERE NOT known OR cited = c.schema_name),
+fx AS (SELECT fa.*, u.db_id IS NOT NULL AS in_plans, index_scans > 0 OR last_index_scan IS NOT NULL OR u.db_id IS NOT NULL AS has_reads FROM fa LEFT JOIN us u USING (db_id, schema_name, table_name, index_name))"""
 ACT = f"""ac AS (SELECT db_id, query_id, captured_at, CASE WHEN whole THEN execution_count ELSE execution_count - pc END AS calls, CASE WHEN whole THEN total_time_ms ELSE total_time_ms - pt END AS time_ms
   FROM (SELECT *, coalesce(lag(captured_at) {LAG} IS NULL OR counters_epoch <> lag(counters_epoch IGNORE NULLS) {LAG} OR execution_count < lag(execution_count) {LAG}, false) AS whole, lag(execution_count) {LAG} AS pc, lag(total_time_ms) {LAG} AS pt FROM stmt)
-  WHERE CASE WHEN whole THEN execution_count ELSE execution_count - pc END > 0)"""
-RED = """ux AS (SELECT *, (is_unique::INT, (index_scans > 0)::INT, index_scans) AS worth FROM fa WHERE NOT is_partial AND len(list_filter(columns, lambda c: c IS NULL)) = 0),
-rd AS (SELECT a.db_id, a.table_name, a.index_name, min(b.index_name) AS covered_by FROM ux a JOIN ux b ON a.db_id = b.db_id AND a.table_name = b.table_name AND a.method = b.method AND a.index_name <> b.index_name
-  WHERE NOT a.is_unique AND ((a.columns = b.columns AND (b.worth > a.worth OR (b.worth = a.worth AND b.index_name < a.index_name))) OR (len(b.columns) > len(a.columns) AND b.columns[1:len(a.columns)] = a.columns AND (b.index_scans > 0 OR a.db_id IN (SELECT db_id FROM db_fresh WHERE fresh)))) GROUP BY ALL)"""
-KEEP = """ky AS (SELECT constraint_name, table_name, list_sort(list(DISTINCT column_name)) AS key FROM fk GROUP BY 1, 2),
-kf AS (SELECT db_id, constraint_name, bool_or(is_unique OR index_scans > 0) AS safe, arg_min(index_name, (len(columns), index_size_bytes, index_name)) AS index_name FROM fa JOIN ky USING (table_name) WHERE NOT is_partial AND list_sort(columns[1:len(key)]) = key GROUP BY 1, 2),
-kp AS (SELECT db_id, constraint_name, index_name FROM kf WHERE NOT safe)"""
-D05 = ctes("stmt", "plan_op", "index_catalog", "fk", "filter_col", "db_fresh") + f", {FACTS}, {USED}, {ACT}, {RED}, {KEEP}"
+  WHERE CASE WHEN whole THEN execution_count ELSE execution_count - pc END > 0),
+tr AS (SELECT db_id, query_id, schema_name, table_name, any_value(time_ms) AS time_ms, list_sort(list(DISTINCT column_name)) AS columns,
+    bool_or(EXISTS (FROM plan_use p WHERE p.db_id = f.db_id AND p.query_id = f.query_id AND p.table_name = f.table_name AND p.schema_name IS NOT DISTINCT FROM f.schema_name AND p.access_method LIKE 'full%')) AS scan
+  FROM filter_at f JOIN (SELECT db_id, query_id, round(sum(time_ms), 6) AS time_ms FROM ac GROUP BY 1, 2) USING (db_id, query_id) GROUP BY 1, 2, 3, 4),
+ts AS (SELECT db_id, table_name, list(DISTINCT coalesce(schema_name, '')) AS ats FROM tr GROUP BY 1, 2),
+pl AS (SELECT i.db_id, i.schema_name, i.table_name, CASE WHEN list_contains(ats, i.schema_name) THEN i.schema_name WHEN list_contains(ats, '') THEN '' END AS pat FROM (SELECT DISTINCT db_id, schema_name, table_name FROM index_all) i JOIN ts USING (db_id, table_name))"""
+RED = """ux AS (SELECT *, (is_unique::INT, has_reads::INT, index_scans) AS worth, db_id IN (SELECT db_id FROM db_fresh WHERE fresh) AS fresh FROM fx JOIN pl USING (db_id, schema_name, table_name) WHERE pat IS NOT NULL AND len(list_filter(columns, lambda c: c IS NULL)) = 0),
+pr AS (SELECT a.db_id, a.schema_name, a.table_name, a.index_name, a.in_plans, a.is_partial, b.index_name AS other, a.columns = b.columns AS same FROM ux a JOIN ux b ON a.db_id = b.db_id AND a.schema_name = b.schema_name AND a.table_name = b.table_name AND a.method = b.method AND a.index_name <> b.index_name
+  WHERE NOT a.is_unique AND NOT b.is_partial AND (a.fresh OR b.has_reads) AND ((a.columns = b.columns AND NOT a.is_partial AND (b.worth > a.worth OR (b.worth = a.worth AND b.index_name < a.index_name))) OR (len(b.columns) > len(a.columns) AND b.columns[1:len(a.columns)] = a.columns))),
+rd AS (SELECT db_id, schema_name, table_name, index_name, arg_min(other, (NOT same, other)) AS covered_by, CASE WHEN bool_or(same) THEN 'copy' ELSE 'prefix' END AS kind, CASE WHEN in_plans THEN 'medium' ELSE 'low' END AS severity, CASE WHEN in_plans OR is_partial THEN 'low' ELSE 'high' END AS confidence FROM pr GROUP BY db_id, schema_name, table_name, index_name, in_plans, is_partial)"""
+KEEP = """ky AS (SELECT db_id, lower(schema_name) AS schema_name, lower(table_name) AS table_name, constraint_name, list_sort(list(DISTINCT column_name)) AS key FROM fk_rel GROUP BY 1, 2, 3, 4),
+kf AS (SELECT db_id, schema_name, table_name, constraint_name, bool_or(is_unique OR has_reads) AS safe, arg_min(index_name, (len(columns), index_name)) AS index_name FROM fx JOIN ky USING (db_id, schema_name, table_name)
+  WHERE NOT is_partial AND len(columns) >= len(key) AND list_sort(columns[1:len(key)]) = key AND (db_id, schema_name, table_name, index_name) NOT IN (SELECT db_id, schema_name, table_name, index_name FROM rd) GROUP BY 1, 2, 3, 4),
+kp AS (SELECT db_id, schema_name, table_name, constraint_name, index_name FROM kf WHERE NOT safe)"""
+PICK = """pk AS (SELECT f.db_id, f.schema_name, f.table_name, f.index_name, arg_max(t.query_id, (coalesce(list_contains(t.columns, f.columns[1]), false), coalesce(list_contains(t.columns, f.columns[1]), false) AND scan, time_ms, t.query_id)) AS query_id, bool_or(coalesce(list_contains(t.columns, f.columns[1]), false)) AS by_lead
+  FROM fx f JOIN pl USING (db_id, schema_name, table_name) JOIN tr t ON t.db_id = f.db_id AND t.table_name = f.table_name AND coalesce(t.schema_name, '') = pat GROUP BY 1, 2, 3, 4)"""
+D05 = ctes("stmt", "plan_use", "index_all", "fk_rel", "filter_at", "db_fresh") + f", {FACTS_ALL}, {USED}, {ACT}, {RED}, {KEEP}, {PICK}"
 
 
-def keepers(spark, sf_dir):
-    sizes = view(spark, sf_dir, "index_catalog").select("db_id", "index_name", "index_size_bytes")
-    return D.fk_keepers(view(spark, sf_dir, "fk"), facts(spark, sf_dir).drop("index_size_bytes"), sizes)
+def used(spark, sf_dir):
+    return X.used_indexes(view(spark, sf_dir, "plan_use"), view(spark, sf_dir, "index_all"))
 
 
-def redundant(spark, sf_dir):
-    return D.redundant_indexes(facts(spark, sf_dir), view(spark, sf_dir, "db_fresh"))
+def traffic(spark, sf_dir):
+    return X.query_traffic(windows.activity_windows(view(spark, sf_dir, "stmt")), view(spark, sf_dir, "filter_at"), view(spark, sf_dir, "plan_use"))
 
 
-def used(spark, sf_dir):
-    return D.used_indexes(view(spark, sf_dir, "plan_op"), view(spark, sf_dir, "index_catalog"))
+def read_facts(spark, sf_dir):
+    return X.with_reads(index_facts(view(spark, sf_dir, "index_all")), used(spark, sf_dir))
 
 
-def traffic(spark, sf_dir):
-    return D.filter_traffic(windows.activity_windows(view(spark, sf_dir, "stmt")), view(spark, sf_dir, "filter_col"), view(spark, sf_dir, "plan_op"))
+def ap05(spark, sf_dir):
+    """Facts, traffic, redundant indexes and keepers, each written once since several steps read it."""
+    facts, moved = written(read_facts(spark, sf_dir)), written(traffic(spark, sf_dir))
+    covered = written(X.redundant_indexes(facts, moved, view(spark, sf_dir, "db_fresh")))
+    return facts, moved, covered, X.fk_keepers(view(spark, sf_dir, "fk_rel"), facts, covered)
 
 
 @query("d05a_used_indexes", D05 + " SELECT * FROM us")
@@ -216,43 +249,51 @@ def d05a(spark, sf_dir):
     return used(spark, sf_dir)
 
 
-@query("d05b_filter_traffic", D05 + """, q AS (SELECT DISTINCT db_id, query_id FROM ac) SELECT q.db_id, f.table_name, count(DISTINCT q.query_id) AS queries, string_agg(DISTINCT f.column_name, ',' ORDER BY f.column_name) AS columns,
-  coalesce(string_agg(DISTINCT f.column_name, ',' ORDER BY f.column_name) FILTER (o.access_method = 'full_table_scan'), '') AS scan_columns FROM q JOIN filter_col f USING (query_id) LEFT JOIN plan_op o ON o.db_id = q.db_id AND o.query_id = q.query_id AND o.table_name = f.table_name GROUP BY 1, 2""")
+@query("d05b_filter_traffic", D05 + """, e AS (SELECT db_id, schema_name, table_name, query_id, scan, unnest(columns) AS c FROM tr)
+SELECT db_id, schema_name, table_name, count(DISTINCT query_id) AS queries, string_agg(DISTINCT c, ',' ORDER BY c) AS columns, coalesce(string_agg(DISTINCT c, ',' ORDER BY c) FILTER (scan), '') AS scan_columns FROM e GROUP BY 1, 2, 3""")
 def d05b(spark, sf_dir):
-    return traffic(spark, sf_dir)
+    return X.filter_traffic(traffic(spark, sf_dir))
 
 
 @query("d05c_redundant_indexes", D05 + " SELECT * FROM rd")
 def d05c(spark, sf_dir):
-    return redundant(spark, sf_dir)
+    return ap05(spark, sf_dir)[2]
 
 
-@query("d05d_unused_indexes", D05 + """ SELECT db_id, table_name, index_name FROM fa WHERE index_scans = 0 AND last_index_scan IS NULL AND NOT is_unique AND db_id NOT IN (SELECT db_id FROM db_fresh WHERE fresh) AND (db_id, index_name) NOT IN (SELECT db_id, index_name FROM us) AND (db_id, index_name) NOT IN (SELECT db_id, index_name FROM rd)
-  AND (db_id, index_name) NOT IN (SELECT db_id, index_name FROM kp) AND (db_id, table_name) IN (SELECT ac.db_id, f.table_name FROM ac JOIN filter_col f USING (query_id))""")
+@query("d05d_unused_indexes", D05 + """ SELECT pk.*, CASE WHEN by_lead THEN 'high' ELSE 'low' END AS severity FROM pk JOIN fx USING (db_id, schema_name, table_name, index_name) WHERE NOT has_reads AND NOT is_unique AND db_id NOT IN (SELECT db_id FROM db_fresh WHERE fresh)
+  AND (db_id, schema_name, table_name, index_name) NOT IN (SELECT db_id, schema_name, table_name, index_name FROM rd) AND (db_id, schema_name, table_name, index_name) NOT IN (SELECT db_id, schema_name, table_name, index_name FROM kp)""")
 def d05d(spark, sf_dir):
-    return D.unused_indexes(facts(spark, sf_dir), used(spark, sf_dir), redundant(spark, sf_dir), keepers(spark, sf_dir), traffic(spark, sf_dir), view(spark, sf_dir, "db_fresh"))
+    facts, moved, covered, kept = ap05(spark, sf_dir)
+    return X.unused_indexes(facts, covered, kept, moved, view(spark, sf_dir, "db_fresh"))
 
 
 @query("d05e_fk_keepers", D05 + " SELECT * FROM kp")
 def d05e(spark, sf_dir):
-    return keepers(spark, sf_dir)
+    return ap05(spark, sf_dir)[3]
 
 
-@query("d05f_pick_query", D05 + """, t AS (SELECT db_id, query_id, round(sum(time_ms), 3) AS time_ms FROM ac GROUP BY 1, 2) SELECT fa.db_id, fa.index_name, arg_max(t.query_id, ((f.column_name = columns[1])::INT, (f.column_name = columns[1] AND o.access_method = 'full_table_scan')::INT, time_ms, t.query_id)) AS query_id, bool_or(f.column_name = columns[1]) AS by_lead
-FROM fa JOIN filter_col f USING (table_name) JOIN t ON t.db_id = fa.db_id AND t.query_id = f.query_id LEFT JOIN plan_op o ON o.db_id = fa.db_id AND o.query_id = f.query_id AND o.table_name = fa.table_name WHERE columns[1] IS NOT NULL GROUP BY 1, 2""")
+@query("d05f_pick_query", D05 + " SELECT * FROM pk")
 def d05f(spark, sf_dir):
-    indexes = facts(spark, sf_dir).select("db_id", "table_name", "index_name", F.col("columns")[0].alias("lead")).filter("lead is not null")
-    return D.pick_query(indexes, view(spark, sf_dir, "filter_col"), windows.activity_windows(view(spark, sf_dir, "stmt")), view(spark, sf_dir, "plan_op"))
+    return X.pick_query(read_facts(spark, sf_dir).select(*X.INDEX, F.get("columns", F.lit(0)).alias("lead")), traffic(spark, sf_dir))
+
+
+# what fingerprints read and compare, by database: the schema is unknown in some; customers are also read by their key
+define("reads_at", ["reads", "db"], f"SELECT db_id, query_id, {_AT} AS schema_name, table_name FROM reads CROSS JOIN db")
+define("equal_at", ["filter_col", "db"], f"""SELECT db_id, query_id, {_AT} AS schema_name, table_name, column_name FROM filter_col CROSS JOIN db
+UNION ALL SELECT db_id, 'error', {_AT}, 'customer', 'C_CUSTKEY' FROM db WHERE {_N} <> 1 UNION ALL SELECT db_id, 'view', {_AT}, 'orders', 'o_orderkey' FROM db WHERE {_N} <> 0""")
 
 
-@query("d06_n_plus_one", ctes("stmt", "reads", "equal_col", "fk") + f""", {ROWS}, ky AS (SELECT constraint_name, table_name, referenced_table, list(DISTINCT column_name) AS key FROM fk GROUP BY ALL), eq AS (SELECT query_id, list(DISTINCT column_name) AS eq FROM equal_col GROUP BY 1),
-c AS (SELECT db_id, captured_at, rw.query_id AS child_id, calls AS child_calls, constraint_name, referenced_table FROM rw JOIN reads USING (query_id) JOIN eq USING (query_id) JOIN ky USING (table_name) WHERE calls >= 4 AND list_has_all(eq, key)),
-p AS (SELECT db_id, captured_at, rw.query_id AS parent_id, rows AS parent_rows, table_name AS referenced_table FROM rw JOIN reads USING (query_id) WHERE rows > 0 AND rows / calls >= 2),
-x AS (SELECT *, abs(child_calls - parent_rows) / parent_rows AS off FROM c JOIN p USING (db_id, captured_at, referenced_table) WHERE child_id <> parent_id)
-SELECT db_id, captured_at, child_id, parent_id, constraint_name, child_calls, parent_rows, CASE WHEN child_calls >= 12 THEN 'high' ELSE 'medium' END AS severity FROM x WHERE off <= 0.97
-QUALIFY row_number() OVER (PARTITION BY db_id, captured_at, child_id ORDER BY off, parent_id, constraint_name) = 1""")
+@query("d06_n_plus_one", ctes("stmt", "reads_at", "equal_at", "fk_rel") + f""", {ROWS},
+ky AS (SELECT db_id, constraint_name, lower(schema_name) AS s, lower(table_name) AS t, list(DISTINCT lower(column_name)) AS own, lower(min(referenced_schema)) AS rs, lower(min(referenced_table)) AS rt, list(DISTINCT lower(referenced_column)) AS theirs FROM fk_rel GROUP BY 1, 2, 3, 4),
+rl AS (SELECT db_id, constraint_name, 'one_to_many' AS direction, s AS child_schema, t AS child_table, own AS key, rs AS parent_schema, rt AS parent_table FROM ky UNION ALL SELECT db_id, constraint_name, 'many_to_one', rs, rt, theirs, s, t FROM ky),
+eq AS (SELECT db_id, query_id, schema_name, table_name AS child_table, list(DISTINCT lower(column_name)) AS eq FROM equal_at GROUP BY 1, 2, 3, 4),
+c AS (SELECT * FROM rw JOIN eq USING (db_id, query_id) JOIN rl USING (db_id, child_table) WHERE calls >= 4 AND list_has_all(eq, key) AND (schema_name IS NULL OR child_schema = schema_name)),
+p AS (SELECT * FROM rw JOIN reads_at USING (db_id, query_id) WHERE rows > 0 AND rows >= 2 * calls),
+x AS (SELECT c.db_id, c.captured_at, c.query_id AS child_id, p.query_id AS parent_id, c.constraint_name, direction, child_table, parent_table, p.rows AS parent_rows, c.calls AS child_calls, round(c.time_ms + coalesce(p.time_ms, 0), 3) AS impact_ms, abs(c.calls - p.rows) / p.rows AS off
+  FROM c JOIN p ON c.db_id = p.db_id AND c.captured_at = p.captured_at AND c.parent_table = p.table_name AND c.query_id <> p.query_id AND (c.is_new AND p.is_new OR c.window_start = p.window_start) AND (p.schema_name IS NULL OR p.schema_name = parent_schema))
+SELECT * EXCLUDE (off), CASE WHEN child_calls >= 12 THEN 'high' ELSE 'medium' END AS severity FROM x WHERE off <= 0.97 QUALIFY row_number() OVER (PARTITION BY db_id, captured_at, child_id ORDER BY off, parent_id, constraint_name, direction, child_table) = 1""")
 def d06(spark, sf_dir):
-    return D.n_plus_one(rows(spark, sf_dir), view(spark, sf_dir, "reads"), view(spark, sf_dir, "equal_col"), view(spark, sf_dir, "fk"), calls=4, tolerance=0.97, high=12)
+    return N.n_plus_one(rows(spark, sf_dir), view(spark, sf_dir, "reads_at"), view(spark, sf_dir, "equal_at"), view(spark, sf_dir, "fk_rel"), calls=4, tolerance=0.97, high=12)
 
 
 SPILL = f"""{DB_BEFORE}, sp0 AS (SELECT db_id, query_id, captured_at, lag(captured_at) {LAG} IS NULL AS is_new, coalesce(counters_epoch <> lag(counters_epoch IGNORE NULLS) {LAG}, false) AS reset, {ADMITTED.format(s=21600)} AS admitted,
@@ -265,11 +306,13 @@ def d07(spark, sf_dir):
     return D.disk_spill(windows.spill_windows(view(spark, sf_dir, "stmt"), 21600), 1000, 500).select("db_id", "query_id", "captured_at", "calls", "spill", "kind", "severity")
 
 
-define("estimate", ["reads", "db"], "SELECT db_id, query_id, cast(CASE query_id WHEN 'click' THEN 900 WHEN 'view' THEN 2 ELSE 60 END AS double) AS estimated FROM reads CROSS JOIN db")
+# plans of each snapshot: some are of no execution, one query is an aggregate
+define("estimate", ["stmt"], """SELECT db_id, query_id, captured_at, cast(CASE query_id WHEN 'click' THEN 900 WHEN 'view' THEN 2 ELSE 60 + execution_count % 7 END AS double) AS estimated,
+  cast(CASE WHEN execution_count % 3 = 0 THEN NULL ELSE rows_returned % 1500 END AS double) AS actual, CASE WHEN query_id = 'error' THEN 'aggregate' END AS shape FROM stmt""")
 
 
-@query("d08_misestimate", ctes("stmt", "estimate") + f""", {ROWS}, j AS (SELECT *, rows / calls AS actual, greatest(greatest(estimated, 1) / greatest(rows / calls, 1), greatest(rows / calls, 1) / greatest(estimated, 1)) AS q_error FROM rw JOIN estimate USING (db_id, query_id))
-SELECT db_id, captured_at, query_id, estimated, actual, q_error, CASE WHEN estimated > actual THEN 'over' ELSE 'under' END AS direction, CASE WHEN q_error >= 25 THEN 'high' ELSE 'medium' END AS severity FROM j WHERE q_error >= 10 AND greatest(estimated, actual) >= 50""")
+@query("d08_misestimate", ctes("stmt", "estimate") + f""", {ROWS}, j AS (SELECT *, greatest(greatest(estimated, 1) / greatest(actual, 1), greatest(actual, 1) / greatest(estimated, 1)) AS q_error FROM rw JOIN estimate USING (db_id, query_id, captured_at) WHERE actual IS NOT NULL AND shape IS NULL)
+SELECT db_id, captured_at, query_id, estimated, actual, q_error, round(time_ms, 3) AS impact_ms, CASE WHEN estimated > actual THEN 'over' ELSE 'under' END AS direction, CASE WHEN q_error >= 25 THEN 'high' ELSE 'medium' END AS severity FROM j WHERE q_error >= 10 AND greatest(estimated, actual) >= 50""")
 def d08(spark, sf_dir):
     return D.misestimate(rows(spark, sf_dir), view(spark, sf_dir, "estimate"), q_error=10, rows=50, high=25)
 
