@@ -7,10 +7,15 @@ ten bits apart, with a deviation of three, which no index of bit blocks reaches
 meeting everything, so what SimHash has not joined is completed: further candidates share
 one of ``BANDS`` keys, each of ``ROWS`` least hash values. At 0.8 a pair is missed with
 probability ``(1 - 0.8**5) ** 32``, 3e-6, and less above it. Links are only pairs whose
-exact similarity suffices. A bucket's rows are held against one pivot a
-round, and against all others only where that has left them in another group, so a bucket
-of near copies costs no square of its size. Those pairs are first bounded by bitmaps of
-the sets, which drops none that could suffice, so that few sets travel.
+exact similarity suffices.
+
+Buckets of the same nodes are met once, and buckets whose nodes are already in one group not
+at all. The rest bring their nodes' shingle sets to a task, which emits a spanning forest of the
+bucket's links and no pairs: a node is held against all others at once, its group grows, and
+once all that are left to hold are in one group the bucket is done; so in a bucket of near
+copies only those that are unlike the rest cost a look at all others. A bucket of more than
+``BLOCK_ROWS`` nodes or ``BLOCK_HASHES`` shingles is cut into parts, and every two parts meet
+in a task of their own.
 """
 
 from __future__ import annotations
@@ -33,8 +38,11 @@ DISTANCE = 4
 BANDS, ROWS = 32, 5
 FACTORS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 HASHES_AT_ONCE = 512
-PIVOT_ROUNDS = 6
+SHINGLES_AT_ONCE = 200_000
+BLOCK_ROWS, BLOCK_HASHES = 400, 1_000_000
 SMALL_IDS = 500_000
+#: buckets that hold at least so small a share of all places are fewer than that, and broadcast
+HOT_SHARE = 10_000
 BITMAP = 8
 
 
@@ -47,8 +55,11 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))
     width, digest = min(shingle, len(words)), xxhash.xxh64_intdigest
-    spans = zip(starts[: len(words) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist())
-    return np.unique(np.array([digest(line[a:b], SEED) for a, b in spans], np.uint64))
+    first, last, found = starts[: len(words) - width + 1], ends[width - 1 :] - 1, np.empty(0, np.uint64)
+    for at in range(0, len(first), SHINGLES_AT_ONCE):
+        spans = zip(first[at : at + SHINGLES_AT_ONCE].tolist(), last[at : at + SHINGLES_AT_ONCE].tolist())
+        found = np.union1d(found, np.array([digest(line[a:b], SEED) for a, b in spans], np.uint64))
+    return found
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -83,33 +94,40 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _described(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, node, n, fp, bands)``: hash, size and SimHash of the shingle set, band keys."""
+    """``(doc_id, s1, s2, n, fp, bands)``: 128 bits of hash, size and SimHash of the shingle set, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, fp, bands = [], [], [], []
+            names, n, fp, bands = [], [], [], []
             for text in batch.column(1):
                 hashes = shingle_set(text.as_py(), shingle)
-                node.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                names.append(set_name(hashes))
                 n.append(len(hashes))
                 fp.append(majority(hashes))
                 bands.append(band_keys(hashes))
-            columns = [batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fp", "bands"])
+            two = np.array(names, np.int64).reshape(-1, 2)
+            columns = [batch.column(0), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "s1", "s2", "n", "fp", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, fp long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, s1 long, s2 long, n long, fp long, bands array<long>")
+
+
+def set_name(hashes: np.ndarray) -> list[int]:
+    """128 bits of hash of a shingle set as two signed longs."""
+    return np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes(), SEED), np.int64).tolist()
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(node, hashes, bits)`` of ``docs(node, text)``."""
+    """``(s1, s2, hashes, bits)`` of ``docs(text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_set(text.as_py(), shingle) for text in batch.column(1)]
-            columns = [pa.array(x, pa.list_(pa.int64())) for x in ([h.view(np.int64) for h in hashes], [bitmap(h) for h in hashes])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["node", "hashes", "bits"])
+            for text in batch.column(0):
+                hashes = shingle_set(text.as_py(), shingle)
+                (s1, s2), columns = set_name(hashes), [[h.view(np.int64)] for h in (hashes, bitmap(hashes))]
+                yield pa.RecordBatch.from_arrays([pa.array([s1]), pa.array([s2]), *[pa.array(c, pa.list_(pa.int64())) for c in columns]], ["s1", "s2", "hashes", "bits"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, hashes array<long>, bits array<long>")
+    return docs.select("text").mapInArrow(run, "s1 long, s2 long, hashes array<long>, bits array<long>")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -120,12 +138,6 @@ def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").filter(near).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-def _pairs(met: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs of ``met(node, n, other, other_n)`` whose sizes allow the similarity."""
-    fits = F.least("n", "other_n") / F.greatest("n", "other_n") >= similarity
-    return met.filter(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
-
 def _simhash_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of ``nodes(node, fp)``: equal fingerprints, and a forest of those within ``DISTANCE`` bits."""
     reps = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
@@ -134,51 +146,103 @@ def _simhash_pairs(nodes: DataFrame) -> DataFrame:
     return cut_lineage(same.unionByName(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
 
 
-def _components(places: DataFrame, sets: DataFrame, similarity: float, links: DataFrame) -> DataFrame:
-    """``(node, component)`` of linked nodes, from ``links`` and ``places(bucket, node, n)`` of buckets of two or more.
+def forest_of(sets: list[np.ndarray], groups: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Positions of links that join what has that similarity and is not yet in one group; no pair is passed over."""
+    sizes = np.array([len(s) for s in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    group = np.unique(np.array(groups), return_inverse=True)[1]
+    mark, left, found = np.zeros(codes.max() + 1, bool), np.ones(len(sets), bool), []
+    while True:
+        counts = np.bincount(group[left])
+        largest = counts.argmax()
+        if counts[largest] == counts.sum():
+            return found  # whatever has not been held against all is in one group
+        i = int(np.flatnonzero(left & (group != largest))[0])
+        left[i] = False
+        mine = codes[starts[i] : starts[i] + sizes[i]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[codes], starts, dtype=np.int64)
+        mark[mine] = False
+        near = both / (sizes + sizes[i] - both) >= similarity
+        met = np.unique(group[near & (group != group[i])], return_index=False)
+        for other in met.tolist():
+            found.append((i, int(np.flatnonzero(near & (group == other))[0])))
+        group[np.isin(group, met)] = group[i]
+
+
+def _bucket_links(nodes: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(src, dst)`` that join nodes of a common bucket beyond ``found(node, component)``."""
+    dealt = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    placed = dealt.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    same = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"m{seed}") for seed in (1, 2)]
+    kinds = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("component").alias("low"), F.max("component").alias("high"), *same)
+    mixed = kinds.filter("low != high").groupBy("m1", "m2", "size").agg(F.min("bucket").alias("bucket"), F.first("weight").alias("weight"))
+    parts = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_HASHES)).cast("int")
+    mixed = cut_lineage(mixed.select("bucket", "size", parts.alias("parts")))
+    hot = F.col("size") * HOT_SHARE >= (mixed.agg(F.sum("size")).first()[0] or 1)
+    marked = placed.join(F.broadcast(mixed.filter(hot).select("bucket", F.col("parts").alias("hot_parts"))), "bucket", "left")
+    rest = marked.filter("hot_parts is null").join(mixed.filter(~hot).select("bucket", "parts"), "bucket").select("bucket", "parts", "node", "component")
+    every = marked.filter("hot_parts is not null").select("bucket", F.col("hot_parts").alias("parts"), "node", "component").unionByName(rest)
+    part = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("parts")).cast("int")
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("part")))
+    met = every.withColumn("part", part).select("bucket", "node", "component", "part", F.explode(others).alias("other"))
+    met = met.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "component")
+    where = ["bucket", "p", "q"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [], [])
 
-    A bucket whose nodes are all in one group is done; only the others go into the next round.
-    """
-    most = 4 * places.count()
-    for turn in range(PIVOT_ROUNDS):
-        found = connected_components(links)
-        grouped = cut_lineage(places.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        first = F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component")))
-        mixed = grouped.groupBy("bucket").agg(first.alias("pivot"), F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-        alive = cut_lineage(grouped.join(mixed.select("bucket", "size", "pivot.other", "pivot.other_n", "pivot.other_component"), "bucket"))
-        # whoever is not in the pivot's group must still meet all other groups of the bucket
-        strange = alive.filter("component != other_component")
-        if turn + 1 == PIVOT_ROUNDS or (strange.agg(F.sum("size")).first()[0] or 0) <= most:
-            others = alive.select("bucket", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-            met = strange.select("bucket", "node", "n", "component").join(others, "bucket").filter("component != other_component")
-            pairs = _bounded(_pairs(met, similarity), sets, similarity)
-            return connected_components(links.unionByName(_links(pairs, sets, similarity)))
-        links = links.unionByName(_links(_pairs(strange, similarity), sets, similarity))
-        places = alive.select("bucket", "node", "n")
-    raise AssertionError("the last round returns")
+        def done():
+            ids, groups, hashes = held
+            links = forest_of(hashes, groups, similarity) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[x[k]] for x in links], pa.int64()) for k in (0, 1)], ["src", "dst"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            ids, groups = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for at, here in enumerate(keys):
+                if here != key:
+                    if key is not None:
+                        yield done()
+                    key, held = here, ([], [], [])
+                for column, value in zip(held, (ids[at], groups[at], batch.column(5)[at].values.to_numpy())):
+                    column.append(value)
+        if key is not None:
+            yield done()
+
+    whole = met.join(sets.select("node", "hashes"), "node").select(*where, "node", "component", "hashes")
+    return cut_lineage(whole.repartition(*where).sortWithinPartitions(*where).mapInArrow(run, "src long, dst long"))
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, group_id)`` for every row with an id: the smallest id reachable over links.
 
     A link is an exact Jaccard similarity of the shingle sets of at least ``similarity``.
-    Texts without words are copies of each other and of nothing else.
+    Texts without words are copies of each other and of nothing else. Rows that repeat an id
+    with other texts belong to the group of their own text each.
     """
     texts = _rows(docs, id_col, text_col).filter("doc_id is not null")
     rows = cut_lineage(_described(texts, shingle))
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.min_by("bands", "doc_id").alias("bands")))
-    dealt = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    several = dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    places = cut_lineage(dealt.join(several, "bucket", "left_semi"))
+    name = ["s1", "s2"]
+    distinct = rows.groupBy(*name).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.min_by("bands", "doc_id").alias("bands"))
+    # numbered by place, so that no two sets share a number however many there are
+    nodes = cut_lineage(distinct.withColumn("node", F.monotonically_increasing_id()))
+    dealt = nodes.select("node", F.explode("bands").alias("bucket"))
+    several = dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     close = _simhash_pairs(nodes.select("node", "fp"))
-    met = places.select("node").unionByName(close.select(F.col("a").alias("node"))).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    wanted = cut_lineage(nodes.join(met, "node", "left_semi").select("node", F.col("rep").alias("doc_id")))
-    few = F.broadcast(wanted) if wanted.count() <= SMALL_IDS else wanted
-    sets = cut_lineage(_sets(texts.join(few, "doc_id"), shingle).dropDuplicates(["node"]))
-    found = _components(places, sets, similarity, _links(_bounded(close, sets, similarity), sets, similarity))
-    named = nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    shared = dealt.join(several.select("bucket"), "bucket", "left_semi")
+    met = shared.select("node").unionByName(close.select(F.col("a").alias("node"))).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    wanted = cut_lineage(nodes.join(met, "node", "left_semi").select("node", *name, F.col("rep").alias("doc_id")))
+    ids = wanted.select("doc_id").distinct()
+    few = F.broadcast(ids) if wanted.count() <= SMALL_IDS else ids
+    sets = _sets(texts.join(few, "doc_id", "left_semi"), shingle).dropDuplicates(name)
+    sets = cut_lineage(sets.join(wanted.select("node", *name), name).select("node", "hashes", "bits"))
+    links = _links(_bounded(close, sets, similarity), sets, similarity)
+    found = connected_components(links.unionByName(_bucket_links(nodes, sets, connected_components(links), similarity)))
+    named = nodes.join(found, "node", "left").select(*name, "rep", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("group_id"))
-    return rows.join(named.join(least, "component").select("node", "group_id"), "node").select("doc_id", "group_id")
+    return rows.join(named.join(least, "component").select(*name, "group_id"), name).select("doc_id", "group_id")
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
