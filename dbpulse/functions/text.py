@@ -1,7 +1,7 @@
 """Column expressions over SQL texts, predicates and evidence.
 
 There is no parser here: each rule is a pattern that is exact for the shapes it accepts
-and gives null for others. A literal or quoted part is found by one scan (``_pieces``),
+and gives null for others; what needs a statement's clauses is in ``statements``. A literal or quoted part is found by one scan (``_pieces``),
 so a quote inside a comment, or a comment inside a string, is not taken for what it is not.
 """
 
@@ -16,7 +16,16 @@ from pyspark.sql import functions as F
 STRING = r"'[^']*+(?:''[^']*+)*+'"
 QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 COMMENT = r"--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/"
-NUMBER = r"\b\d+(?:\.\d+)?\b"
+#: decimal, exponent, hexadecimal and binary numbers that are not part of a name
+NUMBER = r"(?<![\w$.])(?:0[xX][0-9a-fA-F]+|0[bB][01]+|(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)(?![\w$])"
+_ESCAPED = r"(?:[^'\\]++|\\[\s\S]|'')*+'"
+#: strings by engine: with prefix, with backslashes where they escape, between dollar tags; in mysql also in double quotes
+STRINGS = {
+    "postgres": rf"(?<![\w$])[eE]'{_ESCAPED}|(?:(?<![\w$])(?:[bBxXnN]|[uU]&))?{STRING}|(?<![\w$])\$(?<tag>(?:[A-Za-z_]\w*)?)\$[\s\S]*?\$\k<tag>\$",
+    "mysql": rf"(?:(?<![\w$])(?:[bBxXnN]|_[A-Za-z0-9]+))?'{_ESCAPED}|" + r'"(?:[^"\\]++|\\[\s\S]|"")*+"',
+}
+NAMES = {"postgres": QUOTED, "mysql": r"`[^`]*+`"}
+COMMENTS = {"postgres": COMMENT, "mysql": r"--(?=\s|$)[^\n]*+|#[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/"}
 
 # Rule names and their codes.
 CODES = {
@@ -38,26 +47,79 @@ CODES = {
 NOT_AVAILABLE = "Not available"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _pieces(col: Column, pattern: str, made) -> Column:
     """Replace each match of ``pattern`` by ``made(match, number from 1)``."""
-    plain, hits = F.split(col, pattern, -1), F.regexp_extract_all(col, F.lit(f"({pattern})"), F.lit(1))
-    rest = F.transform(F.slice(plain, 2, F.size(plain)), lambda x, i: F.concat(made(F.element_at(hits, i + 1), i + 1), x))
-    return F.concat(plain[0], F.array_join(rest, ""))
 
+    def put(hits: Column) -> Column:
+        def join(plain: Column) -> Column:
+            rest = F.transform(F.slice(plain, 2, F.size(plain)), lambda x, i: F.concat(made(F.get(hits, i), i + 1), x))
+            return F.concat(F.get(plain, 0), F.array_join(rest, ""))
+
+        return _let(F.split(col, pattern, -1), join)
+
+    return _let(F.regexp_extract_all(col, F.lit(f"({pattern})"), F.lit(1)), put)
+
+
+def _numbered(col: Column, pattern: str, after: Column) -> Column:
+    """Replace the matches of ``pattern`` by ``$n``, counted on from ``after``."""
+    put = lambda plain: F.concat(F.get(plain, 0), F.array_join(F.transform(F.slice(plain, 2, F.size(plain)), lambda x, i: F.concat(F.lit("$"), (i + 1 + after).cast("string"), x)), ""))
+    return _let(F.split(col, pattern, -1), put)
+
+
+def _is_comment(m: Column, engine: str) -> Column:
+    begins = m.startswith("--") | m.startswith("/*")
+    return begins | m.startswith("#") if engine == "mysql" else begins
+
+
+def mask_sql(col: Column, engine: str = "postgres") -> Column:
+    """Strings become ``''``, quoted names ``""``, comments a space; null if one does not end.
+
+    By the engine's rules: backslashes escape in mysql and in ``E'...'``, ``#`` begins a comment in
+    mysql, where double quotes hold a string and back quotes a name; dollar quotes are strings.
+    """
+    name = '"' if engine == "postgres" else "`"
+    kinds = lambda m, _: F.when(_is_comment(m, engine), " ").when(m.startswith(name), '""').otherwise("''")
+    whole = lambda m: F.when(F.replace(F.replace(m, F.lit("''"), F.lit("")), F.lit('""'), F.lit("")).rlike(r"['\"`]|/\*|\*/|\$[A-Za-z_]*\$"), None).otherwise(m)
+    return _let(_pieces(col, f"{COMMENTS[engine]}|{NAMES[engine]}|{STRINGS[engine]}", kinds), whole)
+
+
+def canonical_text(col: Column, engine: str = "postgres") -> Column:
+    """Comments go, every literal becomes ``$n`` in reading order.
+
+    Numbers go on from the highest ``$n`` there is. Null texts, and texts in which anything is
+    left that may be a literal (an open quote or comment, digits that belong to no name),
+    give the marker: nothing leaves unless it is surely clean.
+    """
+    name = '"' if engine == "postgres" else "`"
+    outer = f"{COMMENTS[engine]}|{NAMES[engine]}|{STRINGS[engine]}"
+    highest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(col, F.lit(r"(?<![\w$])\$(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))), F.lit(0))
 
-def mask_sql(col: Column) -> Column:
-    """Strings become ``''``, quoted names ``""``, comments a space; null if one does not end."""
-    kinds = lambda m, _: F.when(m.startswith("'"), "''").when(m.startswith('"'), '""').otherwise(" ")
-    masked = _pieces(col, f"{STRING}|{QUOTED}|{COMMENT}", kinds)
-    left = F.replace(F.replace(masked, F.lit("''"), F.lit("")), F.lit('""'), F.lit(""))
-    return F.when(left.rlike(r"['\"]|/\*"), None).otherwise(masked)
+    def put(hits: Column) -> Column:
+        # quoted names are set aside, so that digits and quotes in them are not taken for literals
+        aside = lambda m: F.when(_is_comment(m, engine), " ").when(m.startswith(name), "\u0003").otherwise(m)
+        bare = _let(F.split(col, outer, -1), lambda plain: F.concat(F.get(plain, 0), F.array_join(F.transform(F.slice(plain, 2, F.size(plain)), lambda x, i: F.concat(aside(F.get(hits, i)), x)), "")))
+        names = F.filter(hits, lambda m: m.startswith(name))
+        return _let(highest, lambda top: _let(_numbered(bare, f"{STRINGS[engine]}|{NUMBER}", top), lambda made: _let(names, lambda n: checked(made, n))))
 
+    def checked(made: Column, names: Column) -> Column:
+        unclean = made.rlike(r"['\"`\\]|/\*|\*/|\$[A-Za-z_]*\$|(?<![\w$])\d|\d\.\d") | col.contains("\u0003")
+        flat = F.split(F.trim(F.regexp_replace(made, r"\s+", " ")), "\u0003", -1)
+        back = _let(flat, lambda parts: F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), lambda x, i: F.concat(F.get(names, i), x)), "")))
+        return F.when(~unclean, back)
 
-def canonical_text(col: Column) -> Column:
-    """Comments go, every literal becomes ``$n`` in reading order; null texts give the marker."""
-    bare = _pieces(col, f"{STRING}|{COMMENT}", lambda m, _: F.when(m.startswith("'"), m).otherwise(" "))
-    numbered = _pieces(bare, f"{STRING}|{NUMBER}", lambda _, n: F.concat(F.lit("$"), n.cast("string")))
-    return F.coalesce(F.trim(F.regexp_replace(numbered, r"\s+", " ")), F.lit(NOT_AVAILABLE))
+    return F.coalesce(_let(F.regexp_extract_all(col, F.lit(f"({outer})"), F.lit(1)), put), F.lit(NOT_AVAILABLE))
+
+
+def canonical_texts(df: DataFrame, column: str, out: str = "canonical", engine: str = "postgres") -> DataFrame:
+    """``df`` with the canonical text of ``column``; equal texts, which every snapshot repeats, are made once."""
+    keyed = df.withColumns({f"__h{k}": F.xxhash64(F.lit(k), column) for k in (1, 2)})
+    once = keyed.dropDuplicates(["__h1", "__h2"]).select("__h1", "__h2", canonical_text(F.col(column), engine).alias(out))
+    return keyed.join(once, ["__h1", "__h2"]).drop("__h1", "__h2")
 
 
 def collapse_lists(col: Column) -> Column:
@@ -75,8 +137,8 @@ def split_params(col: Column) -> Column:
 def redact_predicate(col: Column) -> Column:
     """Literals with their casts become ``$n``, numbered on from the highest ``$n`` there is."""
     top = F.array_max(F.transform(F.regexp_extract_all(col, F.lit(r"\$(\d+)"), F.lit(1)), lambda x: x.cast("int")))
-    literal = rf"(?:{STRING}|(?<![\w$]){NUMBER})(?:::[a-z]+(?: [a-z]+)*)?"
-    return _pieces(col, literal, lambda _, n: F.concat(F.lit("$"), (n + F.coalesce(top, F.lit(0))).cast("string")))
+    literal = rf"(?:{STRING}|{NUMBER})(?:::[a-z]+(?: [a-z]+)*)?"
+    return _numbered(col, literal, F.coalesce(top, F.lit(0)))
 
 
 def is_single(col: Column) -> Column:
@@ -119,24 +181,44 @@ def redact_sessions(df: DataFrame, raw: str, canonical: str) -> DataFrame:
     return df.withColumn(canonical, F.coalesce(canonical, F.lit(NOT_AVAILABLE))).drop(raw)
 
 
-MARKERS_AT_ONCE = 500
+WINDOW = 16
+CHUNK = 4_096
+MARKERS_AT_ONCE = 200_000
+#: windows that begin a word; any window at all
+AT_WORDS, ANYWHERE = r"(?<=\W)(?=(\w[\s\S]{{{n}}}))", r"(?=([\s\S]{{{m}}}))"
 
 
 def leak_audit(tables: dict[str, DataFrame], markers: DataFrame) -> DataFrame:
     """``(table_name, marker, n)``: how many rows of each table hold a marker in any column.
 
-    ``markers(marker)`` is a stated query set of any size: it goes over the rows in blocks of
-    about ``MARKERS_AT_ONCE`` by hash. Null and empty markers are left out.
+    A marker is found by equality of one window of ``WINDOW`` characters, the first that begins a
+    word inside of it; rows give all such windows, chunk by chunk, each once, and only rows
+    that share a marker's window are searched for the whole marker. Markers without such a window
+    (short ones, single words) go by windows as long as the shortest of them. Windows are
+    hashed and joined in a hash join; ``markers(marker)`` is a stated query set, broadcast
+    ``MARKERS_AT_ONCE`` at a time, and every table is read once for each of those and for
+    both kinds. Null and empty markers are left out.
     """
     known = markers.filter("marker != ''").select("marker").distinct()
-    blocks = -(-known.count() // MARKERS_AT_ONCE) or 1
-    numbered = known.withColumn("block", F.pmod(F.xxhash64("marker"), F.lit(blocks)))
+    anchor = F.regexp_extract("marker", rf"\W(\w[\s\S]{{{WINDOW - 1}}})", 1)
+    least = known.filter(anchor == "").agg(F.min(F.length("marker"))).first()[0]
+    kinds = [(AT_WORDS.format(n=WINDOW - 1), WINDOW, known.filter(anchor != "").select("marker", anchor.alias("window")))]
+    if least is not None:
+        kinds.append((ANYWHERE.format(m=least), least, known.filter(anchor == "").select("marker", F.substring("marker", 1, least).alias("window"))))
     found = []
-    for name, df in tables.items():
-        rows = df.select(F.concat_ws("\u001f", *[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("row"))
-        for block in range(blocks):
-            some = F.broadcast(numbered.filter(F.col("block") == block).select("marker"))
-            found.append(rows.join(some, F.col("row").contains(F.col("marker"))).groupBy("marker").agg(F.count("*").alias("n")).withColumn("table_name", F.lit(name)))
+    for pattern, width, asked in kinds:
+        blocks = -(-asked.count() // MARKERS_AT_ONCE)
+        numbered = asked.select("marker", F.xxhash64("window").alias("h"), F.pmod(F.xxhash64("marker"), F.lit(max(blocks, 1))).alias("block"))
+        # a chunk goes on for one window more, and begins with the character before it
+        chunk = rf"(?=([\s\S]{{1,{CHUNK + width + 1}}}))[\s\S]{{1,{CHUNK}}}"
+        for name, df in tables.items():
+            rows = df.select(F.concat_ws("\u001f", *[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("row")).withColumn("id", F.monotonically_increasing_id())
+            chunks = rows.select("id", "row", F.explode(F.regexp_extract_all("row", F.lit(chunk), F.lit(1))).alias("chunk"))
+            windows = chunks.select("id", "row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("chunk", F.lit(pattern), F.lit(1)), lambda w: F.xxhash64(w)))).alias("h"))
+            for block in range(blocks):
+                some = F.broadcast(numbered.filter(F.col("block") == block).select("marker", "h"))
+                hits = windows.join(some, "h").filter(F.col("row").contains(F.col("marker"))).select("id", "marker").distinct()
+                found.append(hits.groupBy("marker").agg(F.count("*").alias("n")).withColumn("table_name", F.lit(name)))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -149,57 +231,6 @@ def index_facts(df: DataFrame, column: str = "index_ref") -> DataFrame:
     ).withColumn("columns", parts)
 
 
-def shape_exclusion(col: Column) -> Column:
-    """Why a query is not a plain select: no_select, limit, group_by, distinct, aggregate; null if it is."""
-    m = F.upper(mask_sql(col))
-    return (
-        F.when(~F.coalesce(m.rlike(r"^[\s(]*SELECT\b"), F.lit(False)), "no_select").when(m.rlike(r"\bLIMIT\b"), "limit").when(m.rlike(r"\bGROUP\s+BY\b"), "group_by")
-        .when(m.rlike(r"\bDISTINCT\b"), "distinct").when(m.rlike(r"\b(?:COUNT|SUM|AVG|MIN|MAX)\s*\("), "aggregate")
-    )
-
-
-def simple_table(col: Column) -> Column:
-    """The table of a one-table select without join, subquery, limit, grouping or aggregate; else null."""
-    masked = mask_sql(col)
-    plain = shape_exclusion(col).isNull() & ~masked.rlike(r"(?i)\bJOIN\b|\bFROM\b.*\bFROM\b|\bUNION\b") & ~masked.rlike(r"(?i)\bFROM\s+\w+(?:\s+\w+)?\s*,")
-    table = F.regexp_extract(masked, r"(?i)\bFROM\s+([a-z_][a-z0-9_.]*)", 1)
-    return F.when(plain & (table != ""), F.lower(table))
-
-
-def query_tables(df: DataFrame, key: str, column: str) -> DataFrame:
-    """``(key, table_name, alias)`` of every table after FROM, JOIN or UPDATE."""
-    clause = r"(?i)\b(?:FROM|JOIN|UPDATE)\s+([a-z_][a-z0-9_.]*(?:\s+(?:AS\s+)?(?!WHERE\b|ON\b|SET\b|JOIN\b|GROUP\b|LIMIT\b|ORDER\b|LEFT\b|INNER\b)[a-z_][a-z0-9_]*)?)"
-    found = df.select(key, F.explode(F.regexp_extract_all(mask_sql(F.col(column)), F.lit(clause), F.lit(1))).alias("t"))
-    words = F.split(F.lower(F.regexp_replace("t", r"(?i)\s+AS\s+", " ")), r"\s+")
-    return found.select(key, words[0].alias("table_name"), F.coalesce(F.get(words, 1), words[0]).alias("alias")).distinct()
-
-
-def equality_columns(df: DataFrame, key: str, column: str) -> DataFrame:
-    """``(key, column_name)`` compared with a parameter in an AND-ed equality; none where OR occurs."""
-    where = F.regexp_extract(column, r"(?i)\bWHERE\b(.*)$", 1)
-    names = F.regexp_extract_all(where, F.lit(r"([A-Za-z_][A-Za-z0-9_.]*)\s*=\s*\$\d+"), F.lit(1))
-    kept = df.filter(~F.upper(where).rlike(r"\bOR\b"))
-    return kept.select(key, F.explode(names).alias("c")).select(key, F.lower(F.substring_index("c", ".", -1)).alias("column_name")).distinct()
-
-
-def filter_columns(df: DataFrame, key: str, column: str, catalog: DataFrame) -> DataFrame:
-    """``(key, table_name, column_name)`` of the columns in WHERE and ON.
-
-    A qualified column belongs to its alias's table; others to the query's tables that have
-    such a column, or to all of its tables if none has.
-    """
-    tables = query_tables(df, key, column)
-    clause = F.concat_ws(" ", F.regexp_extract_all(mask_sql(F.col(column)), F.lit(r"(?i)\b(?:WHERE|ON)\b(.*?)(?=\b(?:WHERE|GROUP|ORDER|LIMIT|FOR)\b|;|$)"), F.lit(1)))
-    names = F.regexp_extract_all(clause, F.lit(r"([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)?)\s*(?:=|<|>|\bIN\b|\bLIKE\b|\bBETWEEN\b)"), F.lit(1))
-    found = df.select(key, F.explode(names).alias("c")).select(
-        key, F.when(F.col("c").contains("."), F.lower(F.substring_index("c", ".", 1))).alias("q"), F.lower(F.substring_index("c", ".", -1)).alias("column_name")
-    ).distinct()
-    joined = found.join(tables, key).filter("q is null or q = alias")
-    known = joined.join(catalog.select("table_name", "column_name").distinct().withColumn("has", F.lit(True)), ["table_name", "column_name"], "left")
-    anywhere = F.max(F.coalesce("has", F.lit(False))).over(Window.partitionBy(key, "column_name"))
-    return known.withColumn("any", anywhere).filter("q is not null or has or not any").select(key, "table_name", "column_name").distinct()
-
-
 def explicit_casts(leaves: DataFrame, catalog: DataFrame) -> DataFrame:
     """Marks leaves whose text or date column is compared with a number."""
     joined = leaves.join(catalog, ["table_name", "column_name"], "left")
@@ -314,10 +345,9 @@ def _inside_out(col: Column, step) -> Column:
     Parentheses that are done are set aside as control characters and come back at the end,
     so nesting of any depth is met from the inside.
     """
-    depth = F.length(col) - F.length(F.replace(col, F.lit("("), F.lit("")))
     inner = lambda text, _: F.regexp_replace(step(text), r"(?<!<[a-z_]{1,60}>)\(([^()]*)\)", "\u0001$1\u0002")
-    done = F.when(depth > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), col, inner)).otherwise(col)
-    return F.translate(done, "\u0001\u0002", "()")
+    rounds = lambda text: F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(F.replace(text, F.lit("("), F.lit(""))), F.lit(1)))
+    return _let(col, lambda text: F.translate(F.aggregate(rounds(text), text, inner), "\u0001\u0002", "()"))
 
 
 def strip_markers(col: Column) -> Column:
@@ -334,7 +364,7 @@ def clean_my_predicate(col: Column) -> Column:
     out = _inside_out(out, lambda text: F.regexp_replace(bare(text), r"<not>\(([^()]*)\)", "NOT \u0001$1\u0002"))
     out = F.regexp_replace(out, r"(?i)\bcast\(([\w.]+) as date\)", "date($1)")
     numbered = _pieces(out, rf"{STRING}|(?<![\w$.])-?{NUMBER}", lambda m, n: F.when(m.startswith("'"), F.concat(F.lit("'$"), n.cast("string"), F.lit("'"))).otherwise(F.concat(F.lit("$"), n.cast("string"))))
-    return F.when(numbered.rlike(r"<\w+>"), None).otherwise(numbered)
+    return _let(numbered, lambda text: F.when(text.rlike(r"<\w+>"), None).otherwise(text))
 
 
 def recommended_sql(df: DataFrame, key: str, column: str) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import statements as A
 from ..functions import text as T
+from ..sources import varied
 from ..sources.fixtures import ctes, define, view
 from . import query
 
@@ -30,9 +32,16 @@ def texts(spark, sf_dir):
     return view(spark, sf_dir, "sql_text")
 
 
-@query("n01_canonical_text", ctes("sql_text") + f", {TEXTS} SELECT id, canonical FROM cn")
+def both_engines(spark, sf_dir, made):
+    """``made(statements, engine)`` over the varied statements of each engine; their ids are below zero."""
+    rows = view(spark, sf_dir, "varied").withColumn("id", -F.col("id"))
+    return made(rows.filter("engine = 'postgres'"), "postgres").unionByName(made(rows.filter("engine = 'mysql'"), "mysql"))
+
+
+@query("n01_canonical_text", ctes("sql_text", "varied") + f", {TEXTS} SELECT id, canonical FROM cn UNION ALL SELECT -id, coalesce({varied.answers(2)}, 'Not available') FROM varied")
 def n01(spark, sf_dir):
-    return texts(spark, sf_dir).select("id", T.canonical_text(F.col("q")).alias("canonical"))
+    more = both_engines(spark, sf_dir, lambda rows, engine: T.canonical_texts(rows, "q", engine=engine).select("id", "canonical"))
+    return T.canonical_texts(texts(spark, sf_dir), "q").select("id", "canonical").unionByName(more)
 
 
 @query("n02_collapse_lists", ctes("sql_text") + r""" SELECT id, regexp_replace(q, '(?i)\bIN\s*\([^()]*\)', 'IN (...)', 'g') AS t FROM sql_text""")
@@ -51,9 +60,10 @@ def n04(spark, sf_dir):
     return texts(spark, sf_dir).select("id", T.redact_predicate(p).alias("t"))
 
 
-@query("n05_mask_sql", ctes("sql_text") + f", {TEXTS} SELECT id, m AS masked FROM tx")
+@query("n05_mask_sql", ctes("sql_text", "varied") + f", {TEXTS} SELECT id, m AS masked FROM tx UNION ALL SELECT -id, {varied.answers(3)} FROM varied")
 def n05(spark, sf_dir):
-    return texts(spark, sf_dir).select("id", T.mask_sql(F.col("q")).alias("masked"))
+    more = both_engines(spark, sf_dir, lambda rows, engine: rows.select("id", T.mask_sql(F.col("q"), engine).alias("masked")))
+    return texts(spark, sf_dir).select("id", T.mask_sql(F.col("q")).alias("masked")).unionByName(more)
 
 
 @query("n06_is_single", ctes("sql_text") + ", x AS (SELECT id, id % 4 <> 1 AS single FROM sql_text) SELECT * FROM x")
@@ -117,20 +127,24 @@ def n14(spark, sf_dir):
     return facts.select("db_id", "index_name", "method", "is_unique", "is_partial", F.col("columns")[0].alias("lead"), F.size("columns").cast("long").alias("n"))
 
 
-@query("n15_simple_table", ctes("sql_text") + " SELECT id, CASE id % 6 WHEN 0 THEN 'orders' WHEN 5 THEN 'part' END AS t FROM sql_text")
+@query("n15_simple_table", ctes("sql_text", "varied") + f" SELECT id, CASE id % 6 WHEN 0 THEN 'orders' WHEN 5 THEN 'part' END AS t FROM sql_text UNION ALL SELECT -id, {varied.answers(5)} FROM varied")
 def n15(spark, sf_dir):
-    return texts(spark, sf_dir).select("id", T.simple_table(F.col("q")).alias("t"))
+    more = both_engines(spark, sf_dir, lambda rows, engine: A.shapes(rows, "id", "q", engine))
+    return A.shapes(texts(spark, sf_dir), "id", "q").unionByName(more).select("id", F.col("simple_table").alias("t"))
 
 
-@query("n16_shape_exclusion", ctes("sql_text") + " SELECT id, CASE id % 6 WHEN 2 THEN 'no_select' WHEN 3 THEN 'group_by' WHEN 4 THEN 'no_select' END AS reason FROM sql_text")
+@query("n16_shape_exclusion", ctes("sql_text", "varied") + f" SELECT id, CASE id % 6 WHEN 2 THEN 'no_select' WHEN 3 THEN 'group_by' WHEN 4 THEN 'no_select' END AS reason FROM sql_text UNION ALL SELECT -id, {varied.answers(4)} FROM varied")
 def n16(spark, sf_dir):
-    return texts(spark, sf_dir).select("id", T.shape_exclusion(F.col("q")).alias("reason"))
+    more = both_engines(spark, sf_dir, lambda rows, engine: A.shapes(rows, "id", "q", engine))
+    return A.shapes(texts(spark, sf_dir), "id", "q").unionByName(more).select("id", F.col("exclusion").alias("reason"))
 
 
-@query("n17_query_tables", ctes("sql_text") + """ SELECT id, 'orders' AS table_name, CASE id % 6 WHEN 1 THEN 'o' ELSE 'orders' END AS alias FROM sql_text WHERE id % 6 IN (0, 1, 2) UNION ALL SELECT id, 'customer', 'c' FROM sql_text WHERE id % 6 = 1
-UNION ALL SELECT id, 'lineitem', 'lineitem' FROM sql_text WHERE id % 6 = 3 UNION ALL SELECT id, 'x', 'x' FROM sql_text WHERE id % 6 = 4 UNION ALL SELECT id, 'part', 'part' FROM sql_text WHERE id % 6 = 5""")
+@query("n17_query_tables", ctes("sql_text", "varied") + f""" SELECT id, 'orders' AS table_name, CASE id % 6 WHEN 1 THEN 'o' ELSE 'orders' END AS alias FROM sql_text WHERE id % 6 IN (0, 1, 2) UNION ALL SELECT id, 'customer', 'c' FROM sql_text WHERE id % 6 = 1
+UNION ALL SELECT id, 'lineitem', 'lineitem' FROM sql_text WHERE id % 6 = 3 UNION ALL SELECT id, 'x', 'x' FROM sql_text WHERE id % 6 = 4 UNION ALL SELECT id, 'part', 'part' FROM sql_text WHERE id % 6 = 5
+UNION ALL SELECT -id, table_name, alias FROM varied JOIN {varied.listed(6, "table_name, alias")} USING (shape)""")
 def n17(spark, sf_dir):
-    return T.query_tables(texts(spark, sf_dir), "id", "q")
+    more = both_engines(spark, sf_dir, lambda rows, engine: A.query_tables(rows, "id", "q", engine))
+    return A.query_tables(texts(spark, sf_dir), "id", "q").unionByName(more)
 
 
 CATALOG = [("orders", "o_custkey", "bigint"), ("orders", "o_orderkey", "bigint"), ("orders", "o_orderstatus", "varchar"), ("orders", "o_totalprice", "double"), ("customer", "c_custkey", "bigint"), ("lineitem", "l_orderkey", "bigint"), ("part", "p_name", "varchar"), ("part", "p_size", "bigint")]
@@ -140,17 +154,22 @@ def catalog(spark):
     return spark.createDataFrame(CATALOG, "table_name string, column_name string, data_type string")
 
 
-@query("n18_filter_columns", ctes("sql_text") + """, f(m, table_name, column_name) AS (VALUES (0, 'orders', 'o_custkey'), (0, 'orders', 'o_orderstatus'), (1, 'orders', 'o_custkey'), (1, 'customer', 'c_custkey'), (1, 'orders', 'o_totalprice'),
+@query("n18_filter_columns", ctes("sql_text", "varied") + f""", f(m, table_name, column_name) AS (VALUES (0, 'orders', 'o_custkey'), (0, 'orders', 'o_orderstatus'), (1, 'orders', 'o_custkey'), (1, 'customer', 'c_custkey'), (1, 'orders', 'o_totalprice'),
   (2, 'orders', 'o_orderkey'), (3, 'lineitem', 'l_orderkey'), (5, 'part', 'p_name'), (5, 'part', 'p_size')) SELECT id, table_name, column_name FROM sql_text JOIN f ON id % 6 = m
-EXCEPT SELECT id, 'customer', 'c_custkey' FROM sql_text WHERE id % 6 = 1""")
+UNION ALL SELECT -id, table_name, column_name FROM varied JOIN {varied.listed(7, "table_name, column_name")} USING (shape)""")
 def n18(spark, sf_dir):
-    return T.filter_columns(texts(spark, sf_dir), "id", "q", catalog(spark))
+    known = catalog(spark)
+    more = both_engines(spark, sf_dir, lambda rows, engine: A.filter_columns(rows, "id", "q", known, engine))
+    return A.filter_columns(texts(spark, sf_dir), "id", "q", known).unionByName(more)
 
 
-@query("n19_equality_columns", ctes("sql_text") + """ SELECT id, 'o_custkey' AS column_name FROM sql_text WHERE id % 6 = 0 UNION ALL SELECT id, 'o_orderstatus' FROM sql_text WHERE id % 6 = 0
-UNION ALL SELECT id, 'l_orderkey' FROM sql_text WHERE id % 6 = 3 UNION ALL SELECT id, 'p_size' FROM sql_text WHERE id % 6 = 5""")
+@query("n19_equality_columns", ctes("sql_text", "varied") + f""" SELECT id, 'orders' AS table_name, 'o_custkey' AS column_name FROM sql_text WHERE id % 6 = 0 UNION ALL SELECT id, 'orders', 'o_orderstatus' FROM sql_text WHERE id % 6 = 0
+UNION ALL SELECT id, 'lineitem', 'l_orderkey' FROM sql_text WHERE id % 6 = 3 UNION ALL SELECT id, 'part', 'p_size' FROM sql_text WHERE id % 6 = 5
+UNION ALL SELECT -id, table_name, column_name FROM varied JOIN {varied.listed(8, "table_name, column_name")} USING (shape)""")
 def n19(spark, sf_dir):
-    return T.equality_columns(texts(spark, sf_dir).withColumn("q", T.canonical_text(F.col("q"))), "id", "q")
+    more = both_engines(spark, sf_dir, lambda rows, engine: A.equality_columns(rows, "id", "q", engine))
+    canonical = T.canonical_texts(texts(spark, sf_dir), "q", "c").select("id", "c")
+    return A.equality_columns(canonical, "id", "c").unionByName(more)
 
 
 define("leaf", ["ev"], """SELECT event_id, CASE k % 3 WHEN 0 THEN 'o_custkey' WHEN 1 THEN 'o_orderstatus' ELSE 'missing' END AS column_name, 'orders' AS table_name, CASE WHEN k % 2 = 0 THEN 'number' ELSE 'text' END AS value_kind FROM ev""")
@@ -161,6 +180,26 @@ def n20(spark, sf_dir):
     return T.explicit_casts(view(spark, sf_dir, "leaf"), catalog(spark)).select("event_id", "cast")
 
 
+# predicates of scans by engine; types known with and without schema
+define("predicate", ["ev"], """SELECT event_id AS id, CASE WHEN k % 3 = 0 THEN 's' WHEN k % 3 = 1 THEN 'other' END AS schema_name, 'o' AS relation, 'orders' AS table_name, k % 2 = 0 AS pg,
+  CASE WHEN k % 2 = 0 THEN concat('((o.a)::text = $', cast(k AS string), ') AND ((b)::text ~~ $1) AND ((c)::text[] = d) AND (("E")::text = ''z'')')
+  ELSE concat('o.a = $', cast(k AS string), ' and x.d between $2 and $3 and (b) > 5 and 7 <= (d) and a in (''$4'', $5) and a like ''$6'' and lower(a) = 5') END AS predicate FROM ev""")
+TYPES = [("s", "a", "varchar"), ("s", "b", "integer"), (None, "c", "varchar"), ("s", "d", "date"), ("t", "a", "integer")]
+# a is a varchar in s, an integer in t: without a schema its type is not known, in another schema there is none
+_A = "CASE schema_name WHEN 's' THEN 'CAST(@ AS DOUBLE PRECISION)' ELSE '@' END"
+_D = "CASE WHEN schema_name = 'other' THEN '@' ELSE 'CAST(@ AS DOUBLE PRECISION)' END"
+_cast_of = lambda rule, name: f"replace({rule}, '@', '{name}')"
+
+
+@query("n20b_explicit_predicates", ctes("predicate") + f""" SELECT id, CASE WHEN pg THEN '(o.a = ' || regexp_extract(predicate, '[$][0-9]+') || ') AND (' || CASE WHEN schema_name = 'other' THEN 'b' ELSE '(b)::text' END || ' ~~ $1) AND ((c)::text[] = d) AND ("E" = ''z'')'
+  ELSE {_cast_of(_A, "o.a")} || ' = ' || regexp_extract(predicate, '[$][0-9]+') || ' and ' || {_cast_of(_D, "x.d")} || ' between $2 and $3 and (b) > 5 and 7 <= (' || {_cast_of(_D, "d")} || ') and ' || {_cast_of(_A, "a")} || ' in (''$4'', $5) and a like ''$6'' and lower(a) = 5' END AS predicate FROM predicate""")
+def n20b(spark, sf_dir):
+    scans = view(spark, sf_dir, "predicate")
+    types = spark.createDataFrame([(s, "orders", c, t) for s, c, t in TYPES], "schema_name string, table_name string, column_name string, data_type string")
+    aliases = scans.select("id", F.lit("x").alias("alias"), F.lit("orders").alias("table_name"))
+    return A.explicit_predicates(scans.filter("pg"), types, aliases).unionByName(A.explicit_predicates(scans.filter("not pg"), types, aliases, "mysql"))
+
+
 define("named", ["ev"], "SELECT event_id AS id, CASE k % 4 WHEN 0 THEN cast(NULL AS string) ELSE concat('s', cast(k % 4 AS string)) END AS schema_name, concat('t', cast(k % 7 AS string)) AS table_name FROM ev")
 define("named_ref", [], """SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN cast(NULL AS string) ELSE concat('s', cast(p_size % 3 AS string)) END AS schema_name, concat('t', cast(p_size % 5 AS string)) AS table_name,
   concat('r', cast(p_size % 4 AS string), cast(p_size % 3 AS string), cast(p_size % 5 AS string)) AS ref FROM @part WHERE p_size < 14""")
