@@ -13,7 +13,7 @@ with cosine >= c lies within ``r = sqrt(2 - 2c)``, which settles two things exac
   is no more than the true distance. Members for which it exceeds r are dropped unseen.
 
 The number of lists grows with the root of the number of vectors, so that both probes and
-list sizes stay small. What remains is compared by its exact cosine in double precision. Equal vectors are
+list sizes stay small; only the fitting sample bounds it. What remains is compared by its exact cosine in double precision. Equal vectors are
 compared once. Lists are cut into blocks of members and of queries, so a task holds one
 block of members however many vectors fall into one list, and emits link counts and a
 spanning forest of its links, not the pairs.
@@ -34,8 +34,9 @@ from .common import cut_lineage
 from .components import connected_components
 from .simhash import _Forest
 
-SAMPLE_ROWS = 16_384
-MOST_LISTS = 1_024
+SAMPLE_ROWS = 65_536
+#: more lists than that are fitted in two levels
+ONE_LEVEL = 1_024
 SALTS = 8
 MEMBERS = 4_096
 QUERIES = 16_384
@@ -84,10 +85,19 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def _centroids(x: np.ndarray, k: int) -> np.ndarray:
+    """``k`` centres; many of them in two levels, each of the upper parts cut by its share of the rows."""
+    if k <= ONE_LEVEL:
+        return _kmeans(x, k)
+    near, _ = _nearest(x, _kmeans(x, math.isqrt(k)))
+    parts = [x[near == j] for j in np.unique(near)]
+    return np.concatenate([_kmeans(p, max(1, round(k * len(p) / len(x)))) for p in parts])
+
+
 def fit(vectors: np.ndarray, lists: int = 32, subspaces: int = 8, words: int = 16) -> Index:
     """Coarse centroids, then code words of the residuals, from sample rows."""
     unit = _normed(vectors)
-    centroids = _kmeans(unit, lists)
+    centroids = _centroids(unit, lists)
     residual = unit - centroids[_nearest(unit, centroids)[0]]
     subspaces = min(subspaces, vectors.shape[1])
     width = -(-vectors.shape[1] // subspaces)
@@ -153,20 +163,25 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.98, lists: int | None =
     the number of other vectors linked directly, ``component_id`` the smallest id reachable,
     ``kept`` whether that is the row's own id. Extra columns are ignored.
 
+    An id may stand for several vectors or labels: the links of all of them are added up and
+    reach on from one to the other, and each of the id's rows says so.
+
     The index is fitted on at most ``sample_rows`` distinct vectors (16 for each list), those
     least by hash of their smallest id; every vector is indexed. ``lists`` is by default the
-    root of the number of distinct vectors, at most ``MOST_LISTS``.
+    root of the number of distinct vectors, at most ``sample_rows``.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0)
     good = rows.filter(F.coalesce(usable, F.lit(False)))
-    distinct = cut_lineage(good.distinct().groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    # a node is a label with a vector; its number, not an id, names it from here on
+    nodes = good.distinct().groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id())
+    distinct = cut_lineage(nodes)
 
-    lists = lists or min(MOST_LISTS, max(1, math.isqrt(distinct.count())))
+    lists = lists or min(sample_rows, max(1, math.isqrt(distinct.count())))
     sample_rows = min(sample_rows, max(1_024, 16 * lists))
-    sample = distinct.select("rep", F.xxhash64("rep").alias("h"), "v").orderBy("h", "rep").limit(sample_rows).select("v").collect()
+    sample = distinct.select(F.xxhash64("least").alias("h"), "least", "label", "v").orderBy("h", "least", "label", "v").limit(sample_rows).select("v").collect()
     by_size: dict[int, list] = {}
     for (v,) in sample:
         by_size.setdefault(len(v), []).append(v)
@@ -186,7 +201,8 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.98, lists: int | None =
                 index = index_of(size)
                 unit = _unit(batch.column(1).take(pa.array(which)))
                 home, square = _nearest(unit, index.centroids)
-                apart = np.sqrt(np.maximum(_nearest(index.centroids, index.centroids)[1], 0))[home]
+                homes, which_home = np.unique(home, return_inverse=True)
+                apart = np.sqrt(np.maximum(_nearest(index.centroids[homes], index.centroids)[1], 0))[which_home]
                 beyond = square - square[np.arange(len(home)), home][:, None]
                 # within reach of the plane midway to a list; the lower list of a pair asks the higher
                 asked = (beyond <= 2 * (probe_share * radius + SLACK) * apart + SLACK) & (np.arange(len(index.centroids)) > home[:, None])
@@ -240,16 +256,22 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.98, lists: int | None =
     found = cut_lineage(
         dealt.repartition(*where).sortWithinPartitions(*where, "is_query").mapInArrow(compare, "a long, b long, is_link boolean")
     )
-    components = connected_components(found.filter("is_link").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     linked = found.filter("not is_link").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
-    # rows find their vector's group by 128 bits of hash; salted, so copies of one vector spread over tasks
+    # rows find their vector's node by 128 bits of hash; salted, so copies of one vector spread over tasks
     hashed = [F.xxhash64(F.lit(seed), "v").alias(f"h{seed}") for seed in (1, 2)]
     whole_key = ["label", *hashed]
-    groups = (
-        distinct.join(linked, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(*whole_key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    salted = good.select("vec_id", *whole_key, F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    result = salted.join(groups, ["label", "h1", "h2", "salt"]).select("vec_id", "n_links", "component_id")
-    rest = rows.filter(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return result.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    known = (
+        distinct.join(linked, "rep", "left")
+        .select(*whole_key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "rep", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    )
+    salted = good.distinct().select("vec_id", *whole_key, F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    members = cut_lineage(salted.join(known, ["label", "h1", "h2", "salt"]).select("vec_id", "rep", "n"))
+    # nodes of one id are linked by it
+    by_id = cut_lineage(members.groupBy("vec_id").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.sum("n").alias("n_links")))
+    shared = members.join(by_id.filter("first != last").select("vec_id", "first"), "vec_id").filter("rep != first")
+    links = found.filter("is_link").select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(shared.select(F.col("rep").alias("src"), F.col("first").alias("dst")))
+    grouped = distinct.select("rep", "least").join(connected_components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = grouped.join(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(F.col("rep").alias("first"), "component_id")
+    told = by_id.join(named, "first").select("vec_id", "n_links", "component_id")
+    result = rows.select("vec_id").join(told, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -560,6 +560,24 @@ def test_chat_long_conversation(spark):
         assert (got[conv].n_turns, got[conv].loss_chars, got[conv].loss_sha256) == (n, len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_ids_that_stand_for_several_vectors_or_labels(spark, tmp_path):
+    """Links of an id are added up and reach on through it, as the SQL says."""
+    a, b, far = [1.0, 0.0, 0.1], [1.0, 0.01, 0.1], [0.0, 1.0, 0.0]
+    rows = [(1, a, 1), (2, b, 1), (1, a, 2), (3, b, 2), (4, far, 1), (5, a, None), (5, far, 3), (6, far, 3), (1, None, 1), (None, a, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op9_embedding_dedup(spark, str(tmp_path))
+    have = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got.collect())
+    assert have == [(0, 0, 0, True), (1, 2, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False)]
+    same(got.filter("vec_id is not null"), queries.OP9_SQL.replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet' WHERE vec_id IS NOT NULL"))
+
+
+def test_many_lists_are_fitted_in_two_levels(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "ONE_LEVEL", 8)
+    x = np.random.default_rng(1).normal(size=(600, 5))
+    centres = embedding_dedup._centroids(x / np.linalg.norm(x, axis=1, keepdims=True), 40)
+    assert 30 <= len(centres) <= 50 and np.isfinite(centres).all()
+
+
 # ---- queries and pipeline -----------------------------------------------------------
 
 
