@@ -18,16 +18,14 @@ def events(spark, sf_dir):
     return stream.withColumn("at", F.col("ts").cast("timestamp")).withColumn("db_id", db)
 
 
-def landed(spark, df, folder, parts=3):
-    """A table written as ``parts`` files in time order, so that it streams in several batches."""
-    shares = [(i + 1) / parts for i in range(parts)]
-    edges = df.agg(F.percentile_approx("at_s", shares)).first()[0]
-    low = None
+def in_parts(spark, df, folder, job, parts=2):
+    """A table that lands in ``parts`` shares in time order; after each the job runs on and ends, as a restarted stream does."""
+    edges, low = df.agg(F.percentile_approx("at_s", [(i + 1) / parts for i in range(parts)])).first()[0], None
     for high in edges:
         part = df.filter(F.col("at_s") <= high) if low is None else df.filter((F.col("at_s") > low) & (F.col("at_s") <= high))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        low = high
-    return jobs.stream_snapshots(spark, f"{folder}/in", df.schema, files_per_batch=1)
+        part.write.mode("append").parquet(f"{folder}/in")
+        saved, low = jobs.run_now(job(jobs.stream_snapshots(spark, f"{folder}/in", df.schema, files_per_batch=10_000)), folder), high
+    return saved.drop("batch_id")
 
 
 def landed_in_batches(spark, df, batch, folder):
@@ -73,9 +71,7 @@ SELECT db_id, query_id, epoch(captured_at)::BIGINT AS at_s, calls AS n, mean_ms,
 def t04(spark, sf_dir):
     st = view(spark, sf_dir, "stmt")
     flat = st.select("db_id", "query_id", F.unix_seconds(F.col("captured_at").cast("timestamp")).alias("at_s"), F.col("execution_count").alias("calls"), F.col("total_time_ms").alias("time_ms"), F.unix_seconds(F.col("counters_epoch").cast("timestamp")).alias("epoch_s"))
-    folder = jobs.work_folder(spark)
-    found = jobs.stream_baseline(landed(spark, flat, folder), min_calls=2, baseline=30, ratio=1.2, keep_hours=10_000)
-    return jobs.run_now(found, folder).drop("batch_id")
+    return in_parts(spark, flat, jobs.work_folder(spark), lambda stream: jobs.stream_baseline(stream, min_calls=2, baseline=30, ratio=1.2, keep_hours=10_000))
 
 
 @query("t05_stream_cascade", ctes("root_sample") + """, p AS (SELECT db_id, at_s, lag(at_s) OVER (PARTITION BY db_id ORDER BY at_s) AS before_s FROM (SELECT DISTINCT db_id, at_s FROM root_sample)),
@@ -84,8 +80,7 @@ a AS (SELECT *, coalesce(lag(at_s) OVER w = before_s AND at_s - before_s <= 3600
 SELECT db_id, pid, tx_start_s, at_s, CAST(total_wait_s AS BIGINT) AS impact_s FROM a WHERE again QUALIFY row_number() OVER (PARTITION BY db_id, pid, tx_start_s ORDER BY at_s) = 1""")
 def t05(spark, sf_dir):
     roots = view(spark, sf_dir, "root_sample").select("db_id", "at_s", "pid", "tx_start_s", "n_blocked", "min_wait_s", F.col("total_wait_s").cast("long").alias("total_wait_s"))
-    folder = jobs.work_folder(spark)
-    return jobs.run_now(jobs.stream_cascade(landed(spark, roots, folder), gap_s=3600), folder).drop("batch_id")
+    return in_parts(spark, roots, jobs.work_folder(spark), lambda stream: jobs.stream_cascade(stream, gap_s=3600))
 
 
 @query("t06_stream_deadlocks", ctes("ev") + """, g AS (SELECT db_id, event_type AS signature, event_id AS report_id, s, CASE WHEN s - lag(s) OVER w > 3600 * 24 THEN 1 ELSE 0 END AS gap FROM ev WHERE value > 200 WINDOW w AS (PARTITION BY db_id, event_type ORDER BY s, event_id)),
@@ -94,8 +89,7 @@ SELECT db_id, signature, report_id, row_number() OVER (PARTITION BY db_id, signa
 def t06(spark, sf_dir):
     ev = view(spark, sf_dir, "ev").filter("value > 200")
     rows = ev.select("db_id", F.col("event_type").alias("signature"), F.col("event_id").alias("report_id"), F.col("s").alias("at_s"), F.col("ts").cast("timestamp").alias("at"))
-    folder = jobs.work_folder(spark)
-    return jobs.run_now(jobs.stream_deadlocks(landed(spark, rows, folder), "at", "10 minutes", days=1), folder).drop("batch_id")
+    return in_parts(spark, rows, jobs.work_folder(spark), lambda stream: jobs.stream_deadlocks(stream, "at", "10 minutes", days=1))
 
 
 @query("t07_stream_evaluation", ctes("evaluation") + " SELECT db_id, code, state, bucket_s, count(*) AS n FROM evaluation GROUP BY ALL")
@@ -120,8 +114,11 @@ def t09(spark, sf_dir):
     return saved.join(F.broadcast(last), saved.batch_id == last.b).drop("batch_id", "b")  # one row
 
 
-@query("t10_findings_sink", ctes("detection") + " SELECT finding_key, count(*) AS n, max(s) AS last_s FROM detection GROUP BY 1")
+@query("t10_findings_sink", ctes("detection") + " SELECT db_id, rule, finding_key, count(*) AS n, min(s) AS first_s, max(s) AS last_s, arg_max(detection_id, (s, detection_id)) AS last_id, arg_max(severity, (s, detection_id)) AS severity FROM detection GROUP BY 1, 2, 3")
 def t10(spark, sf_dir):
+    severity = F.when(F.col("value") >= 200, "high").when(F.col("value") >= 80, "medium").otherwise("low")
     key = F.concat_ws("/", "event_type", (F.col("user_id") % 20).cast("string"))
-    counts = events(spark, sf_dir).groupBy(key.alias("finding_key")).agg(F.count("*").alias("n"), F.max(F.unix_seconds("at")).alias("last_s"))
-    return jobs.fold_latest(jobs.run_now(counts, jobs.work_folder(spark), "update"), ["finding_key"])
+    found = events(spark, sf_dir).select("db_id", F.col("event_type").alias("rule"), key.alias("finding_key"), F.col("event_id").alias("detection_id"), F.unix_seconds("at").alias("at_s"), severity.alias("severity"))
+    folder = jobs.work_folder(spark)
+    jobs.sink_findings(found, folder)
+    return jobs.read_table(spark, folder, jobs.PROBLEM)
