@@ -268,8 +268,12 @@ def finding_key(df: DataFrame) -> DataFrame:
 
 
 def deadlock_signature(trx: DataFrame) -> DataFrame:
-    """``(report_id, signature)``: hash of the rule and the sorted (text, table, mode, scope) of its transactions."""
-    part = F.concat_ws("/", "canonic_query", "table_name", "lock_mode", "lock_scope")
+    """``(report_id, signature)``: hash of the rule and the sorted (text, table, index, mode and scope) of its transactions.
+
+    A part that is not known is empty, so it keeps its place.
+    """
+    known = [F.coalesce(F.col(c), F.lit("")) for c in ("canonic_query", "table_name", "index_name", "lock_mode", "lock_scope")]
+    part = F.concat_ws("/", *known[:3], F.concat_ws(",", *known[3:]))
     return trx.groupBy("report_id", "rule").agg(F.array_join(F.array_sort(F.collect_list(part)), "|").alias("parts")).select(
         "report_id", F.substring(F.sha1(F.concat_ws("|", "rule", "parts").cast("binary")), 1, 16).alias("signature")
     )

@@ -72,7 +72,7 @@ def reports_of(trx: DataFrame, locks: DataFrame) -> DataFrame:
     """One row per report: its transactions and their locks as arrays, in one shuffle.
 
     ``trx(report_id, process_id, complete, blocked_by, holds_known, rows_locked, undo_entries,
-    scan)``, where ``scan`` is the statement of ``amplifying_statements`` or null; ``locks(
+    scan)``, where ``blocked_by`` lists the processes that block it and ``scan`` is the statement of ``amplifying_statements`` or null; ``locks(
     report_id, process_id, role, target, mode, scope)``, a row per target held or awaited.
     A report is one text of bounded size, so its transactions fit a row.
     """
@@ -88,13 +88,14 @@ def _waits(member):
     return F.filter("locks", lambda w: (w["role"] == "wait") & (w["process_id"] == member["process_id"]))
 
 
-def _held(member_id, target, kind):
-    return F.exists("locks", lambda h: (h["role"] == "hold") & (h["process_id"] == member_id) & (h["target"] == target) & F.coalesce(kind(h), F.lit(False)))
+def _held(is_holder, target, kind):
+    return F.exists("locks", lambda h: (h["role"] == "hold") & is_holder(h["process_id"]) & (h["target"] == target) & F.coalesce(kind(h), F.lit(False)))
 
 
 def _blocker_holds(member, wait, kind):
-    """Does the member that blocks this one keep, in that way, what it waits for?"""
-    return _held(member["blocked_by"], wait["target"], kind)
+    """Does any of the members that block this one keep, in that way, what it waits for?"""
+    ids = F.transform("members", lambda m: m["process_id"])
+    return _held(lambda pid: F.coalesce(F.array_contains(F.array_intersect(member["blocked_by"], ids), pid), F.lit(False)), wait["target"], kind)
 
 
 def _on_row(lock, mode):
@@ -108,7 +109,7 @@ def _asks_exclusive(wait):
 def cycle_flags(reports: DataFrame) -> DataFrame:
     """Adds: is it a cycle (complete, two or more, all waiting for a member), are targets and holds known (G06, G07)?"""
     ids = F.transform("members", lambda m: m["process_id"])
-    waiting = F.forall("members", lambda m: (F.size(_waits(m)) > 0) & F.coalesce(F.array_contains(ids, m["blocked_by"]), F.lit(False)))
+    waiting = F.forall("members", lambda m: (F.size(_waits(m)) > 0) & F.coalesce(F.arrays_overlap(ids, m["blocked_by"]), F.lit(False)))
     known = F.forall("members", lambda m: (F.size(_waits(m)) > 0) & F.forall(_waits(m), lambda w: w["target"].isNotNull()))
     return reports.withColumns({
         "is_cycle": F.forall("members", lambda m: F.coalesce(m["complete"], F.lit(False))) & (F.size("members") >= 2) & waiting,
@@ -144,7 +145,7 @@ def inconsistent_order(flags: DataFrame) -> DataFrame:
 def mode_conversion(flags: DataFrame) -> DataFrame:
     """CT-02 (G10): all ask exclusively for a row that they and their blocker hold shared; holds unknown: all ask for one row."""
     asks = F.forall("members", lambda m: F.forall(_waits(m), _asks_exclusive))
-    own = lambda m: F.exists(_waits(m), lambda w: _held(m["process_id"], w["target"], lambda h: _on_row(h, "S")))
+    own = lambda m: F.exists(_waits(m), lambda w: _held(lambda pid: pid == m["process_id"], w["target"], lambda h: _on_row(h, "S")))
     blocker = lambda m: F.exists(_waits(m), lambda w: _blocker_holds(m, w, lambda h: _on_row(h, "S")))
     first = F.transform(_waits(F.col("members")[0]), lambda w: w["target"])
     common = F.exists(first, lambda t: F.forall("members", lambda m: F.exists(_waits(m), lambda w: w["target"] == t)))
@@ -255,11 +256,16 @@ def recurrence(events: DataFrame, days: int = 7, high: int = 3) -> DataFrame:
     return counted.withColumn("severity", F.when(F.col("occurrence") >= high, "high").otherwise("medium")).drop("gap", "run")
 
 
-def deadlock_evidence(trx: DataFrame, found_s: int = 0) -> DataFrame:
-    """Per report: the victim, the tables waited for, and how many members."""
-    return trx.groupBy("report_id", "db_id").agg(
+def deadlock_evidence(trx: DataFrame, captures: DataFrame) -> DataFrame:
+    """Per report: the victim, the tables waited for, how many members, and the detection delay.
+
+    ``captures(report_id, captured_s)``: when the snapshot with the report was taken. The delay
+    is null where that, or the deadlock's own time, is unknown.
+    """
+    facts = trx.groupBy("report_id", "db_id").agg(
         F.max(F.when(F.col("victim"), F.col("process_id"))).alias("victim_pid"), F.array_join(F.sort_array(F.collect_set("waits_for")), ",").alias("waits"), F.count("*").alias("members"), F.max("at_s").alias("at_s")
     )
+    return facts.join(captures.select("report_id", "captured_s"), "report_id", "left").withColumn("delay_s", F.col("captured_s") - F.col("at_s")).drop("captured_s")
 
 
 def parse_pg_deadlock(log: DataFrame) -> DataFrame:
@@ -291,13 +297,14 @@ def parse_innodb(texts: DataFrame) -> DataFrame:
 
 
 def blocked_by(locks: DataFrame) -> DataFrame:
-    """Who holds what each member waits for; of two members, the other where nobody is seen holding it."""
+    """All who hold what each member waits for, in order; of two members, the other where nobody is seen holding it."""
     waits = locks.filter("role = 'wait'").select("report_id", "process_id", "target")
     holds = locks.filter("role = 'hold'").select("report_id", "target", F.col("process_id").alias("holder"))
-    seen = waits.join(holds, ["report_id", "target"], "left").filter("holder is null or holder != process_id").groupBy("report_id", "process_id").agg(F.min("holder").alias("holder"))
-    n = waits.groupBy("report_id").agg(F.count("*").alias("n"), F.sum("process_id").alias("all"))
-    other = F.when(F.col("n") == 2, F.col("all") - F.col("process_id"))
-    return waits.select("report_id", "process_id").distinct().join(seen, ["report_id", "process_id"], "left").join(n, "report_id").select("report_id", "process_id", F.coalesce("holder", other).alias("blocker"))
+    seen = waits.join(holds, ["report_id", "target"], "left").filter("holder is null or holder != process_id").groupBy("report_id", "process_id").agg(F.array_sort(F.collect_set("holder")).alias("holders"))
+    n = waits.select("report_id", "process_id").distinct().groupBy("report_id").agg(F.count("*").alias("n"), F.sum("process_id").alias("all"))
+    other = F.when(F.col("n") == 2, F.array(F.col("all") - F.col("process_id"))).otherwise(F.array().cast("array<long>"))
+    every = waits.select("report_id", "process_id").distinct().join(seen, ["report_id", "process_id"], "left").join(n, "report_id")
+    return every.select("report_id", "process_id", F.when(F.size("holders") > 0, F.col("holders")).otherwise(other).alias("blockers"))
 
 
 def trim_resources(locks: DataFrame, most: int = 64) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .carried import carried
-from .rounds import written
+from .carried import carried, with_previous
 
 Z = 1.959963984540054
 
@@ -108,25 +111,100 @@ def quality_summary(rows: DataFrame) -> DataFrame:
     return rows.cube("role", "category").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.count_if((F.col("truth") == 1) & (F.col("predicted") == 1)).alias("tp"), F.count_if((F.col("truth") == 0) & (F.col("predicted") == 1)).alias("fp"))
 
 
+def process_key(df: DataFrame, pids: str = "pids") -> DataFrame:
+    """``df(db_id, pids)`` with ``key``: the database and its processes in order, each once; null where none is known."""
+    known = F.array_sort(F.array_distinct(F.filter(pids, lambda p: p.isNotNull())))
+    return df.withColumn("key", F.when(F.size(known) > 0, F.concat(F.coalesce("db_id", F.lit("")), F.lit("|"), F.array_join(F.transform(known, lambda p: p.cast("string")), ","))))
+
+
 def match_once(left: DataFrame, right: DataFrame, within: int) -> DataFrame:
     """One-to-one pairs of ``left(key, l_id, l_s)`` and ``right(key, r_id, r_s)`` at most ``within`` seconds apart (Q16).
 
     The nearest pair goes first (ties by ids), then the nearest of the rows still free, until
-    no two free rows are near: rows that are each other's nearest pair off in rounds, which
-    gives the same pairs. ``key`` names what must be equal, the victim too where it is known.
-    Time slots of ``within`` seconds make the band join an equality join on three slots.
+    no two free rows are near. ``key`` names what must be equal: the database, the victim
+    where it is known, or the set of processes (``process_key``). Rows with a null key or time
+    match nothing.
+
+    No pair reaches over a silence of more than ``within``, so a key's rows in time order are
+    cut there into islands (carried scans: a long history lies in many tasks). Within an
+    island the nearest pair is always of neighbouring times, so each island is settled in one
+    pass with a queue of neighbours, without making all its pairs and without rounds.
+    """
+    rows = left.select("key", F.col("l_s").cast("long").alias("at"), F.lit(0).alias("side"), F.col("l_id").cast("long").alias("id")).unionByName(
+        right.select("key", F.col("r_s").cast("long").alias("at"), F.lit(1).alias("side"), F.col("r_id").cast("long").alias("id"))
+    ).filter("key is not null and at is not null")
+    order = ["at", "side", "id"]
+    apart = with_previous(rows, ["key"], order, ["at"]).withColumn("apart", F.coalesce((F.col("at") - F.col("previous.at") > within).cast("long"), F.lit(1).cast("long"))).drop("previous")
+    islands = carried(apart, ["key"], order, {"island": ("sum", F.col("apart"))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for key, island, at, side, n in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if (key, island) != here:
+                    out += nearest_pairs(held, within)
+                    here, held = (key, island), []
+                held.append((at, side, n))
+            yield _pairs_batch(out)
+        yield _pairs_batch(nearest_pairs(held, within))
+
+    whole = islands.select("key", "island", *order)
+    return whole.repartition("key", "island").sortWithinPartitions("key", "island", *order).mapInArrow(run, "l_id long, r_id long, gap long")
+
+
+def _pairs_batch(pairs: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(3)], ["l_id", "r_id", "gap"])
+
+
+def nearest_pairs(rows: list[tuple[int, int, int]], within: int) -> list[tuple[int, int, int]]:
+    """``(left id, right id, gap)`` of ``rows(time, side, id)`` in time order, the nearest pair first, ties by ids.
+
+    Rows of one time are one place. Only neighbouring places can hold the nearest pair; when
+    a place is used up its neighbours become neighbours.
     """
-    a = left.withColumn("slot", F.explode(F.expr(f"transform(sequence(-1, 1), d -> cast(floor(l_s / {within}) as bigint) + d)")))
-    b = right.withColumn("slot", F.floor(F.col("r_s") / within).cast("long"))
-    near = a.join(b, ["key", "slot"]).withColumn("gap", F.abs(F.col("l_s") - F.col("r_s"))).filter(F.col("gap") <= within)
-    free = written(near.select("key", "l_id", "r_id", "gap"))
-    out = free.limit(0)
-    while not free.isEmpty():
-        ranked = free.withColumn("l_rank", F.row_number().over(Window.partitionBy("key", "l_id").orderBy("gap", "r_id"))).withColumn("r_rank", F.row_number().over(Window.partitionBy("key", "r_id").orderBy("gap", "l_id")))
-        pairs = written(ranked.filter("l_rank = 1 and r_rank = 1").select("key", "l_id", "r_id", "gap"))
-        out = out.unionByName(pairs)
-        free = written(free.join(pairs.select("key", "l_id"), ["key", "l_id"], "left_anti").join(pairs.select("key", "r_id"), ["key", "r_id"], "left_anti"))
-    return out.select("l_id", "r_id", "gap")
+    places: list[tuple[int, list[int], list[int]]] = []
+    for at, side, n in rows:
+        if not places or places[-1][0] != at:
+            places.append((at, [], []))
+        places[-1][1 + side].append(n)
+    for _, ls, rs in places:
+        ls.sort(reverse=True)
+        rs.sort(reverse=True)
+    before, after = list(range(-1, len(places) - 1)), list(range(1, len(places) + 1))
+    queue: list[tuple[int, int, int, int, int]] = []
+
+    def ask(i: int, j: int) -> None:
+        """Put the pairs that places i and j hold now into the queue."""
+        if 0 <= i and j < len(places):
+            gap = places[j][0] - places[i][0]
+            if gap <= within:
+                for a, b in {(i, j), (j, i)}:
+                    if places[a][1] and places[b][2]:
+                        heapq.heappush(queue, (gap, places[a][1][-1], places[b][2][-1], a, b))
+
+    for i in range(len(places)):
+        ask(i, i)
+        ask(i, i + 1)
+    out = []
+    while queue:
+        gap, left, right, a, b = heapq.heappop(queue)
+        if not (places[a][1] and places[b][2] and places[a][1][-1] == left and places[b][2][-1] == right):
+            continue
+        out.append((places[a][1].pop(), places[b][2].pop(), gap))
+        for i in {a, b}:
+            if places[i][1] or places[i][2]:
+                ask(i, i)
+                ask(before[i], i)
+                ask(i, after[i])
+            else:
+                p, n = before[i], after[i]
+                if p >= 0:
+                    after[p] = n
+                if n < len(places):
+                    before[n] = p
+                ask(p, n)
+    return out
 
 
 def case_summary(rows: DataFrame, case: str, outcome: str, outcomes: list[str]) -> DataFrame:

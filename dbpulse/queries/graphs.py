@@ -62,7 +62,7 @@ def g05(spark, sf_dir):
 # reports of four shapes: opposite order, conversion of one row, inserts into gaps, opposite order with other scopes; some without targets, modes or holds
 define("deadlock_lock", ["deadlock_trx"], """
 SELECT report_id, process_id, 'wait' AS role, CASE WHEN report_id % 17 = 0 THEN cast(NULL AS string) WHEN report_id % 4 = 1 THEN concat('row ', cast(report_id AS string))
-    WHEN report_id % 4 = 2 THEN concat('7:', cast(report_id % 50 AS string), ':', cast(CASE WHEN report_id % 3 = 0 THEN 1 ELSE 8 - process_id END AS string)) ELSE waits_for END AS target,
+    WHEN report_id % 4 = 2 THEN concat('7:', cast(report_id % 50 AS string), ':', cast(CASE WHEN report_id % 3 = 0 THEN 1 ELSE 5 + next_id END AS string)) ELSE waits_for END AS target,
   CASE WHEN report_id % 13 = 0 THEN cast(NULL AS string) WHEN report_id % 4 = 1 THEN 'X' ELSE lock_mode END AS mode,
   CASE report_id % 4 WHEN 0 THEN 'row' WHEN 1 THEN 'row' WHEN 2 THEN CASE WHEN report_id % 7 = 3 AND process_id = 1 THEN 'row' ELSE 'insert_intention' END ELSE lock_scope END AS scope FROM deadlock_trx
 UNION ALL SELECT report_id, process_id, 'hold', CASE report_id % 4 WHEN 1 THEN concat('row ', cast(report_id AS string)) WHEN 2 THEN concat('7:', cast(report_id % 50 AS string), ':', cast(CASE WHEN report_id % 3 = 0 THEN 1 ELSE 5 + process_id END AS string)) ELSE holds END,
@@ -70,16 +70,16 @@ UNION ALL SELECT report_id, process_id, 'hold', CASE report_id % 4 WHEN 1 THEN c
   CASE report_id % 4 WHEN 2 THEN CASE report_id % 5 WHEN 0 THEN 'row' WHEN 1 THEN 'row+gap' ELSE 'gap' END ELSE 'row' END FROM deadlock_trx WHERE holds_known""")
 FLAG = f"""{FACTS}, ld AS (SELECT DISTINCT db_id, schema_name, table_name, columns[1] AS column_name FROM fa WHERE NOT is_partial AND columns[1] IS NOT NULL),
 mw AS (SELECT t.report_id, t.process_id, w.target, (w.mode IS NULL OR w.mode = 'X') AND w.scope NOT IN ('gap', 'insert_intention') AS asks_x, w.scope = 'insert_intention' AS inserts,
-  EXISTS (SELECT 1 FROM deadlock_lock h WHERE h.report_id = t.report_id AND h.role = 'hold' AND h.process_id = t.blocked_by AND h.target = w.target AND h.mode = 'X' AND h.scope NOT IN ('gap', 'insert_intention')) AS blocker_x,
-  EXISTS (SELECT 1 FROM deadlock_lock h WHERE h.report_id = t.report_id AND h.role = 'hold' AND h.process_id = t.blocked_by AND h.target = w.target AND h.mode = 'S' AND h.scope NOT IN ('gap', 'insert_intention')) AS blocker_s,
+  EXISTS (SELECT 1 FROM deadlock_lock h WHERE h.report_id = t.report_id AND h.role = 'hold' AND list_contains(t.blocked_by, h.process_id) AND h.target = w.target AND h.mode = 'X' AND h.scope NOT IN ('gap', 'insert_intention')) AS blocker_x,
+  EXISTS (SELECT 1 FROM deadlock_lock h WHERE h.report_id = t.report_id AND h.role = 'hold' AND list_contains(t.blocked_by, h.process_id) AND h.target = w.target AND h.mode = 'S' AND h.scope NOT IN ('gap', 'insert_intention')) AS blocker_s,
   EXISTS (SELECT 1 FROM deadlock_lock h WHERE h.report_id = t.report_id AND h.role = 'hold' AND h.process_id = t.process_id AND h.target = w.target AND h.mode = 'S' AND h.scope NOT IN ('gap', 'insert_intention')) AS own_s,
-  EXISTS (SELECT 1 FROM deadlock_lock h WHERE h.report_id = t.report_id AND h.role = 'hold' AND h.process_id = t.blocked_by AND h.target = w.target AND h.scope IN ('gap', 'row+gap')) AS blocker_gap
+  EXISTS (SELECT 1 FROM deadlock_lock h WHERE h.report_id = t.report_id AND h.role = 'hold' AND list_contains(t.blocked_by, h.process_id) AND h.target = w.target AND h.scope IN ('gap', 'row+gap')) AS blocker_gap
   FROM deadlock_trx t JOIN deadlock_lock w ON w.report_id = t.report_id AND w.process_id = t.process_id AND w.role = 'wait'),
 gp AS (SELECT report_id, string_agg(DISTINCT target || CASE WHEN target LIKE '%:1' THEN ' end_of_index' ELSE ' before_record' END, ', ' ORDER BY target || CASE WHEN target LIKE '%:1' THEN ' end_of_index' ELSE ' before_record' END) AS gaps FROM mw WHERE inserts AND blocker_gap GROUP BY 1),
 sc AS (SELECT *, rows_locked / greatest(undo_entries, 1) AS r, CASE (report_id + process_id) % 6 WHEN 0 THEN ['o_custkey'] WHEN 1 THEN ['o_clerk', 'o_shippriority'] WHEN 2 THEN ['l_tax'] END AS cols, CASE (report_id + process_id) % 6 WHEN 2 THEN 'lineitem' ELSE 'orders' END AS tb FROM deadlock_trx),
 am AS (SELECT report_id, cols, EXISTS (SELECT 1 FROM ld WHERE ld.db_id = sc.db_id AND ld.table_name = tb AND (sc.schema_name IS NULL OR sc.schema_name = ld.schema_name) AND list_contains(cols, ld.column_name)) AS led
   FROM sc WHERE r >= 10 AND cols IS NOT NULL QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY r DESC, process_id) = 1),
-cy AS (SELECT report_id, bool_and(complete) AND count(*) >= 2 AND bool_and(blocked_by IN (SELECT process_id FROM deadlock_trx o WHERE o.report_id = deadlock_trx.report_id)) AS is_cycle, bool_and(holds_known) AS holds_known, max(rows_locked / greatest(undo_entries, 1)) AS ratio FROM deadlock_trx GROUP BY 1),
+cy AS (SELECT report_id, bool_and(complete) AND count(*) >= 2 AND bool_and(EXISTS (SELECT 1 FROM deadlock_trx o WHERE o.report_id = deadlock_trx.report_id AND list_contains(deadlock_trx.blocked_by, o.process_id))) AS is_cycle, bool_and(holds_known) AS holds_known, max(rows_locked / greatest(undo_entries, 1)) AS ratio FROM deadlock_trx GROUP BY 1),
 wt AS (SELECT report_id, bool_and(target IS NOT NULL) AS targets_known, bool_and(asks_x) AS asks, count(DISTINCT target) = count(*) AS disjoint, count(DISTINCT target) = 1 AS common, bool_and(blocker_x) AS kept, bool_and(own_s AND blocker_s) AS converts FROM mw GROUP BY 1),
 pf AS (SELECT cy.*, targets_known, ratio >= 10 AS amplified, gaps, is_cycle AND targets_known AND asks AND disjoint AND ratio < 10 AND (NOT holds_known OR kept) AS ct01, is_cycle AND targets_known AND asks AND ratio < 10 AND CASE WHEN holds_known THEN converts ELSE common END AS ct02,
   is_cycle AND targets_known AND holds_known AND ratio < 10 AND gaps IS NOT NULL AS ct03, is_cycle AND coalesce(NOT led, false) AS ct04, array_to_string(cols, ', ') AS cols, is_cycle AND NOT targets_known AS open FROM cy JOIN wt USING (report_id) LEFT JOIN gp USING (report_id) LEFT JOIN am USING (report_id))"""
@@ -177,30 +177,36 @@ def g17(spark, sf_dir):
     return G.recurrence(view(spark, sf_dir, "dl_report")).select("report_id", F.col("occurrence").cast("long").alias("occurrence"), "first_s", "severity")
 
 
+def evidence(spark, sf_dir):
+    trx = view(spark, sf_dir, "deadlock_trx")
+    captured = F.when(F.col("report_id") % 8 != 0, F.max("at_s") + F.col("report_id") % 300)
+    return G.deadlock_evidence(trx, trx.groupBy("report_id").agg(captured.alias("captured_s")))
+
+
 @query("g18_deadlock_events", DL + f", ev2 AS (SELECT report_id, db_id, max(at_s) AS at_s, count(*) AS members FROM deadlock_trx GROUP BY 1, 2) SELECT report_id, db_id, at_s, members, {RULE} AS rule FROM ev2 JOIN pf USING (report_id)")
 def g18(spark, sf_dir):
     rules = classified(spark, sf_dir).select("report_id", "rule")
-    return G.deadlock_evidence(view(spark, sf_dir, "deadlock_trx")).join(rules, "report_id").select("report_id", "db_id", "at_s", "members", "rule")
+    return evidence(spark, sf_dir).join(rules, "report_id").select("report_id", "db_id", "at_s", "members", "rule")
 
 
-@query("g19_deadlock_evidence", DL + """ SELECT report_id, db_id, max(process_id) FILTER (victim) AS victim_pid, array_to_string(list_sort(list(DISTINCT waits_for)), ',') AS waits, count(*) AS members, max(at_s) AS at_s FROM deadlock_trx GROUP BY 1, 2""")
+@query("g19_deadlock_evidence", DL + """ SELECT report_id, db_id, max(process_id) FILTER (victim) AS victim_pid, array_to_string(list_sort(list(DISTINCT waits_for)), ',') AS waits, count(*) AS members, max(at_s) AS at_s, CASE WHEN report_id % 8 <> 0 THEN report_id % 300 END AS delay_s FROM deadlock_trx GROUP BY 1, 2""")
 def g19(spark, sf_dir):
-    return G.deadlock_evidence(view(spark, sf_dir, "deadlock_trx"))
+    return evidence(spark, sf_dir)
 
 
-@query("g20_parse_pg_deadlock", DL + """ SELECT report_id, process_id AS pid, CASE lock_mode WHEN 'S' THEN 'ShareLock' ELSE 'ExclusiveLock' END AS mode, waits_for AS target, blocked_by AS blocker, 'UPDATE x SET y = ' || process_id AS statement FROM deadlock_trx""")
+@query("g20_parse_pg_deadlock", DL + """ SELECT report_id, process_id AS pid, CASE lock_mode WHEN 'S' THEN 'ShareLock' ELSE 'ExclusiveLock' END AS mode, waits_for AS target, unnest(list_distinct(blocked_by)) AS blocker, 'UPDATE x SET y = ' || process_id AS statement FROM deadlock_trx""")
 def g20(spark, sf_dir):
-    t = view(spark, sf_dir, "deadlock_trx")
+    t = view(spark, sf_dir, "deadlock_trx").withColumn("blocker", F.explode("blocked_by"))
     pid = F.col("process_id").cast("string")
     mode = F.when(F.col("lock_mode") == "S", "ShareLock").otherwise("ExclusiveLock")
-    line = F.concat(F.lit("Process "), pid, F.lit(" waits for "), mode, F.lit(" on "), F.col("waits_for"), F.lit("; blocked by process "), F.col("blocked_by").cast("string"), F.lit("."))
+    line = F.concat(F.lit("Process "), pid, F.lit(" waits for "), mode, F.lit(" on "), F.col("waits_for"), F.lit("; blocked by process "), F.col("blocker").cast("string"), F.lit("."))
     said = F.concat(F.lit("Process "), pid, F.lit(": UPDATE x SET y = "), pid)
-    text = lambda c: F.array_join(F.sort_array(F.collect_list(c)), "\n")
+    text = lambda c: F.array_join(F.sort_array(F.collect_set(c)), "\n")
     log = t.groupBy("report_id").agg(F.concat_ws("\n", text(line), text(said)).alias("detail"))
     return G.parse_pg_deadlock(log)
 
 
-@query("g21_parse_innodb", DL + """ SELECT report_id, process_id AS trx, r AS role, '7:' || report_id || ':' || CASE r WHEN 'hold' THEN process_id ELSE 3 - process_id END AS resource, lock_mode AS mode,
+@query("g21_parse_innodb", DL + """ SELECT report_id, process_id AS trx, r AS role, '7:' || report_id || ':' || CASE r WHEN 'hold' THEN process_id ELSE next_id END AS resource, lock_mode AS mode,
   CASE lock_scope WHEN 'row' THEN 'row' WHEN 'gap' THEN 'gap' ELSE 'insert_intention' END AS scope FROM deadlock_trx CROSS JOIN (SELECT unnest(['hold', 'wait']) AS r)""")
 def g21(spark, sf_dir):
     t = view(spark, sf_dir, "deadlock_trx")
@@ -210,13 +216,13 @@ def g21(spark, sf_dir):
     def lock(title, heap):
         return F.concat(F.lit("*** ("), n, F.lit(f") {title}:\nRECORD LOCKS space id 7 page no "), F.col("report_id").cast("string"), F.lit(" n bits 72 index PRIMARY lock_mode "), F.col("lock_mode"), said, F.lit("\nRecord lock, heap no "), heap.cast("string"), F.lit(" PHYSICAL RECORD\n"))
 
-    one = F.concat(F.lit("*** ("), n, F.lit(") TRANSACTION:\nUPDATE x\n"), lock("HOLDS THE LOCK(S)", F.col("process_id")), lock("WAITING FOR THIS LOCK TO BE GRANTED", 3 - F.col("process_id")))
+    one = F.concat(F.lit("*** ("), n, F.lit(") TRANSACTION:\nUPDATE x\n"), lock("HOLDS THE LOCK(S)", F.col("process_id")), lock("WAITING FOR THIS LOCK TO BE GRANTED", F.col("next_id")))
     status = t.groupBy("report_id").agg(F.array_join(F.sort_array(F.collect_list(one)), "").alias("status"))
     return G.parse_innodb(status)
 
 
-@query("g22_blocked_by", DL + """, s AS (SELECT w.report_id, w.process_id, min(h.process_id) AS holder FROM deadlock_lock w JOIN deadlock_lock h ON w.report_id = h.report_id AND w.target = h.target AND h.role = 'hold' AND h.process_id <> w.process_id WHERE w.role = 'wait' GROUP BY 1, 2)
-SELECT t.report_id, t.process_id, coalesce(holder, 3 - t.process_id) AS blocker FROM deadlock_trx t LEFT JOIN s USING (report_id, process_id)""")
+@query("g22_blocked_by", DL + """, s AS (SELECT w.report_id, w.process_id, list_sort(list(DISTINCT h.process_id)) AS holders FROM deadlock_lock w JOIN deadlock_lock h ON w.report_id = h.report_id AND w.target = h.target AND h.role = 'hold' AND h.process_id <> w.process_id WHERE w.role = 'wait' GROUP BY 1, 2)
+SELECT t.report_id, t.process_id, coalesce(holders, CASE WHEN count(*) OVER (PARTITION BY report_id) = 2 THEN [3 - t.process_id] ELSE [] END) AS blockers FROM deadlock_trx t LEFT JOIN s USING (report_id, process_id)""")
 def g22(spark, sf_dir):
     return G.blocked_by(view(spark, sf_dir, "deadlock_lock"))
 

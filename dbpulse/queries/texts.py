@@ -223,10 +223,10 @@ def n22(spark, sf_dir):
     return T.finding_key(view(spark, sf_dir, "finding_row")).select("detection_id", "finding_key")
 
 
-@query("n23_deadlock_signature", ctes("deadlock_trx") + """, p AS (SELECT report_id, 'ct' AS rule, list_sort(list(waits_for || '/' || holds || '/' || lock_mode || '/' || lock_scope)) AS ps FROM deadlock_trx GROUP BY 1)
+@query("n23_deadlock_signature", ctes("deadlock_trx") + """, p AS (SELECT report_id, 'ct' AS rule, list_sort(list(waits_for || '/' || holds || '/' || CASE WHEN process_id % 3 = 0 THEN '' ELSE 'ix' || process_id END || '/' || lock_mode || ',' || lock_scope)) AS ps FROM deadlock_trx GROUP BY 1)
 SELECT report_id, substr(sha1(rule || '|' || array_to_string(ps, '|')), 1, 16) AS signature FROM p""")
 def n23(spark, sf_dir):
-    trx = view(spark, sf_dir, "deadlock_trx").select("report_id", F.lit("ct").alias("rule"), F.col("waits_for").alias("canonic_query"), F.col("holds").alias("table_name"), "lock_mode", "lock_scope")
+    trx = view(spark, sf_dir, "deadlock_trx").select("report_id", F.lit("ct").alias("rule"), F.col("waits_for").alias("canonic_query"), F.col("holds").alias("table_name"), F.when(F.col("process_id") % 3 != 0, F.concat(F.lit("ix"), F.col("process_id").cast("string"))).alias("index_name"), "lock_mode", "lock_scope")
     return T.deadlock_signature(trx)
 
 

@@ -202,7 +202,7 @@ def test_markers_nest_to_any_depth(spark):
 
 def deadlock(spark, members, locks, leads=()):
     """The rule of one report: members (pid, blocked_by, rows_locked, undo, query), locks (pid, role, target, mode, scope)."""
-    trx = spark.createDataFrame([(1, "db", p, True, b, True, r, u, None, q) for p, b, r, u, q in members], "report_id long, db_id string, process_id long, complete boolean, blocked_by long, holds_known boolean, rows_locked long, undo_entries long, schema_name string, canonic_query string")
+    trx = spark.createDataFrame([(1, "db", p, True, b if isinstance(b, list) else [b], True, r, u, None, q) for p, b, r, u, q in members], "report_id long, db_id string, process_id long, complete boolean, blocked_by array<long>, holds_known boolean, rows_locked long, undo_entries long, schema_name string, canonic_query string")
     held = spark.createDataFrame([(1, *x) for x in locks], "report_id long, process_id long, role string, target string, mode string, scope string")
     known = spark.createDataFrame(list(leads), "db_id string, schema_name string, table_name string, column_name string")
     found = contention.classify_deadlocks(contention.pattern_flags(contention.amplifying_statements(trx, known), held))
@@ -233,6 +233,24 @@ def test_deadlock_patterns(spark):
     assert deadlock(spark, [members[0], (2, 999, 1, 1, None)], locks) is None
 
 
+def test_deadlocks_of_three_with_several_blockers(spark):
+    """Each waits for the next; a blocker that matters may be the second of a list, strangers in it do not."""
+    lock = lambda k: (f"7:1:{k}", "X", "row")
+    locks = [x for k in (1, 2, 3) for x in ((k, "hold", *lock(k)), (k, "wait", *lock(k % 3 + 1)))]
+    ring = lambda *blockers: [(k, b, 1, 1, None) for k, b in zip((1, 2, 3), blockers)]
+    assert deadlock(spark, ring([2], [3], [1]), locks) == "CT-01"
+    assert deadlock(spark, ring([3, 2], [77, 3], [2, 1]), locks) == "CT-01"
+    assert deadlock(spark, ring([3], [3], [1]), locks) is None  # the one that blocks does not hold what is waited for
+    assert deadlock(spark, ring([2], [77], [1]), locks) is None  # no cycle
+    assert deadlock(spark, ring([2], [], [1]), locks) is None
+
+
+def test_all_holders_of_what_is_waited_for(spark):
+    rows = [(1, 1, "wait", "a"), (1, 2, "hold", "a"), (1, 3, "hold", "a"), (1, 1, "hold", "a"), (1, 2, "wait", "b"), (1, 3, "wait", "c"), (2, 7, "wait", "x"), (2, 9, "wait", "y"), (3, 4, "wait", None)]
+    got = {(r.report_id, r.process_id): r.blockers for r in contention.blocked_by(spark.createDataFrame(rows, "report_id long, process_id long, role string, target string")).collect()}
+    assert got == {(1, 1): [2, 3], (1, 2): [], (1, 3): [], (2, 7): [9], (2, 9): [7], (3, 4): []}
+
+
 def test_same_victim_at_exact_times_is_another_deadlock(spark):
     def kept(*times, source="innodb_status"):
         rows = [("db", i, 5, int(t * 1_000_000), True, source) for i, t in enumerate(times)]
