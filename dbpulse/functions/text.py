@@ -338,6 +338,50 @@ def evidence_edges(df: DataFrame) -> DataFrame:
     return edges.filter("src is not null and dst is not null")
 
 
+_LOCK = "struct<mode:string,scope:string,schema_name:string,table_name:string,targets:array<string>>"
+_MEMBER = f"struct<process_id:bigint,victim:boolean,canonic_query:string,blocked_by:array<bigint>,waits_for:{_LOCK},holds:array<{_LOCK}>>"
+_SESSION = "struct<process_id:bigint,session_state:string,canonic_query:string,blocking_pids:array<bigint>>"
+
+
+def contention_graph(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of contention findings from their evidence.
+
+    A deadlock's evidence lists ``transactions``, a cascade's has a ``root`` and
+    ``blocked_sessions``; it is read as VARIANT by these paths, and what is missing or of another
+    type gives nothing. Nodes: ``(detection_id, node, kind, tag)``, sessions (tag victim or root)
+    and what they wait for or hold. Edges: ``(detection_id, src, dst, kind)`` with ``blocked by``,
+    ``waits for`` and ``held by``; a lock is named by its targets, else by its table. Sessions
+    without a process are left out.
+    """
+    parsed = df.select("detection_id", F.try_parse_json("evidence").alias("e"))
+    got = lambda path, kind: F.try_variant_get("e", path, kind)
+    none = F.lit(None).cast(f"array<{_LOCK}>")
+    name = lambda pid: F.concat(F.lit("session "), pid.cast("string"))
+    members = parsed.select("detection_id", F.explode(got("$.transactions", f"array<{_MEMBER}>")).alias("t")).select(
+        "detection_id", F.col("t.process_id").alias("pid"), F.when(F.col("t.victim"), "victim").alias("tag"), F.col("t.blocked_by").alias("by"), F.array("t.waits_for").alias("waits"), F.col("t.holds").alias("holds")
+    )
+    sessions = F.concat(F.array(F.struct(F.lit("root").alias("tag"), got("$.root", _SESSION).alias("s"))), F.transform(F.coalesce(got("$.blocked_sessions", f"array<{_SESSION}>"), F.array().cast(f"array<{_SESSION}>")), lambda s: F.struct(F.lit(None).cast("string").alias("tag"), s.alias("s"))))
+    cascade = parsed.filter(got("$.root", _SESSION).isNotNull()).select("detection_id", F.explode(sessions).alias("x")).select(
+        "detection_id", F.col("x.s.process_id").alias("pid"), "x.tag", F.col("x.s.blocking_pids").alias("by"), none.alias("waits"), none.alias("holds")
+    )
+    party = members.unionByName(cascade).filter("pid is not null")
+    named = lambda lock: F.when(F.size(lock["targets"]) > 0, lock["targets"]).when(lock["table_name"].isNotNull(), F.array(F.concat_ws(".", lock["schema_name"], lock["table_name"])))
+    locks = lambda c: F.array_distinct(F.flatten(F.filter(F.transform(c, named), lambda x: x.isNotNull())))
+    at = lambda c, kind: party.select("detection_id", name(F.col("pid")).alias("p"), F.explode(locks(c)).alias("lock"), F.lit(kind).alias("kind"))
+    waits, holds = at("waits", "waits for"), at("holds", "held by")
+    blocked = party.select("detection_id", name(F.col("pid")).alias("src"), F.explode(F.array_distinct("by")).alias("b")).filter("b is not null")
+    edges = (
+        blocked.select("detection_id", "src", name(F.col("b")).alias("dst"), F.lit("blocked by").alias("kind"))
+        .unionByName(waits.select("detection_id", F.col("p").alias("src"), F.col("lock").alias("dst"), "kind")).unionByName(holds.select("detection_id", F.col("lock").alias("src"), F.col("p").alias("dst"), "kind"))
+    )
+    nodes = (
+        party.select("detection_id", name(F.col("pid")).alias("node"), F.lit("session").alias("kind"), F.coalesce("tag", F.lit("")).alias("tag"))
+        .unionByName(blocked.select("detection_id", name(F.col("b")).alias("node"), F.lit("session").alias("kind"), F.lit("").alias("tag")))
+        .unionByName(waits.unionByName(holds).select("detection_id", F.col("lock").alias("node"), F.lit("lock").alias("kind"), F.lit("").alias("tag")))
+    )
+    return nodes.groupBy("detection_id", "node", "kind").agg(F.max("tag").alias("tag")), edges.filter("dst is not null")
+
+
 def severity(x: Column, high: float, medium: float | None = None) -> Column:
     """Bands of a number."""
     return F.when(x >= high, "high").when(x >= (medium if medium is not None else high), "medium").otherwise("low")

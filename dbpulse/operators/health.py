@@ -63,6 +63,28 @@ def config_issues(settings: DataFrame, required: dict[str, str]) -> DataFrame:
     return wrong.groupBy("db_id").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("wrong"), F.countDistinct("name").alias("n"))
 
 
+# The oldest version that is read at all, and what a version has from which number on.
+OLDEST = {"postgres": ("PG", 150_000)}
+FEATURES = [("postgres", "pg_stat_statements.stats_since", 170_000, None), ("postgres", "EXPLAIN (GENERIC_PLAN)", 160_000, None), ("postgres", "pg_stat_user_indexes.last_idx_scan", 160_000, None)]
+
+
+def version_issues(servers: DataFrame, features: list[tuple] = FEATURES, oldest: dict[str, tuple] = OLDEST) -> DataFrame:
+    """``(db_id, version_num, code, missing)``: servers too old to be read, and those that lack features, with their list.
+
+    ``servers(db_id, engine, version_num)``; a feature holds in versions from its number up to
+    (without) its end, if it has one. Servers of unknown version or engine have no row.
+    """
+    spark = servers.sparkSession
+    limits = spark.createDataFrame([(e, p, n) for e, (p, n) in oldest.items()], "engine string, prefix string, oldest long")
+    known = spark.createDataFrame(features, "engine string, feature string, since long, until long")
+    named = servers.filter("version_num is not null").join(F.broadcast(limits), "engine")  # both are short fixed lists
+    lacks = (F.col("version_num") < F.col("since")) | (F.col("version_num") >= F.col("until"))
+    each = named.join(F.broadcast(known), "engine", "left").groupBy("db_id", "version_num", "prefix", "oldest").agg(F.array_sort(F.collect_set(F.when(F.coalesce(lacks, F.lit(False)), F.col("feature")))).alias("lack"))
+    old = F.col("version_num") < F.col("oldest")
+    code = F.concat("prefix", F.when(old, "_VERSION_UNSUPPORTED").otherwise("_VERSION_LIMITED"))
+    return each.filter(old | (F.size("lack") > 0)).select("db_id", "version_num", code.alias("code"), F.when(old, "").otherwise(F.array_join("lack", ", ")).alias("missing"))
+
+
 def payload_flag(samples: DataFrame, high: float, low: float) -> DataFrame:
     """A flag that rises above ``high`` and falls only below ``low``."""
     crossing = F.when(F.col("bytes") > high, True).when(F.col("bytes") < low, False)

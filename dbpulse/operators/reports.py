@@ -115,13 +115,22 @@ def deadlock_quality(samples: DataFrame, captured: DataFrame, long_gap: int = 12
     return joined.withColumn("missed", over("counted", "captured")).withColumn("extra", over("captured", "counted"))
 
 
-def range_report(detections: DataFrame, start, end) -> DataFrame:
-    """Per problem in [start, end): count, first and last time, worst and last severity, counts by severity."""
-    inside = detections.filter((F.col("detected_at") >= start) & (F.col("detected_at") < end))
-    return inside.groupBy(*PROBLEM).agg(
-        F.count("*").alias("n"), F.min("detected_at").alias("first_at"), F.max("detected_at").alias("last_at"), worst_severity().alias("worst"),
-        F.max_by("severity", F.struct("detected_at", "detection_id")).alias("last_severity"), *[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("high", "medium", "low")],
+def range_report(detections: DataFrame, start, end, grace_s: int = 0) -> DataFrame:
+    """Per problem detected in [start, end + grace): count, first and last time, worst and last severity, counts by severity, impact.
+
+    ``grace_s`` seconds are for detections of what happened just before the end. Beside the
+    range's figures stand those of the problem's whole life (``n_ever``, ``first_ever``). The
+    impact is the sum of those known, null if none is. One shuffle: the range is a condition.
+    """
+    inside = (F.col("detected_at") >= start) & (F.col("detected_at") < end + F.make_interval(secs=F.lit(grace_s)))
+    marked = detections.withColumn("__in", inside)
+    within = lambda c: F.when(F.col("__in"), F.col(c) if isinstance(c, str) else c)
+    found = marked.groupBy(*PROBLEM).agg(
+        F.count_if("__in").alias("n"), F.min(within("detected_at")).alias("first_at"), F.max(within("detected_at")).alias("last_at"), F.min_by(within("severity"), within(severity_rank("severity"))).alias("worst"),
+        F.max_by(within("severity"), within(F.struct("detected_at", "detection_id"))).alias("last_severity"), *[F.count_if(F.col("__in") & (F.col("severity") == s)).alias(f"n_{s}") for s in ("high", "medium", "low")],
+        F.sum(within("impact_ms")).alias("impact_ms"), F.count("*").alias("n_ever"), F.min("detected_at").alias("first_ever"),
     )
+    return found.filter("n > 0")
 
 
 def range_evaluation(evaluations: DataFrame) -> DataFrame:

@@ -134,11 +134,12 @@ def r08(spark, sf_dir):
     return reports.deadlock_quality(seen, captured, long_gap=3600)
 
 
-@query("r09_range_report", ctes("detection") + f""" SELECT {P}, count(*) AS n, min(detected_at) AS first_at, max(detected_at) AS last_at, arg_min(severity, {RANK}) AS worst, arg_max(severity, (detected_at, detection_id)) AS last_severity,
-  count(*) FILTER (severity = 'high') AS n_high, count(*) FILTER (severity = 'medium') AS n_medium, count(*) FILTER (severity = 'low') AS n_low
-FROM detection WHERE detected_at >= TIMESTAMP '{SINCE}' AND detected_at < TIMESTAMP '2024-01-25 00:00:00' GROUP BY {P}""")
+@query("r09_range_report", ctes("detection") + f""", i AS (SELECT {P}, count(*) AS n, min(detected_at) AS first_at, max(detected_at) AS last_at, arg_min(severity, {RANK}) AS worst, arg_max(severity, (detected_at, detection_id)) AS last_severity,
+  count(*) FILTER (severity = 'high') AS n_high, count(*) FILTER (severity = 'medium') AS n_medium, count(*) FILTER (severity = 'low') AS n_low, CAST(sum(impact_ms) AS DOUBLE) AS impact_ms
+  FROM detection WHERE detected_at >= TIMESTAMP '{SINCE}' AND detected_at < TIMESTAMP '2024-01-25 06:00:00' GROUP BY {P}), e AS (SELECT {P}, count(*) AS n_ever, min(detected_at) AS first_ever FROM detection GROUP BY {P}) SELECT * FROM i JOIN e USING ({P})""")
 def r09(spark, sf_dir):
-    return reports.range_report(view(spark, sf_dir, "detection"), since(), F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
+    found = reports.range_report(view(spark, sf_dir, "detection"), since(), F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"), grace_s=6 * 3600)
+    return found.withColumn("impact_ms", F.col("impact_ms").cast("double"))
 
 
 @query("r10_range_evaluation", ctes("evaluation") + f""" SELECT db_id, code, {COUNTS}, arg_max(reason, (captured_at, event_id)) FILTER (state <> 'evaluated') AS last_reason, {LATEST} AS final_state FROM evaluation GROUP BY db_id, code""")
@@ -282,6 +283,16 @@ def h06(spark, sf_dir):
     return health.config_issues(view(spark, sf_dir, "setting"), NEEDED)
 
 
+define("server_version", [], """
+SELECT concat('db', cast(p_partkey AS string)) AS db_id, CASE WHEN p_partkey % 4 = 3 THEN 'mysql' ELSE 'postgres' END AS engine, CASE WHEN p_size % 9 = 0 THEN cast(NULL AS bigint) ELSE cast(130000 + p_size % 6 * 10000 + p_size AS bigint) END AS version_num FROM @part""")
+
+
+@query("h06b_version_issues", ctes("server_version") + """ SELECT db_id, version_num, CASE WHEN version_num < 150000 THEN 'PG_VERSION_UNSUPPORTED' ELSE 'PG_VERSION_LIMITED' END AS code,
+  CASE WHEN version_num < 150000 THEN '' WHEN version_num < 160000 THEN 'EXPLAIN (GENERIC_PLAN), pg_stat_statements.stats_since, pg_stat_user_indexes.last_idx_scan' ELSE 'pg_stat_statements.stats_since' END AS missing FROM server_version WHERE engine = 'postgres' AND version_num < 170000""")
+def h06b(spark, sf_dir):
+    return health.version_issues(view(spark, sf_dir, "server_version"))
+
+
 @query("h07_payload_flag", ctes("cycle") + """ SELECT db_id, at_s, coalesce(last_value(CASE WHEN log_bytes > 45000 THEN true WHEN log_bytes < 20000 THEN false END IGNORE NULLS)
   OVER (PARTITION BY db_id ORDER BY at_s ROWS UNBOUNDED PRECEDING), false) AS flag FROM cycle""")
 def h07(spark, sf_dir):

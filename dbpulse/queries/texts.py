@@ -283,6 +283,32 @@ def n31(spark, sf_dir):
     return T.evidence_edges(view(spark, sf_dir, "finding_row"))
 
 
+def contention_evidence(spark, sf_dir):
+    """Evidence of deadlocks and of cascades as the rules write it."""
+    trx = view(spark, sf_dir, "deadlock_trx")
+    lock = lambda c: F.struct(F.col("lock_mode").alias("mode"), F.col("lock_scope").alias("scope"), F.array(c).alias("targets"))
+    member = F.struct("process_id", F.col("victim"), "canonic_query", "blocked_by", lock("waits_for").alias("waits_for"), F.when(F.col("holds_known"), F.array(lock("holds"))).alias("holds"))
+    cycles = trx.groupBy(F.col("report_id").alias("detection_id")).agg(F.to_json(F.struct(F.collect_list(member).alias("transactions"))).alias("evidence"))
+    waiting = view(spark, sf_dir, "session").filter("blocker is not null")
+    one = F.struct(F.struct(F.col("blocker").alias("process_id")).alias("root"), F.array(F.struct("process_id", F.array("blocker").alias("blocking_pids"))).alias("blocked_sessions"))
+    return cycles.unionByName(waiting.select((-F.col("process_id")).alias("detection_id"), F.to_json(one).alias("evidence")))
+
+
+@query("n31b_contention_edges", ctes("deadlock_trx", "session") + """ SELECT DISTINCT report_id AS detection_id, 'session ' || process_id AS src, 'session ' || unnest(blocked_by) AS dst, 'blocked by' AS kind FROM deadlock_trx
+UNION ALL SELECT report_id, 'session ' || process_id, waits_for, 'waits for' FROM deadlock_trx UNION ALL SELECT report_id, holds, 'session ' || process_id, 'held by' FROM deadlock_trx WHERE holds_known
+UNION ALL SELECT -process_id, 'session ' || process_id, 'session ' || blocker, 'blocked by' FROM session WHERE blocker IS NOT NULL""")
+def n31b(spark, sf_dir):
+    return T.contention_graph(contention_evidence(spark, sf_dir))[1]
+
+
+@query("n31c_contention_nodes", ctes("deadlock_trx", "session") + """, n AS (SELECT report_id AS detection_id, 'session ' || process_id AS node, 'session' AS kind, CASE WHEN victim THEN 'victim' ELSE '' END AS tag FROM deadlock_trx
+UNION ALL SELECT report_id, 'session ' || unnest(blocked_by), 'session', '' FROM deadlock_trx UNION ALL SELECT report_id, waits_for, 'lock', '' FROM deadlock_trx UNION ALL SELECT report_id, holds, 'lock', '' FROM deadlock_trx WHERE holds_known
+UNION ALL SELECT -process_id, 'session ' || process_id, 'session', '' FROM session WHERE blocker IS NOT NULL UNION ALL SELECT -process_id, 'session ' || blocker, 'session', 'root' FROM session WHERE blocker IS NOT NULL)
+SELECT detection_id, node, kind, max(tag) AS tag FROM n GROUP BY 1, 2, 3""")
+def n31c(spark, sf_dir):
+    return T.contention_graph(contention_evidence(spark, sf_dir))[0]
+
+
 @query("n32_severity", ctes("ev") + " SELECT event_id, CASE WHEN value >= 200 THEN 'high' WHEN value >= 80 THEN 'medium' ELSE 'low' END AS severity FROM ev")
 def n32(spark, sf_dir):
     return view(spark, sf_dir, "ev").select("event_id", T.severity(F.col("value"), 200, 80).alias("severity"))
