@@ -107,8 +107,26 @@ def eval_windows(truth: DataFrame, detected: DataFrame, key: list[str]) -> DataF
 
 
 def quality_summary(rows: DataFrame) -> DataFrame:
-    """Recall and false positives by role, by category and in all (Q15)."""
-    return rows.cube("role", "category").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.count_if((F.col("truth") == 1) & (F.col("predicted") == 1)).alias("tp"), F.count_if((F.col("truth") == 0) & (F.col("predicted") == 1)).alias("fp"))
+    """Recall and false positives by role, by category and in all, with rates, intervals and a histogram of latencies (Q15).
+
+    ``rows(role, category, truth, predicted, valid, latency)``: ``valid`` tells cases whose
+    injection took effect, ``latency`` counts windows until the detection. Recall is over all
+    true cases and over the valid ones, false positives over all that are not true; rates
+    without cases are null. ``latencies`` lists "windows:cases" of those detected, in order.
+    """
+    true, hit = F.col("truth") == 1, F.col("predicted") == 1
+    grouped = rows.cube("role", "category").agg(
+        F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.count_if(true).alias("positives"), F.count_if(true & hit).alias("tp"), F.count_if(~true & hit).alias("fp"),
+        F.count_if(true & F.col("valid")).alias("valid"), F.count_if(true & hit & F.col("valid")).alias("valid_tp"), F.array_sort(F.collect_list(F.when(true & hit, F.col("latency")))).alias("l"),
+    )
+    share = lambda k, n: F.when(F.col(n) > 0, F.col(k) / F.col(n))
+    rated = grouped.withColumn("negatives", F.col("n") - F.col("positives"))
+    low, high = wilson(F.col("tp"), F.col("positives"))
+    counted = F.transform(F.array_distinct("l"), lambda x: F.concat(x.cast("string"), F.lit(":"), F.size(F.filter("l", lambda y: y == x)).cast("string")))
+    return rated.select(
+        "role", "category", "level", "n", "tp", "fp", share("tp", "positives").alias("recall"), low.alias("recall_low"), high.alias("recall_high"), share("valid_tp", "valid").alias("valid_recall"), share("fp", "negatives").alias("fp_rate"),
+        F.array_join(counted, ",").alias("latencies"),
+    )
 
 
 def process_key(df: DataFrame, pids: str = "pids") -> DataFrame:
@@ -207,9 +225,19 @@ def nearest_pairs(rows: list[tuple[int, int, int]], within: int) -> list[tuple[i
     return out
 
 
-def case_summary(rows: DataFrame, case: str, outcome: str, outcomes: list[str]) -> DataFrame:
-    """Per case: rows of each outcome, as columns (Q17)."""
-    return rows.groupBy(case).pivot(outcome, outcomes).count().na.fill(0)
+def case_summary(rows: DataFrame, case: str, outcome: str, outcomes: list[str], found: list[str]) -> DataFrame:
+    """Per case: rows of each outcome, share and interval of those ``found``, their latencies, and whether all have evidence (Q17).
+
+    ``rows`` also has ``latency`` and ``evidence_ok``. Without found rows latencies are null and
+    the evidence is not ok.
+    """
+    hit = F.col(outcome).isin(*found)
+    counted = rows.withColumn("l", F.when(hit, F.col("latency"))).groupBy(case).agg(
+        *[F.count_if(F.col(outcome) == o).alias(o) for o in outcomes], F.count("*").alias("n"), F.count_if(hit).alias("found"), F.expr("percentile(l, 0.5)").alias("median_latency"), F.max("l").alias("most_latency"),
+        F.coalesce(F.bool_and(F.when(hit, F.coalesce("evidence_ok", F.lit(False)))), F.lit(False)).alias("evidence_ok"),
+    )
+    low, high = wilson(F.col("found"), F.col("n"))
+    return counted.select(case, *outcomes, "n", (F.col("found") / F.col("n")).alias("rate"), low.alias("rate_low"), high.alias("rate_high"), "median_latency", "most_latency", "evidence_ok")
 
 
 def phase_check(counted: DataFrame, captured: DataFrame, reported: DataFrame, key: list[str]) -> DataFrame:
@@ -276,22 +304,34 @@ def eval_n1(truth: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def archive_projection(statements: DataFrame, ids: DataFrame) -> DataFrame:
-    """Counters of chosen fingerprints in archived snapshots, added up per message (Q24)."""
-    chosen = statements.join(ids, "query_id", "left_semi")
-    return chosen.groupBy("msg_id").agg(F.sum("calls").alias("calls"), F.count("*").alias("rows"))
+def archive_projection(sections: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
+    """Chosen fingerprints in archived snapshots: counters added up per message, membership among the candidates, scans of their plans (Q24).
+
+    ``sections`` are those of ``ingest_snapshots``. Messages without a chosen statement have no
+    row; ``candidates`` counts chosen ids among the top queries, ``scans`` the scan operations
+    of chosen ids' plans, ``full_scans`` those that read everything.
+    """
+    chosen = lambda name: sections[name].join(ids, "query_id", "left_semi")
+    counters = chosen("statements").groupBy("msg_id").agg(F.sum("execution_count").alias("calls"), F.count("*").alias("rows"))
+    top = chosen("top_impact_queries").groupBy("msg_id").agg(F.count_distinct("query_id").alias("candidates"))
+    ops = chosen("canonic_explains").select("msg_id", F.explode("canonical_plan.physical_operations").alias("o")).filter("o.type = 'scan'")
+    scans = ops.groupBy("msg_id").agg(F.count("*").alias("scans"), F.count_if(F.col("o.access_method").isin("full_table_scan", "full_index_scan")).alias("full_scans"))
+    joined = counters.join(top, "msg_id", "left").join(scans, "msg_id", "left")
+    return joined.select("msg_id", "calls", "rows", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("candidates", "scans", "full_scans")])
 
 
 def plan_agreement(ops: DataFrame, executions: DataFrame, key: str) -> DataFrame:
-    """Share of plans, by source, whose operations are those of the slowest execution's plan (Q25).
+    """Share of plans, by source and kind and by source alone, whose operations are those of the slowest execution's plan (Q25).
 
-    ``ops(plan_id, pos, type, access, index_name)``; ``executions(plan_id, key, source, time_ms)``.
+    ``ops(plan_id, pos, type, access, index_name)``; ``executions(plan_id, key, source, kind, time_ms)``.
+    ``level`` is 0 for source and kind, 1 for the source alone.
     """
     signature = F.to_json(F.array_sort(F.collect_list(F.struct("pos", "type", "access", "index_name"))))
     signed = ops.groupBy("plan_id").agg(signature.alias("signature"))
     each = executions.join(signed, "plan_id")
     slowest = each.groupBy(key).agg(F.max_by("signature", F.struct("time_ms", "plan_id")).alias("reference"))
-    return each.join(slowest, key).groupBy("source").agg(F.avg((F.col("signature") == F.col("reference")).cast("double")).alias("agreement"), F.count("*").alias("plans"))
+    grouped = each.join(slowest, key).groupingSets([[F.col("source"), F.col("kind")], [F.col("source")]], F.col("source"), F.col("kind"))
+    return grouped.agg(F.grouping_id().cast("long").alias("level"), F.avg((F.col("signature") == F.col("reference")).cast("double")).alias("agreement"), F.count("*").alias("plans"))
 
 
 def lost_conditions(raw: DataFrame, ops: DataFrame, key: list[str], kinds: list[str]) -> DataFrame:

@@ -34,11 +34,15 @@ def q14(spark, sf_dir):
     return quality.eval_n1(p.filter("r < 4"), found)
 
 
-@query("q24_archive_projection", ctes("raw_snapshot") + """ SELECT msg_id, CAST(CASE WHEN event_type IN ('click', 'view') AND k % 9 <> 3 THEN k + 1 ELSE 1 END AS BIGINT) AS calls, CASE WHEN event_type IN ('click', 'view') THEN 2 ELSE 1 END AS rows FROM raw_snapshot WHERE k % 9 IN (3, 4, 7, 8)""")
+@query("q24_archive_projection", ctes("raw_snapshot") + """ SELECT msg_id, CAST(CASE WHEN event_type IN ('click', 'view') AND k % 9 <> 3 THEN k + 1 ELSE 1 END AS BIGINT) AS calls, CASE WHEN event_type IN ('click', 'view') THEN 2 ELSE 1 END AS rows,
+  CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS candidates, CASE WHEN user_id % 2 = 0 THEN 2 ELSE 0 END AS scans, CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS full_scans FROM raw_snapshot WHERE k % 9 IN (3, 4, 7, 8)""")
 def q24(spark, sf_dir):
-    raw = view(spark, sf_dir, "raw_snapshot").select("msg_id", "db_id", "captured_at", "payload")
+    # every other user's snapshots have candidates and a plan, of a chosen and of another fingerprint
+    more = '{"top_impact_queries":[{"query_id":"other"},{"query_id":"purchase"}],"canonic_explains":[{"query_id":"other","canonical_plan":{"physical_operations":[{"type":"scan","access_method":"full_table_scan"},{"type":"scan","access_method":"index_lookup"},{"type":"sort"}]}},{"query_id":"purchase","canonical_plan":{"physical_operations":[{"type":"scan"}]}}],'
+    payload = F.when((F.col("user_id") % 2 == 0) & F.col("payload").startswith("{"), F.concat(F.lit(more), F.substring("payload", 2, 1_000_000))).otherwise(F.col("payload"))
+    raw = view(spark, sf_dir, "raw_snapshot").select("msg_id", "db_id", "captured_at", payload.alias("payload"))
     ids = spark.createDataFrame([("click",), ("view",), ("other",)], "query_id string")
-    return quality.archive_projection(scans.ingest_snapshots(raw)["statements"], ids)
+    return quality.archive_projection(scans.ingest_snapshots(raw), ids)
 
 
 define("plan_step", ["ev"], "SELECT event_id AS plan_id, 0 AS pos, 'scan' AS type, CASE k % 3 WHEN 0 THEN 'full_table_scan' ELSE 'index_lookup' END AS access, CASE WHEN k % 3 > 0 THEN concat('ix', cast(k % 3 AS string)) END AS index_name FROM ev")
@@ -46,9 +50,9 @@ define("plan_run", ["ev"], "SELECT event_id AS plan_id, user_id AS query_id, CAS
 
 
 @query("q25_plan_agreement", ctes("plan_step", "plan_run") + """, s AS (SELECT r.*, k % 3 AS sig FROM plan_run r), m AS (SELECT query_id, arg_max(sig, (time_ms, plan_id)) AS ref FROM s GROUP BY 1)
-SELECT source, avg(CASE WHEN sig = ref THEN 1.0 ELSE 0 END) AS agreement, count(*) AS plans FROM s JOIN m USING (query_id) GROUP BY 1""")
+SELECT source, kind, CAST(grouping_id(source, kind) AS BIGINT) AS level, avg(CASE WHEN sig = ref THEN 1.0 ELSE 0 END) AS agreement, count(*) AS plans FROM (SELECT *, CASE WHEN k % 5 = 0 THEN 'join' ELSE 'select' END AS kind FROM s) JOIN m USING (query_id) GROUP BY GROUPING SETS ((source, kind), (source))""")
 def q25(spark, sf_dir):
-    return quality.plan_agreement(view(spark, sf_dir, "plan_step"), view(spark, sf_dir, "plan_run").drop("k"), "query_id")
+    return quality.plan_agreement(view(spark, sf_dir, "plan_step"), view(spark, sf_dir, "plan_run").withColumn("kind", F.when(F.col("k") % 5 == 0, "join").otherwise("select")).drop("k"), "query_id")
 
 
 @query("q26_lost_conditions", PGW + """ SELECT 'cond' AS kind, count(c) AS n, 0 AS lost FROM op WHERE c IS NOT NULL UNION ALL SELECT 'filter', count(f), count(*) FILTER (id % 3 = 0) FROM op WHERE f IS NOT NULL""")

@@ -126,10 +126,16 @@ def q12(spark, sf_dir):
     return quality.eval_windows(ev.filter("value > 250"), ev.filter("value > 200 and k % 3 > 0"), ["db_id", "bucket"])
 
 
-@query("q15_quality_summary", ctes("confusion_row") + """ SELECT grp AS role, toxic AS category, CAST(grouping_id(grp, toxic) AS BIGINT) AS level, count(*) AS n, count(*) FILTER (truth = 1 AND predicted = 1) AS tp,
-  count(*) FILTER (truth = 0 AND predicted = 1) AS fp FROM confusion_row GROUP BY CUBE (grp, toxic)""")
+WILSON = lambda k, n, sign: f"CASE WHEN {n} > 0 THEN {'greatest' if sign == '-' else 'least'}((({k} / {n} + 3.8414588206941227 / (2 * {n})) {sign} 1.959963984540054 * sqrt(({k} / {n}) * (1 - {k} / {n}) / {n} + 3.8414588206941227 / (4 * {n} * {n}))) / (1 + 3.8414588206941227 / {n}), {0 if sign == '-' else 1}) END"
+
+
+@query("q15_quality_summary", ctes("confusion_row") + f""", g AS (SELECT grp AS role, toxic AS category, CAST(grouping_id(grp, toxic) AS BIGINT) AS level, count(*) AS n, count(*) FILTER (truth = 1) AS p, count(*) FILTER (truth = 1 AND predicted = 1) AS tp,
+  count(*) FILTER (truth = 0 AND predicted = 1) AS fp, count(*) FILTER (truth = 1 AND doc_id % 3 > 0) AS v, count(*) FILTER (truth = 1 AND predicted = 1 AND doc_id % 3 > 0) AS vt, list_sort(list(doc_id % 4) FILTER (truth = 1 AND predicted = 1)) AS l FROM confusion_row GROUP BY CUBE (grp, toxic))
+SELECT role, category, level, n, tp, fp, tp / nullif(p, 0) AS recall, {WILSON("tp", "p", "-")} AS recall_low, {WILSON("tp", "p", "+")} AS recall_high, vt / nullif(v, 0) AS valid_recall, fp / nullif(n - p, 0) AS fp_rate,
+  coalesce(array_to_string(list_transform(list_sort(list_distinct(l)), lambda x: x || ':' || len(list_filter(l, lambda y: y = x))), ','), '') AS latencies FROM g""")
 def q15(spark, sf_dir):
-    return quality.quality_summary(view(spark, sf_dir, "confusion_row").withColumnRenamed("grp", "role").withColumnRenamed("toxic", "category"))
+    rows = view(spark, sf_dir, "confusion_row").withColumnRenamed("grp", "role").withColumnRenamed("toxic", "category")
+    return quality.quality_summary(rows.withColumn("valid", F.col("doc_id") % 3 > 0).withColumn("latency", F.col("doc_id") % 4))
 
 
 @query("q16_match_once", ctes("ev").replace("WITH ", "WITH RECURSIVE ", 1) + """, l AS (SELECT db_id AS key, event_id AS l_id, s AS l_s FROM ev WHERE event_type = 'error'), r AS (SELECT db_id AS key, event_id AS r_id, s AS r_s FROM ev WHERE event_type = 'signup'),
@@ -145,9 +151,12 @@ def q16(spark, sf_dir):
     return quality.match_once(left, right, 7200)
 
 
-@query("q17_case_summary", ctes("detection") + " SELECT rule, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM detection GROUP BY 1")
+@query("q17_case_summary", ctes("detection") + f""", g AS (SELECT rule, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) AS n, count(*) FILTER (severity <> 'low') AS f,
+  quantile_cont(s % 600, 0.5) FILTER (severity <> 'low') AS median_latency, max(s % 600) FILTER (severity <> 'low') AS most_latency, coalesce(bool_and(impact_ms IS NOT NULL) FILTER (severity <> 'low'), false) AS evidence_ok FROM detection GROUP BY 1)
+SELECT rule, high, medium, low, n, f / n AS rate, {WILSON("f", "n", "-")} AS rate_low, {WILSON("f", "n", "+")} AS rate_high, median_latency, most_latency, evidence_ok FROM g""")
 def q17(spark, sf_dir):
-    return quality.case_summary(view(spark, sf_dir, "detection"), "rule", "severity", ["high", "medium", "low"])
+    rows = view(spark, sf_dir, "detection").withColumn("latency", F.col("s") % 600).withColumn("evidence_ok", F.col("impact_ms").isNotNull())
+    return quality.case_summary(rows, "rule", "severity", ["high", "medium", "low"], ["high", "medium"])
 
 
 @query("q18_phase_check", ctes("ev") + """, e AS (SELECT * FROM ev WHERE event_type = 'error'), c AS (SELECT db_id, count(*) AS counted FROM e GROUP BY 1), a AS (SELECT db_id, count(*) AS captured FROM e WHERE k % 50 > 0 GROUP BY 1),

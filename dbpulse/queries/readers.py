@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import baseline, windows
 from ..sources import scans as S
 from ..sources.fixtures import ctes, define, view
 from . import query
+from .counters import D01, DELTA
 
 # whole payloads, and by turns: no JSON, sections missing, a section unread (null), one of another type, a mistyped number (null then), no database
 _REST = '"locks":[{"process_id":\', cast(user_id AS string), \',"table_name":"t","granted":true}],"indexes":[],"tables":[{"schema_name":"s","table_name":"t","live_rows":5}],"columns":[]'
 define("raw_snapshot", ["ev"], f"""
 SELECT event_id AS msg_id, db_id, ts AS captured_at, CASE k % 9 WHEN 0 THEN 'no json' WHEN 1 THEN '{{"statements":[]}}'
-  ELSE concat('{{', CASE WHEN k % 9 = 2 THEN '' ELSE '"db_id":"d",' END, '"statements":[{{"query_id":"', event_type, '","calls":', CASE WHEN k % 9 = 3 THEN '"many"' ELSE cast(k AS string) END, ',"time_ms":1.5}},{{"query_id":"other","calls":1,"time_ms":2}}],
+  ELSE concat('{{', CASE WHEN k % 9 = 2 THEN '' ELSE '"db_id":"d",' END, '"statements":[{{"query_id":"', event_type, '","execution_count":', CASE WHEN k % 9 = 3 THEN '"many"' ELSE cast(k AS string) END, ',"total_time_ms":1.5}},{{"query_id":"other","execution_count":1,"total_time_ms":2}}],
     {_REST},"active_queries":', CASE k % 9 WHEN 4 THEN 'null' WHEN 5 THEN '{{"process_id":1}}' ELSE '[]' END, ',"server_start_timestamp":[{{"server_start_time":"2024-01-01"}}]', CASE WHEN k % 9 = 6 THEN ',"deadlocks":7' ELSE ',"collection_status":{{"sections_failed":["x"],"issues":[]}}' END, ',"unknown":1}}') END AS payload,
   k, event_type, user_id FROM ev""")
 VALID = "k % 9 IN (3, 4, 7, 8)"
@@ -24,7 +26,7 @@ UNION ALL SELECT msg_id, db_id, captured_at, 'server_start_timestamp', '2024-01-
 def s01(spark, sf_dir):
     """Rows of all 14 sections in one layout; sections without rows give none."""
     got = S.ingest_snapshots(view(spark, sf_dir, "raw_snapshot").select("msg_id", "db_id", "captured_at", "payload"))
-    shown = {"statements": ("query_id", "calls"), "locks": ("table_name", "process_id"), "tables": ("table_name", "live_rows"), "server_start_timestamp": ("server_start_time", None), "collection_status": ("array_join(sections_failed, ',')", None)}
+    shown = {"statements": ("query_id", "execution_count"), "locks": ("table_name", "process_id"), "tables": ("table_name", "live_rows"), "server_start_timestamp": ("server_start_time", None), "collection_status": ("array_join(sections_failed, ',')", None)}
     out = None
     for name, df in got.items():
         text, number = shown.get(name, ("msg_id", None))
@@ -33,6 +35,29 @@ def s01(spark, sf_dir):
     return out
 
 
+@query("s01b_section_issues", ctes("raw_snapshot") + """, i AS (SELECT *, CASE k % 9 WHEN 0 THEN [{'section': '', 'code': 'PAYLOAD_UNREADABLE'}]
+  WHEN 1 THEN list_transform(['locks', 'active_queries', 'indexes', 'tables', 'columns', 'server_start_timestamp'], lambda x: {'section': x, 'code': 'SECTION_MISSING'})
+  WHEN 4 THEN [{'section': 'active_queries', 'code': 'SECTION_UNREAD'}] WHEN 5 THEN [{'section': 'active_queries', 'code': 'SECTION_MISTYPED'}] WHEN 6 THEN [{'section': 'deadlocks', 'code': 'SECTION_MISTYPED'}] ELSE [] END AS l FROM raw_snapshot)
+SELECT msg_id, db_id, captured_at, u.section AS section, u.code AS code FROM (SELECT msg_id, db_id, captured_at, unnest(l) AS u FROM i)""")
+def s01b(spark, sf_dir):
+    return S.section_issues(view(spark, sf_dir, "raw_snapshot").select("msg_id", "db_id", "captured_at", "payload"))
+
+
+@query("s01c_degradation_from_snapshots", ctes("stmt") + f", {DELTA}" + D01)
+def s01c(spark, sf_dir):
+    """AP-01 from whole payloads: counters go in as JSON, some snapshots twice, some fingerprints as two rows, and come out as windows."""
+    row = view(spark, sf_dir, "stmt")
+    third = F.floor(F.col("execution_count") / 3).cast("long")
+    fields = lambda calls, time: F.struct("query_id", calls.alias("execution_count"), time.alias("total_time_ms"), "rows_returned", "disk_spill_indicator", "sort_merge_passes", F.date_format("counters_epoch", "yyyy-MM-dd'T'HH:mm:ss").alias("counters_epoch"))
+    rows = F.when(F.col("execution_count") % 4 == 0, F.array(fields(third, F.col("total_time_ms")), fields(F.col("execution_count") - third, F.lit(0.0)))).otherwise(F.array(fields(F.col("execution_count"), F.col("total_time_ms"))))
+    whole = row.groupBy("db_id", "captured_at").agg(F.flatten(F.collect_list(rows)).alias("statements"))
+    empty = F.array().cast("array<string>")
+    payload = F.to_json(F.struct("db_id", "statements", *[empty.alias(n) for n in S.MANDATORY if n != "statements"]))
+    sent = whole.select("db_id", "captured_at", payload.alias("payload"), F.explode(F.when(F.hour("captured_at") == 6, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("msg_id"))
+    counters = S.statement_counters(S.ingest_snapshots(sent.withColumn("msg_id", F.col("msg_id").cast("long")))["statements"])
+    return baseline.baseline_degradation(windows.delta_windows(counters), min_calls=2, baseline=30, ratio=1.2)
+
+
 @query("s02_split_valid", ctes("raw_snapshot") + f" SELECT msg_id, {VALID} AS valid FROM raw_snapshot")
 def s02(spark, sf_dir):
     ok, bad = S.split_valid(view(spark, sf_dir, "raw_snapshot").select("msg_id", "payload"))

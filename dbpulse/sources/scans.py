@@ -4,23 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.text import to_utc
 from ..operators.rounds import written
-
-CANDIDATE = "query_id:string,canonic_query:string,calls:bigint,total_time_ms:double,reasons:array<string>"
-#: the sections of a snapshot and the fields of their rows; other fields and sections are ignored
+from ..operators.windows import COUNTERS, merge_counters
+
+_TIMES = "total_time_ms:double,mean_time_ms:double,stddev_time_ms:double,min_time_ms:double,max_time_ms:double,coeff_of_variation:double"
+STATEMENT = (
+    f"query_id:string,query_text:string,database_name:string,schema_name:string,execution_count:bigint,rows_returned:bigint,avg_rows_per_call:double,{_TIMES},"
+    "disk_spill_indicator:bigint,sort_merge_passes:bigint,counters_epoch:string,canonic_query:string,query_text_truncated:boolean"
+)
+CANDIDATE = f"{STATEMENT},selected_by:array<string>,ready_for_explain:boolean"
+_LOCK = "struct<mode:string,scope:string,schema_name:string,table_name:string,index_name:string,targets:array<string>,targets_source:string>"
+_MEMBER = f"struct<process_id:bigint,query_id:string,canonic_query:string,victim:boolean,blocked_by:array<bigint>,waits_for:{_LOCK},holds:array<{_LOCK}>,rows_locked:bigint,undo_log_entries:bigint>"
+_OPERATION = "struct<type:string,access_method:string,relation:string,table_name:string,index_name:string,predicate:string,estimated_rows:double>"
+_PLAN = f"struct<estimates:struct<output_rows:double,actual_rows:double>,physical_operations:array<{_OPERATION}>>"
+#: the catalogue of a snapshot's sections and the fields of their rows; other fields and sections are ignored
 SECTIONS = {
-    "statements": "array<struct<query_id:string,calls:bigint,time_ms:double>>",
-    "locks": "array<struct<process_id:bigint,table_name:string,granted:boolean>>",
-    "active_queries": "array<struct<process_id:bigint,canonic_query:string,state:string,transaction_start_time:string,blocking_pids:array<bigint>>>",
+    "statements": f"array<struct<{STATEMENT}>>",
+    "locks": "array<struct<process_id:bigint,database_name:string,table_name:string,lock_mode:string,is_granted:boolean>>",
+    "active_queries": "array<struct<process_id:bigint,database_name:string,query_text:string,query_id:string,canonic_query:string,transaction_start_time:string,session_state:string,wait_start_time:string,blocking_pids:array<bigint>>>",
     "indexes": "array<struct<schema_name:string,table_name:string,index_name:string,index_ref:string,index_scans:bigint,last_index_scan:string,index_size_bytes:bigint>>",
-    "tables": "array<struct<schema_name:string,table_name:string,live_rows:bigint>>",
+    "tables": "array<struct<schema_name:string,table_name:string,seq_scans:bigint,live_rows:bigint>>",
     "columns": "array<struct<schema_name:string,table_name:string,column_name:string,data_type:string>>",
     "server_start_timestamp": "array<struct<server_start_time:string,stats_reset_time:string>>",
-    "foreign_keys": "array<struct<schema_name:string,table_name:string,constraint_name:string,column_name:string,referenced_table:string,referenced_column:string,position:int>>",
+    "foreign_keys": "array<struct<schema_name:string,table_name:string,constraint_name:string,column_name:string,referenced_schema_name:string,referenced_table_name:string,referenced_column_name:string,position:int>>",
     "capture_timestamp": "array<struct<capture_timestamp:string>>",
-    "deadlocks": "array<struct<detected_at:string,source:string,complete:boolean,database_name:string,transactions:array<struct<process_id:bigint,blocked_by:array<bigint>>>>>",
-    "canonic_explains": "array<struct<query_id:string,explain_source:string,total_cost:double>>",
+    "deadlocks": f"array<struct<detected_at:string,source:string,complete:boolean,database_name:string,transactions:array<{_MEMBER}>>>",
+    "canonic_explains": f"array<struct<query_id:string,explain_source:string,total_cost:double,canonical_plan:{_PLAN}>>",
     "top_impact_queries": f"array<struct<{CANDIDATE}>>",
     "non_explainable_candidates": f"array<struct<{CANDIDATE}>>",
     "collection_status": "struct<sections_failed:array<string>,issues:array<struct<code:string,section:string,severity:string>>>",
@@ -37,6 +49,11 @@ def _section(name: str):
     return F.try_variant_get("p", f"$.{name}", SECTIONS[name])
 
 
+def _is_typed(name: str):
+    """Has the section its type? In a lambda, so that fourteen such checks are not one method too large to compile."""
+    return F.get(F.transform(F.array("p"), lambda p: F.try_variant_get(p, f"$.{name}", SECTIONS[name]).isNotNull()), 0)
+
+
 def split_valid(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Payloads that keep the contract, and those that do not; the rest goes on.
 
@@ -47,7 +64,7 @@ def split_valid(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok = F.try_variant_get("p", "$.db_id", "string").isNotNull()
     for name in SECTIONS:
         there = F.try_variant_get("p", f"$.{name}", "variant")
-        typed = F.is_variant_null(there) | _section(name).isNotNull()
+        typed = F.is_variant_null(there) | _is_typed(name)
         ok = ok & (F.coalesce(typed, F.lit(False)) if name in MANDATORY else there.isNull() | F.coalesce(typed, F.lit(False)))
     marked = _parsed(raw).withColumn("__ok", F.coalesce(ok, F.lit(False)))
     return marked.filter("__ok").drop("__ok", "p"), marked.filter("not __ok").drop("__ok", "p")
@@ -64,6 +81,36 @@ def ingest_snapshots(raw: DataFrame) -> dict[str, DataFrame]:
     return {name: parsed.select(*head, F.explode(rows(name)).alias("r")).filter("r is not null").select(*head, "r.*") for name in SECTIONS}
 
 
+def section_issues(raw: DataFrame) -> DataFrame:
+    """``(msg_id, db_id, captured_at, section, code)`` of sections that gave no rows to read.
+
+    SECTION_UNREAD: there, but null, since the collector could not read it; SECTION_MISTYPED:
+    there with another type; SECTION_MISSING: a mandatory one is absent; PAYLOAD_UNREADABLE (no
+    section): no JSON.
+    """
+    parsed = _parsed(raw)
+
+    def issue(name: str):
+        there = F.try_variant_get("p", f"$.{name}", "variant")
+        absent = F.when(F.lit(name in MANDATORY), "SECTION_MISSING")
+        return F.struct(F.lit(name).alias("section"), F.when(there.isNull(), absent).when(F.is_variant_null(there), "SECTION_UNREAD").when(~_is_typed(name), "SECTION_MISTYPED").alias("code"))
+
+    whole = F.array(F.struct(F.lit("").alias("section"), F.lit("PAYLOAD_UNREADABLE").alias("code")))
+    found = F.when(F.col("p").isNull(), whole).otherwise(F.array(*[issue(n) for n in SECTIONS]))
+    return parsed.select("msg_id", "db_id", "captured_at", F.inline(found)).filter("code is not null")
+
+
+def statement_counters(statements: DataFrame) -> DataFrame:
+    """The ``statements`` section as the counters that windows and rules read, a row per fingerprint and snapshot.
+
+    A snapshot that came twice counts once (its greatest message); rows of one fingerprint
+    (several users or databases) are added up. Rows without id or count are left out.
+    """
+    last = statements.groupBy("db_id", "captured_at").agg(F.max("msg_id").alias("msg_id"))
+    rows = statements.filter("query_id is not null and execution_count is not null").join(last, ["db_id", "captured_at", "msg_id"])
+    return merge_counters(rows.select("db_id", "query_id", "captured_at", *COUNTERS, to_utc(F.col("counters_epoch")).alias("counters_epoch")), order="counters_epoch")
+
+
 def read_statements(pg: DataFrame, my: DataFrame, own_roles: list[str], noise: str) -> DataFrame:
     """Both vendors' statement views in one layout: milliseconds, rows per call, without the tool's own statements."""
     a = pg.select(F.lit("postgres").alias("engine"), "db_id", F.col("queryid").cast("string").alias("query_id"), "role", "query", "calls", F.col("total_exec_time").alias("total_time_ms"), "rows")
@@ -163,5 +210,25 @@ def log_window(files: DataFrame, budget: int, since_s: int) -> DataFrame:
 
 def read_jdbc_stats(spark: SparkSession, url: str, query: str, databases: list[str], **options: str) -> DataFrame:
     """A statistics view of many databases, one partition each (S21); needs the vendor's driver on the class path."""
-    predicates = [f"db_id = '{d}'" for d in databases]
+    predicates = ["db_id = '{}'".format(d.replace("'", "''")) for d in databases]
     return spark.read.jdbc(url, f"({query}) q", predicates=predicates, properties=options)
+
+
+def pull_sections(spark: SparkSession, url: str, queries: dict[str, tuple[str, str]], databases: list[str], **options: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Sections read over JDBC, and an issue for each that could not be read.
+
+    ``queries`` gives each section's SQL, with a ``db_id``, and its schema. A section whose
+    query the server refuses is an empty table of that schema, and a row ``(section, code,
+    message)`` of the issues with the code SECTION_UNREAD; the others are read all the same.
+    """
+    found, issues = {}, []
+    for section, (query, schema) in queries.items():
+        try:
+            df = read_jdbc_stats(spark, url, query, databases, **options)
+            kinds = StructType.fromDDL(schema)
+            named = {c.lower(): c for c in df.columns}
+            found[section] = df.select(*[F.col(named[f.name.lower()]).cast(f.dataType).alias(f.name) for f in kinds.fields])
+        except Exception as e:  # noqa: BLE001 - whatever the driver throws is the section's issue
+            found[section] = spark.createDataFrame([], schema)
+            issues.append((section, "SECTION_UNREAD", str(e).splitlines()[0][:200]))
+    return found, spark.createDataFrame(issues, "section string, code string, message string")
