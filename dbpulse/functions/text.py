@@ -280,11 +280,21 @@ def deadlock_signature(trx: DataFrame) -> DataFrame:
 
 
 def classify_error(errors: DataFrame, states: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``code`` by state, else by the first phrase of the message, else UNKNOWN (N24). Both lists are short and fixed."""
-    by_state = errors.join(F.broadcast(states), "state", "left")
-    hit = F.broadcast(phrases.select(F.array_sort(F.collect_list(F.struct("nth", "phrase", "phrase_code"))).alias("list")))
-    first = F.filter("list", lambda p: F.lower(F.col("message")).contains(p["phrase"]))
-    return by_state.crossJoin(hit).withColumn("code", F.coalesce("state_code", F.get(first, 0)["phrase_code"], F.lit("UNKNOWN"))).drop("list", "state_code")
+    """``code`` by state, else by the first phrase of the message, else UNKNOWN, within the error's scope and section.
+
+    ``errors(state, message, scope, section)``; ``states(state, state_code, scope, section)`` and
+    ``phrases(nth, phrase, phrase_code, scope, section)`` are short fixed lists. An entry with a scope
+    or a section holds for errors of that one only and goes before one without; one for a
+    section goes before one for a scope.
+    """
+    entries = lambda df, *own: F.broadcast(df.select(F.collect_list(F.struct(*own, "scope", "section")).alias("list")))
+    fits = lambda e: (e["scope"].isNull() | F.coalesce(e["scope"] == F.col("scope"), F.lit(False))) & (e["section"].isNull() | F.coalesce(e["section"] == F.col("section"), F.lit(False)))
+    rank = lambda e: F.when(e["section"].isNotNull(), 0).when(e["scope"].isNotNull(), 1).otherwise(2)
+    by_state = F.array_min(F.transform(F.filter("states", lambda e: F.coalesce(e["state"] == F.col("state"), F.lit(False)) & fits(e)), lambda e: F.struct(rank(e).alias("r"), e["state_code"].alias("code"))))["code"]
+    said = F.filter("phrases", lambda e: F.coalesce(F.lower("message").contains(e["phrase"]), F.lit(False)) & fits(e))
+    by_phrase = F.array_min(F.transform(said, lambda e: F.struct(rank(e).alias("r"), e["nth"].alias("nth"), e["phrase_code"].alias("code"))))["code"]
+    both = errors.crossJoin(entries(states, "state", "state_code").withColumnRenamed("list", "states")).crossJoin(entries(phrases, "nth", "phrase", "phrase_code").withColumnRenamed("list", "phrases"))  # one row each
+    return both.withColumn("code", F.coalesce(by_state, by_phrase, F.lit("UNKNOWN"))).drop("states", "phrases")
 
 
 def enrich_issue(issues: DataFrame, catalog: DataFrame) -> DataFrame:

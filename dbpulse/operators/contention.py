@@ -268,15 +268,43 @@ def deadlock_evidence(trx: DataFrame, captures: DataFrame) -> DataFrame:
     return facts.join(captures.select("report_id", "captured_s"), "report_id", "left").withColumn("delay_s", F.col("captured_s") - F.col("at_s")).drop("captured_s")
 
 
+# The common mode of each PostgreSQL lock mode, by what is locked.
+PG_RELATION = {"AccessShareLock": "IS", "RowShareLock": "IS", "RowExclusiveLock": "IX", "ShareLock": "S", "ExclusiveLock": "X", "AccessExclusiveLock": "X"}
+PG_TUPLE = {"AccessShareLock": "S", "RowShareLock": "S", "ExclusiveLock": "X", "AccessExclusiveLock": "X"}
+PG_OTHER = {"ShareLock": "S", "ExclusiveLock": "X"}
+
+
 def parse_pg_deadlock(log: DataFrame) -> DataFrame:
-    """Detail lines of a PostgreSQL deadlock -> ``(report_id, pid, mode, target, blocker, statement)``."""
+    """Detail lines of a PostgreSQL deadlock, a row per wait.
+
+    ``(report_id, pid, mode, target, blocker, statement, lock_type, common_mode, scope, row_target)``.
+    Statements may go over several lines. What is locked gives type, scope (row, table,
+    other) and the mode in the engines' common words; a wait for a transaction is one for a row
+    of which the log tells neither which one nor how: the mode is what the statement asks for
+    (X if it writes or locks for update, S if for share) and ``row_target`` is null. Keys of advisory
+    locks are the application's and become tokens, equal for equal keys of a report.
+    """
     pattern = r"Process (\d+) waits for (\w+) on (.+?); blocked by process (\d+)\."
     lines = F.regexp_extract_all("detail", F.lit(rf"({pattern})"), F.lit(1))
-    rows = log.select("report_id", "detail", F.explode(lines).alias("line"))
+    rows = log.select("report_id", "detail", F.posexplode(lines).alias("pos", "line"))
     part = lambda i: F.regexp_extract("line", pattern, i)
-    said = F.expr(r"regexp_extract(detail, concat('Process ', pid, ': (.*?)(?:\n|$)'), 1)")
-    return rows.select("report_id", "detail", part(1).alias("pid"), part(2).alias("mode"), part(3).alias("target"), part(4).cast("long").alias("blocker")).select(
-        "report_id", F.col("pid").cast("long").alias("pid"), "mode", "target", "blocker", said.alias("statement")
+    said = F.expr(r"nullif(regexp_extract(detail, concat('(?ms)^Process ', pid, ': (.*?)(?=\\nProcess [0-9]+(?:: | waits for )|\\z)'), 1), '')")
+    one = rows.select("report_id", "detail", "pos", part(1).alias("pid"), part(2).alias("mode"), F.regexp_replace(part(3), r" of database \d+$", "").alias("target"), part(4).cast("long").alias("blocker")).withColumn("statement", said)
+    kind = (
+        F.when(F.col("target").rlike(r"^tuple \(\d+,\d+\) of relation \d+"), "tuple").when(F.col("target").rlike(r"^relation \d+"), "relation").when(F.col("target").rlike(r"^transaction \d+"), "transactionid")
+        .when(F.col("target").startswith("virtual transaction"), "virtualxid").otherwise(F.substring_index("target", " ", 1))
+    )
+    word = lambda known: F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.col("mode"))
+    asks = F.when(F.col("statement").rlike(r"(?i)^\s*(?:UPDATE|DELETE|INSERT|MERGE)\b|\bFOR\s+(?:NO\s+KEY\s+)?UPDATE\b"), "X").when(F.col("statement").rlike(r"(?i)\bFOR\s+(?:KEY\s+)?SHARE\b"), "S")
+    of = lambda name: F.col("lock_type") == name
+    mode = F.when(of("tuple"), word(PG_TUPLE)).when(of("relation"), word(PG_RELATION)).when(of("transactionid"), asks).when(~of("virtualxid"), word(PG_OTHER))
+    scope = F.when(F.col("lock_type").isin("tuple", "transactionid"), "row").when(of("relation"), "table").otherwise("other")
+    typed = one.withColumn("lock_type", kind).withColumn("common_mode", mode).withColumn("scope", scope)
+    first = F.min("pos").over(Window.partitionBy("report_id", "target"))
+    token = F.dense_rank().over(Window.partitionBy("report_id", "lock_type").orderBy("first"))
+    named = typed.withColumn("first", first).withColumn("target", F.when(of("advisory"), F.concat(F.lit("advisory lock a"), token.cast("string"))).otherwise(F.col("target")))
+    return named.select(
+        "report_id", F.col("pid").cast("long").alias("pid"), "mode", "target", "blocker", "statement", "lock_type", "common_mode", "scope", F.when(~F.col("lock_type").isin("transactionid", "virtualxid"), F.col("target")).alias("row_target")
     )
 
 

@@ -194,13 +194,23 @@ def g19(spark, sf_dir):
     return evidence(spark, sf_dir)
 
 
-@query("g20_parse_pg_deadlock", DL + """ SELECT report_id, process_id AS pid, CASE lock_mode WHEN 'S' THEN 'ShareLock' ELSE 'ExclusiveLock' END AS mode, waits_for AS target, unnest(list_distinct(blocked_by)) AS blocker, 'UPDATE x SET y = ' || process_id AS statement FROM deadlock_trx""")
+# what is waited for, by report: another object, a transaction, a tuple, a relation, an advisory lock of two keys
+@query("g20_parse_pg_deadlock", DL + """, w AS (SELECT report_id, process_id AS pid, next_id, CASE WHEN report_id % 5 = 3 THEN CASE lock_mode WHEN 'S' THEN 'RowExclusiveLock' ELSE 'AccessExclusiveLock' END WHEN lock_mode = 'S' THEN 'ShareLock' ELSE 'ExclusiveLock' END AS mode,
+  waits_for, list_distinct(blocked_by) AS bs, report_id % 5 AS shape, lock_mode, min(next_id % 2) OVER (PARTITION BY report_id) AS low, arg_min(next_id % 2, 'Process ' || process_id) OVER (PARTITION BY report_id) AS head FROM deadlock_trx),
+t AS (SELECT *, CASE shape WHEN 0 THEN waits_for WHEN 1 THEN 'transaction ' || next_id WHEN 2 THEN 'tuple (1,' || pid || ') of relation 77' WHEN 3 THEN 'relation 77' ELSE 'advisory lock a' || CASE WHEN next_id % 2 = head THEN 1 ELSE 2 END END AS target FROM w)
+SELECT report_id, pid, mode, target, unnest(bs) AS blocker, 'UPDATE x' || chr(10) || 'SET y = ' || pid AS statement, CASE shape WHEN 0 THEN 'part' WHEN 1 THEN 'transactionid' WHEN 2 THEN 'tuple' WHEN 3 THEN 'relation' ELSE 'advisory' END AS lock_type,
+  CASE WHEN shape = 1 THEN 'X' WHEN shape = 3 THEN CASE lock_mode WHEN 'S' THEN 'IX' ELSE 'X' END WHEN shape = 2 AND lock_mode = 'S' THEN NULL WHEN lock_mode = 'S' THEN 'S' ELSE 'X' END AS common_mode,
+  CASE shape WHEN 1 THEN 'row' WHEN 2 THEN 'row' WHEN 3 THEN 'table' ELSE 'other' END AS scope, CASE WHEN shape <> 1 THEN target END AS row_target FROM t""")
 def g20(spark, sf_dir):
     t = view(spark, sf_dir, "deadlock_trx").withColumn("blocker", F.explode("blocked_by"))
-    pid = F.col("process_id").cast("string")
-    mode = F.when(F.col("lock_mode") == "S", "ShareLock").otherwise("ExclusiveLock")
-    line = F.concat(F.lit("Process "), pid, F.lit(" waits for "), mode, F.lit(" on "), F.col("waits_for"), F.lit("; blocked by process "), F.col("blocker").cast("string"), F.lit("."))
-    said = F.concat(F.lit("Process "), pid, F.lit(": UPDATE x SET y = "), pid)
+    pid, shape, shared = F.col("process_id").cast("string"), F.col("report_id") % 5, F.col("lock_mode") == "S"
+    mode = F.when(shape == 3, F.when(shared, "RowExclusiveLock").otherwise("AccessExclusiveLock")).when(shared, "ShareLock").otherwise("ExclusiveLock")
+    target = (
+        F.when(shape == 0, F.col("waits_for")).when(shape == 1, F.concat(F.lit("transaction "), F.col("next_id").cast("string"))).when(shape == 2, F.concat(F.lit("tuple (1,"), pid, F.lit(") of relation 77 of database 5")))
+        .when(shape == 3, "relation 77 of database 5").otherwise(F.concat(F.lit("advisory lock [1,"), (F.col("next_id") % 2).cast("string"), F.lit(",3]")))
+    )
+    line = F.concat(F.lit("Process "), pid, F.lit(" waits for "), mode, F.lit(" on "), target, F.lit("; blocked by process "), F.col("blocker").cast("string"), F.lit("."))
+    said = F.concat(F.lit("Process "), pid, F.lit(": UPDATE x\nSET y = "), pid)
     text = lambda c: F.array_join(F.sort_array(F.collect_set(c)), "\n")
     log = t.groupBy("report_id").agg(F.concat_ws("\n", text(line), text(said)).alias("detail"))
     return G.parse_pg_deadlock(log)

@@ -231,15 +231,16 @@ def n23(spark, sf_dir):
 
 
 define("error_row", ["ev"], """SELECT event_id, CASE k % 4 WHEN 0 THEN '28P01' WHEN 1 THEN '53300' WHEN 2 THEN 'XX000' END AS state,
-  CASE k % 5 WHEN 0 THEN 'FATAL: timeout expired' WHEN 1 THEN 'Connection refused; timed out' ELSE 'other' END AS message FROM ev""")
+  CASE k % 5 WHEN 0 THEN 'FATAL: timeout expired' WHEN 1 THEN 'Connection refused; timed out' ELSE 'other' END AS message,
+  CASE k % 3 WHEN 0 THEN 'connect' WHEN 1 THEN 'collect' END AS scope, CASE k % 7 WHEN 0 THEN 'locks' WHEN 1 THEN 'statements' END AS section FROM ev""")
 
 
-@query("n24_classify_error", ctes("error_row") + """ SELECT event_id, CASE state WHEN '28P01' THEN 'AUTH_FAILED' WHEN '53300' THEN 'TOO_MANY_CONNECTIONS' ELSE CASE message WHEN 'FATAL: timeout expired' THEN 'CONNECT_TIMEOUT'
-  WHEN 'Connection refused; timed out' THEN 'CONNECT_TIMEOUT' ELSE 'UNKNOWN' END END AS code FROM error_row""")
+@query("n24_classify_error", ctes("error_row") + """ SELECT event_id, CASE WHEN state = '28P01' THEN 'AUTH_FAILED' WHEN state = '53300' AND section = 'locks' THEN 'LOCKS_BUSY' WHEN state = '53300' AND scope = 'connect' THEN 'TOO_MANY_CONNECTIONS'
+  WHEN message = 'FATAL: timeout expired' THEN CASE WHEN scope = 'collect' THEN 'QUERY_TIMEOUT' ELSE 'CONNECT_TIMEOUT' END WHEN message = 'Connection refused; timed out' THEN CASE WHEN section = 'statements' THEN 'HOST_UNREACHABLE' ELSE 'CONNECT_TIMEOUT' END ELSE 'UNKNOWN' END AS code FROM error_row""")
 def n24(spark, sf_dir):
-    states = spark.createDataFrame([("28P01", "AUTH_FAILED"), ("3D000", "DATABASE_NOT_FOUND"), ("53300", "TOO_MANY_CONNECTIONS")], "state string, state_code string")
-    phrases = spark.createDataFrame([(1, "timeout expired", "CONNECT_TIMEOUT"), (2, "timed out", "CONNECT_TIMEOUT"), (3, "connection refused", "HOST_UNREACHABLE")], "nth int, phrase string, phrase_code string")
-    return T.classify_error(view(spark, sf_dir, "error_row"), states, phrases).select("event_id", "code")
+    states = spark.createDataFrame([("28P01", "AUTH_FAILED", None, None), ("3D000", "DATABASE_NOT_FOUND", None, None), ("53300", "TOO_MANY_CONNECTIONS", "connect", None), ("53300", "LOCKS_BUSY", None, "locks")], "state string, state_code string, scope string, section string")
+    phrases = [(1, "timeout expired", "CONNECT_TIMEOUT", None, None), (2, "timed out", "CONNECT_TIMEOUT", None, None), (3, "connection refused", "HOST_UNREACHABLE", None, "statements"), (4, "timeout expired", "QUERY_TIMEOUT", "collect", None)]
+    return T.classify_error(view(spark, sf_dir, "error_row"), states, spark.createDataFrame(phrases, "nth int, phrase string, phrase_code string, scope string, section string")).select("event_id", "code")
 
 
 @query("n25_enrich_issue", ctes("issue_seen") + """ SELECT event_id, code, CASE code WHEN 'issue0' THEN 'run' WHEN 'issue1' THEN 'db' END AS scope, CASE code WHEN 'issue0' THEN 'cannot read' WHEN 'issue1' THEN 'cut off' ELSE 'unknown issue' END || ' in ' || section AS message FROM issue_seen""")
