@@ -97,28 +97,72 @@ def misestimate(windows: DataFrame, estimates: DataFrame, q_error: float = 10, r
     return judged.select(*SNAP, "query_id", "estimated", "actual", "q_error", F.round("time_ms", 3).alias("impact_ms"), F.when(F.col("estimated") > F.col("actual"), "over").otherwise("under").alias("direction"), F.when(F.col("q_error") >= high, "high").otherwise("medium").alias("severity"))
 
 
-# What each rule says of a finding, with its query and its detail.
-SENTENCES = {
-    "AP-01": "Query %s has become slower than its own history; severity %s.", "AP-02": "Query %s reads all of %s for few rows.", "AP-03": "Query %s wraps column %s, so its index cannot serve.",
-    "AP-04": "Query %s scans the table for want of an index: %s.", "AP-05": "No query (%s) uses index %s.", "AP-06": "Query %s is called once for each row of its parent along %s.",
-    "AP-07": "Query %s wrote %s to disk.", "AP-08": "The row estimate of query %s is far %s.", "CT-01": "Sessions (%s) lock rows in opposite order: report %s.", "CT-02": "Sessions (%s) turn shared locks into exclusive ones: report %s.",
-    "CT-03": "Sessions (%s) insert into gaps that others hold: report %s.", "CT-04": "A statement (%s) locks far more rows than it changes: report %s.", "CT-05": "A long transaction (%s) holds up other sessions: process %s.",
+# What each rule says of a finding with its query and its detail, what to do and what that risks, by variant; "" is for all others.
+TEXTS = {
+    "AP-01": {"": ("Query %s has become slower than its own history; severity %s.", "Compare its plan with an earlier one and refresh the statistics of its tables.", "New statistics may change other plans too.")},
+    "AP-02": {"": ("Query %s reads all of %s for few rows.", "Let it filter by the first column of an index, or add one.", "An index slows every write to the table.")},
+    "AP-03": {
+        "": ("Query %s wraps column %s, so its index cannot serve.", "Compare the bare column.", "The rewritten condition must keep the same rows, nulls too."),
+        "function": ("Query %s calls a function on column %s, so its index cannot serve.", "Move the function to the other side, or index the expression.", "An index on an expression slows every write and serves that expression only."),
+        "arithmetic": ("Query %s calculates with column %s, so its index cannot serve.", "Move the calculation to the other side.", "Rounding may differ on the other side."),
+        "cast": ("Query %s converts column %s, so its index cannot serve.", "Give the value the column's type.", "A value that is not of that type then fails."),
+    },
+    "AP-04": {
+        "": ("Query %s scans the table for want of an index: %s.", "Create the index at a quiet time.", "Building it may hold up writes; each write costs more from then on."),
+        "per_branch": ("Query %s has branches that need an index each: %s.", "Create all of them, since one alone does not help.", "Each of them costs space and slows writes."),
+    },
+    "AP-05": {
+        "low": ("No query uses an index, least of all %s: %s.", "Make sure of rare jobs, then drop it.", "A job that has not run in the time observed would read the whole table."),
+        "high": ("Query %s filters by the first column of %s and does not use it.", "Find out why: analyse the table or define the index anew.", "New statistics may change other plans too."),
+    },
+    "AP-06": {
+        "one_to_many": ("Query %s is called once for each row of its parent along %s.", "Fetch the rows of all parents with one join or one list.", "One large result takes more memory than many small ones."),
+        "many_to_one": ("Query %s fetches by its key, once for each row, what %s refers to.", "Join the referenced table in the first query, or keep what was read.", "What is kept may become stale."),
+    },
+    "AP-07": {
+        "": ("Query %s wrote %s to disk.", "Raise the memory of its sorts and tables, or sort less.", "More memory a query is more memory for all that run at once."),
+        "sort": ("Query %s merged runs of a %s on disk.", "Read in the order of an index, or raise the memory of sorts.", "More memory a sort is more memory for all that run at once."),
+    },
+    "AP-08": {
+        "over": ("The row estimate of query %s is far %s what it returns.", "Analyse its tables; then raise the detail of their statistics.", "Plans made for many rows may change for the worse elsewhere."),
+        "under": ("The row estimate of query %s is far %s what it returns.", "Analyse its tables; then tell the optimizer which columns go together.", "Extended statistics make analysing slower."),
+    },
+    "CT-01": {"": ("Sessions (%s) lock rows in opposite order: report %s.", "Let all transactions take their locks in one order.", "None for the data; code that relies on the old order must change with it.")},
+    "CT-02": {"": ("Sessions (%s) turn shared locks into exclusive ones: report %s.", "Ask for the exclusive lock at once.", "Readers of those rows wait longer.")},
+    "CT-03": {"": ("Sessions (%s) insert into gaps that others hold: report %s.", "Shorten the transactions, or lock without gaps where that is allowed.", "Without gap locks a range may have new rows when it is read again.")},
+    "CT-04": {"": ("A statement (%s) locks far more rows than it changes: report %s.", "Add an index for its condition.", "An index slows every write to the table.")},
+    "CT-05": {"": ("A long transaction (%s) holds up other sessions: process %s.", "End it, or cut it into shorter ones.", "What it has done so far is undone if it is ended.")},
 }
 
 
+def text_rows() -> list[tuple[str, str, str, str, str]]:
+    """``TEXTS`` as rows (rule, variant, explanation, recommendation, risk)."""
+    return [(rule, variant, *said) for rule, variants in TEXTS.items() for variant, said in variants.items()]
+
+
 def render_texts(findings: DataFrame) -> DataFrame:
-    """A sentence per finding, by rule (D09); a finding without a query says "-" for it."""
-    texts = [F.when(F.col("rule") == rule, F.format_string(said, F.coalesce("query_id", F.lit("-")), "detail")) for rule, said in SENTENCES.items()]
-    return findings.withColumn("text", F.coalesce(*texts))
+    """Explanation, recommendation and risk of each finding, by rule and variant.
+
+    ``findings(rule, variant, query_id, detail)``; a variant without texts of its own takes the
+    rule's general ones, a finding without a query says "-" for it.
+    """
+    cases = [(F.col("rule") == rule) & (F.coalesce("variant", F.lit("")) == variant if variant else F.lit(True)) for rule, variant, *_ in _by_variant()]
+    pick = lambda made: F.coalesce(*[F.when(c, made(row)) for c, row in zip(cases, _by_variant())])
+    said = pick(lambda r: F.format_string(r[2], F.coalesce("query_id", F.lit("-")), "detail"))
+    return findings.withColumn("text", said).withColumn("recommendation", pick(lambda r: F.lit(r[3]))).withColumn("risk", pick(lambda r: F.lit(r[4])))
+
+
+def _by_variant() -> list[tuple[str, str, str, str, str]]:
+    return sorted(text_rows(), key=lambda r: r[1] == "")  # the general ones last
 
 
 def detect_all(found: dict[str, DataFrame], rule: str | None = None) -> DataFrame:
-    """One table of all rules' findings, or of one rule's (D10). Each frame has db_id, detail, and captured_at and query_id where the rule knows them."""
+    """One table of all rules' findings, or of one rule's (D10). Each frame has db_id, detail, and captured_at, query_id and variant where the rule knows them."""
     out = None
     for name, df in found.items():
         if rule in (None, name):
             own = lambda c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)  # noqa: E731, B023
-            part = df.select("db_id", own("captured_at", "timestamp_ntz"), own("query_id", "string"), F.col("detail").cast("string").alias("detail"), F.lit(name).alias("rule"))
+            part = df.select("db_id", own("captured_at", "timestamp_ntz"), own("query_id", "string"), F.col("detail").cast("string").alias("detail"), own("variant", "string"), F.lit(name).alias("rule"))
             out = part if out is None else out.unionByName(part)
     return out
 

@@ -64,7 +64,7 @@ def and_conditions(a: Column, b: Column) -> Column:
 
 
 def flatten_pg_plan(plans: DataFrame, key: str, column: str) -> DataFrame:
-    """Operations of PostgreSQL plans (P01): scans, joins, aggregates, sorts in written order."""
+    """Operations of PostgreSQL plans (P01): scans, joins, aggregates, sorts in written order; a scan's alias as the plan names it."""
     nodes = walk(plans, key, column, "Plans")
     node_type, index_cond = field("Node Type"), F.coalesce(field("Index Cond"), field("Recheck Cond"))
     kind = (
@@ -72,7 +72,7 @@ def flatten_pg_plan(plans: DataFrame, key: str, column: str) -> DataFrame:
         .when(node_type == "Sort", "sort").when(node_type == "Unique", "distinct").when(node_type == "Subquery Scan", "subquery")
     )
     return nodes.select(
-        key, "path", node_type.alias("node_type"), kind.alias("type"), field("Relation Name").alias("table_name"), field("Index Name").alias("index_name"),
+        key, "path", node_type.alias("node_type"), kind.alias("type"), field("Relation Name").alias("table_name"), field("Alias").alias("alias"), field("Index Name").alias("index_name"),
         and_conditions(index_cond, field("Filter")).alias("predicate"), field("Plan Rows", "double").alias("estimated_rows"), access_method(node_type, index_cond).alias("access_method"),
     ).filter("type is not null")
 

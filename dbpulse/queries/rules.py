@@ -20,12 +20,12 @@ from .texts import FACTS
 # Plan texts in both vendors' layouts, one per order
 define("pg_plan", [], """
 SELECT o_orderkey AS id, CASE o_orderkey % 3
-  WHEN 0 THEN concat('{"Node Type":"Aggregate","Plan Rows":1,"Plans":[{"Node Type":"Hash Join","Plan Rows":', cast(o_custkey AS string), ',"Plans":[{"Node Type":"Seq Scan","Relation Name":"orders","Plan Rows":', cast(o_orderkey AS string), ',"Filter":"(o_total > 1)"},{"Node Type":"Hash","Plans":[{"Node Type":"Index Scan","Relation Name":"customer","Index Name":"customer_pk","Plan Rows":1}]}]}]}')
+  WHEN 0 THEN concat('{"Node Type":"Aggregate","Plan Rows":1,"Plans":[{"Node Type":"Hash Join","Plan Rows":', cast(o_custkey AS string), ',"Plans":[{"Node Type":"Seq Scan","Relation Name":"orders","Alias":"o","Plan Rows":', cast(o_orderkey AS string), ',"Filter":"(o_total > 1)"},{"Node Type":"Hash","Plans":[{"Node Type":"Index Scan","Relation Name":"customer","Index Name":"customer_pk","Plan Rows":1}]}]}]}')
   WHEN 1 THEN concat('{"Node Type":"Bitmap Heap Scan","Relation Name":"lineitem","Plan Rows":', cast(o_custkey AS string), ',"Recheck Cond":"(l_partkey = 1)","Filter":"(l_tax > 0)","Plans":[{"Node Type":"Bitmap Index Scan","Index Name":"lineitem_part","Plan Rows":7,"Index Cond":"(l_partkey = 1)"}]}')
   ELSE concat('{"Node Type":"Sort","Plan Rows":', cast(o_custkey AS string), ',"Plans":[{"Node Type":"Index Scan","Relation Name":"part","Index Name":"part_pk","Plan Rows":2,"Index Cond":"(p_partkey = 5)"}]}') END AS plan FROM @orders""")
 PG = """nd(k, path, node) AS (SELECT id, '0', plan FROM pg_plan UNION ALL SELECT k, path || '.' || length(CAST(c.i - 1 AS VARCHAR)) || ':' || (c.i - 1), CAST(json_extract(node, '$.Plans[' || (c.i - 1) || ']') AS VARCHAR)
   FROM nd, LATERAL (SELECT unnest(range(1, cast(coalesce(json_array_length(node, '$.Plans'), 0) AS BIGINT) + 1)) AS i) c),
-op AS (SELECT k AS id, path, json_extract_string(node, '$."Node Type"') AS node_type, json_extract_string(node, '$."Relation Name"') AS table_name, json_extract_string(node, '$."Index Name"') AS index_name,
+op AS (SELECT k AS id, path, json_extract_string(node, '$."Node Type"') AS node_type, json_extract_string(node, '$."Relation Name"') AS table_name, json_extract_string(node, '$.Alias') AS alias, json_extract_string(node, '$."Index Name"') AS index_name,
   CAST(json_extract_string(node, '$."Plan Rows"') AS DOUBLE) AS estimated_rows, coalesce(json_extract_string(node, '$."Index Cond"'), json_extract_string(node, '$."Recheck Cond"')) AS c, json_extract_string(node, '$.Filter') AS f FROM nd),
 ty AS (SELECT *, CASE WHEN node_type LIKE '%Scan' THEN 'scan' WHEN node_type = 'Hash Join' THEN 'join' WHEN node_type = 'Aggregate' THEN 'aggregate' WHEN node_type = 'Sort' THEN 'sort' END AS type FROM op)"""
 PGW = ctes("pg_plan").replace("WITH ", "WITH RECURSIVE ", 1) + f", {PG}"
@@ -35,7 +35,7 @@ def pg_ops(spark, sf_dir):
     return P.flatten_pg_plan(view(spark, sf_dir, "pg_plan"), "id", "plan")
 
 
-@query("p01_flatten_pg_plan", PGW + """ SELECT id, path, node_type, type, table_name, index_name, estimated_rows, CASE WHEN c IS NOT NULL AND f IS NOT NULL THEN '(' || c || ') AND (' || f || ')' ELSE coalesce(c, f) END AS predicate FROM ty WHERE type IS NOT NULL""")
+@query("p01_flatten_pg_plan", PGW + """ SELECT id, path, node_type, type, table_name, alias, index_name, estimated_rows, CASE WHEN c IS NOT NULL AND f IS NOT NULL THEN '(' || c || ') AND (' || f || ')' ELSE coalesce(c, f) END AS predicate FROM ty WHERE type IS NOT NULL""")
 def p01(spark, sf_dir):
     return pg_ops(spark, sf_dir).drop("access_method")
 
@@ -317,31 +317,32 @@ def d08(spark, sf_dir):
     return D.misestimate(rows(spark, sf_dir), view(spark, sf_dir, "estimate"), q_error=10, rows=50, high=25)
 
 
-# rule: query whose findings it has, its query and detail columns, and which of its rows
+# rule: query whose findings it has, its query, detail and variant columns, and which of its rows
 FOUND = {
-    "AP-01": ("d01_baseline_degradation", "query_id", "severity", "true"), "AP-02": ("d02_avoidable_full_scan", "query_id", "table_name", "true"), "AP-03": ("d03_non_sargable", "query_id", "column_name", "true"),
-    "AP-04": ("d04_missing_index", "query_id", "suggested_index", "true"), "AP-05": ("d05d_unused_indexes", None, "index_name", "true"), "AP-06": ("d06_n_plus_one", "child_id", "constraint_name", "true"),
-    "AP-07": ("d07_disk_spill", "query_id", "kind", "true"), "AP-08": ("d08_misestimate", "query_id", "direction", "true"), **{f"CT-0{i}": ("g18_deadlock_events", None, "report_id", f"rule = 'CT-0{i}'") for i in range(1, 5)},
-    "CT-05": ("g04_long_tx_cascade", None, "pid", "true"),
+    "AP-01": ("d01_baseline_degradation", "query_id", "severity", None, "true"), "AP-02": ("d02_avoidable_full_scan", "query_id", "table_name", None, "true"), "AP-03": ("d03_non_sargable", "query_id", "column_name", "subtype", "true"),
+    "AP-04": ("d04_missing_index", "query_id", "suggested_index", "CASE WHEN per_branch THEN 'per_branch' END", "true"), "AP-05": ("d05d_unused_indexes", "query_id", "index_name", "severity", "true"), "AP-06": ("d06_n_plus_one", "child_id", "constraint_name", "direction", "true"),
+    "AP-07": ("d07_disk_spill", "query_id", "kind", "kind", "true"), "AP-08": ("d08_misestimate", "query_id", "direction", "direction", "true"), **{f"CT-0{i}": ("g18_deadlock_events", None, "report_id", None, f"rule = 'CT-0{i}'") for i in range(1, 5)},
+    "CT-05": ("g04_long_tx_cascade", None, "pid", None, "true"),
 }
 TIMED = ["AP-01", "AP-02", "AP-06", "AP-07", "AP-08"]
 
 
 def everything(spark, sf_dir):
     frames = {}
-    for rule, (name, query_id, detail, which) in FOUND.items():
-        df = QUERIES[name](spark, sf_dir).filter(which).withColumn("detail", F.col(detail))
+    for rule, (name, query_id, detail, variant, which) in FOUND.items():
+        df = QUERIES[name](spark, sf_dir).filter(which).withColumn("detail", F.col(detail)).withColumn("variant", F.expr(variant or "cast(NULL AS string)"))
         frames[rule] = df.withColumn("query_id", F.col(query_id)) if query_id else df.drop("query_id")
     return D.detect_all(frames)
 
 
 ALL = "WITH al AS (" + " UNION ALL ".join(
-    f"SELECT db_id, {'captured_at' if rule in TIMED else 'CAST(NULL AS TIMESTAMP)'} AS captured_at, {q or 'NULL'} AS query_id, CAST({detail} AS VARCHAR) AS detail, '{rule}' AS rule FROM ({ORACLE_SQL[name]}) WHERE {which}"
-    for rule, (name, q, detail, which) in FOUND.items()) + ")"
-SAID = "CASE rule " + " ".join(f"WHEN '{r}' THEN printf('{t}', coalesce(query_id, '-'), detail)" for r, t in D.SENTENCES.items()) + " END"
+    f"SELECT db_id, {'captured_at' if rule in TIMED else 'CAST(NULL AS TIMESTAMP)'} AS captured_at, {q or 'NULL'} AS query_id, CAST({detail} AS VARCHAR) AS detail, CAST({variant or 'NULL'} AS VARCHAR) AS variant, '{rule}' AS rule FROM ({ORACLE_SQL[name]}) WHERE {which}"
+    for rule, (name, q, detail, variant, which) in FOUND.items()) + ")"
+TOLD = "tx(rule, v, said, recommendation, risk) AS (VALUES " + ", ".join("(" + ", ".join("'" + c.replace("'", "''") + "'" for c in row) + ")" for row in D.text_rows()) + ")"
 
 
-@query("d09_render_texts", ALL + f" SELECT *, {SAID} AS text FROM al")
+@query("d09_render_texts", ALL + f""", {TOLD} SELECT al.*, printf(coalesce(o.said, g.said), coalesce(query_id, '-'), detail) AS text, coalesce(o.recommendation, g.recommendation) AS recommendation, coalesce(o.risk, g.risk) AS risk
+FROM al LEFT JOIN tx o ON o.rule = al.rule AND o.v = al.variant AND o.v <> '' LEFT JOIN tx g ON g.rule = al.rule AND g.v = ''""")
 def d09(spark, sf_dir):
     return D.render_texts(everything(spark, sf_dir))
 
