@@ -53,21 +53,29 @@ def validity(entries: DataFrame) -> DataFrame:
     return spans.filter("action != 'remove'")
 
 
-def _keys(host: Column, path: Column) -> Column:
-    """Structs (kind, pattern, rank): everything a list could hold about this address."""
+def _depth(pattern: Column) -> Column:
+    """How many slashes a prefix has."""
+    return F.length(pattern) - F.length(F.replace(pattern, F.lit("/"), F.lit("")))
+
+
+def _keys(host: Column, path: Column, depths: list[int]) -> Column:
+    """Structs (kind, pattern, rank): everything a list with prefixes of these depths could hold about this address."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domains = F.transform(
         F.sequence(F.lit(0), n - 1),
         lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i + 1, n), ".").alias("pattern"), (F.lit(100) - i).alias("rank")),
     )
-    parts = F.split(F.lower(path), "/")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda i: F.struct(
-            F.lit("prefix").alias("kind"), F.concat(host, F.array_join(F.slice(parts, 1, i), "/"), F.when(i < F.size(parts), "/").otherwise("")).alias("pattern"), (i + 1000).alias("rank")
-        ),
-    )
+    # of a long path only the prefixes that the list may have are made; the path is split once, as a lambda's variable
+    deep = F.array(*[F.lit(d) for d in depths]).cast("array<int>")
+
+    def of_parts(parts: Column) -> Column:
+        whole = F.when(F.array_contains(deep, F.size(parts) - 1), F.array(F.size(parts))).otherwise(F.array().cast("array<int>"))
+        wanted = F.concat(F.filter(deep, lambda d: (d > 0) & (d < F.size(parts))), whole)
+        made = lambda i: F.concat(host, F.array_join(F.slice(parts, 1, i), "/"), F.when(i < F.size(parts), "/").otherwise(""))
+        return F.transform(wanted, lambda i: F.struct(F.lit("prefix").alias("kind"), made(i).alias("pattern"), (i + 1000).alias("rank")))
+
+    prefixes = F.flatten(F.transform(F.array(F.split(F.lower(path), "/")), of_parts))
     own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("pattern"), F.lit(500).alias("rank")))
     return F.concat(domains, prefixes, own)
 
@@ -91,7 +99,8 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     or one without host, and a null fetch time, give keep. Repeated captures come back as
     often. Extra columns, whatever their names, are ignored; an empty table gives an empty table.
 
-    Each address and time is looked up once however often it was captured. The intervals
+    Each address and time is looked up once however often it was captured, by its host, its
+    domains and those prefixes of its path that are as deep as one of the list. The intervals
     are sent to every executor only if they are at most ``BROADCAST_ROWS``; else both sides
     are shuffled, with salted keys for the patterns that many addresses ask for.
     """
@@ -99,7 +108,9 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     small = spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = captures.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("fetched_at"))
     asked = rows.filter("host is not null and fetched_at is not null").select("host", "path", "fetched_at").distinct()
-    keyed = asked.select("host", "path", "fetched_at", F.inline(_keys(F.col("host"), F.col("path"))))
+    # numbers of slashes, as many as the deepest prefix has at most
+    depths = sorted(r.d for r in spans.filter("kind = 'prefix'").select(_depth(F.col("pattern")).alias("d")).distinct().collect())
+    keyed = asked.select("host", "path", "fetched_at", F.inline(_keys(F.col("host"), F.col("path"), depths)))
     met = keyed.join(F.broadcast(spans), ["kind", "pattern"]) if small else _lookup(keyed, spans)
     held = met.filter("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
     strength = F.struct(F.col("rank"), (F.col("action") == "allow").cast("int"))

@@ -202,6 +202,14 @@ def test_large_lists_are_shuffled_with_salted_patterns(spark, monkeypatch):
         same(queries.op2_url_filter(spark, SF), queries.ORACLE_SQL["op2_url_filter"])
 
 
+def test_very_long_paths_make_only_prefixes_of_the_list_s_depths(spark):
+    """200,000 segments: all prefixes together would be far beyond memory."""
+    entries = spark.createDataFrame([("prefix", "a.org/x/", "block"), ("prefix", "a.org/x/x/x/end", "allow"), ("prefix", "b.org/x/x", "block")], "kind string, pattern string, action string").withColumn("changed_at", F.to_date(F.lit("2024-01-01")))
+    urls = [(1, "http://a.org/" + "x/" * 200_000), (2, "http://a.org/x/x/x/end"), (3, "http://b.org/x/x"), (4, "http://b.org/x/x/"), (5, "http://a.org/x"), (6, "http://a.org"), (7, "http://a.org/y/x/")]
+    captures = spark.createDataFrame(urls, "page_id long, url string").withColumn("fetched_at", F.to_date(F.lit("2024-02-01")))
+    assert {r.page_id: r.verdict for r in url_filter.judge(captures, entries).collect()} == {1: "block", 2: "allow", 3: "block", 4: "keep", 5: "keep", 6: "keep", 7: "keep"}
+
+
 def test_url_filter_clashing_columns(spark):
     own = ["host", "path", "kind", "pattern", "rank", "verdict", "valid_from", "b", "hot", "salt"]
     captures, entries = queries.captures_of(spark.read.parquet(f"{SF}/pages.parquet")), queries.list_of(spark.read.parquet(f"{SF}/pages.parquet"))
