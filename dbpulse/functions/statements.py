@@ -145,6 +145,12 @@ def equality_columns(df: DataFrame, key: str, column: str, engine: str = "postgr
     has one table.
     """
     found = tokens(df, column, engine)
+    names = _equalities(found, engine)
+    return _back(df, key, column, _owned(names, _tables(found.filter("sdepth = 0")), None)).distinct()
+
+
+def _equalities(found: DataFrame, engine: str) -> DataFrame:
+    """The tokens that are columns of an AND-ed equality of the main WHERE, with the ``value`` they are compared with."""
     group = Window.partitionBy(*TEXT, "depth", "grp", "sdepth", "clause")
     whole = Window.partitionBy(*TEXT, "depth", "grp")
     opens, closes = F.col("tok") == "(", F.col("tok") == ")"
@@ -159,11 +165,43 @@ def equality_columns(df: DataFrame, key: str, column: str, engine: str = "postgr
     value = lambda c: F.coalesce(F.col(c).rlike(r"^(?:\$\d+$|\?$|\.?\d|\w*&?'|\$" + ('|")' if engine == "mysql" else ")")), F.lit(False))
     forward = starts("p1") & (F.col("n1") == "=") & value("n2") & F.when(F.coalesce(cast, F.lit(False)), ends("n5")).otherwise(ends("n3"))
     before = Window.partitionBy(*TEXT).orderBy("pos")
-    marked = marked.withColumn("p3", F.lag("up", 3).over(before))
+    marked = marked.withColumn("p3", F.lag("up", 3).over(before)).withColumn("s2", F.lag("tok", 2).over(before))
     backward = (F.col("p1") == "=") & value("p2") & F.coalesce(starts("p3"), F.lit(False)) & ends("n1")
     top = F.col("is_name") & (F.col("sdepth") == 0) & (F.col("clause") == "WHERE") & (F.col("bars") == 0) & ~((F.col("loose") == 1) & F.col("is_base"))
-    names = marked.filter(top & (F.coalesce(forward, F.lit(False)) | F.coalesce(backward, F.lit(False))))
-    return _back(df, key, column, _owned(names, _tables(found.filter("sdepth = 0")), None)).distinct()
+    forward = F.coalesce(forward, F.lit(False))
+    named = marked.filter(top & (forward | F.coalesce(backward, F.lit(False))))
+    return named.withColumn("value", F.when(forward, F.col("t2")).otherwise(F.col("s2")))
+
+
+def row_keys(df: DataFrame, report: str, member: str, column: str) -> DataFrame:
+    """``(report, member, schema_name, table_name, row_key)``: which row a statement locks, as far as its WHERE tells.
+
+    ``row_key`` maps columns to tokens: of an UPDATE, DELETE or locking SELECT of one table, the
+    columns that an AND-ed equality compares with a written string or number. No value leaves:
+    equal values of a column have one token in a report, '1' and 1 are equal. Of a column named twice
+    the last counts. Statements of several tables, those that begin with WITH and those without such an
+    equality (parameters tell nothing) have no row.
+    """
+    found = tokens(df, column)
+    flag = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    several = (F.col("sdepth") == 0) & F.col("up").isin("JOIN", "UNION", "EXCEPT", "INTERSECT") | ((F.col("tok") == "(") & F.col("sub") & F.col("p1").isin("FROM", "JOIN", "USING", "LATERAL", ","))
+    locks = F.col("is_base") & (F.col("sdepth") == 0) & (F.col("up") == "FOR") & F.col("n1").isin("UPDATE", "NO", "SHARE", "KEY")
+    first = F.min_by("up", F.when(F.col("tok") != "(", F.col("pos")))
+    kinds = found.groupBy(*TEXT).agg(first.alias("first"), flag(several).alias("several"), flag(locks).alias("locks"))
+    fit = kinds.filter("not several and (first in ('UPDATE', 'DELETE') or first = 'SELECT' and locks)").select(*TEXT)
+    one = _tables(found.filter("sdepth = 0")).groupBy(*TEXT).agg(F.count("*").alias("n"), F.min("table_name").alias("table_name"), F.min("alias").alias("alias")).filter("n = 1")
+    literal = F.when(F.col("value").rlike(r"^'"), F.regexp_replace(F.expr("substring(value, 2, length(value) - 2)"), "''", "'")).when(F.col("value").rlike(r"^[0-9.]"), F.col("value"))
+    name = clean_name(F.col("tok"))
+    owner = F.when(name.contains("."), F.element_at(F.split(name, r"\."), -2))
+    said = _equalities(found, "postgres").select(*TEXT, "pos", F.substring_index(name, ".", -1).alias("column_name"), owner.alias("owner"), literal.alias("literal"))
+    short = F.substring_index("table_name", ".", -1)
+    facts = said.join(fit, TEXT).join(one, TEXT).filter(F.col("literal").isNotNull() & (F.col("owner").isNull() | (F.col("owner") == F.col("alias")) | (F.col("owner") == short)))
+    rows = df.select(report, member, *_hash(column)).distinct().join(facts, TEXT)
+    seen = F.min(F.struct(member, "pos")).over(Window.partitionBy(report, "column_name", "literal"))
+    token = F.concat(F.lit("v"), F.dense_rank().over(Window.partitionBy(report).orderBy("seen")).cast("string"))
+    named = rows.withColumn("seen", seen).withColumn("token", token).groupBy(report, member, "table_name", "column_name").agg(F.max_by("token", "pos").alias("token"))
+    schema = F.when(F.col("table_name").contains("."), F.element_at(F.split("table_name", r"\."), -2))
+    return named.groupBy(report, member, "table_name").agg(F.map_from_entries(F.collect_list(F.struct("column_name", "token"))).alias("row_key")).select(report, member, schema.alias("schema_name"), short.alias("table_name"), "row_key")
 
 
 def shapes(df: DataFrame, key: str, column: str, engine: str = "postgres") -> DataFrame:

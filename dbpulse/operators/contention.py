@@ -357,17 +357,43 @@ def merge_headers(headers: DataFrame, reports: DataFrame, within_s: int = 2) ->
     return matched.unionByName(alone)
 
 
-def label_rows(waits: DataFrame) -> DataFrame:
-    """Equal keys of a report get one label "row n"; none if any key of the report is unknown."""
-    known = F.count_if(F.col("row_key").isNull()).over(Window.partitionBy("report_id")) == 0
-    n = F.dense_rank().over(Window.partitionBy("report_id").orderBy("row_key"))
-    return waits.withColumn("label", F.when(known, F.concat(F.lit("row "), n.cast("string"))))
+def label_rows(waits: DataFrame, unique_keys: DataFrame) -> DataFrame:
+    """``waits`` with ``label`` and ``targets_source``: equal rows of a report have one label "row n", by first wait.
+
+    ``waits(report_id, wait_id, db_id, table_id, row_key, ctid)``: the table if it could be told, the
+    tokens of ``row_keys``, and the row's place. ``unique_keys(db_id, table_id, index_id, is_primary,
+    columns)`` are the plain ones, whole tables only. A wait's row is known by the first unique
+    key that its tokens cover, the primary first. A report is labelled by keys if that holds
+    for all its waits and no table was reached by two keys (one row may have been named twice);
+    else by places if all its waits have one; else not at all, and never by a mixture. Waits without a
+    report have no label.
+    """
+    wait = ["report_id", "wait_id", "db_id", "table_id"]
+    asked = waits.filter("size(row_key) > 0").select(*wait, "row_key").join(unique_keys.filter("size(columns) > 0"), ["db_id", "table_id"])
+    covered = asked.filter(F.forall("columns", lambda c: F.map_contains_key("row_key", c)))
+    values = F.transform(F.array_sort("columns"), lambda c: F.try_element_at("row_key", c))
+    known = covered.groupBy(*wait).agg(F.min_by(F.struct("index_id", values.alias("values")), F.struct(~F.col("is_primary"), "index_id")).alias("known"))
+    report = Window.partitionBy("report_id")
+    tables, indexes = (F.size(F.collect_set(F.struct("db_id", "table_id", *more)).over(report)) for more in ([], ["known.index_id"]))
+    every = lambda c: F.bool_and(c).over(report)
+    by_key = every(F.col("known").isNotNull()) & (tables == indexes)
+    by_place = every(F.col("ctid").isNotNull() & F.col("table_id").isNotNull())
+    source = F.when(F.col("report_id").isNull(), None).when(by_key, "row_key").when(by_place, "ctid")
+    judged = waits.join(known, wait, "left").withColumn("targets_source", source)
+    row = F.when(F.col("targets_source") == "row_key", F.to_json(F.struct("db_id", "table_id", "known"))).when(F.col("targets_source") == "ctid", F.to_json(F.struct("db_id", "table_id", "ctid")))
+    numbered = judged.withColumn("row", row).withColumn("at", F.min("wait_id").over(Window.partitionBy("report_id", "row")))
+    n = F.dense_rank().over(Window.partitionBy("report_id").orderBy("at"))
+    return numbered.withColumn("label", F.when(F.col("row").isNotNull(), F.concat(F.lit("row "), n.cast("string")))).drop("known", "row", "at")
 
 
 def resolve_table(names: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The named schema, else the only candidate, else the first of the search path."""
+    """The named schema, else the only candidate, else the first of the search path; null if none of several is on it.
+
+    ``candidates(table_name, candidate, priority)``: the place on the search path, null if not on it.
+    """
     joined = names.join(candidates, "table_name", "left").filter("schema_name is null or schema_name = candidate")
-    return joined.groupBy("id").agg(F.min_by("candidate", "priority").alias("schema_name"))
+    only = F.when(F.min("candidate") == F.max("candidate"), F.min("candidate"))
+    return joined.groupBy("id").agg(F.coalesce(only, F.min_by("candidate", "priority")).alias("schema_name"))
 
 
 def capture_time(snapshots: DataFrame) -> DataFrame:

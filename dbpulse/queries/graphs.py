@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import statements as A
 from ..functions.text import index_facts
 from ..operators import contention as G
 from ..sources.fixtures import ctes, define, view
@@ -257,12 +258,31 @@ def g24(spark, sf_dir):
     return G.merge_headers(headers, ev.filter("event_type = 'signup'").select("db_id", F.col("s").alias("r_s"), F.col("event_id").alias("report_id")), 900)
 
 
-define("row_wait", ["ev"], "SELECT event_id, user_id AS report_id, CASE WHEN user_id % 6 = 0 AND k = 7 THEN cast(NULL AS string) ELSE concat('(', cast(k % 4 AS string), ')') END AS row_key FROM ev")
+# waits of eight kinds of report, whose statements name their rows by primary key, by two columns, by one key and another, by parameter or not at all
+define("row_wait", ["dl_line"], """SELECT report_id, rn, n, report_id % 8 AS shape, l_partkey % 3 AS x, report_id % 8 IN (3, 7) OR report_id % 8 = 6 AND rn <> 2 AS placed, CASE report_id % 8
+  WHEN 0 THEN concat('UPDATE orders SET o_clerk = ''5'' WHERE o_orderkey = ', CASE WHEN rn % 2 = 0 THEN concat('''', cast(l_partkey % 3 AS string), '''') ELSE cast(l_partkey % 3 AS string) END)
+  WHEN 1 THEN concat('DELETE FROM public.lineitem l WHERE (l.l_linenumber = 4 AND l.l_orderkey = ', cast(l_partkey % 3 AS string), ') AND l_tax > 5')
+  WHEN 4 THEN CASE WHEN rn % 2 = 1 THEN concat('SELECT * FROM orders WHERE ', cast(l_partkey % 3 AS string), ' = o_orderkey FOR UPDATE') ELSE 'UPDATE orders SET a = 1 WHERE o_clerk = ''x'' AND o_shippriority = 1' END
+  WHEN 5 THEN concat('UPDATE nowhere SET a = 1 WHERE o_orderkey = ', cast(l_partkey % 3 AS string))
+  WHEN 6 THEN 'UPDATE orders SET a = 1 WHERE o_orderkey = $1'
+  WHEN 7 THEN concat('UPDATE orders SET a = 1 WHERE o_orderkey = 1 OR o_orderkey = ', cast(l_partkey % 3 AS string))
+  ELSE CASE WHEN rn % 2 = 1 THEN concat('UPDATE orders SET a = 1 WHERE o_orderkey = ', cast(l_partkey % 3 AS string)) ELSE 'UPDATE orders SET a = 1 WHERE o_clerk = ''x''' END END AS q FROM dl_line""")
 
 
-@query("g25_label_rows", ctes("row_wait") + """ SELECT event_id, CASE WHEN count(*) FILTER (row_key IS NULL) OVER (PARTITION BY report_id) = 0 THEN 'row ' || dense_rank() OVER (PARTITION BY report_id ORDER BY row_key) END AS label FROM row_wait""")
+@query("g25_label_rows", ctes("row_wait") + """, w AS (SELECT *, CASE WHEN shape IN (0, 1) OR shape IN (2, 3, 4) AND rn % 2 = 1 THEN 'k' || x WHEN shape = 4 THEN 'clerk' END AS k, CASE WHEN placed THEN 'c' || x END AS c FROM row_wait),
+r AS (SELECT *, CASE WHEN bool_and(k IS NOT NULL AND (shape <> 4 OR n = 1)) OVER (PARTITION BY report_id) THEN 'row_key' WHEN bool_and(c IS NOT NULL) OVER (PARTITION BY report_id) THEN 'ctid' END AS targets_source FROM w),
+i AS (SELECT *, min(rn) OVER (PARTITION BY report_id, CASE targets_source WHEN 'row_key' THEN k ELSE c END) AS met FROM r)
+SELECT report_id, rn AS wait_id, targets_source, CASE WHEN targets_source IS NOT NULL THEN 'row ' || dense_rank() OVER (PARTITION BY report_id ORDER BY met) END AS label FROM i""")
 def g25(spark, sf_dir):
-    return G.label_rows(view(spark, sf_dir, "row_wait")).select("event_id", "label")
+    rows = view(spark, sf_dir, "row_wait")
+    keys = A.row_keys(rows, "report_id", "rn", "q").withColumnRenamed("table_name", "named")
+    known = F.when(F.col("named").isin("orders", "lineitem"), F.col("named"))
+    table = F.when(F.col("placed") | (F.col("shape") == 6), "orders").otherwise(known)
+    place = F.when(F.col("placed"), F.concat(F.lit("(0,"), F.col("x").cast("string"), F.lit(")")))
+    waits = rows.join(keys, ["report_id", "rn"], "left").select("report_id", F.col("rn").alias("wait_id"), F.lit("db0").alias("db_id"), table.alias("table_id"), "row_key", place.alias("ctid"))
+    unique = [("db0", "orders", 2, False, ["o_shippriority", "o_clerk"]), ("db0", "orders", 9, True, ["o_orderkey"]), ("db0", "lineitem", 4, True, ["l_orderkey", "l_linenumber"])]
+    keys_of = spark.createDataFrame(unique, "db_id string, table_id string, index_id int, is_primary boolean, columns array<string>")
+    return G.label_rows(waits, keys_of).select("report_id", "wait_id", "targets_source", "label")
 
 
 define("cand_schema", [], "SELECT DISTINCT concat('t', cast(p_size % 6 AS string)) AS table_name, concat('s', cast(p_size % 4 AS string)) AS candidate, 10 - p_size % 4 AS priority FROM @part")
