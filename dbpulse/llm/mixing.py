@@ -18,12 +18,12 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aside_names, set_aside
+from .common import aside_names, cut_lineage, set_aside, shuffle_partitions
 
 OTHER = "(other)"
 RANGE_ROWS = 20_000
 BROADCAST_ROWS = 100_000
-ADDED = ("mix_source", "block", "slot", "mix_rank", "__chars", "__order", "__range", "__run", "__rank", "__c", "__n", "__nth", "__cycle", "__slot")
+ADDED = ("mix_source", "block", "slot", "mix_rank", "__chars", "__order", "__range", "__part", "__tie", "__run", "__rank", "__c", "__n", "__nth", "__cycle", "__slot")
 
 
 def pattern(weights: dict[str, int]) -> list[str]:
@@ -52,7 +52,7 @@ def _own(source: Column, weights: dict[str, int]) -> Column:
     return F.when(source.isin([s for s in weights if s != OTHER]), source).otherwise(F.lit(OTHER))
 
 
-def schedule(docs: DataFrame, weights: dict[str, int], other_weight: int = 1, block_chars: int = 20_000) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, int], other_weight: int = 1, block_chars: int = 20_000, hot_rows: int = 4 * RANGE_ROWS) -> DataFrame:
     """Every row of ``docs``, all columns, with its place in the mixture.
 
     Added: ``mix_source`` (the row's source, or "(other)" for null and unlisted ones, which
@@ -65,8 +65,10 @@ def schedule(docs: DataFrame, weights: dict[str, int], other_weight: int = 1, bl
 
     Running totals are taken in ranges of each source and then over the ranges' totals, so
     a source of any size is spread over tasks: ranges are the first hex digits of the MD5,
-    as many digits as bring a range of the whole table to ``RANGE_ROWS`` rows. A column
-    named like an added one is called ``<name>_given`` in the result.
+    as many digits as bring a range of the whole table to ``RANGE_ROWS`` rows. A range of
+    more than ``hot_rows`` rows holds an id that repeats, or null ids; such ranges are written
+    once and cut further, by length and then by row, so that equal rows are no single task
+    either. A column named like an added one is called ``<name>_given`` in the result.
     """
     columns = [aside_names(docs.columns, ADDED)[c] for c in docs.columns]
     docs = set_aside(docs, *ADDED)
@@ -81,15 +83,27 @@ def schedule(docs: DataFrame, weights: dict[str, int], other_weight: int = 1, bl
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     placed = docs.withColumn("mix_source", _own(F.col("source"), weights)).withColumn("__chars", chars).withColumn("__order", order)
     placed = placed.withColumn("__range", F.conv(F.substring("__order", 1, digits), 16, 10).cast("long"))
-    totals = placed.groupBy("mix_source", "__range").agg(F.sum("__chars").alias("c"), F.count("*").alias("n"))
-    before = Window.partitionBy("mix_source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("mix_source", "__range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"))
-    inner = Window.partitionBy("mix_source", "__range").orderBy("__order", "doc_id", "__chars")
+    cell = ["mix_source", "__range"]
+    sums = [F.sum("__chars").alias("c"), F.count("*").alias("n")]
+    totals = cut_lineage(placed.groupBy(*cell).agg(*sums))
+    hot = totals.filter(F.col("n") > hot_rows).select(*cell)
+    n_hot = hot.count()
+    placed, totals = placed.withColumn("__part", F.lit(0)).withColumn("__tie", F.lit(0).cast("long")), totals.withColumn("__part", F.lit(0))
+    if n_hot:
+        few = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+        # written before rows are numbered, so that a lost task numbers them alike
+        again = cut_lineage(placed.join(few, cell, "left_semi")).withColumn("__tie", F.monotonically_increasing_id())
+        again = cut_lineage(again.repartitionByRange(shuffle_partitions(docs.sparkSession), *cell, "__order", "doc_id", "__chars", "__tie").withColumn("__part", F.spark_partition_id()))
+        placed = placed.join(few, cell, "left_anti").unionByName(again)
+        totals = totals.join(few, cell, "left_anti").unionByName(again.groupBy(*cell, "__part").agg(*sums).select(*totals.columns))
+    before = Window.partitionBy("mix_source").orderBy("__range", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*cell, "__part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"))
+    inner = Window.partitionBy(*cell, "__part").orderBy("__order", "doc_id", "__chars", "__tie")
     ranked = (
         placed.withColumn("__run", F.sum("__chars").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__chars"))
         .withColumn("__rank", F.row_number().over(inner))
         # a row for each weight given and range at most; else both sides are partitioned alike already
-        .join(F.broadcast(starts) if len(weights) * 16**digits <= BROADCAST_ROWS else starts, ["mix_source", "__range"])
+        .join(F.broadcast(starts) if not n_hot and len(weights) * 16**digits <= BROADCAST_ROWS else starts, [*cell, "__part"])
         .withColumn("mix_rank", (F.col("__n") + F.col("__rank")).cast("long"))
         .withColumn("block", F.floor((F.col("__c") + F.col("__run")) / block_chars))
     )

@@ -361,6 +361,39 @@ def test_schedule_keeps_every_row_and_the_shares(spark):
     assert {r["slot_given"] for r in got} == {1, 9}
 
 
+def placed_one_by_one(rows, weights, block_chars):
+    """(source, id, length) -> block and slot of each row, by running totals over the sorted rows of a source."""
+    period = mixing.pattern(weights)
+    run, rank, out = dict.fromkeys(weights, 0), dict.fromkeys(weights, 0), []
+    for order, null_first, source, i, n in sorted((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), i is not None, s, i, len(t or "")) for i, t, s in rows):
+        s = source if source in weights and source != mixing.OTHER else mixing.OTHER
+        block, rank[s] = run[s] // block_chars, rank[s] + 1
+        run[s] += n
+        slot = block // weights[s] * len(period) + [k for k, p in enumerate(period) if p == s][block % weights[s]]
+        out.append((s, rank[s], i, n, block, slot))
+    return sorted(out, key=str)
+
+
+def test_schedule_with_null_and_repeated_ids_and_long_texts(spark):
+    rows = [(None, None, "a")] * 90 + [(None, "x" * (k % 7), "a") for k in range(80)] + [(5, "y" * k, "b") for k in range(70)] + [(5, "same", "b")] * 60
+    rows += [(k, "z" * (k % 11), "ab"[k % 2]) for k in range(100)] + [(1000, "L" * 5_000, "a"), (1001, "L" * 300_000, "b"), (1002, "", "zz")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("__part", F.lit("mine"))
+    want = placed_one_by_one(rows, {"a": 3, "b": 1, mixing.OTHER: 2}, 100)
+    for hot_rows in (20, 10**9):
+        got = mixing.schedule(table, {"a": 3, "b": 1}, 2, block_chars=100, hot_rows=hot_rows)
+        assert sorted(((r.mix_source, r.mix_rank, r.doc_id, len(r.text or ""), r.block, r.slot) for r in got.collect()), key=str) == want
+        assert {r["__part_given"] for r in got.collect()} == {"mine"}
+    # rows of one id, and rows that are equal, are in several parts
+    sizes = {}
+    real = mixing.cut_lineage
+    try:
+        mixing.cut_lineage = lambda df: real(df) if "__part" not in df.columns or df.agg(F.max("__part")).first()[0] in (0, None) else sizes.setdefault("cut", real(df))
+        mixing.schedule(table, {"a": 3, "b": 1}, 2, block_chars=100, hot_rows=20).count()
+    finally:
+        mixing.cut_lineage = real
+    assert sizes["cut"].filter("doc_id is null and text is null").select("__part").distinct().count() > 1
+
+
 # ---- 6 suffixes ---------------------------------------------------------------------
 
 
