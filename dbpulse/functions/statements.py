@@ -4,8 +4,10 @@ A statement's tokens (names, strings, numbers, signs) become rows with their pos
 running sum of brackets gives depth, brackets that open with SELECT give scopes, and the last
 keyword at a scope's own depth gives the clause that a token stands in. Tables, columns,
 equalities and shape are then plain filters on those rows, whatever the line breaks, quotes
-and nesting. Equal texts are taken apart once. All windows are partitioned by statement, so
-one shuffle serves them all.
+and nesting. Statements that differ only in their literals and comments have the same facts:
+each row is cut into an array of tokens with its literals made alike, only distinct arrays
+become rows, and the facts come back to all statements of that shape. All windows are
+partitioned by shape, so one shuffle serves them all.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.rounds import written
 from .text import COMMENTS, NUMBER, STRINGS
 
 # Words of SQL that are no names, and those that begin a clause.
@@ -26,6 +29,8 @@ COMPARES = ["=", "<", ">", "<=", ">=", "<>", "!=", "LIKE", "ILIKE"]
 
 PART = r'(?:[A-Za-z_][\w$]*|"(?:[^"]|"")+"|`[^`]+`)'
 TEXT = ["h1", "h2"]
+#: facts of at most so many rows are broadcast to the statements; more meet them with salts, since one shape may hold most statements
+BROADCAST_FACTS, SALTS = 200_000, 32
 
 
 def _pattern(engine: str) -> str:
@@ -39,17 +44,38 @@ def clean_name(token: Column) -> Column:
     return F.when(bare.rlike('["`]'), F.regexp_replace(bare, '["`]', "")).otherwise(F.lower(bare))
 
 
-def tokens(df: DataFrame, column: str, engine: str = "postgres") -> DataFrame:
-    """``(h1, h2, pos, tok, up, ...)``: the tokens of each distinct text with depth, group, scope and clause.
+def _cut(df: DataFrame, keep: list[str], column: str, engine: str) -> DataFrame:
+    """``keep``, the tokens ``said`` of the text but for comments, the same as ``shape`` with literals alike, and its hashes."""
+    comment = lambda t: t.startswith("--") | t.startswith("/*") | (t.startswith("#") if engine == "mysql" else F.lit(False))
+    cut = df.select(*keep, F.filter(F.regexp_extract_all(column, F.lit(f"({_pattern(engine)})"), F.lit(1)), lambda t: ~comment(t)).alias("said"))
+    # after AS or a name a word or quoted text may be an alias: it stays as written
+    named = lambda p: F.coalesce(p.rlike('^[A-Za-z_"`]') & ~F.upper(p).isin(*WORDS), F.lit(False))
+    quoted = r"^\w+&?'" + ('|^"' if engine == "mysql" else "")
 
-    ``h1`` and ``h2`` are 128 bits of hash of the text. ``grp`` is the position of the innermost
-    open bracket, ``sdepth`` and ``scope`` count and name subqueries only, ``is_base`` tells
-    tokens outside of any bracket of their scope. Null texts have no tokens.
+    def alike(t: Column, i: Column) -> Column:
+        p = F.get("said", i - 1)
+        plain = F.when(t.startswith("$"), "$").when(t.startswith("'"), "''").when(t.rlike(r"^\.?\d"), "0").when(t.rlike(quoted) & ~named(p), "x''").otherwise(t)
+        return F.when(t.rlike(r"^[(),=*;<>]|^[A-Za-z_][\w.]*$"), t).when((i > 0) & (F.upper(p) == "AS"), t).otherwise(plain)
+
+    made = cut.withColumn("shape", F.transform("said", alike))
+    return made.withColumns({f"h{seed}": F.xxhash64(F.lit(seed), "shape") for seed in (1, 2)})
+
+
+def _repeated(df: DataFrame, column: str) -> bool:
+    """Whether the distinct texts are few enough to be broadcast: then each is cut once, else every row by itself."""
+    return df.agg(F.approx_count_distinct(F.xxhash64(column))).first()[0] <= BROADCAST_FACTS
+
+
+def tokens(df: DataFrame, column: str, engine: str = "postgres", repeated: bool = False) -> DataFrame:
+    """``(h1, h2, pos, tok, up, ...)``: the tokens of each distinct shape with depth, group, scope and clause.
+
+    ``h1`` and ``h2`` are 128 bits of hash of the shape, its tokens with literals made alike. ``grp`` is the
+    position of the innermost open bracket, ``sdepth`` and ``scope`` count and name subqueries only,
+    ``is_base`` tells tokens outside of any bracket of their scope. Null texts have no tokens.
     """
-    texts = df.filter(F.col(column).isNotNull()).select(*_hash(column), F.col(column).alias("text")).dropDuplicates(TEXT)
-    found = texts.select(*TEXT, F.posexplode(F.regexp_extract_all("text", F.lit(f"({_pattern(engine)})"), F.lit(1))).alias("pos", "tok"))
-    comment = r"^(?:--|/\*)" if engine == "postgres" else r"^(?:--(?:\s|$)|#|/\*)"
-    found = found.filter(~F.col("tok").rlike(comment)).withColumn("up", F.upper("tok"))
+    texts = df.select(column).filter(F.col(column).isNotNull())
+    once = written(_cut(texts.distinct() if repeated else texts, [], column, engine).select(*TEXT, "shape").distinct())
+    found = once.select(*TEXT, F.posexplode("shape").alias("pos", "tok")).withColumn("up", F.upper("tok"))
     at = Window.partitionBy(*TEXT).orderBy("pos")
     upto = at.rowsBetween(Window.unboundedPreceding, 0)
     opens, closes = F.col("tok") == "(", F.col("tok") == ")"
@@ -78,13 +104,23 @@ def tokens(df: DataFrame, column: str, engine: str = "postgres") -> DataFrame:
     return five.withColumn("clause", F.last(soft, ignorenulls=True).over(here))
 
 
-def _hash(column: str) -> list[Column]:
-    return [F.xxhash64(F.lit(seed), column).alias(f"h{seed}") for seed in (1, 2)]
+def _meet(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the ``facts`` of their shape, in as many tasks as ``rows`` have, however many are of one shape."""
+    facts = written(facts)
+    if facts.count() <= BROADCAST_FACTS:
+        return rows.join(F.broadcast(facts), TEXT, how)
+    each = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int")).join(each, [*TEXT, "salt"], how).drop("salt")
 
 
-def _back(df: DataFrame, key: str, column: str, facts: DataFrame, how: str = "inner") -> DataFrame:
-    """The facts of distinct texts at every key that has the text."""
-    return df.select(key, *_hash(column)).join(facts, TEXT, how).drop(*TEXT)
+def _back(df: DataFrame, keep: list[str], column: str, engine: str, facts: DataFrame, repeated: bool, how: str = "inner", made=lambda rows: rows) -> DataFrame:
+    """``keep`` with the facts of the text's shape; ``made`` adds to them what is told by the text's own tokens ``said``."""
+    if not repeated:
+        return made(_meet(_cut(df, keep, column, engine), facts, how)).drop(*TEXT, "said", "shape")
+    raw = [F.xxhash64(F.lit(seed), column).alias(f"__t{seed}") for seed in (1, 2)]
+    names = ["__t1", "__t2"]
+    told = made(_meet(_cut(df.select(*raw, column).distinct(), names, column, engine), facts, how)).drop(*TEXT, "said", "shape")
+    return df.select(*keep, *raw).join(F.broadcast(told), names, how).drop(*names)
 
 
 def _tables(found: DataFrame) -> DataFrame:
@@ -105,7 +141,8 @@ def query_tables(df: DataFrame, key: str, column: str, engine: str = "postgres")
     lower case unless quoted, with their schema if given. Without an alias the table's own
     name stands for it. Functions in FROM are no tables.
     """
-    return _back(df, key, column, _tables(tokens(df, column, engine)).select(*TEXT, "table_name", "alias").distinct()).distinct()
+    repeated = _repeated(df, column)
+    return _back(df, [key], column, engine, _tables(tokens(df, column, engine, repeated)).select(*TEXT, "table_name", "alias").distinct(), repeated).distinct()
 
 
 def _owned(names: DataFrame, tables: DataFrame, catalog: DataFrame | None) -> DataFrame:
@@ -130,11 +167,12 @@ def filter_columns(df: DataFrame, key: str, column: str, catalog: DataFrame, eng
     A qualified column belongs to its alias's table; others to the only table, to the tables
     that have such a column by the catalog, or to all of them if none has.
     """
-    found = tokens(df, column, engine)
+    repeated = _repeated(df, column)
+    found = tokens(df, column, engine, repeated)
     call, typed = F.coalesce(F.col("n1") == "(", F.lit(False)), F.coalesce(F.col("t1").rlike(r"^'"), F.lit(False))
     field = F.coalesce(F.col("n1") == "FROM", F.lit(False))  # extract(year FROM ...)
     names = found.filter(F.col("is_name") & F.col("clause").isin("WHERE", "ON") & ~call & ~typed & ~field & ~F.coalesce(F.col("p1").isin("::", "AS", "OVER"), F.lit(False)))
-    return _back(df, key, column, _owned(names, _tables(found), catalog)).distinct()
+    return _back(df, [key], column, engine, _owned(names, _tables(found), catalog), repeated).distinct()
 
 
 def equality_columns(df: DataFrame, key: str, column: str, engine: str = "postgres") -> DataFrame:
@@ -144,13 +182,14 @@ def equality_columns(df: DataFrame, key: str, column: str, engine: str = "postgr
     the top takes out all. A column without a qualifier counts if the statement's main part
     has one table.
     """
-    found = tokens(df, column, engine)
+    repeated = _repeated(df, column)
+    found = tokens(df, column, engine, repeated)
     names = _equalities(found, engine)
-    return _back(df, key, column, _owned(names, _tables(found.filter("sdepth = 0")), None)).distinct()
+    return _back(df, [key], column, engine, _owned(names, _tables(found.filter("sdepth = 0")), None), repeated).distinct()
 
 
 def _equalities(found: DataFrame, engine: str) -> DataFrame:
-    """The tokens that are columns of an AND-ed equality of the main WHERE, with the ``value`` they are compared with."""
+    """The tokens that are columns of an AND-ed equality of the main WHERE, with the position of the value they are compared with."""
     group = Window.partitionBy(*TEXT, "depth", "grp", "sdepth", "clause")
     whole = Window.partitionBy(*TEXT, "depth", "grp")
     opens, closes = F.col("tok") == "(", F.col("tok") == ")"
@@ -165,12 +204,12 @@ def _equalities(found: DataFrame, engine: str) -> DataFrame:
     value = lambda c: F.coalesce(F.col(c).rlike(r"^(?:\$\d+$|\?$|\.?\d|\w*&?'|\$" + ('|")' if engine == "mysql" else ")")), F.lit(False))
     forward = starts("p1") & (F.col("n1") == "=") & value("n2") & F.when(F.coalesce(cast, F.lit(False)), ends("n5")).otherwise(ends("n3"))
     before = Window.partitionBy(*TEXT).orderBy("pos")
-    marked = marked.withColumn("p3", F.lag("up", 3).over(before)).withColumn("s2", F.lag("tok", 2).over(before))
+    marked = marked.withColumn("p3", F.lag("up", 3).over(before))
     backward = (F.col("p1") == "=") & value("p2") & F.coalesce(starts("p3"), F.lit(False)) & ends("n1")
     top = F.col("is_name") & (F.col("sdepth") == 0) & (F.col("clause") == "WHERE") & (F.col("bars") == 0) & ~((F.col("loose") == 1) & F.col("is_base"))
     forward = F.coalesce(forward, F.lit(False))
     named = marked.filter(top & (forward | F.coalesce(backward, F.lit(False))))
-    return named.withColumn("value", F.when(forward, F.col("t2")).otherwise(F.col("s2")))
+    return named.withColumn("value_at", F.when(forward, F.col("pos") + 2).otherwise(F.col("pos") - 2))
 
 
 def row_keys(df: DataFrame, report: str, member: str, column: str) -> DataFrame:
@@ -182,7 +221,8 @@ def row_keys(df: DataFrame, report: str, member: str, column: str) -> DataFrame:
     the last counts. Statements of several tables, those that begin with WITH and those without such an
     equality (parameters tell nothing) have no row.
     """
-    found = tokens(df, column)
+    repeated = _repeated(df, column)
+    found = tokens(df, column, repeated=repeated)
     flag = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
     several = (F.col("sdepth") == 0) & F.col("up").isin("JOIN", "UNION", "EXCEPT", "INTERSECT") | ((F.col("tok") == "(") & F.col("sub") & F.col("p1").isin("FROM", "JOIN", "USING", "LATERAL", ","))
     locks = F.col("is_base") & (F.col("sdepth") == 0) & (F.col("up") == "FOR") & F.col("n1").isin("UPDATE", "NO", "SHARE", "KEY")
@@ -190,13 +230,15 @@ def row_keys(df: DataFrame, report: str, member: str, column: str) -> DataFrame:
     kinds = found.groupBy(*TEXT).agg(first.alias("first"), flag(several).alias("several"), flag(locks).alias("locks"))
     fit = kinds.filter("not several and (first in ('UPDATE', 'DELETE') or first = 'SELECT' and locks)").select(*TEXT)
     one = _tables(found.filter("sdepth = 0")).groupBy(*TEXT).agg(F.count("*").alias("n"), F.min("table_name").alias("table_name"), F.min("alias").alias("alias")).filter("n = 1")
+    value = F.get("said", F.col("value_at"))
     literal = F.when(F.col("value").rlike(r"^'"), F.regexp_replace(F.expr("substring(value, 2, length(value) - 2)"), "''", "'")).when(F.col("value").rlike(r"^[0-9.]"), F.col("value"))
     name = clean_name(F.col("tok"))
     owner = F.when(name.contains("."), F.element_at(F.split(name, r"\."), -2))
-    said = _equalities(found, "postgres").select(*TEXT, "pos", F.substring_index(name, ".", -1).alias("column_name"), owner.alias("owner"), literal.alias("literal"))
+    said = _equalities(found, "postgres").select(*TEXT, "pos", F.substring_index(name, ".", -1).alias("column_name"), owner.alias("owner"), "value_at")
     short = F.substring_index("table_name", ".", -1)
-    facts = said.join(fit, TEXT).join(one, TEXT).filter(F.col("literal").isNotNull() & (F.col("owner").isNull() | (F.col("owner") == F.col("alias")) | (F.col("owner") == short)))
-    rows = df.select(report, member, *_hash(column)).distinct().join(facts, TEXT)
+    facts = said.join(fit, TEXT).join(one, TEXT).filter(F.col("owner").isNull() | (F.col("owner") == F.col("alias")) | (F.col("owner") == short))
+    made = lambda met: met.withColumn("value", value).withColumn("literal", literal).filter("literal is not null").drop("value", "value_at")
+    rows = _back(df, [report, member], column, "postgres", facts.select(*TEXT, "pos", "table_name", "column_name", "value_at"), repeated, made=made)
     seen = F.min(F.struct(member, "pos")).over(Window.partitionBy(report, "column_name", "literal"))
     token = F.concat(F.lit("v"), F.dense_rank().over(Window.partitionBy(report).orderBy("seen")).cast("string"))
     named = rows.withColumn("seen", seen).withColumn("token", token).groupBy(report, member, "table_name", "column_name").agg(F.max_by("token", "pos").alias("token"))
@@ -211,7 +253,8 @@ def shapes(df: DataFrame, key: str, column: str, engine: str = "postgres") -> Da
     part; aggregates of subqueries and calls with OVER are none. ``simple_table`` is null with
     an exclusion, a join, a second table, a subquery or a set operation.
     """
-    found = tokens(df, column, engine)
+    repeated = _repeated(df, column)
+    found = tokens(df, column, engine, repeated)
     at, group = Window.partitionBy(*TEXT).orderBy("pos"), Window.partitionBy(*TEXT, "depth", "grp")
     closes = F.col("tok") == ")"
     one = found.withColumn("after", F.max(F.when(closes, F.col("n1"))).over(group)).withColumn("call_after", F.when(F.col("n1") == "(", F.lead("after").over(at)))
@@ -232,7 +275,7 @@ def shapes(df: DataFrame, key: str, column: str, engine: str = "postgres") -> Da
     only = _tables(found).groupBy(*TEXT).agg(F.count("*").alias("n"), F.min("table_name").alias("t"))
     named = facts.withColumn("exclusion", why).join(only, TEXT, "left")
     simple = F.when(F.col("exclusion").isNull() & ~F.col("several") & (F.col("n") == 1), F.col("t"))
-    every = _back(df, key, column, named.select(*TEXT, "exclusion", simple.alias("simple_table"), F.lit(True).alias("seen")), "left")
+    every = _back(df, [key], column, engine, named.select(*TEXT, "exclusion", simple.alias("simple_table"), F.lit(True).alias("seen")), repeated, "left")
     return every.select(key, F.when(F.col("seen").isNull(), "no_select").otherwise(F.col("exclusion")).alias("exclusion"), "simple_table")
 
 

@@ -118,7 +118,7 @@ def canonical_text(col: Column, engine: str = "postgres") -> Column:
 def canonical_texts(df: DataFrame, column: str, out: str = "canonical", engine: str = "postgres") -> DataFrame:
     """``df`` with the canonical text of ``column``; equal texts, which every snapshot repeats, are made once."""
     keyed = df.withColumns({f"__h{k}": F.xxhash64(F.lit(k), column) for k in (1, 2)})
-    once = keyed.dropDuplicates(["__h1", "__h2"]).select("__h1", "__h2", canonical_text(F.col(column), engine).alias(out))
+    once = keyed.select("__h1", "__h2", column).distinct().select("__h1", "__h2", canonical_text(F.col(column), engine).alias(out))
     return keyed.join(once, ["__h1", "__h2"]).drop("__h1", "__h2")
 
 

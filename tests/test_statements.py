@@ -67,3 +67,29 @@ def test_leak_audit_over_chunks_and_short_markers(spark):
     found = T.leak_audit({"made": made}, markers)
     assert {(r.marker, r.n) for r in found.collect()} == {("secret value of mine", 2), ("pw1", 1), ("another marker here", 1), ("y" * 40, 1)}
     assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_texts_that_differ_in_literals_are_one_shape_and_come_back_everywhere(spark, monkeypatch):
+    texts = [f"SELECT * FROM t WHERE a = {i} AND b = 'v{i}' AND c = $t$x{i}$t$ AND d = ${i} AND e = E'\\'{i}' -- {i}" for i in range(40)] + [None, "", 'SELECT b.c FROM t AS "x1" JOIN u "x2" ON "x1".a = 5']
+    assert A.tokens(rows(spark, *texts[:40]), "q").select(*A.TEXT).distinct().count() == 1
+    want = {(i, "t", c) for i in range(40) for c in "abcde"}
+    ask = lambda: {(r.id, r.table_name, r.column_name) for r in A.equality_columns(rows(spark, *texts), "id", "q").collect()}
+    assert ask() == want
+    monkeypatch.setattr(A, "BROADCAST_FACTS", 0)
+    assert ask() == want
+    assert {r.id: (r.exclusion, r.simple_table) for r in A.shapes(rows(spark, *texts), "id", "q").collect()} == {**{i: (None, "t") for i in range(40)}, 40: ("no_select", None), 41: ("no_select", None), 42: (None, None)}
+    # a quoted text after a name or AS is an alias, not a literal, and stays apart
+    both = rows(spark, *[f'SELECT 1 FROM t "s{i}" WHERE a = "v{i}" AND b IN ("{i}")' for i in range(3)])
+    assert {(r.id, r.alias) for r in A.query_tables(both, "id", "q", "mysql").collect()} == {(i, f"s{i}") for i in range(3)}
+
+
+def test_statements_of_one_shape_are_not_one_task(spark):
+    many = spark.range(4000).selectExpr("id report", "1 member", "concat('UPDATE t SET a = 1 WHERE id = ', id % 3) q").repartition(4)
+    few, A.BROADCAST_FACTS = A.BROADCAST_FACTS, 2
+    try:
+        assert A.row_keys(many, "report", "member", "q").filter("row_key['id'] = 'v1'").count() == 4000
+    finally:
+        A.BROADCAST_FACTS = few
+    found = A.row_keys(many, "report", "member", "q")
+    assert found.filter("row_key['id'] = 'v1'").count() == 4000
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
