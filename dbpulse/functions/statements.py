@@ -302,7 +302,19 @@ def explicit_predicates(scans: DataFrame, types: DataFrame, aliases: DataFrame,
     mysql a text or date column that is compared with a number is cast to a number by the
     engine, which hides its index: the cast is written out. Predicates are cut into tokens,
     those of columns are joined with their types, and all are put together again in order.
+    Scans of equal predicate, table and aliases are taken apart once.
     """
+    listed = aliases.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("alias", "table_name"))).alias("aliases"))
+    told = ["schema_name", "relation", "table_name", "predicate", "aliases"]
+    parts = [part for c in told for part in (F.col(c).isNull(), F.col(c))]
+    keyed = scans.select("id", *told[:-1]).join(listed, "id", "left").withColumns({f"h{seed}": F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)})
+    once = written(keyed.select(F.struct(*TEXT).alias("id"), *told).distinct())
+    made = _explicit(once.drop("aliases"), types, once.select("id", F.inline("aliases")), engine)
+    return _meet(keyed.select("id", *TEXT), made.select("id.h1", "id.h2", "predicate")).select("id", "predicate")
+
+
+def _explicit(scans: DataFrame, types: DataFrame, aliases: DataFrame, engine: str) -> DataFrame:
+    """``(id, predicate)`` of ``explicit_predicates``, each row of ``scans`` by itself."""
     name = rf"{PART}(?:\.{PART})?"
     cast = rf"\({name}\)::text(?![\w\[])"
     pieces = rf"{STRINGS[engine]}|{cast}|{PART}(?:\.{PART})*|\$\d+|{NUMBER}|<=|>=|<>|!=|\s+|[^\s]" if engine == "postgres" else rf"{STRINGS[engine]}|(?:[A-Za-z_][\w$]*|`[^`]+`)(?:\.(?:[A-Za-z_][\w$]*|`[^`]+`))*|\$\d+|{NUMBER}|<=|>=|<>|!=|\s+|[^\s]"

@@ -93,3 +93,14 @@ def test_statements_of_one_shape_are_not_one_task(spark):
     found = A.row_keys(many, "report", "member", "q")
     assert found.filter("row_key['id'] = 'v1'").count() == 4000
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_predicates_are_taken_apart_once_whatever_their_ids(spark, monkeypatch):
+    scans = spark.range(300).selectExpr("id", "if(id % 3 = 0, 's', null) schema_name", "'o' relation", "if(id % 2 = 0, 'orders', null) table_name", "if(id = 7, null, '((x.a)::text = $1)') predicate")
+    types = spark.createDataFrame([("s", "orders", "a", "varchar"), ("s", "other", "a", "integer")], "schema_name string, table_name string, column_name string, data_type string")
+    aliases = scans.selectExpr("id", "'x' alias", "if(id % 5 = 0, 'other', 'orders') table_name").filter("id != 10")
+    taken, explicit = [], A._explicit
+    monkeypatch.setattr(A, "_explicit", lambda once, *more: (taken.append(once.count()), explicit(once, *more))[1])
+    got = {r.id: r.predicate for r in A.explicit_predicates(scans, types, aliases).collect()}
+    assert taken[0] <= 2 * 2 * 3 + 1
+    assert got == {i: None if i == 7 else "((x.a)::text = $1)" if i % 5 == 0 and i != 10 else "(x.a = $1)" for i in range(300)}
