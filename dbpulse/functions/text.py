@@ -367,29 +367,30 @@ def contention_graph(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     got = lambda path, kind: F.try_variant_get("e", path, kind)
     none = F.lit(None).cast(f"array<{_LOCK}>")
     name = lambda pid: F.concat(F.lit("session "), pid.cast("string"))
-    members = parsed.select("detection_id", F.explode(got("$.transactions", f"array<{_MEMBER}>")).alias("t")).select(
-        "detection_id", F.col("t.process_id").alias("pid"), F.when(F.col("t.victim"), "victim").alias("tag"), F.col("t.blocked_by").alias("by"), F.array("t.waits_for").alias("waits"), F.col("t.holds").alias("holds")
-    )
-    sessions = F.concat(F.array(F.struct(F.lit("root").alias("tag"), got("$.root", _SESSION).alias("s"))), F.transform(F.coalesce(got("$.blocked_sessions", f"array<{_SESSION}>"), F.array().cast(f"array<{_SESSION}>")), lambda s: F.struct(F.lit(None).cast("string").alias("tag"), s.alias("s"))))
-    cascade = parsed.filter(got("$.root", _SESSION).isNotNull()).select("detection_id", F.explode(sessions).alias("x")).select(
-        "detection_id", F.col("x.s.process_id").alias("pid"), "x.tag", F.col("x.s.blocking_pids").alias("by"), none.alias("waits"), none.alias("holds")
-    )
-    party = members.unionByName(cascade).filter("pid is not null")
+    each = lambda array, kind, made: F.transform(F.coalesce(array, F.array().cast(f"array<{kind}>")), made)
+    party = lambda pid, tag, by, waits, holds: F.struct(pid.alias("pid"), tag.alias("tag"), by.alias("by"), waits.alias("waits"), holds.alias("holds"))
+    members = each(got("$.transactions", f"array<{_MEMBER}>"), _MEMBER, lambda t: party(t["process_id"], F.when(t["victim"], "victim"), t["blocked_by"], F.array(t["waits_for"]), t["holds"]))
+    session = lambda s, tag: party(s["process_id"], tag.cast("string"), s["blocking_pids"], none, none)
+    # one pass: the evidence is read once, and all of a party comes from its own row
+    read = parsed.select("detection_id", members.alias("members"), got("$.root", _SESSION).alias("root"), got("$.blocked_sessions", f"array<{_SESSION}>").alias("sessions"))
+    cascade = F.concat(F.array(session(F.col("root"), F.lit("root"))), each(F.col("sessions"), _SESSION, lambda s: session(s, F.lit(None))))
+    every = F.when(F.col("root").isNull(), F.col("members")).otherwise(F.concat("members", cascade))
+    parties = read.select("detection_id", F.inline(every)).filter("pid is not null").withColumn("p", name(F.col("pid")))
     named = lambda lock: F.when(F.size(lock["targets"]) > 0, lock["targets"]).when(lock["table_name"].isNotNull(), F.array(F.concat_ws(".", lock["schema_name"], lock["table_name"])))
     locks = lambda c: F.array_distinct(F.flatten(F.filter(F.transform(c, named), lambda x: x.isNotNull())))
-    at = lambda c, kind: party.select("detection_id", name(F.col("pid")).alias("p"), F.explode(locks(c)).alias("lock"), F.lit(kind).alias("kind"))
-    waits, holds = at("waits", "waits for"), at("holds", "held by")
-    blocked = party.select("detection_id", name(F.col("pid")).alias("src"), F.explode(F.array_distinct("by")).alias("b")).filter("b is not null")
-    edges = (
-        blocked.select("detection_id", "src", name(F.col("b")).alias("dst"), F.lit("blocked by").alias("kind"))
-        .unionByName(waits.select("detection_id", F.col("p").alias("src"), F.col("lock").alias("dst"), "kind")).unionByName(holds.select("detection_id", F.col("lock").alias("src"), F.col("p").alias("dst"), "kind"))
+    blockers = F.filter(F.array_distinct("by"), lambda b: b.isNotNull())
+    edge = lambda a, b, kind: F.struct(a.alias("src"), b.alias("dst"), F.lit(kind).alias("kind"))
+    node = lambda n, kind, tag: F.struct(n.alias("node"), F.lit(kind).alias("kind"), tag.alias("tag"))
+    p, untagged = F.col("p"), F.lit("")
+    edges = F.concat(
+        each(blockers, "bigint", lambda b: edge(p, name(b), "blocked by")), each(locks("waits"), "string", lambda x: edge(p, x, "waits for")), each(locks("holds"), "string", lambda x: edge(x, p, "held by"))
     )
-    nodes = (
-        party.select("detection_id", name(F.col("pid")).alias("node"), F.lit("session").alias("kind"), F.coalesce("tag", F.lit("")).alias("tag"))
-        .unionByName(blocked.select("detection_id", name(F.col("b")).alias("node"), F.lit("session").alias("kind"), F.lit("").alias("tag")))
-        .unionByName(waits.unionByName(holds).select("detection_id", F.col("lock").alias("node"), F.lit("lock").alias("kind"), F.lit("").alias("tag")))
+    nodes = F.concat(
+        F.array(node(p, "session", F.coalesce("tag", untagged))), each(blockers, "bigint", lambda b: node(name(b), "session", untagged)), each(locks("waits"), "string", lambda x: node(x, "lock", untagged)),
+        each(locks("holds"), "string", lambda x: node(x, "lock", untagged)),
     )
-    return nodes.groupBy("detection_id", "node", "kind").agg(F.max("tag").alias("tag")), edges.filter("dst is not null")
+    met = parties.select("detection_id", F.inline(nodes)).groupBy("detection_id", "node", "kind").agg(F.max("tag").alias("tag"))
+    return met, parties.select("detection_id", F.inline(edges)).filter("dst is not null")
 
 
 def severity(x: Column, high: float, medium: float | None = None) -> Column:

@@ -285,3 +285,19 @@ def test_matching_goes_on_with_the_rows_still_free(spark):
     left = spark.createDataFrame([("k", 1, 0), ("k", 2, 10)], "key string, l_id long, l_s long")
     right = spark.createDataFrame([("k", 3, 8), ("k", 4, 30)], "key string, r_id long, r_s long")
     assert sorted((r.l_id, r.r_id) for r in quality.match_once(left, right, 60).collect()) == [(1, 4), (2, 3)]
+
+
+def test_contention_graph_reads_evidence_once(spark):
+    from dbpulse.functions.text import contention_graph
+
+    texts = [
+        '{"transactions":[{"process_id":1,"victim":true,"blocked_by":[2,null,2],"waits_for":{"targets":["r1"]},"holds":[{"schema_name":"s","table_name":"t"},{"targets":["r2","r2"]}]},{"process_id":null,"blocked_by":[1]},{"process_id":2}]}',
+        '{"root":{"process_id":5},"blocked_sessions":[{"process_id":6,"blocking_pids":[5]},{"blocking_pids":[5]}]}', '{"root":{"process_id":7}}', "no json", None, "{}",
+    ]
+    nodes, edges = contention_graph(spark.createDataFrame(list(enumerate(texts)), "detection_id long, evidence string"))
+    assert {tuple(r) for r in edges.collect()} == {(0, "session 1", "session 2", "blocked by"), (0, "session 1", "r1", "waits for"), (0, "s.t", "session 1", "held by"), (0, "r2", "session 1", "held by"), (1, "session 6", "session 5", "blocked by")}
+    assert {tuple(r) for r in nodes.collect()} == {
+        (0, "session 1", "session", "victim"), (0, "session 2", "session", ""), (0, "r1", "lock", ""), (0, "s.t", "lock", ""), (0, "r2", "lock", ""), (1, "session 5", "session", "root"), (1, "session 6", "session", ""), (2, "session 7", "session", "root"),
+    }
+    for made in (nodes, edges):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + made._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
