@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.rounds import written
+
 # patterns with possessive loops: long texts need no deep stack
 STRING = r"'[^']*+(?:''[^']*+)*+'"
 QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
@@ -402,9 +404,10 @@ def _inside_out(col: Column, step) -> Column:
     """Apply ``step`` to the innermost parentheses, then to those around them, as often as there are any.
 
     Parentheses that are done are set aside as control characters and come back at the end,
-    so nesting of any depth is met from the inside.
+    so nesting of any depth is met from the inside. Once none is left open the other rounds do nothing.
     """
-    inner = lambda text, _: F.regexp_replace(step(text), r"(?<!<[a-z_]{1,60}>)\(([^()]*)\)", "\u0001$1\u0002")
+    once = lambda text: F.regexp_replace(step(text), r"(?<!<[a-z_]{1,60}>)\(([^()]*)\)", "\u0001$1\u0002")
+    inner = lambda text, _: F.when(text.contains("("), once(text)).otherwise(text)
     rounds = lambda text: F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(F.replace(text, F.lit("("), F.lit(""))), F.lit(1)))
     return _let(col, lambda text: F.translate(F.aggregate(rounds(text), text, inner), "\u0001\u0002", "()"))
 
@@ -426,6 +429,26 @@ def clean_my_predicate(col: Column) -> Column:
     return _let(numbered, lambda text: F.when(text.rlike(r"<\w+>"), None).otherwise(text))
 
 
+#: cleaned predicates of at most so many kinds are broadcast to their rows
+BROADCAST_KINDS = 200_000
+
+
+def clean_my_predicates(df: DataFrame, column: str, out: str = "predicate", kinds: int = BROADCAST_KINDS) -> DataFrame:
+    """``df`` with the cleaned ``column`` (N33); predicates that differ only in whole numbers are cleaned once.
+
+    Such a number stands by itself, so whatever it is it becomes the next ``$n``. Where a marker or
+    bracket touches a word or another one, what is inside may become part of a name: that text stays as it is.
+    """
+    glued = F.col(column).rlike(r"[\w$.`)]<|\)[\w$.`<]")
+    like = F.when(glued, F.col(column)).otherwise(F.regexp_replace(column, r"(?<![\w$.`])\d+(?![\w$.`])", "0"))
+    once = written(df.select(like.alias("__like")).distinct())
+    if once.count() > kinds:
+        return df.withColumn(out, clean_my_predicate(F.col(column)))
+    made = written(once.select(*[F.xxhash64(F.lit(k), "__like").alias(f"__h{k}") for k in (1, 2)], clean_my_predicate(F.col("__like")).alias(out)))
+    keyed = df.withColumn("__like", like).withColumns({f"__h{k}": F.xxhash64(F.lit(k), "__like") for k in (1, 2)})
+    return keyed.drop("__like", out).join(F.broadcast(made), ["__h1", "__h2"]).drop("__h1", "__h2")
+
+
 def recommended_sql(df: DataFrame, key: str, column: str) -> DataFrame:
     """Statements named in a recommendation, in order, each once whatever its case and spaces."""
     pattern = r"((?:CREATE\s+(?:UNIQUE\s+)?INDEX|CREATE\s+STATISTICS|ALTER\s+TABLE|ANALYZE|DROP\s+INDEX)\b[^;]*;)"

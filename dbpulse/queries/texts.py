@@ -318,7 +318,7 @@ def n32(spark, sf_dir):
 @query("n33_clean_my_predicate", ctes("sql_text") + """ SELECT id, '((orders.o_custkey = $1) and NOT (orders.o_flag) and (date(orders.o_date) = ''$2'') and (o.x > $3))' AS t FROM sql_text""")
 def n33(spark, sf_dir):
     p = F.concat(F.lit("((`shop`.`orders`.`o_custkey` = <cache>("), F.col("o_custkey").cast("string"), F.lit(")) and <not>(`orders`.`o_flag`) and (cast(`orders`.`o_date` as date) = '2024-01-01') and (`o`.`x` > -"), (F.col("id") % 7).cast("string"), F.lit("))"))
-    return texts(spark, sf_dir).select("id", T.clean_my_predicate(p).alias("t"))
+    return T.clean_my_predicates(texts(spark, sf_dir).select("id", p.alias("p")), "p", "t").select("id", "t")
 
 
 @query("n34_strip_markers", ctes("sql_text") + " SELECT id, '(a = NULL) AND NULL AND (b = ' || o_custkey || ')' AS t FROM sql_text")

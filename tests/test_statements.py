@@ -104,3 +104,15 @@ def test_equal_predicates_are_taken_apart_once_whatever_their_ids(spark, monkeyp
     got = {r.id: r.predicate for r in A.explicit_predicates(scans, types, aliases).collect()}
     assert taken[0] <= 2 * 2 * 3 + 1
     assert got == {i: None if i == 7 else "((x.a)::text = $1)" if i % 5 == 0 and i != 10 else "(x.a = $1)" for i in range(300)}
+
+
+def test_predicates_that_differ_in_numbers_are_cleaned_once(spark, monkeypatch):
+    odd = [None, "", "(`a`5 = 1)", "(`a`<cache>(5) = 1)", "(<cache>(5)<cache>(6) = <if>(7))", "(x.y.z1 = 5.25 and 1.5.x > 0x1F)", "(a in ('5 (', $3, -7))", "<odd>(5)", "((((<not>(<cache>(((b < 12))))))))", "a 1 (b 2 (c 3) 4", "(c)5 = 'it''s 9'"]
+    texts = [f"((`s`.`t`.`a` = <cache>({i})) and <not>(`t`.`b`) and (`t`.`c` > -{i}))" for i in range(200)] + odd
+    alone = {r.id: r.c for r in rows(spark, *texts).select("id", T.clean_my_predicate(F.col("q")).alias("c")).collect()}
+    assert alone[7] == "((t.a = $1) and NOT (t.b) and (t.c > $2))"
+    cleaned, clean = [], T.clean_my_predicate
+    monkeypatch.setattr(T, "clean_my_predicate", lambda col: (cleaned.append(str(col)), clean(col))[1])
+    for kinds in (100, 0):
+        assert {r.id: r.c for r in T.clean_my_predicates(rows(spark, *texts), "q", "c", kinds).collect()} == alone
+    assert ["__like" in c for c in cleaned] == [True, False]
