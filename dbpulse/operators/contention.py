@@ -68,6 +68,11 @@ GAPS, GAP_HOLDS = ["gap", "insert_intention"], ["gap", "row+gap"]
 PATTERNS = ["CT-01", "CT-02", "CT-03", "CT-04", "CT"]
 
 
+def _ratio():
+    """Rows locked for each row changed."""
+    return F.col("rows_locked") / F.greatest(F.coalesce(F.col("undo_entries"), F.lit(0)), F.lit(1))
+
+
 def reports_of(trx: DataFrame, locks: DataFrame) -> DataFrame:
     """One row per report: its transactions and their locks as arrays, in one shuffle.
 
@@ -76,9 +81,8 @@ def reports_of(trx: DataFrame, locks: DataFrame) -> DataFrame:
     report_id, process_id, role, target, mode, scope)``, a row per target held or awaited.
     A report is one text of bounded size, so its transactions fit a row.
     """
-    ratio = F.col("rows_locked") / F.greatest(F.coalesce(F.col("undo_entries"), F.lit(0)), F.lit(1))
     scan = F.col("scan") if "scan" in trx.columns else F.lit(None).cast("struct<columns:array<string>,led:boolean>")
-    one = F.struct("process_id", "complete", "blocked_by", "holds_known", ratio.alias("ratio"), scan.alias("scan"))
+    one = F.struct("process_id", "complete", "blocked_by", "holds_known", _ratio().alias("ratio"), scan.alias("scan"))
     lock = F.struct("process_id", "role", "target", "mode", "scope")
     both = trx.select("report_id", one.alias("t"), F.lit(None).alias("l")).unionByName(locks.select("report_id", F.lit(None).alias("t"), lock.alias("l")))
     return both.groupBy("report_id").agg(F.collect_list("t").alias("members"), F.collect_list("l").alias("locks"))
@@ -89,13 +93,13 @@ def _waits(member):
 
 
 def _held(is_holder, target, kind):
-    return F.exists("locks", lambda h: (h["role"] == "hold") & is_holder(h["process_id"]) & (h["target"] == target) & F.coalesce(kind(h), F.lit(False)))
+    return F.exists("locks", lambda h: (h["role"] == "hold") & (h["target"] == target) & F.coalesce(kind(h), F.lit(False)) & is_holder(h["process_id"]))
 
 
 def _blocker_holds(member, wait, kind):
     """Does any of the members that block this one keep, in that way, what it waits for?"""
-    ids = F.transform("members", lambda m: m["process_id"])
-    return _held(lambda pid: F.coalesce(F.array_contains(F.array_intersect(member["blocked_by"], ids), pid), F.lit(False)), wait["target"], kind)
+    among = lambda ids, pid: F.coalesce(F.array_contains(ids, pid), F.lit(False))
+    return _held(lambda pid: among(member["blocked_by"], pid) & among(F.col("members")["process_id"], pid), wait["target"], kind)
 
 
 def _on_row(lock, mode):
@@ -108,7 +112,7 @@ def _asks_exclusive(wait):
 
 def cycle_flags(reports: DataFrame) -> DataFrame:
     """Adds: is it a cycle (complete, two or more, all waiting for a member), are targets and holds known (G06, G07)?"""
-    ids = F.transform("members", lambda m: m["process_id"])
+    ids = F.col("members")["process_id"]
     waiting = F.forall("members", lambda m: (F.size(_waits(m)) > 0) & F.coalesce(F.arrays_overlap(ids, m["blocked_by"]), F.lit(False)))
     known = F.forall("members", lambda m: (F.size(_waits(m)) > 0) & F.forall(_waits(m), lambda w: w["target"].isNotNull()))
     return reports.withColumns({
@@ -161,26 +165,37 @@ def range_contention(flags: DataFrame) -> DataFrame:
     gap = lambda h: h["scope"].isin(*GAP_HOLDS)
     blocked = F.filter("locks", lambda w: (w["role"] == "wait") & (w["scope"] == "insert_intention") & F.exists("members", lambda m: (m["process_id"] == w["process_id"]) & _blocker_holds(m, w, gap)))
     place = lambda w: F.struct(w["target"].alias("record"), F.when(F.element_at(F.split(w["target"], ":"), -1) == "1", "end_of_index").otherwise("before_record").alias("position"))
-    found = flags.withColumn("gaps", F.array_sort(F.array_distinct(F.transform(blocked, place))))
-    is_range = F.col("is_cycle") & F.col("targets_known") & F.col("holds_known") & ~F.col("amplified") & (F.size("gaps") > 0)
-    return found.withColumn("ct03", is_range).withColumn("gaps", F.when(F.col("ct03"), F.col("gaps")).otherwise(F.slice("gaps", F.lit(1), F.lit(0))))
+    # the places are looked for only where all else holds
+    may = F.col("is_cycle") & F.col("targets_known") & F.col("holds_known") & ~F.col("amplified")
+    places = F.array_sort(F.array_distinct(F.transform(blocked, place)))
+    found = flags.withColumn("gaps", F.coalesce(F.when(may, places), F.array().cast("array<struct<record:string,position:string>>")))
+    return found.withColumn("ct03", may & (F.size("gaps") > 0))
+
+
+#: leading columns of at most so many tables are broadcast to the transactions
+BROADCAST_LEADS = 400_000
 
 
-def amplifying_statements(trx: DataFrame, leads: DataFrame) -> DataFrame:
+def amplifying_statements(trx: DataFrame, leads: DataFrame, ratio: float | None = None) -> DataFrame:
     """Adds ``scan(columns, led)`` to transactions with an UPDATE or DELETE of one table that filters by bare columns.
 
     ``trx`` has db_id, schema_name and canonic_query; ``leads(db_id, schema_name, table_name,
     column_name)`` are first columns of indexes. ``led``: an index of that table begins with
-    one of the columns, or it is not known which table of that name is meant.
+    one of the columns, or it is not known which table of that name is meant. With ``ratio``
+    only transactions that lock so many times the rows they changed have a scan: CT-04 asks no others.
     """
     query = F.regexp_replace("canonic_query", r"\s+", " ")
-    one = query.rlike(r"(?i)^(UPDATE|DELETE FROM) [\w.]+ ") & ~query.rlike(r"(?i)\b(JOIN|USING|SELECT)\b") & ~query.rlike(r"(?i)^UPDATE [\w.]+ (AS )?\w* ?,")
+    raw = F.col("canonic_query")
+    one = raw.rlike(r"(?i)^(UPDATE|DELETE\s+FROM)\s+[\w.]+\s") & ~raw.rlike(r"(?i)\b(JOIN|USING|SELECT)\b") & ~raw.rlike(r"(?i)^UPDATE\s+[\w.]+\s+(AS\s+)?\w*\s*,")
+    asked = one if ratio is None else F.coalesce(_ratio() >= ratio, F.lit(False)) & one
     clause = F.regexp_extract(query, r"(?i) WHERE (.*)$", 1)
     names = F.regexp_extract_all(clause, F.lit(r"(?i)(?:^|\bAND\b|\bOR\b|\()\s*\(*([a-z_]\w*)\s*(?:<=|>=|=|<(?!>)|>|\bIN\b|\bBETWEEN\b|\bIS NULL\b)"), F.lit(1))
     columns = F.array_sort(F.array_distinct(F.transform(names, F.lower)))
-    named = trx.withColumn("__columns", F.when(one, columns)).withColumn("__table", F.lower(F.element_at(F.split(F.regexp_extract(query, r"(?i)^(?:UPDATE|DELETE FROM) ([\w.]+)", 1), r"\."), -1)))
-    by_table = leads.groupBy("db_id", F.col("table_name").alias("__table")).agg(F.collect_set(F.struct("schema_name", "column_name")).alias("__leads"))
-    joined = named.join(by_table, ["db_id", "__table"], "left")
+    table = F.lower(F.element_at(F.split(F.regexp_extract("canonic_query", r"(?i)^(?:UPDATE|DELETE\s+FROM)\s+([\w.]+)", 1), r"\."), -1))
+    told = trx.withColumn("__told", F.when(asked, F.struct(columns.alias("columns"), table.alias("table"))))
+    named = told.withColumns({"__columns": F.col("__told.columns"), "__table": F.col("__told.table")}).drop("__told")
+    by_table = written(leads.groupBy("db_id", F.col("table_name").alias("__table")).agg(F.collect_set(F.struct("schema_name", "column_name")).alias("__leads")))
+    joined = named.join(F.broadcast(by_table) if by_table.count() <= BROADCAST_LEADS else by_table, ["db_id", "__table"], "left")
     all_leads = F.coalesce("__leads", F.array().cast("array<struct<schema_name:string,column_name:string>>"))
     same = F.filter(all_leads, lambda x: x["schema_name"].eqNullSafe(F.col("schema_name")))
     loose = F.filter(all_leads, lambda x: x["schema_name"].isNull() | F.col("schema_name").isNull())

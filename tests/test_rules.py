@@ -301,3 +301,16 @@ def test_contention_graph_reads_evidence_once(spark):
     }
     for made in (nodes, edges):
         assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + made._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
+
+
+def test_only_transactions_that_may_amplify_are_searched_for_scans(spark):
+    trx = spark.createDataFrame(
+        [(1, "db", "s", "UPDATE  t\nSET a = 1 WHERE b = $1", 50, 1), (2, "db", "s", "UPDATE t SET a = 1 WHERE b = $1", 5, 1), (3, "db", "s", "DELETE\tFROM s.t WHERE c = $1", 10, None), (4, "db", "s", "UPDATE t ,u SET a = 1 WHERE b = 1", 50, 1), (5, "db", "s", None, 50, 1)],
+        "process_id long, db_id string, schema_name string, canonic_query string, rows_locked long, undo_entries long",
+    )
+    leads = spark.createDataFrame([("db", "s", "t", "c")], "db_id string, schema_name string, table_name string, column_name string")
+    said = lambda df: {r.process_id: r.scan and (r.scan.columns, r.scan.led) for r in df.collect()}
+    asked = contention.amplifying_statements(trx, leads, ratio=10)
+    assert said(asked) == {1: (["b"], False), 2: None, 3: (["c"], True), 4: None, 5: None}
+    assert said(contention.amplifying_statements(trx, leads)) == {1: (["b"], False), 2: (["b"], False), 3: (["c"], True), 4: None, 5: None}
+    assert "SortMergeJoin" not in asked._jdf.queryExecution().executedPlan().toString()
