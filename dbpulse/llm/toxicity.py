@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructType
+from pyspark.sql.types import DoubleType
 
 from .common import cut_lineage, set_aside
 
@@ -193,22 +193,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     name is called ``score_given`` in the result.
     """
     docs = set_aside(docs, *ADDED)
-    # a text that is a string already goes to Python once, under its own name
-    plain = next((f.name for f in docs.schema.fields if f.name.lower() == "text" and isinstance(f.dataType, StringType)), None)
-    read = plain or "__text"
     # at most 2**bits weights, as plain arrays: executors need no copy of this package
     sent = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias, model.bits))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bias, bits = sent.value[2:]
         weight = Model(*sent.value).dense()
         for batch in batches:
-            texts = (t.as_py() or "" for t in batch.column(batch.schema.get_field_index(read)))
-            total = np.array([weight[slots(t.encode("utf-8", "surrogatepass"), bits)].sum() + bias for t in texts])
-            out = pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))), pa.float64())
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), out], [*(batch.schema.names[i] for i in keep), "score"])
-
-    schema = StructType([*docs.schema.fields]).add("score", DoubleType())
-    sent_rows = docs if plain else docs.withColumn("__text", F.col("text").cast("string"))
-    return sent_rows.mapInArrow(run, schema)
+            total = np.array([weight[slots((t.as_py() or "").encode("utf-8", "surrogatepass"), bits)].sum() + bias for t in batch], np.float64)
+            yield pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))), pa.float64())
+
+    # only texts go to Python and only scores come back: the rows wait in Spark, which may spill them
+    return docs.withColumn("score", F.arrow_udf(run, DoubleType())(F.col("text").cast("string")))

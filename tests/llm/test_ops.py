@@ -702,3 +702,11 @@ for name in ("op1_simhash", "op4_quality", "op6_suffix_dedup", "op7_toxicity", "
     clean = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
     done = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-3000:]
+
+
+def test_scoring_sends_no_text_back_from_python(spark):
+    rows = docs(spark, [(1, "a b"), (2, None), (2, ""), (None, "a b")])
+    scored = toxicity.score(rows, toxicity.Model(np.zeros(0, np.int64), np.zeros(0), 0.0, toxicity.BITS))
+    assert [r.score for r in scored.collect()] == [0.5] * 4
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
