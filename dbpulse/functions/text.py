@@ -117,11 +117,34 @@ def canonical_text(col: Column, engine: str = "postgres") -> Column:
     return F.coalesce(_let(F.regexp_extract_all(col, F.lit(f"({outer})"), F.lit(1)), put), F.lit(NOT_AVAILABLE))
 
 
-def canonical_texts(df: DataFrame, column: str, out: str = "canonical", engine: str = "postgres") -> DataFrame:
-    """``df`` with the canonical text of ``column``; equal texts, which every snapshot repeats, are made once."""
-    keyed = df.withColumns({f"__h{k}": F.xxhash64(F.lit(k), column) for k in (1, 2)})
-    once = keyed.select("__h1", "__h2", column).distinct().select("__h1", "__h2", canonical_text(F.col(column), engine).alias(out))
-    return keyed.join(once, ["__h1", "__h2"]).drop("__h1", "__h2")
+def _alike(col: Column, engine: str) -> Column:
+    """The text with each number that stands by itself made 0, which changes nothing in its canonical text.
+
+    Such a number is a literal, or lies inside of one or of a comment. In a quoted name it would
+    be part of the name, so texts with name quotes stay as they are; as do numbers that touch a name, a sign
+    of a parameter, a further point or an exponent.
+    """
+    name = '"' if engine == "postgres" else "`"
+    return F.when(col.contains(name), col).otherwise(F.regexp_replace(col, r"(?<![\w$.])(?<![eE][+-])\d++(?:\.\d++)?+(?![\w$.])", "0"))
+
+
+#: texts made once (canonical texts, cleaned predicates) are broadcast to their rows if there are at most so many kinds
+BROADCAST_KINDS = 200_000
+
+
+def canonical_texts(df: DataFrame, column: str, out: str = "canonical", engine: str = "postgres", kinds: int = BROADCAST_KINDS) -> DataFrame:
+    """``df`` with the canonical text of ``column``; texts that differ only in numbers, as those of every snapshot do, are made once.
+
+    The texts themselves are not shuffled, but for one of each kind: up to ``kinds`` canonical texts are
+    broadcast to the rows, more meet them by hashes.
+    """
+    once = written(df.select(_alike(F.col(column), engine).alias("__like")).distinct())
+    hashes = {f"__h{k}": F.xxhash64(F.lit(k), "__like") for k in (1, 2)}
+    made = once.withColumns(hashes).select(*hashes, canonical_text(F.col("__like"), engine).alias(out))
+    keyed = df.withColumn("__like", _alike(F.col(column), engine)).withColumns(hashes).drop("__like")
+    if once.count() > kinds:
+        return keyed.join(made, [*hashes]).drop(*hashes)
+    return keyed.join(F.broadcast(written(made)), [*hashes]).drop(*hashes)
 
 
 def collapse_lists(col: Column) -> Column:
@@ -429,10 +452,6 @@ def clean_my_predicate(col: Column) -> Column:
     return _let(numbered, lambda text: F.when(text.rlike(r"<\w+>"), None).otherwise(text))
 
 
-#: cleaned predicates of at most so many kinds are broadcast to their rows
-BROADCAST_KINDS = 200_000
-
-
 def clean_my_predicates(df: DataFrame, column: str, out: str = "predicate", kinds: int = BROADCAST_KINDS) -> DataFrame:
     """``df`` with the cleaned ``column`` (N33); predicates that differ only in whole numbers are cleaned once.
 

@@ -116,3 +116,19 @@ def test_predicates_that_differ_in_numbers_are_cleaned_once(spark, monkeypatch):
     for kinds in (100, 0):
         assert {r.id: r.c for r in T.clean_my_predicates(rows(spark, *texts), "q", "c", kinds).collect()} == alone
     assert ["__like" in c for c in cleaned] == [True, False]
+
+
+def test_texts_that_differ_in_numbers_have_one_canonical_text_without_a_shuffle_of_texts(spark, monkeypatch):
+    odd = [None, "", "SELECT 1e-5.5", "SELECT 1e-5", "SELECT 7.5.x, 7.x, .5, 1..2, 12ab, 0x1F, a.5", 'SELECT "T 1", 5', 'SELECT "T 2", 5', "SELECT '\"' \"T 3\" '\"'", "SELECT $7, 5", "SELECT 'open 5", "/* 5", "SELECT E'\\55' , b'01', $t$5$t$, 5$x$", "SELECT `n 1`, \"b 2\", 'c 3' # 5", "SELECT `n 2` -- 5", "a --5\n#6\n, 7"]
+    texts = [f"SELECT * FROM t WHERE a = {i} AND b > {i}.5 AND c = -{i} AND d = 'v {i}' /* {i} */ -- {i}" for i in range(200)] + odd
+    for engine in ("postgres", "mysql"):
+        alone = {r.id: r.c for r in rows(spark, *texts).select("id", T.canonical_text(F.col("q"), engine).alias("c")).collect()}
+        for kinds in (100, 0):
+            got = T.canonical_texts(rows(spark, *texts), "q", "c", engine, kinds)
+            assert {r.id: r.c for r in got.collect()} == alone
+            if kinds:
+                assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    made, canonical = [], T.canonical_text
+    monkeypatch.setattr(T, "canonical_text", lambda col, engine: (made.append(str(col)), canonical(col, engine))[1])
+    assert T.canonical_texts(rows(spark, *texts[:200]), "q").select("canonical").distinct().count() == 1
+    assert "__like" in made[0]
