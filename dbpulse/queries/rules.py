@@ -328,9 +328,15 @@ TIMED = ["AP-01", "AP-02", "AP-06", "AP-07", "AP-08"]
 
 
 def everything(spark, sf_dir):
-    frames = {}
+    """All rules' findings; a query that several rules ask is run and written once."""
+    frames, made = {}, {}
+    asked = [name for name, *_ in FOUND.values()]
     for rule, (name, query_id, detail, variant, which) in FOUND.items():
-        df = QUERIES[name](spark, sf_dir).filter(which).withColumn("detail", F.col(detail)).withColumn("variant", F.expr(variant or "cast(NULL AS string)"))
+        if name not in made:
+            df = QUERIES[name](spark, sf_dir)
+            # without a filter: pushed below the rule's expression it would work that out again
+            made[name] = written(df.select("db_id", detail, "rule")) if asked.count(name) > 1 else df
+        df = made[name].filter(which).withColumn("detail", F.col(detail)).withColumn("variant", F.expr(variant or "cast(NULL AS string)"))
         frames[rule] = df.withColumn("query_id", F.col(query_id)) if query_id else df.drop("query_id")
     return D.detect_all(frames)
 

@@ -314,3 +314,20 @@ def test_only_transactions_that_may_amplify_are_searched_for_scans(spark):
     assert said(asked) == {1: (["b"], False), 2: None, 3: (["c"], True), 4: None, 5: None}
     assert said(contention.amplifying_statements(trx, leads)) == {1: (["b"], False), 2: (["b"], False), 3: (["c"], True), 4: None, 5: None}
     assert "SortMergeJoin" not in asked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_query_of_several_rules_is_run_once(spark, monkeypatch):
+    from dbpulse.queries import QUERIES, load, rules
+
+    load()
+    ran = []
+    plain = spark.createDataFrame([("db1", "q", "x")], "db_id string, q string, x string").selectExpr(
+        "db_id", "q query_id", "q child_id", "x severity", "x table_name", "x column_name", "x subtype", "x suggested_index", "true per_branch", "x index_name", "x constraint_name", "x direction", "x kind", "1 pid", "timestamp_ntz'2024-01-01' captured_at"
+    )
+    events = spark.createDataFrame([(i, "db1", r) for i, r in enumerate(["CT-01", "CT-02", "CT-02", "CT-04", "CT", None])], "report_id long, db_id string, rule string")
+    for name in {n for n, *_ in rules.FOUND.values()}:
+        monkeypatch.setitem(QUERIES, name, lambda spark, sf_dir, name=name: (ran.append(name), events if name == "g18_deadlock_events" else plain)[1])
+    found = rules.everything(spark, "nowhere")
+    assert sorted(ran) == sorted({n for n, *_ in rules.FOUND.values()})
+    assert sorted((r.rule, r.detail) for r in found.filter("rule like 'CT-0%' and rule < 'CT-05'").collect()) == [("CT-01", "0"), ("CT-02", "1"), ("CT-02", "2"), ("CT-04", "3")]
+    assert found.count() == 4 + 9
