@@ -207,43 +207,68 @@ def redact_sessions(df: DataFrame, raw: str, canonical: str) -> DataFrame:
 
 
 WINDOW = 16
-CHUNK = 4_096
+CHUNK, PHRASE_CHUNK = 4_096, 65_536
 MARKERS_AT_ONCE = 200_000
-#: windows that begin a word; any window at all
+#: windows that begin a word; any window at all (words of phrases are cut at spaces)
 AT_WORDS, ANYWHERE = r"(?<=\W)(?=(\w[\s\S]{{{n}}}))", r"(?=([\s\S]{{{m}}}))"
 
 
+#: so many pairs of row and marker that share a window are broadcast to the rows; more meet them by a shuffle
+BROADCAST_NEAR = 500_000
+
+
 def leak_audit(tables: dict[str, DataFrame], markers: DataFrame) -> DataFrame:
     """``(table_name, marker, n)``: how many rows of each table hold a marker in any column.
 
-    A marker is found by equality of one window of ``WINDOW`` characters, the first that begins a
-    word inside of it; rows give all such windows, chunk by chunk, each once, and only rows
-    that share a marker's window are searched for the whole marker. Markers without such a window
-    (short ones, single words) go by windows as long as the shortest of them. Windows are
+    A row that holds a marker has the words between its first and its last space whole. So a marker is
+    found by equality of one window of three such words, the longest; rows give all such windows, each once, and
+    only rows that share a marker's window are searched for the whole marker. Markers of fewer
+    words go by ``WINDOW`` characters, the first that begin a word inside of them, those without such
+    a window (short ones, single words) by windows as long as the shortest of them. Windows are
     hashed and joined in a hash join; ``markers(marker)`` is a stated query set, broadcast
-    ``MARKERS_AT_ONCE`` at a time, and every table is read once for each of those and for
-    both kinds. Null and empty markers are left out.
+    ``MARKERS_AT_ONCE`` at a time. A window carries the hash of its row, not its text: every table is
+    read once for each of those and for each kind, and once more for the rows that are searched
+    (rows of one hash are all searched, so equal rows count each and unequal ones do no harm).
+    Null and empty markers are left out.
     """
-    known = markers.filter("marker != ''").select("marker").distinct()
+    words = F.split("marker", " ", -1)
+    inside = F.sequence(F.lit(2), F.size(words) - 3)
+    said = lambda at: F.slice(words, at, 3)
+    at = F.array_max(F.transform(inside, lambda i: F.struct(F.length(F.array_join(said(i), " ")).alias("n"), i.alias("i"))))
+    phrase = F.when(F.size(words) >= 5, said(at["i"]))
+    named = markers.filter("marker != ''").select("marker").distinct().withColumn("m", F.xxhash64("marker")).withColumn("phrase", phrase)
+    known, wordy, others = named.select("m", "marker"), named.filter("phrase is not null"), named.filter("phrase is null")
     anchor = F.regexp_extract("marker", rf"\W(\w[\s\S]{{{WINDOW - 1}}})", 1)
-    least = known.filter(anchor == "").agg(F.min(F.length("marker"))).first()[0]
-    kinds = [(AT_WORDS.format(n=WINDOW - 1), WINDOW, known.filter(anchor != "").select("marker", anchor.alias("window")))]
+    widest = wordy.agg(F.max(F.length(F.array_join("phrase", " ")))).first()[0]
+    least = others.filter(anchor == "").agg(F.min(F.length("marker"))).first()[0]
+    pieces = lambda pattern: lambda chunk: F.transform(F.regexp_extract_all(chunk, F.lit(pattern), F.lit(1)), lambda w: F.xxhash64(w))
+    three = lambda chunk: _let(F.split(chunk, " ", -1), lambda all: F.transform(F.slice(all, 1, F.greatest(F.size(all) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(all, i + 1), F.get(all, i + 2))))
+    kinds = []
+    if widest is not None:
+        kinds.append((three, PHRASE_CHUNK, widest + 2, wordy.select("m", F.xxhash64(*[F.get("phrase", F.lit(i)) for i in range(3)]).alias("h"))))
+    kinds.append((pieces(AT_WORDS.format(n=WINDOW - 1)), CHUNK, WINDOW, others.filter(anchor != "").select("m", F.xxhash64(anchor).alias("h"))))
     if least is not None:
-        kinds.append((ANYWHERE.format(m=least), least, known.filter(anchor == "").select("marker", F.substring("marker", 1, least).alias("window"))))
-    found = []
-    for pattern, width, asked in kinds:
+        kinds.append((pieces(ANYWHERE.format(m=least)), CHUNK, least, others.filter(anchor == "").select("m", F.xxhash64(F.substring("marker", 1, least)).alias("h"))))
+    texts = {name: df.select(F.concat_ws("\u001f", *[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("row")).withColumn("id", F.xxhash64("row")) for name, df in tables.items()}
+    pairs = [known.limit(0).select(F.lit("").alias("table_name"), F.col("m").alias("id"), "m")]
+    for made, length, width, asked in kinds:
         blocks = -(-asked.count() // MARKERS_AT_ONCE)
-        numbered = asked.select("marker", F.xxhash64("window").alias("h"), F.pmod(F.xxhash64("marker"), F.lit(max(blocks, 1))).alias("block"))
+        numbered = asked.withColumn("block", F.pmod("m", F.lit(max(blocks, 1))))
         # a chunk goes on for one window more, and begins with the character before it
-        chunk = rf"(?=([\s\S]{{1,{CHUNK + width + 1}}}))[\s\S]{{1,{CHUNK}}}"
-        for name, df in tables.items():
-            rows = df.select(F.concat_ws("\u001f", *[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("row")).withColumn("id", F.monotonically_increasing_id())
-            chunks = rows.select("id", "row", F.explode(F.regexp_extract_all("row", F.lit(chunk), F.lit(1))).alias("chunk"))
-            windows = chunks.select("id", "row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("chunk", F.lit(pattern), F.lit(1)), lambda w: F.xxhash64(w)))).alias("h"))
+        cut = F.regexp_extract_all("row", F.lit(rf"(?=([\s\S]{{1,{length + width + 1}}}))[\s\S]{{1,{length}}}"), F.lit(1))
+        for name, rows in texts.items():
+            chunks = rows.select("id", F.explode(F.when(F.length("row") > length, cut).otherwise(F.array("row"))).alias("chunk"))
+            windows = chunks.select("id", F.explode(F.array_distinct(made(F.col("chunk")))).alias("h"))
             for block in range(blocks):
-                some = F.broadcast(numbered.filter(F.col("block") == block).select("marker", "h"))
-                hits = windows.join(some, "h").filter(F.col("row").contains(F.col("marker"))).select("id", "marker").distinct()
-                found.append(hits.groupBy("marker").agg(F.count("*").alias("n")).withColumn("table_name", F.lit(name)))
+                some = F.broadcast(numbered.filter(F.col("block") == block).select("m", "h"))
+                pairs.append(windows.join(some, "h").select(F.lit(name).alias("table_name"), "id", "m"))
+    near = written(reduce(DataFrame.unionByName, pairs).distinct())
+    few = near.count() <= BROADCAST_NEAR
+    found = []
+    for name, rows in texts.items():
+        mine = near.filter(F.col("table_name") == name).select("id", "m").join(known, "m").select("id", "marker")
+        hits = rows.join(F.broadcast(mine) if few else mine, "id").filter(F.col("row").contains(F.col("marker")))
+        found.append(hits.groupBy("marker").agg(F.count("*").alias("n")).withColumn("table_name", F.lit(name)))
     return reduce(DataFrame.unionByName, found)
 
 

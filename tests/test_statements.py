@@ -132,3 +132,28 @@ def test_texts_that_differ_in_numbers_have_one_canonical_text_without_a_shuffle_
     monkeypatch.setattr(T, "canonical_text", lambda col, engine: (made.append(str(col)), canonical(col, engine))[1])
     assert T.canonical_texts(rows(spark, *texts[:200]), "q").select("canonical").distinct().count() == 1
     assert "__like" in made[0]
+
+
+def test_leak_audit_by_phrases_equals_a_search(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    words = ["a", "the", "één", "\U0001f600x", "", "no\nline", "q.", "long" * 9, "'it''s'"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 40, 90]))) for _ in range(60)]
+    texts += texts[:7] + [None, "", " ", "x" * 300]
+    cut = lambda n: (lambda t: t[(b := rng.randrange(max(len(t) - n, 1))) : b + n])(rng.choice([t for t in texts if t and len(t) > 60]))
+    markers = sorted({cut(rng.choice([25, 50, 60])) for _ in range(80)} | {"a b c d e f", "the the  the", "x" * 40, "a the a the a the nowhere"})
+    want = {(m, sum(m in t for t in texts if t)) for m in markers if any(m in t for t in texts if t)}
+    made, asked = spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame([(m,) for m in markers], "marker string")
+    ask = lambda of: {(r.marker, r.n) for r in T.leak_audit({"made": made}, of).collect()}
+    assert ask(asked) == want
+    monkeypatch.setattr(T, "PHRASE_CHUNK", 70)
+    monkeypatch.setattr(T, "BROADCAST_NEAR", 0)
+    monkeypatch.setattr(T, "MARKERS_AT_ONCE", 30)
+    assert ask(asked) == want
+    # markers of five words and more need no window by characters
+    monkeypatch.setattr(T, "AT_WORDS", "(never{n})")
+    monkeypatch.setattr(T, "ANYWHERE", "(never{m})")
+    long = [m for m in markers if m.count(" ") >= 4]
+    assert ask(asked.filter(F.size(F.split("marker", " ")) >= 5)) == {(m, n) for m, n in want if m in long} != set()
+    assert ask(asked.limit(0)) == set()
