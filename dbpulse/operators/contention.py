@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .carried import carried
@@ -73,27 +73,46 @@ def _ratio():
     return F.col("rows_locked") / F.greatest(F.coalesce(F.col("undo_entries"), F.lit(0)), F.lit(1))
 
 
+def _member(trx: DataFrame, *more):
+    scan = F.col("scan") if "scan" in trx.columns else F.lit(None).cast("struct<columns:array<string>,led:boolean>")
+    return F.struct("process_id", "complete", "blocked_by", "holds_known", _ratio().alias("ratio"), scan.alias("scan"), *more)
+
+
 def reports_of(trx: DataFrame, locks: DataFrame) -> DataFrame:
-    """One row per report: its transactions and their locks as arrays, in one shuffle.
+    """One row per report: its transactions with their waits, and what is held, as arrays, in one shuffle.
 
     ``trx(report_id, process_id, complete, blocked_by, holds_known, rows_locked, undo_entries,
     scan)``, where ``blocked_by`` lists the processes that block it and ``scan`` is the statement of ``amplifying_statements`` or null; ``locks(
     report_id, process_id, role, target, mode, scope)``, a row per target held or awaited.
     A report is one text of bounded size, so its transactions fit a row.
     """
-    scan = F.col("scan") if "scan" in trx.columns else F.lit(None).cast("struct<columns:array<string>,led:boolean>")
-    one = F.struct("process_id", "complete", "blocked_by", "holds_known", _ratio().alias("ratio"), scan.alias("scan"))
     lock = F.struct("process_id", "role", "target", "mode", "scope")
-    both = trx.select("report_id", one.alias("t"), F.lit(None).alias("l")).unionByName(locks.select("report_id", F.lit(None).alias("t"), lock.alias("l")))
-    return both.groupBy("report_id").agg(F.collect_list("t").alias("members"), F.collect_list("l").alias("locks"))
+    both = trx.select("report_id", _member(trx).alias("t"), F.lit(None).alias("l")).unionByName(locks.select("report_id", F.lit(None).alias("t"), lock.alias("l")))
+    reports = both.groupBy("report_id").agg(F.collect_list("t").alias("members"), F.collect_list("l").alias("locks"))
+    waits = lambda m: F.filter("locks", lambda w: (w["role"] == "wait") & (w["process_id"] == m["process_id"]))
+    return reports.select("report_id", F.transform("members", lambda m: m.withField("waits", waits(m))).alias("members"), F.filter("locks", lambda h: h["role"] == "hold").alias("holds"))
+
+
+def reports_together(trx: DataFrame, facts: dict[str, Column] | None = None) -> DataFrame:
+    """The same from transactions that carry their own locks: ``waits(target, mode, scope)`` and ``held(process_id, target, mode, scope)``, arrays or null.
+
+    ``facts`` are further aggregates of a report. Where transactions come from a window over
+    their report they lie together already, and are neither shuffled nor sorted again: reports
+    are windows of which one row is kept.
+    """
+    report = Window.partitionBy("report_id")
+    found = {"members": F.collect_list("__member"), "__holds": F.collect_list("held"), **(facts or {})}
+    nth = F.count(F.lit(1)).over(report.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = trx.withColumn("__member", _member(trx, F.coalesce("waits", F.array()).alias("waits"))).select("report_id", *[c.over(report).alias(n) for n, c in found.items()], nth.alias("__nth"))
+    return rows.filter("__nth = 1").withColumn("holds", F.flatten("__holds")).drop("__nth", "__holds")
 
 
 def _waits(member):
-    return F.filter("locks", lambda w: (w["role"] == "wait") & (w["process_id"] == member["process_id"]))
+    return member["waits"]
 
 
 def _held(is_holder, target, kind):
-    return F.exists("locks", lambda h: (h["role"] == "hold") & (h["target"] == target) & F.coalesce(kind(h), F.lit(False)) & is_holder(h["process_id"]))
+    return F.exists("holds", lambda h: (h["target"] == target) & F.coalesce(kind(h), F.lit(False)) & is_holder(h["process_id"]))
 
 
 def _blocker_holds(member, wait, kind):
@@ -163,7 +182,7 @@ def range_contention(flags: DataFrame) -> DataFrame:
     A gap is named by the record that closes it; heap number 1 is the end of the index.
     """
     gap = lambda h: h["scope"].isin(*GAP_HOLDS)
-    blocked = F.filter("locks", lambda w: (w["role"] == "wait") & (w["scope"] == "insert_intention") & F.exists("members", lambda m: (m["process_id"] == w["process_id"]) & _blocker_holds(m, w, gap)))
+    blocked = F.flatten(F.transform("members", lambda m: F.filter(_waits(m), lambda w: (w["scope"] == "insert_intention") & _blocker_holds(m, w, gap))))
     place = lambda w: F.struct(w["target"].alias("record"), F.when(F.element_at(F.split(w["target"], ":"), -1) == "1", "end_of_index").otherwise("before_record").alias("position"))
     # the places are looked for only where all else holds
     may = F.col("is_cycle") & F.col("targets_known") & F.col("holds_known") & ~F.col("amplified")

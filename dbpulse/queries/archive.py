@@ -67,5 +67,4 @@ def q26(spark, sf_dir):
 @query("g07_known_flags", ctes("deadlock_trx", "deadlock_lock") + """ SELECT t.report_id, bool_and(w.target IS NOT NULL) AS targets_known, bool_and(holds_known) AS holds_known
 FROM deadlock_trx t LEFT JOIN deadlock_lock w ON w.report_id = t.report_id AND w.process_id = t.process_id AND w.role = 'wait' GROUP BY 1""")
 def g07(spark, sf_dir):
-    reports = contention.reports_of(view(spark, sf_dir, "deadlock_trx"), view(spark, sf_dir, "deadlock_lock"))
-    return contention.cycle_flags(reports).select("report_id", "targets_known", "holds_known")
+    return contention.cycle_flags(contention.reports_together(view(spark, sf_dir, "deadlock_own"))).select("report_id", "targets_known", "holds_known")

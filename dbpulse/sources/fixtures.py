@@ -118,19 +118,26 @@ define("session", [], """
 SELECT concat('db', cast(cast(floor(o_custkey / 50) AS bigint) AS string)) AS db_id, o_orderkey AS process_id, o_custkey, EPOCH_S(o_orderdate) AS start_s,
   lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS blocker FROM @orders WHERE o_orderstatus = 'O'""")
 # The lines of an order as a deadlock, each waiting for the next, the last for the first; some blocked by two, some by a stranger
-define("dl_line", [], """
-SELECT *, cast(rn % n + 1 AS int) AS next_id FROM (SELECT l_orderkey AS report_id, l_linenumber AS process_id, l_partkey, l_returnflag, l_linestatus, l_quantity, EPOCH_S(l_shipdate) AS ship_s,
-  cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS int) AS rn, cast(count(*) OVER (PARTITION BY l_orderkey) AS int) AS n FROM @lineitem) x""")
-define("deadlock_trx", ["dl_line"], """
+_LINE = """
+SELECT *, cast(rn % n + 1 AS int) AS next_id FROM (SELECT @key, l_linenumber AS process_id, l_partkey, l_returnflag, l_linestatus, l_quantity, EPOCH_S(l_shipdate) AS ship_s,
+  cast(row_number() OVER (PARTITION BY @by ORDER BY l_linenumber, l_partkey, l_suppkey) AS int) AS rn, cast(count(*) OVER (PARTITION BY @by) AS int) AS n"""
+define("dl_line", [], _LINE.replace("@key", "l_orderkey AS report_id").replace("@by", "l_orderkey") + " FROM @lineitem) x")
+_TRX = """
 SELECT a.report_id, a.rn AS process_id, concat('db', cast(cast(floor(a.report_id / 1000) AS bigint) AS string)) AS db_id, a.ship_s + a.report_id % 86400 AS at_s, a.report_id % 10 <> 0 AS complete,
-  concat('part ', cast(b.l_partkey AS string)) AS waits_for, concat('part ', cast(a.l_partkey AS string)) AS holds, a.report_id % 7 <> 0 AS holds_known,
+  concat('part ', cast(@next AS string)) AS waits_for, concat('part ', cast(a.l_partkey AS string)) AS holds, a.report_id % 7 <> 0 AS holds_known,
   CASE a.l_returnflag WHEN 'R' THEN 'S' ELSE 'X' END AS lock_mode, CASE WHEN a.l_linestatus = 'F' THEN 'row' WHEN a.report_id % 2 = 0 THEN 'gap' ELSE 'insert_intention' END AS lock_scope,
   cast(a.l_quantity AS bigint) AS rows_locked, a.process_id AS undo_entries, a.rn = least(2, a.n) AS victim, a.next_id,
   CASE WHEN a.report_id % 19 = 0 THEN ARRAY[9] WHEN a.report_id % 6 = 5 THEN ARRAY[cast((a.rn + a.n - 2) % a.n + 1 AS int), a.next_id] ELSE ARRAY[a.next_id] END AS blocked_by,
   CASE WHEN a.report_id % 5 = 0 THEN cast(NULL AS string) WHEN a.report_id % 11 = 0 THEN 'other' ELSE 'public' END AS schema_name, CASE (a.report_id + a.rn) % 6
   WHEN 0 THEN 'UPDATE orders SET o_clerk = $1 WHERE o_custkey = $2' WHEN 1 THEN 'UPDATE orders SET o_clerk = $1 WHERE (o_clerk = $2 AND o_shippriority >= $3)' WHEN 2 THEN 'DELETE FROM shop.lineitem WHERE l_tax > $1'
   WHEN 3 THEN 'SELECT * FROM orders WHERE o_clerk = $1 FOR UPDATE' WHEN 4 THEN 'UPDATE orders AS o JOIN customer AS c ON c.c_custkey = o.o_custkey SET o_clerk = $1 WHERE c_name = $2' ELSE 'UPDATE part SET p_name = $1 WHERE LOWER(p_name) = $2' END AS canonic_query
-FROM dl_line a JOIN dl_line b ON a.report_id = b.report_id AND a.next_id = b.rn""")
+FROM """
+define("deadlock_trx", ["dl_line"], _TRX.replace("@next", "b.l_partkey") + "dl_line a JOIN dl_line b ON a.report_id = b.report_id AND a.next_id = b.rn")
+# the same rows for Spark: what the next line holds is read in the order of the lines. Each line is shuffled and sorted once, by the name that its reports go by
+_NEXT = _LINE.replace("@key", "report_id").replace("@by", "report_id") + ", first_value(l_partkey) OVER w AS first_partkey, lead(l_partkey) OVER w AS later_partkey"
+define("dl_next", [], f"""SELECT *, CASE WHEN rn = n THEN first_partkey ELSE later_partkey END AS next_partkey FROM ({_NEXT} FROM (SELECT *, l_orderkey AS report_id FROM @lineitem WHERE l_orderkey IS NOT NULL) l
+  WINDOW w AS (PARTITION BY report_id ORDER BY l_linenumber, l_partkey, l_suppkey)) x) y""")
+define("deadlock_ring", ["dl_next"], _TRX.replace("@next", "a.next_partkey") + "dl_next a")
 # Detections of problems
 define("detection", ["ev"], """
 SELECT event_id AS detection_id, db_id, event_type AS rule, concat(event_type, '/', cast(user_id % 20 AS string)) AS finding_key, ts AS detected_at, s,

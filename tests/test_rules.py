@@ -331,3 +331,48 @@ def test_a_query_of_several_rules_is_run_once(spark, monkeypatch):
     assert sorted(ran) == sorted({n for n, *_ in rules.FOUND.values()})
     assert sorted((r.rule, r.detail) for r in found.filter("rule like 'CT-0%' and rule < 'CT-05'").collect()) == [("CT-01", "0"), ("CT-02", "1"), ("CT-02", "2"), ("CT-04", "3")]
     assert found.count() == 4 + 9
+
+
+def test_deadlock_events_shuffle_each_line_once(spark):
+    from dbpulse.queries import QUERIES, load
+    from tests.compare import SF
+
+    load()
+    for name in ("g18_deadlock_events", "g15_classify_deadlocks", "g11_ct03", "g06_cycle_flags"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count("Exchange hashpartitioning"), plan.count("Sort ["), plan.count("SortMergeJoin")) == (1, 1, 0), name
+
+
+def test_the_next_line_is_looked_up_as_by_a_join(spark, tmp_path):
+    from dbpulse.sources.fixtures import view
+
+    # a report of one line, lines that come twice, parts unknown in the middle, at the end and of all; no report
+    lines = [(1, 1, 5, 1), (2, 1, 5, 1), (2, 1, 5, 1), (2, 1, 5, 2), (3, 1, None, 1), (3, 2, 7, 1), (4, 1, 5, 1), (4, 2, None, 1), (5, None, None, None), (5, 1, 9, 1), (6, 1, None, 1), (None, 1, 5, 1), (None, 2, 6, 1)]
+    rows = spark.createDataFrame([(*x, 17.0, "R" if x[3] == 1 else "N", "F", dt.datetime(2020, 1, 1)) for x in lines], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    joined, ring = (view(spark, str(tmp_path), name) for name in ("deadlock_trx", "deadlock_ring"))
+    assert ring.columns == joined.columns and ring.count() == 11
+    assert sorted(map(str, ring.collect())) == sorted(map(str, joined.collect()))
+
+
+def test_reports_are_the_same_with_locks_beside_or_within(spark):
+    trx = spark.createDataFrame(
+        [(1, 1, True, [2], True, 5, None), (1, 2, True, [1, None], True, 1, 1), (2, 1, None, None, None, None, None), (2, 2, True, [9], False, 3, 1), (3, 4, True, [], True, 1, 1)],
+        "report_id long, process_id int, complete boolean, blocked_by array<int>, holds_known boolean, rows_locked long, undo_entries long",
+    )
+    locks = spark.createDataFrame(
+        [(1, 1, "wait", "b", "X", "row"), (1, 2, "wait", "a", "X", "row"), (1, 1, "hold", "a", "X", "row"), (1, 2, "hold", "b", "X", "row"), (1, 2, "hold", "c", "S", None), (2, 1, "wait", None, None, None), (2, 1, "wait", "x", "S", "gap"), (2, 2, "hold", "x", None, "gap")],
+        "report_id long, process_id int, role string, target string, mode string, scope string",
+    )
+    own = trx
+    for role, name in (("wait", "waits"), ("hold", "held")):
+        own = own.join(locks.filter(f"role = '{role}'").groupBy("report_id", "process_id").agg(F.collect_list(F.struct("process_id", "target", "mode", "scope")).alias(name)), ["report_id", "process_id"], "left")
+    beside, within = contention.reports_of(trx, locks), contention.reports_together(own, {"n": F.count("*")})
+    assert {r.report_id: r.n for r in within.collect()} == {1: 2, 2: 2, 3: 1}
+
+    def flags(reports):
+        made = contention.unclassified(contention.lock_amplification(contention.range_contention(contention.mode_conversion(contention.inconsistent_order(contention.amplification(contention.cycle_flags(reports)))))))
+        return sorted(map(str, made.select("report_id", "is_cycle", "targets_known", "holds_known", "ratio", "ct01", "ct02", "ct03", "gaps", "ct04", "open").collect()))
+
+    assert flags(beside) == flags(within)
+    assert "ct01=True" in flags(within)[0]
