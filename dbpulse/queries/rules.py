@@ -328,15 +328,20 @@ TIMED = ["AP-01", "AP-02", "AP-06", "AP-07", "AP-08"]
 
 
 def everything(spark, sf_dir):
-    """All rules' findings; a query that several rules ask is run and written once."""
-    frames, made = {}, {}
-    asked = [name for name, *_ in FOUND.values()]
-    for rule, (name, query_id, detail, variant, which) in FOUND.items():
-        if name not in made:
-            df = QUERIES[name](spark, sf_dir)
-            # without a filter: pushed below the rule's expression it would work that out again
-            made[name] = written(df.select("db_id", detail, "rule")) if asked.count(name) > 1 else df
-        df = made[name].filter(which).withColumn("detail", F.col(detail)).withColumn("variant", F.expr(variant or "cast(NULL AS string)"))
+    """All rules' findings; a query that several rules ask is run once, and its rows go to their rules as they come."""
+    frames, asked = {}, {}
+    for rule, (name, *of) in FOUND.items():
+        asked.setdefault(name, []).append((rule, *of))
+    for name, rules in asked.items():
+        df = QUERIES[name](spark, sf_dir)
+        if len(rules) > 1:
+            of = lambda query_id, detail, variant: [F.expr(x or "NULL").cast("string").alias(c) for c, x in (("query_id", query_id), ("detail", detail), ("variant", variant))]
+            # as rows of an array: a filter by rule would be pushed below the rule's expression and work that out again
+            told = F.array(*[F.when(F.expr(which), F.struct(F.lit(rule).alias("rule"), *of(query_id, detail, variant))) for rule, query_id, detail, variant, which in rules])
+            frames[tuple(r for r, *_ in rules)] = df.select("db_id", F.inline_outer(told)).filter("rule is not null")
+            continue
+        rule, query_id, detail, variant, which = rules[0]
+        df = df.filter(which).withColumn("detail", F.col(detail)).withColumn("variant", F.expr(variant or "cast(NULL AS string)"))
         frames[rule] = df.withColumn("query_id", F.col(query_id)) if query_id else df.drop("query_id")
     return D.detect_all(frames)
 

@@ -376,3 +376,17 @@ def test_reports_are_the_same_with_locks_beside_or_within(spark):
 
     assert flags(beside) == flags(within)
     assert "ct01=True" in flags(within)[0]
+
+
+def test_a_query_of_several_rules_is_not_written(spark, monkeypatch):
+    from dbpulse.queries import QUERIES, rules
+
+    events = spark.createDataFrame([(i, "db1", r) for i, r in enumerate(["CT-01", "CT-02", "CT-02", "CT-04", "CT", None])], "report_id long, db_id string, rule string")
+    monkeypatch.setattr(rules, "FOUND", {rule: of for rule, of in rules.FOUND.items() if of[0] == "g18_deadlock_events"})
+    monkeypatch.setitem(QUERIES, "g18_deadlock_events", lambda spark, sf_dir: events)
+    monkeypatch.setattr(rules, "written", None)
+    found = rules.everything(spark, "nowhere")
+    assert sorted((r.rule, r.detail, r.query_id, r.variant, r.captured_at) for r in found.collect()) == [("CT-01", "0", None, None, None), ("CT-02", "1", None, None, None), ("CT-02", "2", None, None, None), ("CT-04", "3", None, None, None)]
+    assert dict(found.dtypes) == {"db_id": "string", "captured_at": "timestamp_ntz", "query_id": "string", "detail": "string", "variant": "string", "rule": "string"}
+    of_two = antipatterns.detect_all({("CT-01", "CT-02"): events.selectExpr("db_id", "report_id detail", "rule"), "AP-07": events.selectExpr("db_id", "report_id detail")}, "CT-02")
+    assert sorted((r.rule, r.detail) for r in of_two.filter("detail < '3'").collect()) == [("CT-02", "1"), ("CT-02", "2")]
